@@ -14,11 +14,12 @@ LOG_COLUMNS = (
 )
 
 # One group per column above: date and time, then blank-separated fields, two of them pairs
-# joined by a slash, and two quoted strings at the end.
+# joined by a slash, and two quoted strings; text after those is ignored. Every quantifier is
+# possessive, so a malformed line fails in linear time instead of backtracking.
 LOG_PATTERN = (
-    r"(?U)^([^/]*)/([^/]*)/([^:/]*):([^:]*):([^:]*):(\S*)\s+(\S+)\s+(\S+)\s+(\S+)\s+(\S+)\s+"
-    r"([^/\s]*)/(\S*)\s+(\S+)\s+(\S+)\s+(\S+)\s+(\S+)\s+(\S+)\s+([^/\s]*)/(\S*)\s+(\S+)\s+"
-    r'"([^"]*)"\s+"([^"]*)"\s*$'
+    r"(?U)^([^/]*+)/++([^/]*+)/++([^:]*+):([^:]*+):([^:]*+):(\S*+)\s++(\S++)\s++(\S++)\s++(\S++)\s++"
+    r"(\S++)\s++([^/\s]*+)/(\S*+)\s++(\S++)\s++(\S++)\s++(\S++)\s++(\S++)\s++(\S++)\s++"
+    r'([^/\s]*+)/(\S*+)\s++([^\s"]++)\s*+"([^"]*+)"\s*+"([^"]*+)"(?s:.*+)$'
 )
 _TYPED = {"response_time": "long", "port": "int", "size_of_reply": "long"}
 _SEPARATOR = "\u0001"
