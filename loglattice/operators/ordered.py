@@ -148,6 +148,9 @@ class OrderedGroups:
         """Add row-wise columns, so that a later scan can read an earlier one."""
         return self._with(self._df.withColumns(columns))
 
+    def where(self, condition: Column) -> OrderedGroups:
+        return self._with(self._df.where(condition))
+
     def _with(self, df: DataFrame) -> OrderedGroups:
         twin = object.__new__(OrderedGroups)
         twin.keys, twin.order, twin.blocked, twin._df = self.keys, self.order, self.blocked, df

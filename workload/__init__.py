@@ -1,0 +1,2 @@
+from workload import sequence_queries  # noqa: F401
+from workload.registry import ORACLES, QUERIES  # noqa: F401
