@@ -18,11 +18,11 @@ EMIT = "SELECT seq_id, pos, state FROM seqs"
 GAP = 12 * 3600
 
 
-@query(with_(VISITS) + "SELECT row_id, server_ip, label FROM visits WHERE client_ip = '1157'")
+@query(with_(VISITS) + "SELECT row_id, server_ip, label FROM visits WHERE client_ip = '7'")
 def client_filter(spark, folder):
     from loglattice.operators.features import one_client
 
-    return one_client(visits(spark, folder), "1157").select("row_id", "server_ip", "label")
+    return one_client(visits(spark, folder), "7").select("row_id", "server_ip", "label")
 
 
 @query(with_(VISITS) + "SELECT DISTINCT client_ip FROM visits")
@@ -371,7 +371,7 @@ near AS (SELECT b.seq_id AS pair_id, a.seq_id AS sa, b.seq_id AS sb FROM named a
     with_(VISITS, CHUNK_SEQS, NEIGHBOURS, _lcs_sql().replace("FROM packed a, packed b",
         ", b.seq_id AS other FROM near JOIN packed a ON a.seq_id = sa JOIN packed b ON b.seq_id = sb")
         .replace("pairs AS (SELECT seq_id,", "pairs AS (SELECT other AS pair_id,"))
-    + "SELECT pair_id, lcs, round(lcs / sqrt(la * lb), 6) AS similarity FROM pairs"
+    + "SELECT pair_id, CAST(lcs AS BIGINT) AS lcs, round(lcs / sqrt(la * lb), 6) AS similarity FROM pairs"
 )
 def lcs_of_consecutive_chunks(spark, folder):
     pairs = _consecutive_chunks(spark, folder)
