@@ -247,7 +247,7 @@ def dbscan(
 
     first = core.groupBy("node").agg(F.min("first_row").alias("first_row"))
     named = roots.join(first, "node").groupBy("root").agg(F.min("first_row").alias("first_row"))
-    named = o.OrderedGroups(named.withColumn("all", F.lit(0)), ["all"], ["first_row"]).scan(nth=o.position()).df
+    named = o.OrderedGroups(named.withColumn("all", F.lit(0)), ["all"], ["first_row", "root"]).scan(nth=o.position()).df
     named = materialize(named.select("root", (F.col("nth") - 1).cast("int").alias("label")))
     labels = materialize(lookup(roots, named, ["root"], "inner").select("node", "label"))
 
