@@ -54,7 +54,11 @@ def component(url: Column, which: str) -> Column:
 
 def file_type(url: Column) -> Column:
     """Known extension of the last path segment, case-sensitive, or ``other``."""
-    ext = F.regexp_extract(path(url), r"[^/.][^/]*\.([^./]*)$", 1)
+    return file_type_of_path(path(url))
+
+
+def file_type_of_path(path: Column) -> Column:
+    ext = F.regexp_extract(path, r"[^/.][^/]*\.([^./]*)$", 1)
     return F.when(ext.isin(*FILE_TYPES), ext).otherwise(F.lit("other"))
 
 
@@ -72,7 +76,10 @@ def query_length(url: Column, which: str = "query") -> Column:
 
 def query_keys(url: Column, which: str = "query") -> Column:
     """Number of equal signs."""
-    part = component(url, which)
+    return equal_signs(component(url, which))
+
+
+def equal_signs(part: Column) -> Column:
     return (F.length(part) - F.length(F.replace(part, F.lit("="), F.lit("")))).cast("double")
 
 

@@ -7,7 +7,6 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loglattice.operators import ordered as o
 from loglattice.operators.lookup import lookup
 from loglattice.operators.sequences import adjacent
 from loglattice.operators.thresholds import flag
@@ -21,17 +20,18 @@ def markov_scores(
     *,
     alpha: float = 0.0,
     states: int | None = None,
-    rows_per_block: int = o.ROWS_PER_BLOCK,
+    **options,
 ) -> DataFrame:
     """``(seq_id, score)``: the mean of -log2 P over the transitions of a sequence.
 
     ``table``: a stored transition table of other (training) sequences; by default that of
     ``sequences``. A sequence of one position scores 0. A transition the table has not seen
     gives +Infinity, or with ``alpha`` > 0 the add-alpha estimate over ``states`` states.
+    ``options`` (``rows_per_block``, ``max_length``) are those of ``adjacent``.
     """
     if table is None:
-        table = train(sequences, rows_per_block=rows_per_block)
-    moves = adjacent(sequences, rows_per_block=rows_per_block)
+        table = train(sequences, **options)
+    moves = adjacent(sequences, **options)
     moves = lookup(moves, table.select("from_state", "to_state", "n", "p"), ["from_state", "to_state"])
     p = F.col("p")
     if alpha > 0:

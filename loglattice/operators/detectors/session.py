@@ -22,6 +22,7 @@ def position_scores(
     *,
     l: int = 5,
     rows_per_block: int = o.ROWS_PER_BLOCK,
+    max_length: int | None = None,
 ) -> DataFrame:
     """``(seq_id, pos, score)``: the sum of p*q over the transitions within ``l`` of a position.
 
@@ -29,12 +30,12 @@ def position_scores(
     inside its own window, so no length has to be joined.
     """
     if table is None:
-        table = train(sequences, rows_per_block=rows_per_block)
-    blocks = o.halo_blocks(sequences.select("seq_id", "pos", "state"), "pos", l, rows_per_block)
-    along = Window.partitionBy("seq_id", "__block").orderBy("pos")
+        table = train(sequences, rows_per_block=rows_per_block, max_length=max_length)
+    rows = sequences.select("seq_id", "pos", "state")
+    blocks, by = o.halo_blocks(rows, "pos", l, rows_per_block, max_length)
+    along = Window.partitionBy(*by).orderBy("pos")
     moves = blocks.select(
-        "seq_id",
-        "__block",
+        *by,
         "pos",
         "__own",
         F.col("state").alias("from_state"),

@@ -171,7 +171,7 @@ def _scores(sequences: DataFrame, kernel: Callable[[Ragged, Ragged], np.ndarray]
     distinct = materialize(distinct.withColumn("did", F.monotonically_increasing_id()))
     size = distinct.agg(F.count(F.lit(1)).alias("d"), F.sum("times").alias("n")).first()
     parallel = spark.sparkContext.defaultParallelism
-    blocks = max(1, math.ceil(size.d / block), min(math.ceil(math.sqrt(2 * parallel)), size.d // 256))
+    blocks = max(1, math.ceil(size.d / block), min(math.ceil(math.sqrt(8 * parallel)), size.d // 256))
     tiles = blocks * (blocks + 1) // 2
     mine = F.pmod(F.xxhash64("did"), F.lit(blocks)).cast("int")
     rows = distinct.withColumn("blk", mine).withColumn(

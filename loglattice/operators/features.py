@@ -44,38 +44,52 @@ def unlisted(df: DataFrame, blacklist: DataFrame, column: str, **options) -> Dat
     return lookup(df, keys, [column], "left_anti", **options)
 
 
-def file_type_flags(address: Column) -> dict[str, Column]:
+def file_type_flags(kind: Column) -> dict[str, Column]:
     """One 0/1 column per known type, ``file_type_other``, and ``file_type_`` (always 0)."""
-    kind = url.file_type(address)
     out = {f"file_type_{t}": (kind == t).cast("double") for t in url.FILE_TYPES}
     return out | {"file_type_other": (kind == "other").cast("double"), "file_type_": F.lit(0.0)}
 
 
-def feature_columns(feature: str, *, component: str = "query", compat: bool = False) -> dict[str, Column]:
-    """Columns of one feature; a name without a rule of its own is passed through."""
+def _shared_parts(plane: DataFrame, features: Sequence[str], component: str) -> DataFrame:
+    """Intermediate columns several features read, so that each regex runs once a row."""
     address = F.col("url_from_client")
+    parts: dict[str, Column] = {}
+    if {"file_type", "URL_path_length"} & set(features):
+        parts["__path"] = url.path(address)
+    if {"URL_query_length", "URL_query_key_number"} & set(features):
+        parts["__part"] = url.component(address, component)
+    if "server_IP_binary" in features:
+        parts["__ip"] = fields.ip_number(F.col("server_ip"))
+    if "status_to_client" in features:
+        parts["__class"] = F.floor(F.col("status_to_client").try_cast("int") / 100)
+    plane = plane.withColumns(parts) if parts else plane
+    return plane.withColumn("__kind", url.file_type_of_path(F.col("__path"))) if "file_type" in features else plane
+
+
+def _feature_columns(feature: str, compat: bool) -> dict[str, Column]:
+    """Columns of one feature; a name without a rule of its own is passed through."""
     match feature:
         case "status_to_client":
-            flags = fields.status_flags(F.col(feature), zero_is_five=compat)
+            flags = fields.status_class_flags(F.col("__class"), zero_is_five=compat)
             if compat:
                 flags.pop("status_other")
             return flags
         case "size_of_reply":
             return {feature: F.col(feature).try_cast("double")}
         case "file_type":
-            return file_type_flags(address)
+            return file_type_flags(F.col("__kind"))
         case "URL_length":
-            return {feature: url.url_length(address)}
+            return {feature: url.url_length(F.col("url_from_client"))}
         case "URL_path_length":
-            return {feature: url.path_length(address)}
+            return {feature: F.length("__path").cast("double")}
         case "URL_query_length":
-            return {feature: url.query_length(address, component)}
+            return {feature: F.length("__part").cast("double")}
         case "URL_query_key_number":
-            return {feature: url.query_keys(address, component)}
+            return {feature: url.equal_signs(F.col("__part"))}
         case "URL_have_IP":
-            return {feature: url.has_ipv4(address)}
+            return {feature: url.has_ipv4(F.col("url_from_client"))}
         case "server_IP_binary":
-            bits = fields.ip_bits(F.col("server_ip"))
+            bits = fields.ip_bits(F.col("server_ip"), F.col("__ip"))
             if compat:
                 bits.pop("ip_valid")
             return bits
@@ -142,6 +156,7 @@ def input_table(
     ``numeric`` names the features scaled to [0, 1]; string features become dummies; with
     ``jittered`` every other column gets noise in [-0.5, 0.5) fixed by the row id.
     """
+    plane = _shared_parts(plane, features, component)
     flags = {"server_ip": ip_blacklist, "server_peer_name": host_blacklist}
     for column, blacklist in flags.items():
         if column in features and blacklist is not None:
@@ -153,7 +168,7 @@ def input_table(
                 raise ValueError(f"feature {feature} needs its blacklist")
             columns[feature] = F.col(f"__{feature}")
         else:
-            columns |= feature_columns(feature, component=component, compat=compat)
+            columns |= _feature_columns(feature, compat)
     for name in numeric:
         columns[name] = columns[name].try_cast("double")
     table = plane.select(row_id, *[c.alias(n) for n, c in columns.items()])

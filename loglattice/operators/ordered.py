@@ -248,13 +248,19 @@ def _merge(kind: str, local: Column, entering: Column) -> Column:
     raise ValueError(kind)
 
 
-def halo_blocks(df: DataFrame, pos: str, reach: int, rows_per_block: int) -> DataFrame:
+def halo_blocks(
+    df: DataFrame, pos: str, reach: int, rows_per_block: int, max_length: int | None = None
+) -> tuple[DataFrame, list[str]]:
     """Cut positioned sequences into blocks of ``rows_per_block`` with ``reach`` border copies.
 
     Adds ``__block`` and ``__own``: a row near a border is also sent to the neighbouring
     block (``__own`` false there), so a window over (sequence, ``__block``) sees every
-    neighbour up to ``reach`` rows away while no task holds more than one block.
+    neighbour up to ``reach`` rows away while no task holds more than one block. Returns the
+    columns to partition by, too: with ``max_length`` (no sequence is longer) within the block
+    size that is the sequence alone, and later aggregations by sequence need no shuffle.
     """
+    if max_length is not None and max_length <= rows_per_block:
+        return df.withColumn("__own", F.lit(True)), ["seq_id"]
     size = max(rows_per_block, reach + 1)
     block = F.floor(F.col(pos) / F.lit(size))
     inside = F.pmod(F.col(pos), F.lit(size))
@@ -266,9 +272,10 @@ def halo_blocks(df: DataFrame, pos: str, reach: int, rows_per_block: int) -> Dat
     )
     if size <= 2 * reach:
         copies = F.array(own, own - 1, own + 1)
-    return (
+    cut = (
         df.withColumn("__home", own)
         .withColumn(_BLOCK, F.explode(copies))
         .withColumn("__own", F.col("__home") == F.col(_BLOCK))
         .drop("__home")
     )
+    return cut, ["seq_id", _BLOCK]

@@ -79,12 +79,17 @@ def stitched(packets: DataFrame, *, rows_per_block: int = o.ROWS_PER_BLOCK) -> D
         (~asks).cast("int").alias("is_reply"),
         "idx", "ts", "seq", "length", "answers", "status", "Chunked", *_FIELDS,
     )
+    # Flows are sized as if every packet were a reply: that reads no payload.
+    sizes = packets.select(
+        F.col("dst").alias("client_ip"), F.col("dport").alias("port"), F.col("src").alias("server_ip"),
+        F.col("sport").alias("server_port"), F.col("seq").alias("offset"),
+    )
     is_reply = F.col("is_reply") == 1
     end = F.col("offset") + F.col("length")
     again = F.struct("offset", "is_reply", "seq")
     before = F.coalesce(F.col("__before"), F.col("offset"))
     scanned = (
-        o.OrderedGroups(rows, _FLOW, _ORDER, rows_per_block=rows_per_block)
+        o.OrderedGroups(rows, _FLOW, _ORDER, rows_per_block=rows_per_block, sized_by=sizes)
         .scan(__top=o.running_max(F.when(is_reply, end)), __next=o.following(again))
         .scan(__before=o.previous(F.col("__top")))
         .derive(fresh=F.when(is_reply, F.greatest(end - F.greatest(before, "offset"), F.lit(0))).otherwise(0))

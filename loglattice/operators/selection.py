@@ -119,17 +119,20 @@ def em_clustering(
     return found
 
 
-def km_clustering(df: DataFrame, columns: Sequence[str], *, rows: int | None = None, seed: int = 0) -> Clustering:
-    """K-means fitted for every k down from the largest; best scatter, of equals the smallest k."""
+def km_clustering(
+    df: DataFrame, columns: Sequence[str], *, rows: int | None = None, seed: int = 0, threads: int = 4
+) -> Clustering:
+    """K-means fitted for every k up to the largest; best scatter, of equals the smallest k."""
     rows = df.count() if rows is None else rows
     data = df.select(*columns, array_to_vector(_array(columns)).alias("__x"))
-    best = Clustering(tuple(columns), 1, 0.0)
-    for k in range(2, max_clusters(rows) + 1):
+
+    def fit(k: int) -> Clustering:
         model = KMeans(k=k, seed=seed, featuresCol="__x", predictionCol="label").fit(data)
-        score = scatter_criterion(model.transform(data), columns)
-        if score > best.score:
-            best = Clustering(tuple(columns), k, score, model)
-    return best
+        return Clustering(tuple(columns), k, scatter_criterion(model.transform(data), columns), model)
+
+    with ThreadPoolExecutor(threads) as pool:
+        tried = list(pool.map(fit, range(2, max_clusters(rows) + 1)))
+    return max([Clustering(tuple(columns), 1, 0.0), *tried], key=lambda t: t.score)
 
 
 def forward_step(

@@ -177,14 +177,16 @@ def attach_labels(rows: DataFrame, labels: DataFrame, on: str = "row_id") -> Dat
 
 
 def adjacent(
-    sequences: DataFrame, *, rows_per_block: int = o.ROWS_PER_BLOCK
+    sequences: DataFrame, *, rows_per_block: int = o.ROWS_PER_BLOCK, max_length: int | None = None
 ) -> DataFrame:
     """Each position with its own and the next state: ``(seq_id, pos, from_state, to_state)``.
 
-    The last position of a sequence has a null ``to_state``.
+    The last position of a sequence has a null ``to_state``. ``max_length`` states that no
+    sequence is longer (chunks), which saves shuffles.
     """
-    blocks = o.halo_blocks(sequences.select("seq_id", "pos", "state"), "pos", 1, rows_per_block)
-    along = Window.partitionBy("seq_id", "__block").orderBy("pos")
+    rows = sequences.select("seq_id", "pos", "state")
+    blocks, by = o.halo_blocks(rows, "pos", 1, rows_per_block, max_length)
+    along = Window.partitionBy(*by).orderBy("pos")
     return (
         blocks.withColumn("to_state", F.lead("state").over(along))
         .where("__own")

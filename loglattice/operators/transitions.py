@@ -5,18 +5,17 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from loglattice.operators import ordered as o
 from loglattice.operators.sequences import adjacent
 from loglattice.session import materialize
 
 
-def transition_table(sequences: DataFrame, *, rows_per_block: int = o.ROWS_PER_BLOCK) -> DataFrame:
+def transition_table(sequences: DataFrame, **options) -> DataFrame:
     """``(from_state, to_state, n, from_total, grand_total, p, pq)`` of the observed pairs.
 
     ``p`` is n / from_total; ``pq`` is n^2 / (from_total * grand_total). Counting combines
     on the map side, so the shuffle carries one row per pair and task.
     """
-    pairs = adjacent(sequences, rows_per_block=rows_per_block).where(F.col("to_state").isNotNull())
+    pairs = adjacent(sequences, **options).where(F.col("to_state").isNotNull())
     counts = pairs.groupBy("from_state", "to_state").agg(F.count(F.lit(1)).alias("n"))
     totals = counts.withColumn("from_total", F.sum("n").over(Window.partitionBy("from_state")))
     grand = counts.select(F.sum("n").alias("t"))
@@ -41,13 +40,11 @@ def transition_matrix(table: DataFrame, states: list[int]) -> DataFrame:
     return row.withColumn("total", total)
 
 
-def slot_counts(
-    sequences: DataFrame, states: int, *, rows_per_block: int = o.ROWS_PER_BLOCK
-) -> DataFrame:
+def slot_counts(sequences: DataFrame, states: int, **options) -> DataFrame:
     """``(seq_id, slot, n)`` with slot = states * from + to."""
     slot = (F.col("from_state") * F.lit(states) + F.col("to_state")).cast("int")
     return (
-        adjacent(sequences, rows_per_block=rows_per_block)
+        adjacent(sequences, **options)
         .where(F.col("to_state").isNotNull())
         .groupBy("seq_id", slot.alias("slot"))
         .agg(F.count(F.lit(1)).alias("n"))

@@ -25,38 +25,39 @@ _TYPED = {"response_time": "long", "port": "int", "size_of_reply": "long"}
 _SEPARATOR = "\u0001"
 
 
-def split_lines(lines: DataFrame, value: str = "value") -> DataFrame:
-    """Lines with ``_corrupt`` and, where false, an array ``_parts`` of the 22 fields.
+def _parts(value: str) -> Column:
+    """The 22 fields of a line as an array; any other size means the line did not match.
 
-    One regex pass per line rewrites it with a separator; a line without a match is left
-    unchanged, which shows in the number of parts.
+    One regex pass rewrites the line with a separator; a line without a match is left as is.
     """
     groups = _SEPARATOR.join(f"${i}" for i in range(1, len(LOG_COLUMNS) + 1))
-    parts = F.split(F.regexp_replace(F.col(value), LOG_PATTERN, groups), _SEPARATOR)
-    out = lines.withColumn("_parts", parts)
-    return out.withColumn("_corrupt", F.coalesce(F.size("_parts") != len(LOG_COLUMNS), F.lit(True)))
+    return F.split(F.regexp_replace(F.col(value), LOG_PATTERN, groups), _SEPARATOR)
 
 
 def parse_lines(lines: DataFrame, value: str = "value") -> DataFrame:
     """The plane table: 22 columns and ``ts``; other columns of ``lines`` pass through."""
-    good = split_lines(lines, value).where(~F.col("_corrupt"))
-    fields: dict[str, Column] = {c: F.col("_parts")[i] for i, c in enumerate(LOG_COLUMNS)}
+    # Exploding the matching parts filters and projects at once: the regex runs once a line,
+    # where a filter on its result would be pushed below and run it again.
+    matching = F.filter(F.array(_parts(value)), lambda p: F.size(p) == len(LOG_COLUMNS))
+    others = [c for c in lines.columns if c != value]
+    good = lines.select(*others, F.explode(matching).alias("_parts"))
+    p = F.col("_parts")
+    fields: dict[str, Column] = {c: p[i] for i, c in enumerate(LOG_COLUMNS)}
     for name, kind in _TYPED.items():
         fields[name] = fields[name].try_cast(kind)
-    p = F.col("_parts")
-    # The day keeps whatever precedes it on the line, such as an opening bracket.
+    # The day keeps an opening bracket before it; the time stamp does without.
     stamp = F.concat(
-        F.regexp_extract(p[0], r"([0-9]+)$", 1), F.lit("/"), p[1], F.lit("/"), p[2],
-        F.lit(":"), p[3], F.lit(":"), p[4], F.lit(":"), F.regexp_extract(p[5], r"^([0-9]+)", 1),
-        F.lit(" "), F.regexp_extract(p[6], r"([+-][0-9]{4})", 1),
+        F.ltrim(p[0], F.lit("[ ")), F.lit("/"), p[1], F.lit("/"), p[2], F.lit(":"), p[3], F.lit(":"), p[4],
+        F.lit(":"), F.left(p[5], F.lit(2)), F.lit(" "), F.left(p[6], F.lit(5)),
     )
     fields["ts"] = F.try_to_timestamp(stamp, F.lit("d/MMM/yyyy:H:m:s Z"))
-    return good.withColumns(fields).drop("_parts", "_corrupt", value)
+    return good.withColumns(fields).drop("_parts")
 
 
 def quarantine(lines: DataFrame, value: str = "value") -> DataFrame:
     """The lines that do not have the shape of a log line, unchanged."""
-    return split_lines(lines, value).where("_corrupt").drop("_parts", "_corrupt")
+    unmatched = F.size(_parts(value)) != len(LOG_COLUMNS)
+    return lines.where(F.coalesce(unmatched, F.lit(True)))
 
 
 def read_lines(spark: SparkSession, path: str) -> DataFrame:

@@ -6,7 +6,8 @@ from pyspark.sql import functions as F
 
 from loglattice.functions import fields, url
 from loglattice.operators import clustering, features, packets, scaling
-from loglattice.sources import logs
+from loglattice.session import shared_folder
+from loglattice.sources import logs, tables
 from workload.hash_sql import hashed
 from workload.registry import query, rounded, table, with_
 
@@ -302,8 +303,9 @@ _KIND += [f"CAST(ext NOT IN ({_TYPES}) AS DOUBLE) AS file_type_other", "0.0::DOU
 )
 def input_table(spark, folder):
     """Lines parsed and turned into the numeric table of thirteen features."""
+    stored = tables.store(plane(spark, folder), shared_folder(spark), "plane")
     out = features.input_table(
-        plane(spark, folder), FEATURES, SCALED,
+        stored, FEATURES, SCALED,
         ip_blacklist=_ip_list(spark, folder), host_blacklist=_host_list(spark, folder),
     )
     return rounded(out, *SCALED)

@@ -123,7 +123,7 @@ MARKOV = """scores AS (SELECT m.seq_id, coalesce(-avg(log2(n / from_total)), 0)
 
 @query(with_(VISITS, CHUNK_SEQS, MOVES, COUNTS, MARKOV) + "SELECT seq_id, round(score, 6) AS score FROM scores")
 def markov_scores(spark, folder):
-    return rounded(markov.markov_scores(sq.by_chunk(visits(spark, folder))), "score")
+    return rounded(markov.markov_scores(sq.by_chunk(visits(spark, folder)), max_length=10), "score")
 
 
 @query(
@@ -172,7 +172,7 @@ positions AS (SELECT seq_id, pos, sum(pq) OVER (PARTITION BY seq_id ORDER BY pos
     + "SELECT seq_id, pos, round(score, 6) AS score FROM positions WHERE len >= 5"
 )
 def position_scores(spark, folder):
-    return rounded(session.position_scores(sq.by_chunk(visits(spark, folder))), "score")
+    return rounded(session.position_scores(sq.by_chunk(visits(spark, folder)), max_length=10), "score")
 
 
 SESSIONS = """sessions AS (SELECT row_id AS session_id,
@@ -197,7 +197,7 @@ def _sessions(spark, folder):
 )
 def session_scores(spark, folder):
     chunks = sq.by_chunk(visits(spark, folder))
-    scored = session.session_scores(_sessions(spark, folder), session.position_scores(chunks))
+    scored = session.session_scores(_sessions(spark, folder), session.position_scores(chunks, max_length=10))
     return rounded(scored, "score").select("session_id", "seq_id", "pos", "score")
 
 
@@ -208,7 +208,7 @@ def session_scores(spark, folder):
 )
 def session_flags(spark, folder):
     chunks = sq.by_chunk(visits(spark, folder))
-    flags = session.detect(chunks, _sessions(spark, folder), [0.05, 0.25])
+    flags = session.detect(chunks, _sessions(spark, folder), [0.05, 0.25], max_length=10)
     return flags.groupBy("eps").agg(
         F.count_if("is_anomaly").alias("anomalies"), F.count(F.lit(1)).alias("sessions")
     )
@@ -226,22 +226,22 @@ mean AS (SELECT slot, s / sqrt((SELECT sum(s * s) FROM sums)) AS m FROM sums)"""
     + "SELECT seq_id, slot, round(n / sum(n) OVER (PARTITION BY seq_id), 6) AS x FROM slots"
 )
 def frequency_vectors(spark, folder):
-    return rounded(frequency.frequency_vectors(sq.by_chunk(visits(spark, folder)), C), "x")
+    return rounded(frequency.frequency_vectors(sq.by_chunk(visits(spark, folder)), C, max_length=10), "x")
 
 
 @query()
 def frequency_clusters(spark, folder):
-    return frequency.detect(sq.by_chunk(visits(spark, folder)), C, 4, min_share=0.2)
+    return frequency.detect(sq.by_chunk(visits(spark, folder)), C, 4, min_share=0.2, max_length=10)
 
 
 @query(with_(VISITS, CHUNK_SEQS, MOVES, SLOTS, UNIT) + "SELECT seq_id, slot, round(x, 6) AS x FROM unit")
 def direction_vectors(spark, folder):
-    return rounded(directional.direction_vectors(sq.by_chunk(visits(spark, folder)), C), "x")
+    return rounded(directional.direction_vectors(sq.by_chunk(visits(spark, folder)), C, max_length=10), "x")
 
 
 @query(with_(VISITS, CHUNK_SEQS, MOVES, SLOTS, UNIT, MEAN) + "SELECT slot, round(m, 6) AS m FROM mean")
 def mean_direction(spark, folder):
-    vectors = directional.direction_vectors(sq.by_chunk(visits(spark, folder)), C)
+    vectors = directional.direction_vectors(sq.by_chunk(visits(spark, folder)), C, max_length=10)
     return rounded(directional.mean_direction(vectors), "m")
 
 
@@ -263,7 +263,7 @@ KAPPA = 30.0
   score > 42.979820139351645::DOUBLE / {2 * KAPPA}::DOUBLE AS is_anomaly FROM scores"""
 )
 def direction_flags(spark, folder):
-    found = directional.detect(sq.by_chunk(visits(spark, folder)), C, KAPPA)
+    found = directional.detect(sq.by_chunk(visits(spark, folder)), C, KAPPA, max_length=10)
     return rounded(found, "score", "threshold")
 
 
