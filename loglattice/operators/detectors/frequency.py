@@ -7,7 +7,9 @@ from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from loglattice.operators.lookup import lookup
 from loglattice.operators.transitions import slot_counts
+from loglattice.session import materialize
 
 
 def frequency_vectors(sequences: DataFrame, states: int, **options) -> DataFrame:
@@ -27,6 +29,13 @@ def dense_vectors(vectors: DataFrame, states: int) -> DataFrame:
     return packed.select("seq_id", array_to_vector(cells).alias("features"))
 
 
+def flag_small_clusters(labelled: DataFrame, min_share: float = 0.1) -> DataFrame:
+    """Add ``cluster_size`` and ``is_anomaly``: the cluster holds less than ``min_share`` of the rows."""
+    sizes = labelled.groupBy("label").agg(F.count(F.lit(1)).alias("cluster_size"))
+    share = F.col("cluster_size") / sizes.select(F.sum("cluster_size")).scalar()
+    return lookup(labelled, materialize(sizes.withColumn("is_anomaly", share < min_share)), ["label"])
+
+
 def detect(
     sequences: DataFrame,
     states: int,
@@ -40,7 +49,4 @@ def detect(
     data = dense_vectors(frequency_vectors(sequences, states, **options), states).persist()
     model = KMeans(k=clusters, seed=seed).fit(data)
     labelled = model.transform(data).select("seq_id", F.col("prediction").alias("label"))
-    sizes = labelled.groupBy("label").agg(F.count(F.lit(1)).alias("cluster_size"))
-    share = F.col("cluster_size") / sizes.select(F.sum("cluster_size")).scalar()
-    # One row per cluster: `clusters` bounds the broadcast side.
-    return labelled.join(F.broadcast(sizes.withColumn("is_anomaly", share < min_share)), "label")
+    return flag_small_clusters(labelled, min_share).select("seq_id", "label", "cluster_size", "is_anomaly")

@@ -1,7 +1,7 @@
 """Outlier scores from the similarity of a sequence to all the others.
 
-Equal sequences are collapsed first, with their multiplicity. The distinct ones are hashed
-into blocks of bounded size and every pair of blocks meets in one tile, where vectorised
+Equal sequences (for n-grams: equal bags of grams) are collapsed first, with their
+multiplicity. The distinct ones are hashed into blocks of bounded size and every pair of blocks meets in one tile, where vectorised
 kernels compare them and only one partial sum per sequence leaves the tile: no pair of
 sequences becomes a row, and no task holds more than two blocks.
 """
@@ -13,10 +13,11 @@ from collections.abc import Callable, Sequence
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from loglattice.functions.similarity import ngrams
+from loglattice.operators import ordered as o
 from loglattice.operators.lookup import lookup
 from loglattice.operators.sequences import as_arrays
 from loglattice.operators.thresholds import flag
@@ -91,27 +92,33 @@ def lcs_kernel(a: Ragged, b: Ragged) -> np.ndarray:
     return lcs_matrix(a, b) / np.sqrt(area)
 
 
-def _gram_counts(a: Ragged, b: Ragged, n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Gram counts of both blocks over one gram numbering."""
-    both = Ragged(
-        np.concatenate([a.flat, b.flat]), np.concatenate([a.offsets, b.offsets[1:] + a.offsets[-1]])
-    )
-    _, coded = np.unique(both.flat, return_inverse=True)
-    coded = coded.astype(np.int64) + 1
-    lengths = both.lengths + 2 * (n - 1)
-    offsets = np.concatenate([[0], np.cumsum(lengths)])
-    flat = np.zeros(offsets[-1], dtype=np.int64)
-    row = np.repeat(np.arange(len(lengths)), both.lengths)
-    flat[offsets[:-1][row] + (n - 1) + np.arange(len(coded)) - both.offsets[:-1][row]] = coded
-    grams = both.lengths + n - 1
-    owner = np.repeat(np.arange(len(lengths)), grams)
-    first = np.concatenate([[0], np.cumsum(grams)])[:-1]
-    start = offsets[:-1][owner] + np.arange(len(owner)) - first[owner]
-    _, ids = np.unique(flat[start[:, None] + np.arange(n)], axis=0, return_inverse=True)
-    ids = ids.reshape(-1)
-    width = int(ids.max(initial=-1)) + 1
-    counts = np.bincount(owner * width + ids, minlength=len(lengths) * width).reshape(-1, width)
-    return counts[: len(a.lengths)], counts[len(a.lengths) :]
+def _ragged(states: pa.ListArray) -> Ragged:
+    offsets = states.offsets.to_numpy().astype(np.int64)
+    flat = states.values.to_numpy(zero_copy_only=False)[offsets[0] : offsets[-1]]
+    return Ragged(flat, offsets - offsets[0])
+
+
+def lcs_tile(left: pa.Table, right: pa.Table) -> np.ndarray:
+    return lcs_kernel(_ragged(left.column("states").chunk(0)), _ragged(right.column("states").chunk(0)))
+
+
+def _entries(left: pa.Table, right: pa.Table) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(row, gram number, count) of each side, over the grams both sides have."""
+    sides = []
+    for table in (left, right):
+        bags = table.column("bag").chunk(0)
+        inside = bags.flatten()
+        rows = np.repeat(np.arange(len(bags)), np.diff(bags.offsets.to_numpy()))
+        sides.append((rows, inside.field("gram"), inside.field("c").to_numpy()))
+    coded = pa.chunked_array([sides[0][1], sides[1][1]]).combine_chunks().dictionary_encode()
+    codes = coded.indices.to_numpy().astype(np.int64)
+    ca, cb = codes[: len(sides[0][0])], codes[len(sides[0][0]) :]
+    shared = np.intersect1d(ca, cb)
+    out = []
+    for (rows, _, counts), c in zip(sides, (ca, cb)):
+        keep = np.isin(c, shared)
+        out.append((rows[keep], np.searchsorted(shared, c[keep]), counts[keep]))
+    return out
 
 
 def _common(ca: np.ndarray, cb: np.ndarray, levels: int = 32) -> np.ndarray:
@@ -129,68 +136,76 @@ def _common(ca: np.ndarray, cb: np.ndarray, levels: int = 32) -> np.ndarray:
     return out
 
 
-def ngram_kernel(n: int, match: str) -> Callable[[Ragged, Ragged], np.ndarray]:
-    def kernel(a: Ragged, b: Ragged) -> np.ndarray:
-        ca, cb = _gram_counts(a, b, n)
-        c = _common(ca, cb) if match == "bag" else ca.astype(float) @ cb.astype(float).T
-        size = a.lengths.astype(float)[:, None] + b.lengths[None, :] + 2 * (n - 1)
+def ngram_tile(n: int, match: str, width: int = 2048) -> Callable[[pa.Table, pa.Table], np.ndarray]:
+    """Similarities of two blocks of gram bags, ``width`` grams at a time."""
+
+    def tile(left: pa.Table, right: pa.Table) -> np.ndarray:
+        sides = _entries(left, right)
+        grams = 1 + max((int(g.max(initial=-1)) for _, g, _ in sides), default=-1)
+        c = np.zeros((left.num_rows, right.num_rows))
+        for start in range(0, grams, width):
+            dense = []
+            for (rows, gram, counts), table in zip(sides, (left, right)):
+                now = (gram >= start) & (gram < start + width)
+                m = np.zeros((table.num_rows, min(width, grams - start)), dtype=np.int64)
+                m[rows[now], gram[now] - start] = counts[now]
+                dense.append(m)
+            ca, cb = dense
+            c += _common(ca, cb) if match == "bag" else ca.astype(float) @ cb.astype(float).T
+        # A bag holds length + n - 1 grams.
+        size = left.column("grams").to_numpy()[:, None] + right.column("grams").to_numpy()[None, :]
         with np.errstate(divide="ignore"):
             return c / (size - c)
 
-    return kernel
+    return tile
+
 
+def _partial(tile: Callable[[pa.Table, pa.Table], np.ndarray]) -> Callable[[pa.Table], pa.Table]:
+    """Group function of one tile: similarities summed over the other block, per sequence."""
 
-def _tile(kernel: Callable[[Ragged, Ragged], np.ndarray]) -> Callable[[pa.Table], pa.Table]:
     def partial_sums(table: pa.Table) -> pa.Table:
-        table = table.combine_chunks()
-        states = table.column("states").chunk(0)
-        offsets = states.offsets.to_numpy().astype(np.int64)
-        flat = states.values.to_numpy(zero_copy_only=False)[offsets[0] : offsets[-1]]
-        every = Ragged(flat, offsets - offsets[0])
-        block, did = table.column("blk").to_numpy(), table.column("did").to_numpy()
-        times = table.column("times").to_numpy().astype(float)
-        left = np.flatnonzero(block == table.column("ti")[0].as_py())
-        right = np.flatnonzero(block == table.column("tj")[0].as_py())
-        same = table.column("ti")[0].as_py() == table.column("tj")[0].as_py()
-        if not len(left) or not len(right):
+        block = table.column("blk").to_numpy()
+        ti, tj = table.column("ti")[0].as_py(), table.column("tj")[0].as_py()
+        left, right = (table.filter(pa.array(block == t)).combine_chunks() for t in (ti, tj))
+        if not left.num_rows or not right.num_rows:
             return pa.table({"did": pa.array([], pa.int64()), "s": pa.array([], pa.float64())})
-        sim = kernel(every.take(left), every.take(right))
-        sums = sim @ times[right]
-        if same:
-            return pa.table({"did": did[left], "s": sums})
-        back = times[left] @ sim
-        return pa.table({"did": np.concatenate([did[left], did[right]]), "s": np.concatenate([sums, back])})
+        sim = tile(left, right)
+        times = [t.column("times").to_numpy().astype(float) for t in (left, right)]
+        dids = [t.column("did").to_numpy() for t in (left, right)]
+        sums = sim @ times[1]
+        if ti == tj:
+            return pa.table({"did": dids[0], "s": sums})
+        return pa.table({"did": np.concatenate(dids), "s": np.concatenate([sums, times[0] @ sim])})
 
     return partial_sums
 
 
-def _scores(sequences: DataFrame, kernel: Callable[[Ragged, Ragged], np.ndarray], block: int) -> DataFrame:
-    spark = sequences.sparkSession
-    arrays = materialize(as_arrays(sequences))
-    distinct = arrays.groupBy("states").agg(F.count(F.lit(1)).alias("times"))
-    distinct = materialize(distinct.withColumn("did", F.monotonically_increasing_id()))
-    size = distinct.agg(F.count(F.lit(1)).alias("d"), F.sum("times").alias("n")).first()
-    parallel = spark.sparkContext.defaultParallelism
-    blocks = max(1, math.ceil(size.d / block), min(math.ceil(math.sqrt(8 * parallel)), size.d // 256))
+def _similarity_sums(distinct: DataFrame, tile: Callable[[pa.Table, pa.Table], np.ndarray], block: int) -> DataFrame:
+    """``(did, s)``: similarity to all sequences, for a stored ``distinct (did, times, ...)``."""
+    d = distinct.count()
+    parallel = distinct.sparkSession.sparkContext.defaultParallelism
+    blocks = max(1, math.ceil(d / block), min(math.ceil(math.sqrt(8 * parallel)), d // 256))
     tiles = blocks * (blocks + 1) // 2
-    mine = F.pmod(F.xxhash64("did"), F.lit(blocks)).cast("int")
-    rows = distinct.withColumn("blk", mine).withColumn(
-        "other", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
-    )
-    rows = rows.select(
-        F.least("blk", "other").alias("ti"), F.greatest("blk", "other").alias("tj"), "blk", "did", "states", "times"
-    )
+    rows = distinct.withColumn("blk", F.pmod(F.xxhash64("did"), F.lit(blocks)).cast("int"))
+    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+    rows = rows.withColumns({"ti": F.least("blk", "other"), "tj": F.greatest("blk", "other")}).drop("other")
     partial = (
         rows.repartition(max(1, min(tiles, 4 * max(parallel, tiles // 64))), "ti", "tj")
         .groupBy("ti", "tj")
-        .applyInArrow(_tile(kernel), "did long, s double")
+        .applyInArrow(_partial(tile), "did long, s double")
     )
-    total = partial.groupBy("did").agg(F.sum("s").alias("s"))
-    # The sequence itself and its equals count as similarity minus one.
-    mean = (F.col("s") - F.col("times")) / F.nullif(F.lit(size.n - 1), F.lit(0))
-    score = F.when(mean == 0, F.lit(DISSIMILAR)).otherwise(F.lit(1.0) / mean)
-    per_distinct = materialize(distinct.join(total, "did").select("states", score.alias("score")))
-    return lookup(arrays, per_distinct, ["states"], "inner").select("seq_id", "score")
+    return partial.groupBy("did").agg(F.sum("s").alias("s"))
+
+
+def _score(total: Column, equal: Column, sequences: int) -> Column:
+    """One over the mean; the sequence and its equals count as similarity minus one."""
+    mean = (total - equal) / F.nullif(F.lit(sequences - 1), F.lit(0))
+    return F.when(mean == 0, F.lit(DISSIMILAR)).otherwise(F.lit(1.0) / mean)
+
+
+def _numbered(groups: DataFrame) -> DataFrame:
+    """Stored groups with a number each; the number is fixed because the table is stored."""
+    return materialize(groups.withColumn("did", F.monotonically_increasing_id()))
 
 
 def lcs_scores(sequences: DataFrame, *, block: int = BLOCK) -> DataFrame:
@@ -199,10 +214,57 @@ def lcs_scores(sequences: DataFrame, *, block: int = BLOCK) -> DataFrame:
     A sequence that shares no state with any other scores ``DISSIMILAR``; a single sequence
     scores null. Sequences are compared whole, so build them with a bounded length.
     """
-    return _scores(sequences, lcs_kernel, block)
+    arrays = materialize(as_arrays(sequences))
+    distinct = _numbered(arrays.groupBy("states").agg(F.count(F.lit(1)).alias("times")))
+    sums = _similarity_sums(distinct, lcs_tile, block)
+    score = _score(F.col("s"), F.col("times"), arrays.count())
+    per_distinct = materialize(distinct.join(sums, "did").select("states", score.alias("score")))
+    return lookup(arrays, per_distinct, ["states"], "inner").select("seq_id", "score")
+
+
+def gram_bags(
+    sequences: DataFrame, n: int, *, rows_per_block: int = o.ROWS_PER_BLOCK, max_length: int | None = None
+) -> DataFrame:
+    """``(seq_id, bag ARRAY<(gram, c)>, grams, f1, f2)`` with n - 1 pads on both sides.
+
+    Grams are read off a window over bounded blocks and counted before they meet, so a bag
+    holds the distinct grams only, however long its sequence. ``f1, f2`` identify the
+    sequence: hashes of all (position, state), combined by exclusive or.
+    """
+    rows = sequences.select("seq_id", "pos", "state")
+    blocks, by = o.halo_blocks(rows, "pos", max(n - 1, 1), rows_per_block, max_length)
+    along = Window.partitionBy(*by).orderBy("pos")
+    ahead = [F.col("state"), *[F.lead("state", j).over(along) for j in range(1, n)]]
+    blocks = blocks.withColumns({f"s{j}": F.coalesce(a.cast("string"), F.lit("|")) for j, a in enumerate(ahead)})
+
+    def gram(pads: int) -> Column:
+        return F.concat_ws(",", *[F.lit("|")] * pads, *[F.col(f"s{j}") for j in range(n - pads)])
+
+    here = F.struct(
+        gram(0).alias("gram"),
+        F.xxhash64("pos", "state").alias("f1"),
+        F.xxhash64("state", "pos", F.lit(n)).alias("f2"),
+    )
+    zero = F.lit(0).cast("long")
+    before = [F.struct(gram(p).alias("gram"), zero.alias("f1"), zero.alias("f2")) for p in range(1, n)]
+    found = F.when(F.col("pos") == 0, F.array(here, *before)).otherwise(F.array(here))
+    counts = (
+        blocks.where("__own")
+        .select("seq_id", F.explode(found).alias("g"))
+        .groupBy("seq_id", F.col("g.gram").alias("gram"))
+        .agg(F.count(F.lit(1)).alias("c"), F.bit_xor("g.f1").alias("f1"), F.bit_xor("g.f2").alias("f2"))
+    )
+    return counts.groupBy("seq_id").agg(
+        F.array_sort(F.collect_list(F.struct("gram", "c"))).alias("bag"),
+        F.sum("c").alias("grams"),
+        F.bit_xor("f1").alias("f1"),
+        F.bit_xor("f2").alias("f2"),
+    )
 
 
-def ngram_scores(sequences: DataFrame, n: int = 2, *, match: str = "bag", block: int = BLOCK) -> DataFrame:
+def ngram_scores(
+    sequences: DataFrame, n: int = 2, *, match: str = "bag", block: int = BLOCK, **options
+) -> DataFrame:
     """``(seq_id, score)``: one over the mean n-gram similarity to the other sequences.
 
     Similarity is c / (len a + len b + 2(n - 1) - c) over grams padded on both sides; c sums
@@ -210,7 +272,14 @@ def ngram_scores(sequences: DataFrame, n: int = 2, *, match: str = "bag", block:
     """
     if match not in ("bag", "product"):
         raise ValueError(match)
-    return _scores(sequences, ngram_kernel(n, match), block)
+    bags = materialize(gram_bags(sequences, n, **options))
+    distinct = _numbered(bags.groupBy("bag", "grams").agg(F.count(F.lit(1)).alias("times")))
+    sums = _similarity_sums(distinct, ngram_tile(n, match), block)
+    per_bag = materialize(distinct.join(sums, "did").select("bag", "s"))
+    same = ["f1", "f2", "grams"]
+    equal = materialize(bags.groupBy(*same).agg(F.count(F.lit(1)).alias("equal")))
+    joined = lookup(lookup(bags, per_bag, ["bag"], "inner"), equal, same, "inner")
+    return joined.select("seq_id", _score(F.col("s"), F.col("equal"), bags.count()).alias("score"))
 
 
 def detect_lcs(sequences: DataFrame, eps: Sequence[float], **options) -> DataFrame:

@@ -2,6 +2,7 @@ import random
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from helpers import SEQS, as_dict, sequence_table
@@ -60,9 +61,16 @@ def test_ngram_kernel(n, match):
     seqs = [[rng.randrange(6) for _ in range(rng.randrange(1, 12))] for _ in range(30)] + [[3] * 90, [3] * 70]
     if match == "product":
         seqs = [list(range(i, i + k)) for i in range(5) for k in (1, 3, 4)]
-    got = sm.ngram_kernel(n, match)(ragged(seqs), ragged(seqs))
-    want = np.array([[gram_sim(a, b, n, match) if (len(a) + len(b) + 2 * (n - 1)) else 0 for b in seqs] for a in seqs])
-    assert np.allclose(got, want)
+    def block(part):
+        bags = [[{"gram": ",".join(map(str, g)), "c": c} for g, c in bag(s, n).items()] for s in part]
+        kind = pa.list_(pa.struct([("gram", pa.string()), ("c", pa.int64())]))
+        grams = pa.array([len(s) + n - 1 for s in part])
+        return pa.table({"bag": pa.array(bags, kind), "grams": grams})
+
+    for width in (5, 2048):
+        got = sm.ngram_tile(n, match, width)(block(seqs), block(seqs))
+        want = np.array([[gram_sim(a, b, n, match) if (len(a) + len(b) + 2 * (n - 1)) else 0 for b in seqs] for a in seqs])
+        assert np.allclose(got, want)
 
 
 def test_lcs_golden(spark):
@@ -94,7 +102,7 @@ def test_tiles_against_brute_force(spark, kind):
         got = sm.lcs_scores(table, block=13)
         want = scores(seqs, lambda a, b: lcs(a, b) / (len(a) * len(b)) ** 0.5)
     else:
-        got = sm.ngram_scores(table, 3, block=13)
+        got = sm.ngram_scores(table, 3, block=13, rows_per_block=3)
         want = scores(seqs, lambda a, b: gram_sim(a, b, 3))
     got = as_dict(got)
     assert [got[str(i)] for i in range(len(seqs))] == pytest.approx(want)

@@ -6,6 +6,8 @@ from pyspark.sql import functions as F
 
 from loglattice.functions import fields, url
 from loglattice.operators import clustering, features, packets, scaling
+from loglattice.plans.detection import DetectionPlan
+from loglattice.plans.detection import run as run_detection
 from loglattice.session import shared_folder
 from loglattice.sources import logs, tables
 from workload.hash_sql import hashed
@@ -393,3 +395,15 @@ UNION ALL SELECT event_id * 10, event_id * 10 + 2, length(head), length(body) FR
 )
 def http_reply_packets(spark, folder):
     return packets.reply_packets(packet_table(spark, folder))
+
+
+@query()
+def log_to_anomalies(spark, folder):
+    """Every stage from log lines to flagged chunks of client sequences."""
+    stored = tables.store(plane(spark, folder), shared_folder(spark), "detection_plane")
+    plan = DetectionPlan(
+        features=("size_of_reply", "response_time", "URL_length", "file_type", "status_to_client"),
+        numeric=("size_of_reply", "response_time", "URL_length"),
+        mode="chunk", eps=(1.5, 2.5), detector_options={"max_length": 10},
+    )
+    return run_detection(stored, plan)

@@ -242,6 +242,15 @@ closest AS (SELECT * FROM costs ORDER BY cost, j DESC, i DESC LIMIT 1)"""
 _MERGED_COLUMNS = "weight double, m0 double, m1 double, c00 double, c01 double, c11 double"
 
 
+def _mixture_table(spark, m):
+    rows = [
+        (i, *(float(v) for v in (m.weights[i], *m.means[i], m.covs[i, 0, 0], m.covs[i, 0, 1], m.covs[i, 1, 1])))
+        for i in range(m.k)
+    ]
+    out = spark.createDataFrame(rows, "component int, " + _MERGED_COLUMNS)
+    return rounded(out, "weight", "m0", "m1", "c00", "c01", "c11")
+
+
 @query(
     with_(E, MOMENTS, PAIRS)
     + "SELECT i, j, round(w, 6) AS weight, round(m0, 6) AS m0, round(m1, 6) AS m1, round(c00, 6) AS c00, round(c01, 6) AS c01, round(c11, 6) AS c11 FROM closest"
@@ -264,12 +273,7 @@ def closest_components(spark, folder):
 def merged_components(spark, folder):
     _, mixture = _label_mixture(spark, folder, "e0", "e1")
     m = mx.merge_closest(mixture)
-    rows = [
-        (i, *(float(v) for v in (m.weights[i], *m.means[i], m.covs[i, 0, 0], m.covs[i, 0, 1], m.covs[i, 1, 1])))
-        for i in range(m.k)
-    ]
-    out = spark.createDataFrame(rows, "component int, " + _MERGED_COLUMNS)
-    return rounded(out, "weight", "m0", "m1", "c00", "c01", "c11")
+    return _mixture_table(spark, m)
 
 
 @query(
@@ -290,12 +294,28 @@ def cross_projected_mixture(spark, folder):
     _, mixture = _label_mixture(spark, folder, "e0")
     found = selection.Clustering(("e0",), mixture.k, 0.0, mixture)
     m = selection.cross_mixture(vectors(spark, folder), found, ["e1", "e2"])
-    rows = [
-        (i, *(float(v) for v in (m.weights[i], *m.means[i], m.covs[i, 0, 0], m.covs[i, 0, 1], m.covs[i, 1, 1])))
-        for i in range(m.k)
-    ]
-    out = spark.createDataFrame(rows, "component int, " + _MERGED_COLUMNS)
-    return rounded(out, "weight", "m0", "m1", "c00", "c01", "c11")
+    return _mixture_table(spark, m)
+
+
+@query(
+    with_(
+        E,
+        "m AS (SELECT label AS j, count(*) / sum(count(*)) OVER () AS w, avg(e0) AS m0, avg(e1) AS m1, var_pop(e0) AS v0, var_pop(e1) AS v1 FROM e GROUP BY label)",
+        """dens AS (SELECT row_id, e0, e1, j, w * exp(-0.5 * ((e0 - m0) * (e0 - m0) / v0 + (e1 - m1) * (e1 - m1) / v1))
+  / (2 * pi() * sqrt(v0 * v1)) AS p FROM e, m)""",
+        "resp AS (SELECT *, p / sum(p) OVER (PARTITION BY row_id) AS r FROM dens)",
+        "mu AS (SELECT j, sum(r) AS n, sum(r * e0) / sum(r) AS a0, sum(r * e1) / sum(r) AS a1 FROM resp GROUP BY j)",
+    )
+    + """SELECT resp.j AS component, round(any_value(n) / (SELECT count(*) FROM e), 6) AS weight, round(any_value(a0), 6) AS m0,
+  round(any_value(a1), 6) AS m1, round(sum(r * (e0 - a0) * (e0 - a0)) / any_value(n), 6) AS c00,
+  0.0::DOUBLE AS c01, round(sum(r * (e1 - a1) * (e1 - a1)) / any_value(n), 6) AS c11 FROM resp JOIN mu ON resp.j = mu.j GROUP BY resp.j"""
+)
+def gmm_diagonal_step(spark, folder):
+    """One round of expectation-maximisation, started from the moments of the labels."""
+    rows = plane_points(spark, folder, "e0", "e1")
+    options = dict(target="x", target_d=2, diagonal=True)
+    start, _ = mx.weighted_moments(rows, None, label="label", k=10, **options)
+    return _mixture_table(spark, mx.weighted_moments(rows, start, **options)[0])
 
 
 COLUMNS = ("e0", "e1", "e2")

@@ -8,6 +8,7 @@ from loglattice.operators import evaluate, transitions
 from loglattice.operators import sequences as sq
 from loglattice.operators.detectors import directional, frequency, markov, session, similarity
 from loglattice.functions.similarity import lcs_length, lcs_similarity
+from loglattice.plans import detection
 from loglattice.sources import tables
 from loglattice.session import shared_folder
 from workload.registry import (
@@ -92,6 +93,17 @@ def labels_attached(spark, folder):
     return sq.attach_labels(rows.select("row_id", "server_ip"), rows.select("row_id", "label"))
 
 
+@query(
+    with_(VISITS)
+    + """SELECT row_id, CASE WHEN label = 3 THEN (SELECT max(CASE WHEN label = 3 THEN -1 ELSE label END) + 1 FROM visits)
+  ELSE label END AS label FROM visits"""
+)
+def noise_as_state(spark, folder):
+    """State 3 taken as noise (-1) becomes a state after the others."""
+    rows = visits(spark, folder).select("row_id", F.when(F.col("label") == 3, -1).otherwise(F.col("label")).alias("label"))
+    return detection.noise_as_state(rows)
+
+
 @query(with_(VISITS, CLIENT_SEQS, MOVES) + "SELECT * FROM moves")
 def adjacent_states(spark, folder):
     return sq.adjacent(sq.by_client(visits(spark, folder)))
@@ -234,6 +246,14 @@ def frequency_clusters(spark, folder):
     return frequency.detect(sq.by_chunk(visits(spark, folder)), C, 4, min_share=0.2, max_length=10)
 
 
+@query(
+    """SELECT vec_id, label, count(*) OVER (PARTITION BY label) AS cluster_size,
+  count(*) OVER (PARTITION BY label) / count(*) OVER () < 0.1 AS is_anomaly FROM embeddings"""
+)
+def small_cluster_flags(spark, folder):
+    return frequency.flag_small_clusters(table(spark, folder, "embeddings").select("vec_id", "label"))
+
+
 @query(with_(VISITS, CHUNK_SEQS, MOVES, SLOTS, UNIT) + "SELECT seq_id, slot, round(x, 6) AS x FROM unit")
 def direction_vectors(spark, folder):
     return rounded(directional.direction_vectors(sq.by_chunk(visits(spark, folder)), C, max_length=10), "x")
@@ -336,7 +356,7 @@ scores AS (SELECT seq_id, CASE WHEN abs(s - t) < 1e-12 THEN 100000 ELSE (n - 1)
 
 @query(with_(VISITS, CHUNK_SEQS, _gram_scores_sql(2)) + "SELECT seq_id, round(score, 6) AS score FROM scores")
 def ngram_scores(spark, folder):
-    return rounded(similarity.ngram_scores(sq.by_chunk(visits(spark, folder)), 2), "score")
+    return rounded(similarity.ngram_scores(sq.by_chunk(visits(spark, folder)), 2, max_length=10), "score")
 
 
 @query(
@@ -345,7 +365,7 @@ def ngram_scores(spark, folder):
   FROM scores, (VALUES (20.0::DOUBLE), (40.0::DOUBLE)) e(eps)"""
 )
 def ngram_flags(spark, folder):
-    return rounded(similarity.detect_ngram(sq.by_chunk(visits(spark, folder)), [20.0, 40.0], 3), "score")
+    return rounded(similarity.detect_ngram(sq.by_chunk(visits(spark, folder)), [20.0, 40.0], 3, max_length=10), "score")
 
 
 def _consecutive_chunks(spark, folder):
