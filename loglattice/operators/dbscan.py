@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from loglattice.operators import ordered as o
-from loglattice.operators.lookup import lookup
+from loglattice.operators.lookup import lookup, salted_join
 from loglattice.session import materialize
 
 NOISE = -1
@@ -184,28 +184,36 @@ def neighbour_counts(
     return lookup(rows.select(row_id, features), per_point, [features], "inner").select(row_id, "near")
 
 
-def connected_components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+def connected_components(nodes: DataFrame, edges: DataFrame, *, steps: int = 2) -> DataFrame:
     """``(node, root)`` for ``nodes(node)`` and ``edges(a, b)``; the root is the smallest node.
 
-    Every round a root adopts the smallest root next to it and paths are halved, so the
-    number of rounds grows with the logarithm of the component size.
+    In every step a root adopts the smallest root next to its tree and paths are halved, so
+    the number of steps grows with the logarithm of the component size. ``steps`` of them run
+    before the roots are stored and compared. A root many nodes share is a hot join key: those
+    joins are salted.
     """
-    both = materialize(
-        edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct()
-    )
+    both = edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    both = materialize(both.distinct())
+
+    def advance(roots: DataFrame) -> DataFrame:
+        at_b = roots.select(F.col("node").alias("b"), F.col("root").alias("low"))
+        near = both.join(at_b, "b").groupBy(F.col("a").alias("node")).agg(F.min("low").alias("low"))
+        hooks = roots.join(near, "node").groupBy("root").agg(F.min("low").alias("low"))
+        moved = salted_join(roots, hooks, ["root"], salts=16)
+        moved = moved.select("node", F.least("root", "low").alias("root"))
+        above = moved.select(F.col("node").alias("root"), F.col("root").alias("top"))
+        return salted_join(moved, above, ["root"], "inner", salts=16).select("node", F.col("top").alias("root"))
+
     roots = materialize(nodes.select("node", F.col("node").alias("root")))
     while True:
-        of_b = roots.select(F.col("node").alias("b"), F.col("root").alias("rb"))
-        of_a = roots.select(F.col("node").alias("a"), F.col("root").alias("ra"))
-        lower = materialize(both.join(of_b, "b").join(of_a, "a").where("rb < ra").select("a", "ra", "rb"))
-        if lower.isEmpty():
-            return roots
-        hook = materialize(lower.groupBy(F.col("ra").alias("root")).agg(F.min("rb").alias("hooked")))
-        own = materialize(lower.groupBy(F.col("a").alias("node")).agg(F.min("rb").alias("own")))
-        moved = lookup(lookup(roots, hook, ["root"]), own, ["node"])
-        moved = materialize(moved.select("node", F.least("root", "hooked", "own").alias("root")))
-        step = moved.select(F.col("node").alias("root"), F.col("root").alias("further"))
-        roots = materialize(lookup(moved, step, ["root"]).select("node", F.col("further").alias("root")))
+        new = roots
+        for _ in range(steps):
+            new = advance(new)
+        new = materialize(new)
+        before = roots.select("node", F.col("root").alias("before"))
+        if new.join(before, "node").where("root <> before").isEmpty():
+            return new
+        roots = new
 
 
 def dbscan(

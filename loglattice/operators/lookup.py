@@ -46,6 +46,13 @@ def lookup(
     on = list(on)
     if measured_bytes(table) <= broadcast_bytes:
         return df.join(F.broadcast(table), on, how)
+    return salted_join(df, table, on, how, salts=salts)
+
+
+def salted_join(
+    df: DataFrame, table: DataFrame, on: Sequence[str], how: str = "left", *, salts: int = SALTS
+) -> DataFrame:
+    """Join with ``salts`` copies of ``table``, so that a frequent key of ``df`` is spread out."""
     salted = table.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
     spread = df.withColumn("__salt", F.pmod(F.xxhash64(*df.columns), F.lit(salts)).cast("int"))
     return spread.join(salted, [*on, "__salt"], how).drop("__salt")
