@@ -17,7 +17,7 @@ from loglattice.session import materialize
 MAX_DUMMY_VALUES = 10_000
 
 
-def one_client(plane: DataFrame, client: str, column: str = "client_ip") -> DataFrame:
+def one_client(plane: DataFrame, client: str | int, column: str = "client_ip") -> DataFrame:
     """The rows of one client; the filter reaches the scan."""
     return plane.where(F.col(column) == client)
 

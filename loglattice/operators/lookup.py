@@ -21,7 +21,8 @@ def _width(field: T.StructField) -> Column:
     if isinstance(kind, (T.StringType, T.BinaryType)):
         return F.coalesce(F.octet_length(field.name), F.lit(0)).cast("long") + 8
     if isinstance(kind, T.ArrayType):
-        return F.greatest(F.size(field.name), F.lit(0)).cast("long") * 16 + 16
+        nested = isinstance(kind.elementType, (T.StructType, T.StringType, T.ArrayType))
+        return F.greatest(F.size(field.name), F.lit(0)).cast("long") * (96 if nested else 8) + 16
     if isinstance(kind, T.StructType):
         return F.lit(16 * (len(kind.fields) + 1)).cast("long")
     return F.lit(8).cast("long")

@@ -74,6 +74,26 @@ def kmeans_sweep(spark, folder):
     return clustering.label_sizes(labels, clustering.DEFAULT_K)
 
 
+@query("SELECT k, (SELECT count(*) FROM embeddings) AS n, k AS labels FROM (SELECT unnest(range(2, 7)) AS k)")
+def kmeans_totals(spark, folder):
+    """Every row has one label for every k, and every label is a number below k."""
+    rows = _learnable(spark, folder)
+    labels = clustering.predict(rows, clustering.kmeans_sweep(rows, max_iter=5))
+    sizes = clustering.label_sizes(labels, clustering.DEFAULT_K)
+    totals = sizes.groupBy("k").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("labels"))
+    return totals.select(F.col("k").cast("long").alias("k"), "n", "labels")
+
+
+@query("SELECT vec_id AS row_id, true AS nearest FROM embeddings")
+def kmeans_labels_are_nearest(spark, folder):
+    """The label a fitted model gives a row is the centre that is nearest to it."""
+    rows = _learnable(spark, folder)
+    models = clustering.kmeans_sweep(rows, [8], max_iter=5)
+    near = clustering.nearest_center(rows, clustering.centers_of(models[8], rows))
+    labels = clustering.predict(rows, models).select("row_id", F.col("label").alias("given"))
+    return near.join(labels, "row_id").select("row_id", (F.col("label") == F.col("given")).alias("nearest"))
+
+
 @query()
 def kmeans_test_labels(spark, folder):
     train, test = clustering.train_test(_learnable(spark, folder))

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from loglattice.operators import evaluate, transitions
+from loglattice.operators.features import one_client
+from loglattice.operators.thresholds import flag
 from loglattice.operators import sequences as sq
 from loglattice.operators.detectors import directional, frequency, markov, session, similarity
 from loglattice.functions.similarity import lcs_length, lcs_similarity
@@ -19,11 +21,9 @@ EMIT = "SELECT seq_id, pos, state FROM seqs"
 GAP = 12 * 3600
 
 
-@query(with_(VISITS) + "SELECT row_id, server_ip, label FROM visits WHERE client_ip = '7'")
+@query("SELECT event_id, event_type, value FROM events WHERE user_id = 7")
 def client_filter(spark, folder):
-    from loglattice.operators.features import one_client
-
-    return one_client(visits(spark, folder), "7").select("row_id", "server_ip", "label")
+    return one_client(table(spark, folder, "events"), 7, "user_id").select("event_id", "event_type", "value")
 
 
 @query(with_(VISITS) + "SELECT DISTINCT client_ip FROM visits")
@@ -430,8 +430,6 @@ rates AS (SELECT *, tn / (tn + fp) AS r1, tp / (tp + fn) AS r2 FROM cells)""")
   round(CASE WHEN r1 + r2 = 0 THEN 0 ELSE 2 * r1 * r2 / (r1 + r2) END, 6) AS f FROM rates"""
 )
 def evaluation_balanced_f(spark, folder):
-    from loglattice.operators.thresholds import flag
-
     scored = table(spark, folder, "labels").withColumn("score", 1.0 - F.col("quality"))
     flags = flag(scored, [0.5, 2.0])
     return rounded(evaluate.balanced_f(flags, truth="toxic", by=["eps"]), "r1", "r2", "f")
@@ -444,8 +442,6 @@ cells AS (SELECT eps, count(*) FILTER (hit AND toxic = 1) AS tp, count(*) FILTER
     + "SELECT *, round(tp / (tp + fn), 6) AS dr, round(fp / (fp + tn), 6) AS fpr FROM cells"
 )
 def evaluation_detection_rates(spark, folder):
-    from loglattice.operators.thresholds import flag
-
     scored = table(spark, folder, "labels").withColumn("score", F.col("quality").cast("double"))
     flags = flag(scored, [0.5, 0.0], low_is_anomalous=True)
     return rounded(evaluate.detection_rates(flags, truth="toxic", by=["eps"]), "dr", "fpr")
