@@ -1,8 +1,8 @@
 """Ordered scans (positions, running sums, neighbours) that survive a hot key.
 
 A plain ``Window.partitionBy(key)`` sorts all rows of a key in one task. Here a key with
-more than ``rows_per_block`` rows is cut into blocks along its first ordering column, each
-block is scanned by its own window, and small per-block summaries carry the running state
+more than ``rows_per_block`` rows is cut into blocks along its ordering columns, each block
+is scanned by its own window, and small per-block summaries carry the running state
 from one block to the next. Keys below the limit use one block and need no summaries.
 """
 
@@ -69,8 +69,10 @@ def following(value: Column) -> Scan:
 
 
 def _axis(df: DataFrame, name: str) -> Column:
-    """A double that grows with the ordering column; only block borders depend on it."""
+    """The ordering column as a double (or as the string it is); only block borders use it."""
     kind = df.schema[name].dataType
+    if isinstance(kind, T.StringType):
+        return F.col(name)
     if isinstance(kind, T.TimestampType):
         return F.unix_micros(name).cast("double")
     if isinstance(kind, T.TimestampNTZType):
@@ -80,6 +82,46 @@ def _axis(df: DataFrame, name: str) -> Column:
     return F.col(name).cast("double")
 
 
+def _oversized(df: DataFrame, by: list[str], order: list[str], rows_per_block: int) -> DataFrame:
+    """The groups above ``rows_per_block`` with the ordering column to cut and the slice width.
+
+    That column is the first one that varies inside the group. At most rows / rows_per_block
+    groups pass.
+    """
+    found = {"__n": F.count(F.lit(1))}
+    for i, name in enumerate(order):
+        x = _axis(df, name)
+        found |= {f"__lo{i}": F.min(x), f"__hi{i}": F.max(x), f"__c{i}": F.count(x)}
+    stats = df.groupBy(*by).agg(*[c.alias(n) for n, c in found.items()]).where(F.col("__n") > rows_per_block)
+    pick = F.lit(None)
+    for i in reversed(range(len(order))):
+        some_null = (F.col(f"__c{i}") > 0) & (F.col(f"__c{i}") < F.col("__n"))
+        varies = F.coalesce(F.col(f"__lo{i}") < F.col(f"__hi{i}"), F.lit(False)) | some_null
+        low, high = F.col(f"__lo{i}"), F.col(f"__hi{i}")
+        if isinstance(df.schema[order[i]].dataType, T.StringType):
+            cut = (F.lit(0.0), F.lit(1.0), low)
+        else:
+            width = (high - low) / F.ceil(F.col("__n") * F.lit(2.0 / rows_per_block)).cast("double")
+            cut = (low, F.when(width > 0, width).otherwise(F.lit(1.0)), F.lit(None).cast("string"))
+        entry = F.struct(F.lit(i).alias("axis"), *[c.alias(n) for n, c in zip(("low", "width", "text"), cut)])
+        pick = F.when(varies, entry).otherwise(pick)
+    return stats.select(*by, pick.alias("__cut")).where(F.col("__cut").isNotNull())
+
+
+def _deeper(df: DataFrame, order: list[str]) -> Column:
+    """The block path of a row, one step longer where its block is to be cut."""
+    step = F.lit(None).cast("long")
+    cut = F.col("__cut")
+    for i, name in enumerate(order):
+        x = _axis(df, name)
+        if isinstance(df.schema[name].dataType, T.StringType):
+            slice_ = (x > cut["text"]).cast("long")
+        else:
+            slice_ = F.floor((x - cut["low"]) / cut["width"]).cast("long")
+        step = F.when(cut["axis"] == i, F.coalesce(slice_, F.lit(-1))).otherwise(step)
+    return F.when(cut.isNull(), F.col(_BLOCK)).otherwise(F.concat(_BLOCK, F.array(step)))
+
+
 class OrderedGroups:
     """Rows of ``df`` grouped by ``keys`` and ordered by ``order`` inside each group."""
 
@@ -92,32 +134,36 @@ class OrderedGroups:
         rows_per_block: int = ROWS_PER_BLOCK,
         sized_by: DataFrame | None = None,
     ) -> None:
-        """``sized_by``: a cheaper frame with the same keys and ordering column to count on."""
+        """``sized_by``: a cheaper frame with the keys and leading ordering columns to count on.
+
+        Groups above the limit are cut along their ordering until no block exceeds it; a block
+        is named by the path of its slices, and paths sort as the rows do.
+        """
         self.keys, self.order = list(keys), list(order)
-        source = sized_by if sized_by is not None else df
-        axis = _axis(source, self.order[0])
-        stats = (
-            source.groupBy(*self.keys)
-            .agg(F.count(F.lit(1)).alias("__n"), F.min(axis).alias("__lo"), F.max(axis).alias("__hi"))
-            .where((F.col("__n") > rows_per_block) & (F.col("__hi") > F.col("__lo")))
-            .select(
-                *self.keys,
-                "__lo",
-                (
-                    (F.col("__hi") - F.col("__lo"))
-                    / F.ceil(F.col("__n") / F.lit(float(rows_per_block))).cast("double")
-                ).alias("__width"),
-            )
-        )
-        # At most rows / rows_per_block keys can pass the filter.
-        hot = materialize(stats)
-        self.blocked = not hot.isEmpty()
-        if self.blocked:
-            step = F.floor((_axis(df, self.order[0]) - F.col("__lo")) / F.col("__width"))
-            block = F.when(F.col("__width").isNull(), F.lit(0)).otherwise(F.coalesce(step, F.lit(-1)))
-            df = null_safe_lookup(df, hot, self.keys)
-            df = df.withColumn("__hot", F.col("__width").isNotNull())
-            df = df.withColumn(_BLOCK, block.cast("long")).drop("__lo", "__width")
+        source = df if sized_by is None else sized_by
+        axes = [c for i, c in enumerate(self.order) if set(self.order[: i + 1]) <= set(source.columns)]
+        # The first question reads the keys alone and is usually the last.
+        sizes = source.groupBy(*self.keys).agg(F.count(F.lit(1)).alias("__many"))
+        large = materialize(sizes.where(F.col("__many") > rows_per_block))
+        self.blocked = not large.isEmpty()
+        self._df = df
+        if not self.blocked:
+            return
+        root = F.array().cast("array<long>")
+        df = df.withColumns({_BLOCK: root, "__hot": F.lit(False)})
+        source = null_safe_lookup(source, large, self.keys).where(F.col("__many").isNotNull())
+        source = source.withColumn(_BLOCK, root)
+        by = self.keys
+        hot = materialize(_oversized(source, by, axes, rows_per_block))
+        while not hot.isEmpty():
+            df = null_safe_lookup(df, hot, by)
+            df = df.withColumns({_BLOCK: _deeper(df, axes), "__hot": F.col("__hot") | F.col("__cut").isNotNull()})
+            df = df.drop("__cut")
+            # Only the blocks just cut can still be too large.
+            source = null_safe_lookup(source, hot, by).where(F.col("__cut").isNotNull())
+            source = source.withColumn(_BLOCK, _deeper(source, axes)).drop("__cut")
+            by = [*self.keys, _BLOCK]
+            hot = materialize(_oversized(source, by, axes, rows_per_block))
         self._df = df
 
     @property

@@ -127,6 +127,21 @@ def test_every_scan_across_blocks(spark):
     assert [tuple(r) for r in plain] == [tuple(r) for r in cut]
 
 
+def test_blocks_stay_below_the_limit_in_a_burst(spark):
+    """Most rows share one second and one file name; ids, nulls and names still cut them."""
+    rows = [("h", 1000, "a" if i % 3 else "b", i) for i in range(120)]
+    rows += [("h", None, "a", 200 + i) for i in range(30)] + [("h", 10**9, "z", 400), ("c", 5, "a", 500)]
+    rng = random.Random(1)
+    rng.shuffle(rows)
+    df = spark.createDataFrame(rows, "k string, t long, f string, id long").repartition(3)
+    groups = o.OrderedGroups(df, ["k"], ["t", "f", "id"], rows_per_block=8)
+    sizes = [r["count"] for r in groups._df.groupBy("k", "__block").count().collect()]
+    assert max(sizes) <= 8 and sum(sizes) == len(rows)
+    got = {r.id: r.rn for r in groups.scan(rn=o.position()).df.collect() if r.k == "h"}
+    order = sorted((r for r in rows if r[0] == "h"), key=lambda r: (r[1] is not None, r[1] or 0, r[2], r[3]))
+    assert got == {r[3]: i + 1 for i, r in enumerate(order)}
+
+
 def test_attach_labels(spark):
     left = spark.createDataFrame([(1, "a"), (2, "b")], "row_id long, c string")
     right = spark.createDataFrame([(2, 7)], "row_id long, label int")
