@@ -58,7 +58,9 @@ def file_type(url: Column) -> Column:
 
 
 def file_type_of_path(path: Column) -> Column:
-    ext = F.regexp_extract(path, r"[^/.][^/]*\.([^./]*)$", 1)
+    # Leading dots belong to the name, so ".profile" has no extension.
+    name = F.ltrim(F.substring_index(path, "/", -1), F.lit("."))
+    ext = F.when(F.contains(name, F.lit(".")), F.substring_index(name, ".", -1)).otherwise(F.lit(""))
     return F.when(ext.isin(*FILE_TYPES), ext).otherwise(F.lit("other"))
 
 

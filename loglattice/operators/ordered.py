@@ -99,18 +99,20 @@ def _oversized(df: DataFrame, by: list[str], order: list[str], rows_per_block: i
         varies = F.coalesce(F.col(f"__lo{i}") < F.col(f"__hi{i}"), F.lit(False)) | some_null
         low, high = F.col(f"__lo{i}"), F.col(f"__hi{i}")
         if isinstance(df.schema[order[i]].dataType, T.StringType):
-            cut = (F.lit(0.0), F.lit(1.0), low)
+            cut = (F.lit(0.0), F.lit(1.0), low, F.lit(1).cast("long"))
         else:
-            width = (high - low) / F.ceil(F.col("__n") * F.lit(2.0 / rows_per_block)).cast("double")
-            cut = (low, F.when(width > 0, width).otherwise(F.lit(1.0)), F.lit(None).cast("string"))
-        entry = F.struct(F.lit(i).alias("axis"), *[c.alias(n) for n, c in zip(("low", "width", "text"), cut)])
+            slices = F.ceil(F.col("__n") * F.lit(2.0 / rows_per_block)).cast("long")
+            width = (high - low) / slices
+            cut = (low, F.when(width > 0, width).otherwise(F.lit(1.0)), F.lit(None).cast("string"), slices)
+        names = ("low", "width", "text", "slices")
+        entry = F.struct(F.lit(i).alias("axis"), *[c.alias(n) for n, c in zip(names, cut)])
         pick = F.when(varies, entry).otherwise(pick)
     return stats.select(*by, pick.alias("__cut")).where(F.col("__cut").isNotNull())
 
 
-def _deeper(df: DataFrame, order: list[str]) -> Column:
-    """The block path of a row, one step longer where its block is to be cut."""
-    step = F.lit(None).cast("long")
+def _deeper(df: DataFrame, order: list[str], radix: int, kind: str) -> Column:
+    """The block number of a row with one more digit: its slice where the block is to be cut."""
+    digit = F.lit(None).cast("long")
     cut = F.col("__cut")
     for i, name in enumerate(order):
         x = _axis(df, name)
@@ -118,8 +120,9 @@ def _deeper(df: DataFrame, order: list[str]) -> Column:
             slice_ = (x > cut["text"]).cast("long")
         else:
             slice_ = F.floor((x - cut["low"]) / cut["width"]).cast("long")
-        step = F.when(cut["axis"] == i, F.coalesce(slice_, F.lit(-1))).otherwise(step)
-    return F.when(cut.isNull(), F.col(_BLOCK)).otherwise(F.concat(_BLOCK, F.array(step)))
+        digit = F.when(cut["axis"] == i, F.coalesce(slice_, F.lit(-1)) + 1).otherwise(digit)
+    block = F.col(_BLOCK).cast(kind) * F.lit(radix).cast(kind)
+    return (block + F.when(cut.isNull(), 0).otherwise(digit)).cast(kind)
 
 
 class OrderedGroups:
@@ -136,8 +139,8 @@ class OrderedGroups:
     ) -> None:
         """``sized_by``: a cheaper frame with the keys and leading ordering columns to count on.
 
-        Groups above the limit are cut along their ordering until no block exceeds it; a block
-        is named by the path of its slices, and paths sort as the rows do.
+        Groups above the limit are cut along their ordering until no block exceeds it; the
+        digits of a block number are its slices, so block numbers sort as the rows do.
         """
         self.keys, self.order = list(keys), list(order)
         source = df if sized_by is None else sized_by
@@ -149,19 +152,23 @@ class OrderedGroups:
         self._df = df
         if not self.blocked:
             return
-        root = F.array().cast("array<long>")
+        root = F.lit(0).cast("long")
         df = df.withColumns({_BLOCK: root, "__hot": F.lit(False)})
         source = null_safe_lookup(source, large, self.keys).where(F.col("__many").isNotNull())
         source = source.withColumn(_BLOCK, root)
         by = self.keys
         hot = materialize(_oversized(source, by, axes, rows_per_block))
+        numbers = 1
         while not hot.isEmpty():
+            radix = hot.agg(F.max("__cut.slices").alias("s")).first()["s"] + 3
+            numbers *= radix
+            kind = "long" if numbers < 1 << 62 else "decimal(38,0)"
             df = null_safe_lookup(df, hot, by)
-            df = df.withColumns({_BLOCK: _deeper(df, axes), "__hot": F.col("__hot") | F.col("__cut").isNotNull()})
+            df = df.withColumns({_BLOCK: _deeper(df, axes, radix, kind), "__hot": F.col("__hot") | F.col("__cut").isNotNull()})
             df = df.drop("__cut")
             # Only the blocks just cut can still be too large.
             source = null_safe_lookup(source, hot, by).where(F.col("__cut").isNotNull())
-            source = source.withColumn(_BLOCK, _deeper(source, axes)).drop("__cut")
+            source = source.withColumn(_BLOCK, _deeper(source, axes, radix, kind)).drop("__cut")
             by = [*self.keys, _BLOCK]
             hot = materialize(_oversized(source, by, axes, rows_per_block))
         self._df = df

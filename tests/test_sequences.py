@@ -90,8 +90,7 @@ def brute(rows, mode, many=4, gap=30):
 
 
 @pytest.mark.parametrize("mode", ["client", "chunk", "pair", "gap", "run"])
-@pytest.mark.parametrize("block", [7, 10_000])
-@pytest.mark.parametrize("parts", [1, 5])
+@pytest.mark.parametrize("block,parts", [(7, 5), (10_000, 1)])
 def test_modes_against_brute_force(spark, mode, block, parts):
     """A client with most rows, bursts on one timestamp, and blocks of 7 rows."""
     rng = random.Random(3)
