@@ -16,11 +16,10 @@ def build_session(app: str = "loglattice", master: str | None = None, **conf: st
     builder = SparkSession.builder.appName(app)
     if master:
         builder = builder.master(master)
-    # Wide feature tables compile to long methods, which the JVM would only interpret.
-    jit = "-XX:-DontCompileHugeMethods"
     settings = {
-        "spark.driver.extraJavaOptions": jit,
-        "spark.executor.extraJavaOptions": jit,
+        # The JVM only interprets methods above this size, which wide feature tables would
+        # reach; Spark then generates smaller ones per operator.
+        "spark.sql.codegen.hugeMethodLimit": "8000",
         "spark.sql.session.timeZone": "UTC",
         "spark.sql.adaptive.enabled": "true",
         "spark.sql.adaptive.skewJoin.enabled": "true",
