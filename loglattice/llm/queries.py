@@ -8,6 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 
 from loglattice.llm.common import documents
 from loglattice.llm.exact_dedup import exact_dedup
+from loglattice.llm.pii import find_pii
+from loglattice.llm.secret_scan import secret_scan
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -28,3 +30,13 @@ def query(sql: str | None = None):
 FROM documents WINDOW w AS (PARTITION BY coalesce(text, ''))""")
 def op9_exact_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return exact_dedup(documents(spark, folder))
+
+
+@query()
+def op5_secret_scan(spark: SparkSession, folder: str) -> DataFrame:
+    return secret_scan(documents(spark, folder))
+
+
+@query()
+def op2_pii(spark: SparkSession, folder: str) -> DataFrame:
+    return find_pii(documents(spark, folder))
