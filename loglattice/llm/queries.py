@@ -4,17 +4,25 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from loglattice.llm.common import documents
+from loglattice.llm.byte_bpe import encoded_and_decoded
+from loglattice.llm.common import documents, new_folder
 from loglattice.llm.exact_dedup import exact_dedup
+from loglattice.llm.packing import best_fit_packing
 from loglattice.llm.pii import find_pii
 from loglattice.llm.secret_scan import secret_scan
+from loglattice.llm.token_files import read_token_files, write_token_files
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
 
+WORD_TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
+BYTE_RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
+
+
 def query(sql: str | None = None):
     def register(fn):
         QUERIES[fn.__name__] = fn
@@ -40,3 +48,20 @@ def op5_secret_scan(spark: SparkSession, folder: str) -> DataFrame:
 @query()
 def op2_pii(spark: SparkSession, folder: str) -> DataFrame:
     return find_pii(documents(spark, folder))
+
+
+@query()
+def op6_token_files(spark: SparkSession, folder: str) -> DataFrame:
+    path = new_folder(spark, "token-files")
+    write_token_files(documents(spark, folder), path, WORD_TOKENIZER, end_id=1)
+    return read_token_files(spark, path)
+
+
+@query()
+def op8_byte_bpe(spark: SparkSession, folder: str) -> DataFrame:
+    return encoded_and_decoded(documents(spark, folder), BYTE_RANKS, public_tokenizers.PATTERN)
+
+
+@query()
+def op10_packing(spark: SparkSession, folder: str) -> DataFrame:
+    return best_fit_packing(documents(spark, folder), WORD_TOKENIZER, end_id=0)
