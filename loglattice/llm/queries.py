@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from loglattice.llm.byte_bpe import encoded_and_decoded
 from loglattice.llm.common import documents, new_folder
 from loglattice.llm.exact_dedup import exact_dedup
+from loglattice.llm.fingerprint import fingerprints_with_neighbours
 from loglattice.llm.packing import best_fit_packing
 from loglattice.llm.pii import find_pii
 from loglattice.llm.secret_scan import secret_scan
@@ -57,6 +58,11 @@ def op6_token_files(spark: SparkSession, folder: str) -> DataFrame:
     return read_token_files(spark, path)
 
 
+@query()
+def op7_fingerprints(spark: SparkSession, folder: str) -> DataFrame:
+    return fingerprints_with_neighbours(documents(spark, folder))
+
+
 @query()
 def op8_byte_bpe(spark: SparkSession, folder: str) -> DataFrame:
     return encoded_and_decoded(documents(spark, folder), BYTE_RANKS, public_tokenizers.PATTERN)
