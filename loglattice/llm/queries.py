@@ -11,6 +11,7 @@ from loglattice.llm.byte_bpe import encoded_and_decoded
 from loglattice.llm.common import documents, new_folder
 from loglattice.llm.exact_dedup import exact_dedup
 from loglattice.llm.fingerprint import fingerprints_with_neighbours
+from loglattice.llm.near_dedup import near_dedup
 from loglattice.llm.packing import best_fit_packing
 from loglattice.llm.pii import find_pii
 from loglattice.llm.secret_scan import secret_scan
@@ -51,6 +52,11 @@ def op2_pii(spark: SparkSession, folder: str) -> DataFrame:
     return find_pii(documents(spark, folder))
 
 
+@query()
+def op3_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    return near_dedup(documents(spark, folder))
+
+
 @query()
 def op6_token_files(spark: SparkSession, folder: str) -> DataFrame:
     path = new_folder(spark, "token-files")
