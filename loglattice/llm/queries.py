@@ -11,6 +11,7 @@ from loglattice.llm.byte_bpe import encoded_and_decoded
 from loglattice.llm.common import documents, new_folder
 from loglattice.llm.exact_dedup import exact_dedup
 from loglattice.llm.fingerprint import fingerprints_with_neighbours
+from loglattice.llm.language_id import predict, train
 from loglattice.llm.near_dedup import near_dedup
 from loglattice.llm.packing import best_fit_packing
 from loglattice.llm.pii import find_pii
@@ -57,6 +58,12 @@ def op3_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return near_dedup(documents(spark, folder))
 
 
+@query()
+def op4_language_id(spark: SparkSession, folder: str) -> DataFrame:
+    docs = documents(spark, folder)
+    return predict(docs, train(docs))
+
+
 @query()
 def op6_token_files(spark: SparkSession, folder: str) -> DataFrame:
     path = new_folder(spark, "token-files")
