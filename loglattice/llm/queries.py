@@ -15,6 +15,7 @@ from loglattice.llm.language_id import predict, train
 from loglattice.llm.near_dedup import near_dedup
 from loglattice.llm.packing import best_fit_packing
 from loglattice.llm.pii import find_pii
+from loglattice.llm.quality import classify
 from loglattice.llm.secret_scan import secret_scan
 from loglattice.llm.token_files import read_token_files, write_token_files
 
@@ -48,6 +49,11 @@ def op5_secret_scan(spark: SparkSession, folder: str) -> DataFrame:
     return secret_scan(documents(spark, folder))
 
 
+@query()
+def op1_quality(spark: SparkSession, folder: str) -> DataFrame:
+    return classify(documents(spark, folder), documents(spark, folder, "labels"))
+
+
 @query()
 def op2_pii(spark: SparkSession, folder: str) -> DataFrame:
     return find_pii(documents(spark, folder))

@@ -119,6 +119,18 @@ def entropy_spans(text: Column) -> Column:
     return F.filter(ranged, lambda m: m["range"]["first"].isNotNull())
 
 
+def assignments(text: Column) -> Column:
+    """Matches of ASSIGN whose value has six or more characters."""
+    return F.filter(matches(text, ASSIGN), lambda m: F.length(F.regexp_extract(m["part"], ASSIGN, 1)) >= 6)
+
+
+def has_secret(text_col: str = "text") -> Column:
+    """Whether a text holds a match of any kind or a span of high entropy; null: no."""
+    text = whole_text(text_col)
+    plain = text.rlike(ACCESS) | text.rlike(HEX) | (F.size(assignments(text)) > 0)
+    return plain | (F.size(entropy_spans(text)) > 0)
+
+
 def secret_scan(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per input row: doc_id, n_assign, n_access, n_hex, base_sha256, spans, n_entropy.
 
@@ -129,7 +141,7 @@ def secret_scan(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
     rows = docs.select(F.col(id_col).alias("doc_id"), whole_text(text_col).alias("text"))
     found = rows.select(
         "doc_id",
-        F.filter(matches(F.col("text"), ASSIGN), lambda m: F.length(F.regexp_extract(m["part"], ASSIGN, 1)) >= 6).alias("assign"),
+        assignments(F.col("text")).alias("assign"),
         matches(F.col("text"), ACCESS).alias("access"),
         matches(F.col("text"), HEX).alias("hex"),
         entropy_spans(F.col("text")).alias("entropy"),
