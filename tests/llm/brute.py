@@ -39,3 +39,69 @@ def secrets(text):
 
 def joined(spans):
     return ",".join(f"{k}:{s}:{e}" for s, _, k, e in spans)
+
+
+def words(text):
+    return re.findall(r"[^\x20\x09-\x0D]+", "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text))
+
+
+def shingles(text):
+    w = words(text)
+    return frozenset([tuple(w)] if 0 < len(w) < 5 else [tuple(w[i : i + 5]) for i in range(len(w) - 4)])
+
+
+def near_components(texts):
+    """{id: (set size, smallest reachable id)} by comparing all pairs."""
+    sets = {i: shingles(t or "") for i, t in texts.items()}
+    root = {i: i for i in texts}
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    ids = sorted(texts)
+    for n, a in enumerate(ids):
+        for b in ids[n + 1 :]:
+            shared = len(sets[a] & sets[b])
+            if sets[a] and sets[b] and 100 * shared >= 85 * (len(sets[a]) + len(sets[b]) - shared):
+                x, y = sorted((find(a), find(b)))
+                root[y] = x
+    return {i: (len(sets[i]), find(i)) for i in texts}
+
+
+def kneser_ney(sequences, size):
+    """p(w3 | w1, w2) as a function, from the definition, over lists of ids already padded."""
+    from collections import Counter, defaultdict
+
+    def discounts(counts):
+        n = Counter(counts.values())
+        y = n[1] / (n[1] + 2 * n[2]) if n[1] and n[2] else 0.5
+        raw = [k - (k + 1) * y * n[k + 1] / n[k] if n[k] and n[k + 1] else 0.5 * k for k in (1, 2, 3)]
+        return [min(max(d, 0.05), k) for d, k in zip(raw, (1, 2, 3))]
+
+    tri = Counter(t for s in sequences for t in zip(s, s[1:], s[2:]))
+    bi = Counter((b, c) for _, b, c in tri)
+    uni = Counter(c for _, c in bi)
+    total = sum(uni.values())
+
+    def low(w):
+        return max(uni[w] - 0.5, 0) / max(total, 1) + 0.5 * len(uni) / max(total, 1) / size if uni else 1 / size
+
+    def level(counts, lower):
+        d = discounts(counts)
+        contexts = defaultdict(list)
+        for k, n in counts.items():
+            contexts[k[:-1]].append(n)
+        cut = lambda n: d[min(n, 3) - 1]
+
+        def p(*key):
+            c = contexts.get(key[:-1])
+            if not c:
+                return lower(*key[1:])
+            n = counts.get(key, 0)
+            return ((n - cut(n)) if n else 0) / sum(c) + sum(map(cut, c)) / sum(c) * lower(*key[1:])
+
+        return p
+
+    return level(tri, level(bi, low))
