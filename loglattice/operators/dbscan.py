@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from loglattice.operators import ordered as o
-from loglattice.operators.lookup import lookup, salted_join
+from loglattice.operators.lookup import lookup
 from loglattice.session import materialize
 
 NOISE = -1
@@ -189,8 +189,8 @@ def connected_components(nodes: DataFrame, edges: DataFrame, *, steps: int = 2)
 
     In every step a root adopts the smallest root next to its tree and paths are halved, so
     the number of steps grows with the logarithm of the component size. ``steps`` of them run
-    before the roots are stored and compared. A root many nodes share is a hot join key: those
-    joins are salted.
+    before the roots are stored and compared. A root many nodes share is a hot join key, which
+    the skew join splits.
     """
     both = edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
     both = materialize(both.distinct())
@@ -199,10 +199,10 @@ def connected_components(nodes: DataFrame, edges: DataFrame, *, steps: int = 2)
         at_b = roots.select(F.col("node").alias("b"), F.col("root").alias("low"))
         near = both.join(at_b, "b").groupBy(F.col("a").alias("node")).agg(F.min("low").alias("low"))
         hooks = roots.join(near, "node").groupBy("root").agg(F.min("low").alias("low"))
-        moved = salted_join(roots, hooks, ["root"], salts=16)
+        moved = roots.join(hooks, "root", "left")
         moved = moved.select("node", F.least("root", "low").alias("root"))
         above = moved.select(F.col("node").alias("root"), F.col("root").alias("top"))
-        return salted_join(moved, above, ["root"], "inner", salts=16).select("node", F.col("top").alias("root"))
+        return moved.join(above, "root").select("node", F.col("top").alias("root"))
 
     roots = materialize(nodes.select("node", F.col("node").alias("root")))
     while True:

@@ -1,36 +1,45 @@
 """Joins of a large table with a lookup table that is unique on the key.
 
-The lookup side is broadcast only after its size has been measured; above the limit the
-join is shuffled with a salt, so that one frequent key spreads over many tasks.
+The lookup side is broadcast only after its size has been measured; above the limit the join is a plain
+shuffle join. Rows of a frequent key are then split over many tasks by the skew join of adaptive
+execution, which copies the lookup row of that key only (see ``build_session``).
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
+from pyspark.ml.functions import vector_to_array
+from pyspark.ml.linalg import VectorUDT
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 BROADCAST_BYTES = 64 * 1024 * 1024
-SALTS = 64
 
 
-def _width(field: T.StructField) -> Column:
-    kind = field.dataType
+def _width(value: Column, kind: T.DataType) -> Column:
+    """Bytes of a value, nested ones summed up."""
     if isinstance(kind, (T.StringType, T.BinaryType)):
-        return F.coalesce(F.octet_length(field.name), F.lit(0)).cast("long") + 8
+        return F.coalesce(F.octet_length(value), F.lit(0)).cast("long") + 8
+    if isinstance(kind, VectorUDT):
+        return _width(vector_to_array(value), T.ArrayType(T.DoubleType()))
     if isinstance(kind, T.ArrayType):
-        nested = isinstance(kind.elementType, (T.StructType, T.StringType, T.ArrayType))
-        return F.greatest(F.size(field.name), F.lit(0)).cast("long") * (96 if nested else 8) + 16
+        if isinstance(kind.elementType, (T.StringType, T.BinaryType, T.ArrayType, T.StructType, T.MapType, VectorUDT)):
+            inside = F.aggregate(value, F.lit(0).cast("long"), lambda n, x: n + _width(x, kind.elementType))
+            return F.coalesce(inside, F.lit(0)).cast("long") + 16
+        return F.greatest(F.size(value), F.lit(0)).cast("long") * 8 + 16
+    if isinstance(kind, T.MapType):
+        keys, values = T.ArrayType(kind.keyType), T.ArrayType(kind.valueType)
+        return _width(F.map_keys(value), keys) + _width(F.map_values(value), values)
     if isinstance(kind, T.StructType):
-        return F.lit(16 * (len(kind.fields) + 1)).cast("long")
+        return sum((_width(value[f.name], f.dataType) for f in kind.fields), F.lit(16).cast("long"))
     return F.lit(8).cast("long")
 
 
 def measured_bytes(table: DataFrame) -> int:
     """Approximate size of ``table``; one pass over it, so pass a stored table."""
-    row = sum((_width(f) for f in table.schema.fields), F.lit(16).cast("long"))
+    row = sum((_width(F.col(f"`{f.name}`"), f.dataType) for f in table.schema.fields), F.lit(16).cast("long"))
     return table.select(F.coalesce(F.sum(row), F.lit(0)).alias("b")).first()["b"]
 
 
@@ -40,23 +49,12 @@ def lookup(
     on: Sequence[str],
     how: str = "left",
     *,
-    broadcast_bytes: int = BROADCAST_BYTES,
-    salts: int = SALTS,
+    broadcast_bytes: int | None = None,
 ) -> DataFrame:
     """Join ``df`` with the stored lookup ``table`` (unique on ``on``)."""
     on = list(on)
-    if measured_bytes(table) <= broadcast_bytes:
-        return df.join(F.broadcast(table), on, how)
-    return salted_join(df, table, on, how, salts=salts)
-
-
-def salted_join(
-    df: DataFrame, table: DataFrame, on: Sequence[str], how: str = "left", *, salts: int = SALTS
-) -> DataFrame:
-    """Join with ``salts`` copies of ``table``, so that a frequent key of ``df`` is spread out."""
-    salted = table.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    spread = df.withColumn("__salt", F.pmod(F.xxhash64(*df.columns), F.lit(salts)).cast("int"))
-    return spread.join(salted, [*on, "__salt"], how).drop("__salt")
+    limit = BROADCAST_BYTES if broadcast_bytes is None else broadcast_bytes
+    return df.join(F.broadcast(table) if measured_bytes(table) <= limit else table, on, how)
 
 
 def null_safe_lookup(df: DataFrame, table: DataFrame, on: Sequence[str]) -> DataFrame:
