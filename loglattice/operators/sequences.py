@@ -24,6 +24,12 @@ def _text(column: str) -> Column:
     return F.coalesce(F.col(column).cast("string"), F.lit("-"))
 
 
+def _named(df: DataFrame, *columns: str) -> tuple[DataFrame, list[str]]:
+    """Copies of the naming columns as text, so that a missing name and ``-`` are one group."""
+    names = [f"__name{i}" for i in range(len(columns))]
+    return df.withColumns({n: _text(c) for n, c in zip(names, columns)}), names
+
+
 def by_client(
     df: DataFrame,
     *,
@@ -34,7 +40,8 @@ def by_client(
     rows_per_block: int = o.ROWS_PER_BLOCK,
 ) -> DataFrame:
     """One sequence per client, rows in log order."""
-    rows = o.OrderedGroups(df, [client], order, rows_per_block=rows_per_block)
+    named, by = _named(df, client)
+    rows = o.OrderedGroups(named, by, order, rows_per_block=rows_per_block)
     rows = rows.scan(__rn=o.position()).df
     return _emit(rows, _text(client), F.col("__rn") - 1, state, keep)
 
@@ -60,8 +67,9 @@ def by_time_gap(
         )
     pause = F.unix_micros(ts) - F.unix_micros("__before")
     starts = F.when(F.col("__before").isNotNull() & (pause >= int(gap * 1_000_000)), 1).otherwise(0)
+    named, by = _named(df, client)
     rows = (
-        o.OrderedGroups(df, [client], order, rows_per_block=rows_per_block)
+        o.OrderedGroups(named, by, order, rows_per_block=rows_per_block)
         .scan(__before=o.previous(F.col(ts)), __rn=o.position())
         .derive(__cut=starts)
         .scan(
@@ -85,7 +93,8 @@ def by_chunk(
     rows_per_block: int = o.ROWS_PER_BLOCK,
 ) -> DataFrame:
     """Chunks of ``many`` rows per client; a remainder of a single row makes no sequence."""
-    rows = o.OrderedGroups(df, [client], order, rows_per_block=rows_per_block)
+    named, by = _named(df, client)
+    rows = o.OrderedGroups(named, by, order, rows_per_block=rows_per_block)
     rows = rows.scan(__rn=o.position(), __n=o.group_rows()).df
     at = F.col("__rn") - 1
     chunk = F.floor(at / many)
@@ -106,7 +115,8 @@ def by_pair(
     rows_per_block: int = o.ROWS_PER_BLOCK,
 ) -> DataFrame:
     """One sequence per (client, server), named ``client_server``."""
-    rows = o.OrderedGroups(df, [client, server], order, rows_per_block=rows_per_block)
+    named, by = _named(df, client, server)
+    rows = o.OrderedGroups(named, by, order, rows_per_block=rows_per_block)
     rows = rows.scan(__rn=o.position()).df
     return _emit(rows, F.concat_ws("_", _text(client), _text(server)), F.col("__rn") - 1, state, keep)
 
@@ -127,14 +137,11 @@ def by_server_run(
     NNN counts the earlier runs of the same pair. ``drop_last_run`` leaves out the final run
     of each client.
     """
+    named, by = _named(df, client, server)
     opened = (
-        o.OrderedGroups(df, [client], order, rows_per_block=rows_per_block)
-        .scan(__before=o.previous(F.struct(F.col(server).alias("s"))), __rn=o.position())
-        .derive(
-            __open=F.when(
-                (F.col("__rn") > 1) & F.col("__before").getField("s").eqNullSafe(F.col(server)), 0
-            ).otherwise(1)
-        )
+        o.OrderedGroups(named, by[:1], order, rows_per_block=rows_per_block)
+        .scan(__before=o.previous(F.col(by[1])), __rn=o.position())
+        .derive(__open=F.when((F.col("__rn") > 1) & (F.col("__before") == F.col(by[1])), 0).otherwise(1))
     )
     scans = {"__first": o.running_max(F.when(F.col("__open") == 1, F.col("__rn")))}
     if drop_last_run:
@@ -145,7 +152,7 @@ def by_server_run(
     rows = opened.scan(**scans).df
     # All rows of a run share the count of runs opened so far by their own (client, server).
     rows = (
-        o.OrderedGroups(rows, [client, server], order, rows_per_block=rows_per_block, sized_by=df)
+        o.OrderedGroups(rows, by, order, rows_per_block=rows_per_block, sized_by=named)
         .scan(__seen=o.running_sum(F.col("__open")))
         .df
     )

@@ -26,23 +26,25 @@ _SEPARATOR = "\u0001"
 
 
 def _parts(value: str) -> Column:
-    """The 22 fields of a line as an array; any other size means the line did not match.
+    """An empty string and the 22 fields of a line as an array; of any other line its text alone.
 
-    One regex pass rewrites the line with a separator; a line without a match is left as is.
+    One regex pass rewrites the line with a separator before each field; a line without a match is left as
+    is. The separator cannot come from the line: there it is read as U+FFFD.
     """
-    groups = _SEPARATOR.join(f"${i}" for i in range(1, len(LOG_COLUMNS) + 1))
-    return F.split(F.regexp_replace(F.col(value), LOG_PATTERN, groups), _SEPARATOR)
+    clean = F.translate(F.col(value), _SEPARATOR, "\ufffd")
+    groups = "".join(f"{_SEPARATOR}${i}" for i in range(1, len(LOG_COLUMNS) + 1))
+    return F.split(F.regexp_replace(clean, LOG_PATTERN, groups), _SEPARATOR)
 
 
 def parse_lines(lines: DataFrame, value: str = "value") -> DataFrame:
     """The plane table: 22 columns and ``ts``; other columns of ``lines`` pass through."""
     # Exploding the matching parts filters and projects at once: the regex runs once a line,
     # where a filter on its result would be pushed below and run it again.
-    matching = F.filter(F.array(_parts(value)), lambda p: F.size(p) == len(LOG_COLUMNS))
+    matching = F.filter(F.array(_parts(value)), lambda p: F.size(p) == len(LOG_COLUMNS) + 1)
     others = [c for c in lines.columns if c != value]
     good = lines.select(*others, F.explode(matching).alias("_parts"))
-    p = F.col("_parts")
-    fields: dict[str, Column] = {c: p[i] for i, c in enumerate(LOG_COLUMNS)}
+    p = [F.col("_parts")[i] for i in range(1, len(LOG_COLUMNS) + 1)]
+    fields: dict[str, Column] = dict(zip(LOG_COLUMNS, p))
     for name, kind in _TYPED.items():
         fields[name] = fields[name].try_cast(kind)
     # The day keeps an opening bracket before it; the time stamp does without.
@@ -56,7 +58,7 @@ def parse_lines(lines: DataFrame, value: str = "value") -> DataFrame:
 
 def quarantine(lines: DataFrame, value: str = "value") -> DataFrame:
     """The lines that do not have the shape of a log line, unchanged."""
-    unmatched = F.size(_parts(value)) != len(LOG_COLUMNS)
+    unmatched = F.size(_parts(value)) != len(LOG_COLUMNS) + 1
     return lines.where(F.coalesce(unmatched, F.lit(True)))
 
 

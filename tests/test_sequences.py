@@ -145,3 +145,11 @@ def test_attach_labels(spark):
     left = spark.createDataFrame([(1, "a"), (2, "b")], "row_id long, c string")
     right = spark.createDataFrame([(2, 7)], "row_id long, label int")
     assert [tuple(r) for r in sq.attach_labels(left, right).collect()] == [(2, "b", 7)]
+
+
+def test_a_missing_server_and_a_dash_are_one_name(spark):
+    rows = [(1, "c", None), (2, "c", "-"), (3, None, "s"), (4, "-", "s"), (5, None, "s")]
+    df = spark.createDataFrame([(i, c, s, i, 0) for i, c, s in rows], "row_id long, client_ip string, server_ip string, ts long, label int")
+    for mode in ("pair", "run", "client", "chunk"):
+        found = sq.build_sequences(df, mode, order=("ts", "row_id")).collect()
+        assert len({(r.seq_id, r.pos) for r in found}) == len(found), mode
