@@ -41,13 +41,13 @@ def _sweep(fit, ks: Iterable[int], threads: int) -> dict:
 
 def kmeans_sweep(
     df: DataFrame, ks: Iterable[int] = DEFAULT_K, *, features: str = "features", seed: int = 0,
-    max_iter: int = 100, threads: int = 4,
+    max_iter: int = 100, tol: float = 1e-4, threads: int = 4,
 ) -> dict[int, KMeansModel]:
     """One k-means model per k."""
     data = df.select(features).persist()
     try:
         return _sweep(
-            lambda k: KMeans(k=k, seed=seed, featuresCol=features, maxIter=max_iter).fit(data), ks, threads
+            lambda k: KMeans(k=k, seed=seed, featuresCol=features, maxIter=max_iter, tol=tol).fit(data), ks, threads
         )
     finally:
         data.unpersist()
@@ -86,7 +86,8 @@ def _diagonal_gmm(data: DataFrame, k: int, features: str, seed: int, max_iter: i
     start = KMeans(k=k, seed=seed, featuresCol=features).fit(data)
     d = len(start.clusterCenters()[0])
     labelled = start.transform(data)
-    options = dict(diagonal=True, floor=mx.COVARIANCE_FLOOR, target="x", target_d=d)
+    centre = mx.column_means(data, "x", d)
+    options = dict(diagonal=True, floor=mx.COVARIANCE_FLOOR, target="x", target_d=d, centre=centre)
     current, _ = mx.weighted_moments(labelled, None, label=start.getPredictionCol(), k=k, **options)
     last, n = -np.inf, data.count()
     for _ in range(max_iter):
@@ -109,6 +110,13 @@ def predict(df: DataFrame, models: Mapping[int, KMeansModel | mx.Mixture], *, ro
     return out.select(row_id, F.explode(pairs).alias("p")).select("p.k", row_id, "p.label")
 
 
+def add_label(df: DataFrame, model: KMeansModel | mx.Mixture, features: str = "features", label: str = "label") -> DataFrame:
+    """``df`` with the cluster of every row; no row moves."""
+    if isinstance(model, mx.Mixture):
+        return mx.assign(df.withColumn("__x", vector_to_array(features)), model, "__x", label).drop("__x")
+    return model.copy({model.predictionCol: label, model.featuresCol: features}).transform(df)
+
+
 def fit_predict(df: DataFrame, ks: Iterable[int] = DEFAULT_K, **options) -> DataFrame:
     """Train k-means on all rows and label the same rows: ``(k, row_id, label)``."""
     row_id = options.pop("row_id", "row_id")

@@ -46,10 +46,10 @@ def estimate_kappa(scores: DataFrame, states: int) -> float:
 
 
 def detect(
-    sequences: DataFrame, states: int, kappa: float, *, q: float = 0.99, **options
+    sequences: DataFrame, states: int, kappa: float, *, q: float = 0.99, mean: DataFrame | None = None, **options
 ) -> DataFrame:
-    """``(seq_id, score, threshold, is_anomaly)``."""
-    scores = direction_scores(direction_vectors(sequences, states, **options))
+    """``(seq_id, score, threshold, is_anomaly)``; ``mean`` is a stored direction of other sequences."""
+    scores = direction_scores(direction_vectors(sequences, states, **options), mean)
     limit = threshold(states, kappa, q)
     return scores.withColumns(
         {"threshold": F.lit(limit), "is_anomaly": F.col("score") > F.lit(limit)}

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from pyspark.ml.clustering import KMeans
-from pyspark.ml.functions import array_to_vector
+from pyspark.ml.linalg import Vectors, VectorUDT
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -19,14 +19,16 @@ def frequency_vectors(sequences: DataFrame, states: int, **options) -> DataFrame
     return counts.select("seq_id", "slot", (F.col("n") / F.sum("n").over(whole)).alias("x"))
 
 
-def dense_vectors(vectors: DataFrame, states: int) -> DataFrame:
-    """``(seq_id, features VECTOR)`` of length states^2, one row per sequence."""
-    packed = vectors.groupBy("seq_id").agg(
-        F.map_from_entries(F.collect_list(F.struct("slot", "x"))).alias("m")
-    )
-    slots = F.sequence(F.lit(0), F.lit(states * states - 1))
-    cells = F.transform(slots, lambda i: F.coalesce(F.try_element_at("m", i), F.lit(0.0)))
-    return packed.select("seq_id", array_to_vector(cells).alias("features"))
+def sparse_vectors(vectors: DataFrame, states: int) -> DataFrame:
+    """``(seq_id, features VECTOR)`` of length states^2, one row per sequence, holding its transitions only."""
+    cells = F.array_sort(F.collect_list(F.struct("slot", "x")))
+    packed = vectors.groupBy("seq_id").agg(cells.alias("cells"))
+
+    @F.udf(VectorUDT())
+    def sparse(slots, shares):
+        return Vectors.sparse(states * states, slots, shares)
+
+    return packed.select("seq_id", sparse("cells.slot", "cells.x").alias("features"))
 
 
 def flag_small_clusters(labelled: DataFrame, min_share: float = 0.1) -> DataFrame:
@@ -46,7 +48,7 @@ def detect(
     **options,
 ) -> DataFrame:
     """``(seq_id, label, cluster_size, is_anomaly)``: members of small clusters are anomalies."""
-    data = dense_vectors(frequency_vectors(sequences, states, **options), states).persist()
+    data = materialize(sparse_vectors(frequency_vectors(sequences, states, **options), states))
     model = KMeans(k=clusters, seed=seed).fit(data)
     labelled = model.transform(data).select("seq_id", F.col("prediction").alias("label"))
     return flag_small_clusters(labelled, min_share).select("seq_id", "label", "cluster_size", "is_anomaly")

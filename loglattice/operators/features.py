@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.ml.feature import VectorAssembler
+from pyspark.ml.feature import OneHotEncoder, VectorAssembler
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -14,9 +14,6 @@ from loglattice.operators.lookup import lookup
 from loglattice.operators.scaling import jitter, min_max
 from loglattice.session import materialize
 
-MAX_DUMMY_VALUES = 10_000
-
-
 def one_client(plane: DataFrame, client: str | int, column: str = "client_ip") -> DataFrame:
     """The rows of one client; the filter reaches the scan."""
     return plane.where(F.col(column) == client)
@@ -97,30 +94,11 @@ def _feature_columns(feature: str, compat: bool) -> dict[str, Column]:
             return {feature: F.col(feature)}
 
 
-def dummies(
-    df: DataFrame,
-    columns: Sequence[str],
-    values: dict[str, Sequence[str]] | None = None,
-    *,
-    max_values: int = MAX_DUMMY_VALUES,
-) -> DataFrame:
-    """Replace string columns by 0/1 columns ``column_value``, after the other columns.
+def dummies(df: DataFrame, columns: Sequence[str], values: dict[str, Sequence[str]]) -> DataFrame:
+    """Replace string columns by 0/1 columns ``column_value`` for the given values, after the other columns.
 
-    ``values`` fixes the values of a column; otherwise the observed ones are read first. A
-    column with more than ``max_values`` values is too wide for a table: use ``dummies_long``.
+    For values that are only in the data use ``sparse_dummies`` or ``dummies_long``.
     """
-    values = dict(values or {})
-    missing = [c for c in columns if c not in values]
-    if missing:
-        pairs = F.explode(
-            F.array(*[F.struct(F.lit(c).alias("c"), F.col(c).cast("string").alias("v")) for c in missing])
-        ).alias("p")
-        seen = df.select(pairs).select("p.c", "p.v").where("v is not null").distinct()
-        found = seen.limit(max_values + 1).collect()
-        if len(found) > max_values:
-            raise ValueError(f"more than {max_values} values in {missing}: use dummies_long")
-        for c in missing:
-            values[c] = sorted(r["v"] for r in found if r["c"] == c)
     kept = [c for c in df.columns if c not in columns]
     flags = [
         F.coalesce((F.col(c) == v).cast("double"), F.lit(0.0)).alias(f"{c}_{v}")
@@ -130,6 +108,47 @@ def dummies(
     return df.select(*kept, *flags)
 
 
+def dummy_values(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """``(feature, value, slot)``: the observed values of each column, numbered from 0 in their order; stored.
+
+    Values are range-partitioned and counted per partition, so neither a task nor the driver holds
+    them all: the driver sees one number per partition and column.
+    """
+    pairs = F.explode(F.array(*[F.struct(F.lit(c).alias("feature"), F.col(c).cast("string").alias("value")) for c in columns])).alias("p")
+    seen = df.select(pairs).select("p.*").where("value IS NOT NULL").distinct()
+    ranged = seen.repartitionByRange("feature", "value").sortWithinPartitions("feature", "value")
+    ranged = materialize(ranged.withColumn("at", F.monotonically_increasing_id()))
+    part = F.shiftright("at", 33).alias("part")
+    counts = ranged.groupBy("feature", part).agg(F.count(F.lit(1)).alias("n"), F.min("at").alias("first")).orderBy("feature", "part").collect()
+    starts, before = [], {}
+    for r in counts:
+        starts.append((r["feature"], r["part"], r["first"] - before.get(r["feature"], 0)))
+        before[r["feature"]] = before.get(r["feature"], 0) + r["n"]
+    offsets = df.sparkSession.createDataFrame(starts, "feature string, part long, low long")
+    numbered = ranged.withColumn("part", part).join(F.broadcast(offsets), ["feature", "part"])
+    return materialize(numbered.select("feature", "value", (F.col("at") - F.col("low")).cast("int").alias("slot")))
+
+
+def sparse_dummies(df: DataFrame, columns: Sequence[str], values: DataFrame | None = None) -> DataFrame:
+    """Replace string columns by sparse 0/1 vectors over their observed values; a null is all zeros.
+
+    ``values`` is the result of ``dummy_values`` (made here if missing), whose ``slot`` is the place in
+    the vector. Values that are not in it are all zeros, as null is.
+    """
+    values = dummy_values(df, columns) if values is None else values
+    seen = {r["feature"]: r["n"] for r in values.groupBy("feature").agg(F.count(F.lit(1)).alias("n")).collect()}
+    sizes = {c: max(seen.get(c, 0), 1) for c in columns}
+    order, slots = df.columns, [f"__slot_{c}" for c in columns]
+    for c, slot in zip(columns, slots):
+        own = values.where(F.col("feature") == c).select(F.col("value").alias(c), F.col("slot").alias(slot))
+        df = lookup(df.withColumn(c, F.col(c).cast("string")), own, [c])
+        df = df.withColumn(slot, F.coalesce(slot, F.lit(sizes[c])).cast("double"))
+    # The last category stands for a missing value and is the one that the encoder leaves out.
+    top = df.sparkSession.createDataFrame([tuple(float(sizes[c]) for c in columns)], ", ".join(f"`{s}` double" for s in slots))
+    encoder = OneHotEncoder(inputCols=slots, outputCols=[f"__hot_{c}" for c in columns], dropLast=True).fit(top)
+    return encoder.transform(df).select(*[F.col(f"__hot_{c}").alias(c) if c in columns else F.col(c) for c in order])
+
+
 def dummies_long(df: DataFrame, columns: Sequence[str], row_id: str = "row_id") -> DataFrame:
     """The non-zero dummies as ``(row_id, feature, x)``, for any number of values."""
     names = F.array(*[F.concat(F.lit(f"{c}_"), F.col(c).cast("string")) for c in columns])
@@ -150,11 +169,15 @@ def input_table(
     component: str = "query",
     compat: bool = False,
     row_id: str = "row_id",
+    keep: Sequence[str] = (),
 ) -> DataFrame:
-    """The numeric table of the requested features: ``row_id`` and DOUBLE columns.
+    """The numeric table of the requested features: ``row_id`` and DOUBLE columns, none of them null.
 
-    ``numeric`` names the features scaled to [0, 1]; string features become dummies; with
-    ``jittered`` every other column gets noise in [-0.5, 0.5) fixed by the row id.
+    ``numeric`` names the features scaled to [0, 1]. A value that is missing or no number becomes 0 and sets
+    the 0/1 column ``<name>_missing`` (for ``numeric`` features). String features become 0/1 columns of the values
+    given in ``values``, or else one sparse vector column over all observed values. With ``jittered`` every
+    plain column that is not scaled gets noise in [-0.5, 0.5) fixed by the row id. ``keep`` names columns of
+    ``plane`` to carry along, in one struct column ``kept``.
     """
     plane = _shared_parts(plane, features, component)
     flags = {"server_ip": ip_blacklist, "server_peer_name": host_blacklist}
@@ -171,20 +194,29 @@ def input_table(
             columns |= _feature_columns(feature, compat)
     for name in numeric:
         columns[name] = columns[name].try_cast("double")
-    table = plane.select(row_id, *[c.alias(n) for n, c in columns.items()])
-    text = [f.name for f in table.schema.fields if isinstance(f.dataType, T.StringType) and f.name != row_id]
-    plain = [c for c in table.columns if c != row_id and c not in text]
-    table = table.select(row_id, *[F.col(c).cast("double").alias(c) if c in plain else F.col(c) for c in table.columns if c != row_id])
+    fixed = [row_id, "kept"] if keep else [row_id]
+    carried = [F.struct(*keep).alias("kept")] if keep else []
+    table = plane.select(row_id, *carried, *[c.alias(n) for n, c in columns.items()])
+    text = [f.name for f in table.schema.fields if isinstance(f.dataType, T.StringType) and f.name not in fixed]
+    plain = [c for c in table.columns if c not in (*fixed, *text)]
+    table = table.select(*[F.col(c).cast("double").alias(c) if c in plain else F.col(c) for c in table.columns])
+    lacking = {f"{c}_missing": F.col(c).isNull().cast("double") for c in numeric}
+    table = table.withColumns(lacking) if numeric else table
     table = min_max(table, list(numeric)) if numeric else table
-    if text:
-        table = dummies(table, text, values)
+    table = table.fillna(0.0, plain)
+    given = [c for c in text if c in (values or {})]
+    if given:
+        table = dummies(table, given, values)
+    vectors = [c for c in text if c not in given]
+    if vectors:
+        table = sparse_dummies(table, vectors)
     if jittered:
-        loose = [c for c in table.columns if c not in (*numeric, row_id)]
+        loose = [c for c in table.columns if c not in (*numeric, *lacking, *vectors, *fixed)]
         table = jitter(table, loose, row_id=row_id, seed=seed)
     return table
 
 
 def assemble(table: DataFrame, columns: Sequence[str] | None = None, row_id: str = "row_id") -> DataFrame:
     """Add the ``features`` vector of ``columns`` (default: all but the row id)."""
-    columns = list(columns or [c for c in table.columns if c != row_id])
+    columns = list(columns or [c for c in table.columns if c not in (row_id, "kept")])
     return VectorAssembler(inputCols=columns, outputCol="features").transform(table)

@@ -67,18 +67,33 @@ def matrix(column: pa.Array, d: int) -> np.ndarray:
 
 
 def log_likelihoods(df: DataFrame, mixtures: Sequence[Mixture], features: str = "x") -> list[float]:
-    """Total log-likelihood of the rows under each mixture, all in one pass."""
+    """Total log-likelihood of the rows under each mixture, all in one pass.
+
+    A component that several mixtures share with the same weight (as those of ``merge_series`` do) is evaluated
+    once per row.
+    """
+    known: dict[tuple, int] = {}
+    single: list[Mixture] = []
+    parts: list[list[int]] = []
+    for m in mixtures:
+        keys = [(float(m.weights[j]), m.means[j].tobytes(), m.covs[j].tobytes()) for j in range(m.k)]
+        for j, key in enumerate(keys):
+            if key not in known:
+                known[key] = len(single)
+                single.append(Mixture(m.weights[[j]], m.means[[j]], m.covs[[j]]))
+        parts.append([known[key] for key in keys])
+    every = Mixture(*(np.concatenate([getattr(s, f) for s in single]) for f in ("weights", "means", "covs")))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums = np.zeros(len(mixtures))
         for batch in batches:
             if batch.num_rows:
-                x = matrix(batch.column(0), mixtures[0].d)
-                sums += [_log_sum(m.log_joint(x)).sum() for m in mixtures]
+                joint = every.log_joint(matrix(batch.column(0), every.d))
+                sums += [_log_sum(joint[:, own]).sum() for own in parts]
         yield pa.RecordBatch.from_pydict({"i": np.arange(len(mixtures), dtype=np.int32), "s": sums})
 
-    parts = df.select(features).mapInArrow(run, "i int, s double")
-    found = {r["i"]: r["s"] for r in parts.groupBy("i").agg(F.sum("s").alias("s")).collect()}
+    rows = df.select(features).mapInArrow(run, "i int, s double")
+    found = {r["i"]: r["s"] for r in rows.groupBy("i").agg(F.sum("s").alias("s")).collect()}
     return [found[i] for i in range(len(mixtures))]
 
 
@@ -106,6 +121,13 @@ def _series(values: np.ndarray):
     return pd.Series(values.astype("int32"))
 
 
+def column_means(df: DataFrame, column: str, d: int) -> np.ndarray:
+    """Means of an array column of length ``d``."""
+    entry = F.col(column)
+    row = df.agg(*[F.avg(entry[i]).alias(f"m{i}") for i in range(d)]).first()
+    return np.array([0.0 if v is None else v for v in row], dtype=float)
+
+
 def weighted_moments(
     df: DataFrame,
     mixture: Mixture | None,
@@ -117,17 +139,20 @@ def weighted_moments(
     k: int | None = None,
     diagonal: bool = False,
     floor: float = 0.0,
+    centre: np.ndarray | None = None,
 ) -> tuple[Mixture, float]:
     """Mixture estimated on ``target`` from the responsibilities of ``mixture`` on ``features``.
 
     With ``label`` instead of a mixture every row belongs to its label. Also returns the
-    log-likelihood of the rows under ``mixture`` (0 with labels).
+    log-likelihood of the rows under ``mixture`` (0 with labels). Sums are taken around ``centre`` (the mean of
+    ``target``, found in a pass of its own if not given), so that large values lose no digits.
     """
     target = target or features
     d_in = mixture.d if mixture is not None else 0
     d = target_d or d_in
     k = mixture.k if mixture is not None else k
     columns = [features if mixture is not None else label, target]
+    centre = column_means(df, target, d) if centre is None else centre
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         n, sx, total = np.zeros(k), np.zeros((k, d)), 0.0
@@ -135,7 +160,7 @@ def weighted_moments(
         for batch in batches:
             if not batch.num_rows:
                 continue
-            y = matrix(batch.column(1), d)
+            y = matrix(batch.column(1), d) - centre
             if mixture is None:
                 r = np.eye(k)[batch.column(0).to_numpy(zero_copy_only=False)]
             else:
@@ -168,7 +193,49 @@ def weighted_moments(
     else:
         covs = flat[1 + k + k * d :].reshape(k, d, d) / safe[:, None, None]
         covs = covs - means[:, :, None] * means[:, None, :] + floor * np.eye(d)
-    return Mixture(n / n.sum(), means, covs), float(flat[0])
+    return Mixture(n / n.sum(), means + centre, covs), float(flat[0])
+
+
+def _pair_costs(mixture: Mixture, j: int) -> np.ndarray:
+    """Costs of merging component ``j`` with each of those before it."""
+    w, m, c = mixture.weights, mixture.means, mixture.covs
+    total = w[:j] + w[j]
+    mean = (w[:j, None] * m[:j] + w[j] * m[j]) / total[:, None]
+    off_i, off_j = m[:j] - mean, m[j] - mean
+    spread_i = c[:j] + off_i[:, :, None] * off_i[:, None, :]
+    spread_j = c[j] + off_j[:, :, None] * off_j[:, None, :]
+    merged = (w[:j, None, None] * spread_i + w[j] * spread_j) / total[:, None, None]
+    log_det, own = np.linalg.slogdet(merged)[1], np.linalg.slogdet(c[: j + 1])[1]
+    return w[:j] * (log_det - own[:j]) + w[j] * (log_det - own[j])
+
+
+def merge_series(mixture: Mixture) -> list[Mixture]:
+    """The mixture and every one that ``merge_closest`` makes of it, down to a single component.
+
+    The costs of pairs stay as they are when others merge; only those of the new component are computed.
+    """
+    series = [mixture]
+    costs = np.full((mixture.k, mixture.k), np.inf)
+    for j in range(1, mixture.k):
+        costs[j, :j] = _pair_costs(mixture, j)
+    while series[-1].k > 1:
+        current = series[-1]
+        # Of equal costs the last pair by larger, then smaller index.
+        flat = current.k**2 - 1 - int(costs[::-1, ::-1].argmin())
+        j, i = divmod(flat, current.k)
+        keep = [c for c in range(current.k) if c not in (i, j)]
+        merged = merge_two(current, i, j)
+        new = Mixture(
+            np.append(current.weights[keep], merged.weights),
+            np.concatenate([current.means[keep], merged.means]),
+            np.concatenate([current.covs[keep], merged.covs]),
+        )
+        left = np.full((new.k, new.k), np.inf)
+        left[:-1, :-1] = costs[np.ix_(keep, keep)]
+        left[-1, :-1] = _pair_costs(new, new.k - 1)
+        costs = left
+        series.append(new)
+    return series
 
 
 def closest_pair(mixture: Mixture) -> tuple[int, int, Mixture]:
@@ -177,18 +244,14 @@ def closest_pair(mixture: Mixture) -> tuple[int, int, Mixture]:
     The cost is w_i ln(det C_ij / det C_i) + w_j ln(det C_ij / det C_j); of equal costs the
     last pair (by larger, then smaller index) counts.
     """
-    best: tuple[float, int, int, Mixture] | None = None
-    log_dets = np.linalg.slogdet(mixture.covs)[1]
+    best: tuple[float, int, int] | None = None
     for j in range(1, mixture.k):
-        for i in range(j):
-            merged = merge_two(mixture, i, j)
-            log_det = np.linalg.slogdet(merged.covs[0])[1]
-            cost = mixture.weights[i] * (log_det - log_dets[i]) + mixture.weights[j] * (log_det - log_dets[j])
+        for i, cost in enumerate(_pair_costs(mixture, j)):
             if best is None or cost <= best[0]:
-                best = (cost, i, j, merged)
+                best = (cost, i, j)
     if best is None:
         raise ValueError("a mixture of one component has no pair")
-    return best[1], best[2], best[3]
+    return best[1], best[2], merge_two(mixture, best[1], best[2])
 
 
 def merge_two(mixture: Mixture, i: int, j: int) -> Mixture:

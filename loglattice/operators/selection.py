@@ -7,12 +7,13 @@ of standardised columns, and only moments and model parameters come back.
 from __future__ import annotations
 
 import math
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Iterator, Sequence
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field, replace
 from typing import Any
 
 import numpy as np
+import pyarrow as pa
 from pyspark.ml.clustering import KMeans, KMeansModel
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import Column, DataFrame
@@ -37,22 +38,50 @@ class Moments:
     covs: np.ndarray  # (k, d, d), divided by n - 1
 
 
-def cluster_moments(df: DataFrame, columns: Sequence[str], label: str = "label") -> DataFrame:
-    """``(label, n, sum_<i>, sum_<i>_<j>)`` of the columns by number, in one aggregation."""
-    d = range(len(columns))
-    sums = [F.sum(columns[i]).alias(f"sum_{i}") for i in d]
-    products = [F.sum(F.col(columns[i]) * F.col(columns[j])).alias(f"sum_{i}_{j}") for i in d for j in d if i <= j]
-    return df.groupBy(label).agg(F.count(F.lit(1)).alias("n"), *sums, *products)
+def cluster_moments(
+    df: DataFrame, columns: Sequence[str], label: str = "label", centre: Sequence[float] | None = None
+) -> DataFrame:
+    """``(label, i, j, s)``: per cluster the row count (i = j = -1), the sums (j = -1) and the sums of products (i <= j).
+
+    Columns are numbered and taken relative to ``centre`` (default 0). Arrow batches are added up inside each
+    task, so a task hands on k d^2 / 2 numbers whatever its rows.
+    """
+    d = len(columns)
+    low = np.zeros(d) if centre is None else np.asarray(centre, dtype=float)
+    first, second = np.triu_indices(d)
+    at_i = np.concatenate([[-1], np.arange(d), first]).astype(np.int32)
+    at_j = np.concatenate([[-1], np.full(d, -1), second]).astype(np.int32)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[int, np.ndarray] = {}
+        for batch in batches:
+            labels, x = batch.column(0).to_numpy(zero_copy_only=False), mx.matrix(batch.column(1), d) - low
+            for k in np.unique(labels).tolist():
+                own = x[labels == k]
+                sums = np.concatenate([[len(own)], own.sum(axis=0), (own.T @ own)[first, second]])
+                held[k] = held.get(k, 0) + sums
+        for k, sums in held.items():
+            yield pa.RecordBatch.from_pydict({"label": pa.array([k] * len(sums), pa.int64()), "i": at_i, "j": at_j, "s": sums})
+
+    rows = df.where(F.col(label).isNotNull()).select(F.col(label).cast("long").alias("label"), _array(columns).cast("array<double>").alias("x"))
+    return rows.mapInArrow(run, "label long, i int, j int, s double").groupBy("label", "i", "j").agg(F.sum("s").alias("s"))
 
 
 def read_moments(table: DataFrame, d: int) -> Moments:
-    """Moments on the driver: one row per cluster."""
+    """Moments on the driver: k d^2 / 2 numbers; means are relative to the centre of ``table``."""
     rows = table.collect()
-    n = np.array([r["n"] for r in rows], dtype=float)
-    sx = np.array([[r[f"sum_{i}"] for i in range(d)] for r in rows]).reshape(len(rows), d)
-    sxx = np.array([[[r[f"sum_{min(i, j)}_{max(i, j)}"] for j in range(d)] for i in range(d)] for r in rows])
+    place = {k: n for n, k in enumerate(sorted({r["label"] for r in rows}))}
+    n, sx, sxx = np.zeros(len(place)), np.zeros((len(place), d)), np.zeros((len(place), d, d))
+    for r in rows:
+        k, i, j = place[r["label"]], r["i"], r["j"]
+        if i < 0:
+            n[k] = r["s"]
+        elif j < 0:
+            sx[k, i] = r["s"]
+        else:
+            sxx[k, i, j] = sxx[k, j, i] = r["s"]
     means = sx / n[:, None]
-    centred = sxx.reshape(len(rows), d, d) - n[:, None, None] * means[:, :, None] * means[:, None, :]
+    centred = sxx - n[:, None, None] * means[:, :, None] * means[:, None, :]
     return Moments(n, means, centred / np.maximum(n - 1, 1)[:, None, None])
 
 
@@ -71,7 +100,9 @@ def scatter(moments: Moments) -> float:
 
 
 def scatter_criterion(df: DataFrame, columns: Sequence[str], label: str = "label") -> float:
-    return scatter(read_moments(cluster_moments(df, columns, label), len(columns)))
+    """``scatter`` of the labels; sums are taken around the means of the columns, so large values lose no digits."""
+    centre = [v or 0.0 for v in df.agg(*[F.avg(c) for c in columns]).first()]
+    return scatter(read_moments(cluster_moments(df, columns, label, centre), len(columns)))
 
 
 def _array(columns: Sequence[str]) -> Column:
@@ -107,9 +138,7 @@ def em_clustering(
     """
     rows = df.count() if rows is None else rows
     data = df.select(_array(columns).alias("x"), array_to_vector(_array(columns)).alias("features"))
-    series = [full_gmm(data, max_clusters(rows), "features", seed)]
-    while series[-1].k > 1:
-        series.append(mx.merge_closest(series[-1]))
+    series = mx.merge_series(full_gmm(data, max_clusters(rows), "features", seed))
     totals = mx.log_likelihoods(data, series)
     scores = [mx.criterion(t, m, rows) for t, m in zip(totals, series)]
     best = max(range(len(series)), key=lambda i: (scores[i], i))
@@ -165,7 +194,8 @@ class Selection:
 def cross_mixture(df: DataFrame, found: Clustering, columns: Sequence[str]) -> mx.Mixture:
     """The clustering of ``found`` seen in other columns: responsibilities there, moments here."""
     data = df.select(_array(found.columns).alias("x"), _array(columns).alias("y"))
-    projected, _ = mx.weighted_moments(data, found.model, "x", target="y", target_d=len(columns))
+    options = dict(target="y", target_d=len(columns), floor=mx.COVARIANCE_FLOOR)
+    projected, _ = mx.weighted_moments(data, found.model, "x", **options)
     return projected
 
 

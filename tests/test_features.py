@@ -109,13 +109,31 @@ def test_jitter_ignores_partitioning(spark):
 
 def test_dummies(spark):
     df = spark.createDataFrame([(1, "x"), (2, "y"), (3, None)], "row_id long, c string")
-    rows = features.dummies(df, ["c"]).orderBy("row_id")
+    rows = features.dummies(df, ["c"], {"c": ["x", "y"]}).orderBy("row_id")
     assert rows.columns == ["row_id", "c_x", "c_y"]
     assert [tuple(r) for r in rows.collect()] == [(1, 1, 0), (2, 0, 1), (3, 0, 0)]
     long = {(r.row_id, r.feature) for r in features.dummies_long(df, ["c"]).collect()}
     assert long == {(1, "c_x"), (2, "c_y")}
-    with pytest.raises(ValueError):
-        features.dummies(df, ["c"], max_values=1)
+    sparse = features.sparse_dummies(df, ["c"]).orderBy("row_id").collect()
+    assert [r.c.toArray().tolist() for r in sparse] == [[1, 0], [0, 1], [0, 0]]
+
+
+def test_dummies_of_many_values(spark):
+    df = spark.range(12_000).select(F.col("id").alias("row_id"), F.concat(F.lit("v"), F.col("id")).alias("c"), F.lit(None).cast("string").alias("d"))
+    values = features.dummy_values(df, ["c", "d"])
+    slots = {r.value: r.slot for r in values.collect()}
+    assert [v for v, _ in sorted(slots.items(), key=lambda x: x[1])] == sorted(f"v{i}" for i in range(12_000))
+    assert set(slots.values()) == set(range(12_000))
+    rows = features.sparse_dummies(df, ["c", "d"], values).collect()
+    assert all(r.c.size == 12_000 and r.c.indices.tolist() == [slots[f"v{r.row_id}"]] and r.d.numNonzeros() == 0 for r in rows)
+
+
+def test_input_table_without_nulls(spark):
+    plane = spark.createDataFrame([(1, "200", "10", "r1"), (2, "200", "-", "r2"), (3, "404", "30", None)], "row_id long, status_to_client string, size_of_reply string, Referer string")
+    table = features.input_table(plane, ["status_to_client", "size_of_reply", "Referer"], ["size_of_reply"])
+    rows = {r.row_id: r for r in features.assemble(table).collect()}
+    assert [rows[i].size_of_reply for i in (1, 2, 3)] == [0, 0, 1] and [rows[i].size_of_reply_missing for i in (1, 2, 3)] == [0, 1, 0]
+    assert rows[1].features.size == rows[3].features.size and rows[3].Referer.numNonzeros() == 0
 
 
 @pytest.mark.parametrize("limit", [1 << 26, 0])
@@ -135,8 +153,9 @@ def test_input_table(spark):
     wanted = ["server_ip", "server_peer_name", "status_to_client", "size_of_reply", "request_method",
               "file_type", "URL_length", "server_IP_binary"]
     table = features.input_table(
-        plane, wanted, ["size_of_reply", "URL_length"], ip_blacklist=ips, host_blacklist=hosts
-    )
+        plane, wanted, ["size_of_reply", "URL_length"], ip_blacklist=ips, host_blacklist=hosts,
+        values={"request_method": ["GET", "POST"]},
+    )
     a, b = table.orderBy("row_id").collect()
     assert (a.server_ip, a.server_peer_name, a.size_of_reply, b.size_of_reply) == (1, 0, 1, 0)
     assert (a.URL_length, a.status_to_client_2, b.status_to_client_4, a.file_type_html) == (0, 1, 1, 1)
@@ -161,3 +180,18 @@ def test_native_lcs_and_ngrams(spark):
     assert got[0].s == pytest.approx(2 / 20**0.5) and got[2].s is None
     grams = df.select(similarity.ngrams(F.col("b"), 2)).first()[0]
     assert grams == [[-1, 0], [0, 3], [3, 2], [2, 1], [1, -1]]
+
+
+def test_a_separator_in_a_line_is_not_a_field(spark):
+    junk = "\u0001".join(str(i) for i in range(22))
+    marked = LINE.replace("text/html", "text/\u0001html")
+    plane = logs.parse_lines(lines_of(spark, [junk, marked, LINE])).orderBy("row_id").collect()
+    assert len(plane) == 2 and plane[0].MIME_content_type == "text/�html"
+    assert logs.quarantine(lines_of(spark, [junk, marked, LINE])).count() == 1
+
+
+def test_stored_name_is_not_taken_over(spark, tmp_path):
+    first = tables.store(spark.range(3), str(tmp_path), "ids")
+    with pytest.raises(Exception, match="exist"):
+        tables.store(spark.range(5), str(tmp_path), "ids")
+    assert first.count() == 3 and tables.store(spark.range(5), str(tmp_path), "ids", overwrite=True).count() == 5

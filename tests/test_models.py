@@ -43,8 +43,10 @@ def test_kmeans_sweep(spark, blobs, tmp_path):
     assert len(sizes) == 9 and all(sum(r.n for r in sizes if r.k == k) == 300 for k in (2, 3, 4))
     assert pure(labels.where("k = 3"), blobs)
     assert pure(cl.fit_predict(blobs, [3]), blobs)
-    tables.store_model(models[3], str(tmp_path), "km_3")
-    loaded = tables.load_model(KMeansModel, str(tmp_path), "km_3")
+    tables.store_model(spark, models[3], str(tmp_path), "km_3")
+    with pytest.raises(Exception, match="exist"):
+        tables.store_model(spark, models[3], str(tmp_path), "km_3")
+    loaded = tables.load_model(spark, KMeansModel, str(tmp_path), "km_3")
     assert cl.predict(blobs, {3: loaded}).exceptAll(labels.where("k = 3")).count() == 0
     centers = cl.centers_of(models[3], blobs)
     near = cl.nearest_center(blobs, centers).join(labels.where("k = 3").withColumnRenamed("label", "l"), "row_id")
@@ -83,6 +85,45 @@ def test_scatter_two_columns(blobs):
     assert got == pytest.approx(np.trace(np.linalg.inv(sw) @ sb))
 
 
+def test_scatter_of_large_values(spark):
+    rows = [(1e9 + i % 7 * 0.001 + (i % 2) * 0.002, i % 2) for i in range(100)]
+    small = [(x - 1e9, k) for x, k in rows]
+    near, far = (sel.scatter_criterion(spark.createDataFrame(r, "a double, label int"), ["a"]) for r in (small, rows))
+    assert far == pytest.approx(near, rel=1e-3)
+
+
+def test_mixture_of_large_values(spark):
+    rows = [([1e9 + i % 5 * 0.01], 0) for i in range(200)]
+    m, _ = mx.weighted_moments(spark.createDataFrame(rows, "x array<double>, label int"), None, label="label", k=1, target="x", target_d=1)
+    assert m.covs[0, 0, 0] == pytest.approx(2e-4, rel=1e-4) and m.means[0, 0] == pytest.approx(1e9 + 0.02)
+
+
+def test_search_with_a_constant_inside_clusters(spark):
+    rng = random.Random(3)
+    rows = [(i, float(i % 2), rng.gauss(5 * (i % 2), 0.3)) for i in range(200)]
+    found = sel.select_em(spark.createDataFrame(rows, "row_id long, flag double, a double"), ["flag", "a"])
+    assert found.clustering.clusters >= 1
+
+
+def test_merge_series_is_merging_again_and_again():
+    rng = np.random.default_rng(5)
+    roots = rng.normal(size=(9, 2, 2))
+    m = mx.Mixture(rng.dirichlet(np.ones(9)), rng.normal(size=(9, 2)) * 4, roots @ roots.transpose(0, 2, 1) + np.eye(2))
+    for got in mx.merge_series(m):
+        assert got.means == pytest.approx(m.means) and got.weights == pytest.approx(m.weights) and got.covs == pytest.approx(m.covs)
+        m = mx.merge_closest(m) if m.k > 1 else m
+    roots = rng.normal(size=(200, 2, 2))
+    many = mx.Mixture(np.full(200, 1 / 200), rng.normal(size=(200, 2)), roots @ roots.transpose(0, 2, 1) + np.eye(2))
+    assert len(mx.merge_series(many)) == 200
+
+
+def test_mixture_stored_and_loaded(spark, tmp_path):
+    m = mx.Mixture(np.array([0.25, 0.75]), np.array([[0.0, 1.0], [2.0, 3.0]]), np.array([np.eye(2), 2 * np.eye(2)]))
+    tables.store_model(spark, m, str(tmp_path), "mixture")
+    loaded = tables.load_model(spark, mx.Mixture, str(tmp_path), "mixture")
+    assert all((getattr(loaded, f) == getattr(m, f)).all() for f in ("weights", "means", "covs"))
+
+
 def test_closest_pair_golden():
     m = mx.Mixture(np.ones(3) / 3, np.array([[0.0], [1.0], [10.0]]), np.ones((3, 1, 1)))
     i, j, merged = mx.closest_pair(m)
