@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from loglattice.functions import fields, url
 from loglattice.operators import clustering, features, packets, scaling
+from loglattice.operators.sequences import by_client
 from loglattice.plans.detection import DetectionPlan
 from loglattice.plans.detection import run as run_detection
 from loglattice.session import shared_folder
@@ -153,7 +154,33 @@ _TYPES5 = ("click", "error", "purchase", "signup", "view")
     + " FROM events"
 )
 def dummies(spark, folder):
-    return features.dummies(table(spark, folder, "events").select("event_id", "event_type"), ["event_type"])
+    rows = table(spark, folder, "events").select("event_id", "event_type")
+    return features.dummies(rows, ["event_type"], {"event_type": _TYPES5})
+
+
+_ORDER_TEXT = "SELECT o_orderkey, CAST(o_orderkey AS VARCHAR) AS k, o_orderpriority AS p FROM orders"
+
+
+@query(
+    f"""WITH o AS ({_ORDER_TEXT}), v AS (SELECT DISTINCT 'k' AS feature, k AS value FROM o UNION SELECT DISTINCT 'p', p FROM o)
+SELECT feature, value, CAST(row_number() OVER (PARTITION BY feature ORDER BY value) - 1 AS INTEGER) AS slot FROM v"""
+)
+def dummy_values(spark, folder):
+    """Every order key as text (as many values as rows) and the priorities, numbered."""
+    rows = table(spark, folder, "orders").selectExpr("o_orderkey", "CAST(o_orderkey AS STRING) AS k", "o_orderpriority AS p")
+    return features.dummy_values(rows, ["k", "p"])
+
+
+@query(
+    f"""WITH o AS ({_ORDER_TEXT})
+SELECT o_orderkey, CAST(dense_rank() OVER (ORDER BY k) - 1 AS INTEGER) AS k, CAST(dense_rank() OVER (ORDER BY p) - 1 AS INTEGER) AS p,
+  CAST((SELECT count(DISTINCT k) FROM o) AS INTEGER) AS k_size FROM o"""
+)
+def dummy_vectors(spark, folder):
+    """The place of the one in the sparse vectors of the same columns."""
+    rows = table(spark, folder, "orders").selectExpr("o_orderkey", "CAST(o_orderkey AS STRING) AS k", "o_orderpriority AS p")
+    one, size = F.udf(lambda v: int(v.indices[0]), "int"), F.udf(lambda v: v.size, "int")
+    return features.sparse_dummies(rows, ["k", "p"]).select("o_orderkey", one("k").alias("k"), one("p").alias("p"), size("k").alias("k_size"))
 
 
 @query(
@@ -283,6 +310,22 @@ _KIND = [f"CAST(ext = '{t}' AS DOUBLE) AS file_type_{t}" for t in url.FILE_TYPES
 _KIND += [f"CAST(ext NOT IN ({_TYPES}) AS DOUBLE) AS file_type_other", "0.0::DOUBLE AS file_type_"]
 
 
+_MISSING = ", ".join(f"0.0::DOUBLE AS {c}_missing" for c in SCALED)
+_SIZES = """sizes AS (SELECT row_id, CASE WHEN status_to_client LIKE '4%' THEN NULL ELSE CAST(size_of_reply AS DOUBLE) END AS x FROM plane)"""
+
+
+@query(
+    with_(EVENTS_PLUS, PLANE, _SIZES)
+    + """SELECT row_id, round(coalesce((x - min(x) OVER ()) / nullif(max(x) OVER () - min(x) OVER (), 0), 0), 6) AS size_of_reply,
+  CAST(x IS NULL AS DOUBLE) AS size_of_reply_missing FROM sizes"""
+)
+def input_table_with_missing_sizes(spark, folder):
+    """Rows whose reply size is not known, as after a dash in the log line, get 0 and a flag."""
+    known = F.when(~F.col("status_to_client").startswith("4"), F.col("size_of_reply"))
+    rows = plane(spark, folder).withColumn("size_of_reply", known)
+    return rounded(features.input_table(rows, ["size_of_reply"], ["size_of_reply"]), "size_of_reply")
+
+
 @query(
     with_(
         EVENTS_PLUS,
@@ -300,14 +343,14 @@ _KIND += [f"CAST(ext NOT IN ({_TYPES}) AS DOUBLE) AS file_type_other", "0.0::DOU
   {_scaled_sql("length(uquery)", "URL_query_length")},
   {_scaled_sql("length(uquery) - length(replace(uquery, '=', ''))", "URL_query_key_number")},
   CAST(regexp_matches(url_from_client, '[0-9]{{1,3}}[.][0-9]{{1,3}}[.][0-9]{{1,3}}[.][0-9]{{1,3}}') AS DOUBLE) AS URL_have_IP,
-  {_BITS}, CAST(ok AS DOUBLE) AS ip_valid,
+  {_BITS}, CAST(ok AS DOUBLE) AS ip_valid, {_MISSING},
   {", ".join(f"CAST(Referer = '{t}' AS DOUBLE) AS Referer_{t}" for t in _TYPES5 if t != "error")} FROM full_"""
 )
 def input_table(spark, folder):
     """Lines parsed and turned into the numeric table of thirteen features."""
-    stored = tables.store(plane(spark, folder), shared_folder(spark), "plane")
+    stored = tables.store(plane(spark, folder), shared_folder(spark), tables.new_name("plane"))
     out = features.input_table(
-        stored, FEATURES, SCALED,
+        stored, FEATURES, SCALED, values={"Referer": [t for t in _TYPES5 if t != "error"]},
         ip_blacklist=_ip_list(spark, folder), host_blacklist=_host_list(spark, folder),
     )
     return rounded(out, *SCALED)
@@ -397,13 +440,38 @@ def http_reply_packets(spark, folder):
     return packets.reply_packets(packet_table(spark, folder))
 
 
-@query()
+_CHUNKED = """chunked AS (SELECT client_ip, row_number() OVER (PARTITION BY client_ip ORDER BY ts_us, row_id) - 1 AS rn,
+  count(*) OVER (PARTITION BY client_ip) AS n FROM plane),
+chunks AS (SELECT DISTINCT client_ip || '_' || CAST(rn // 10 AS VARCHAR) AS seq_id FROM chunked WHERE n - (rn // 10) * 10 >= 2)"""
+
+
+@query(
+    with_(EVENTS_PLUS, PLANE, _CHUNKED)
+    + "SELECT seq_id, eps, true AS scored, true AS flag_fits FROM chunks, (VALUES (1.5::DOUBLE), (2.5::DOUBLE)) e(eps)"
+)
 def log_to_anomalies(spark, folder):
-    """Every stage from log lines to flagged chunks of client sequences."""
-    stored = tables.store(plane(spark, folder), shared_folder(spark), "detection_plane")
+    """Every stage from log lines to flagged chunks of client sequences: which chunks are judged, at which thresholds."""
+    stored = tables.store(plane(spark, folder), shared_folder(spark), tables.new_name("detection_plane"))
     plan = DetectionPlan(
         features=("size_of_reply", "response_time", "URL_length", "file_type", "status_to_client"),
         numeric=("size_of_reply", "response_time", "URL_length"),
         mode="chunk", eps=(1.5, 2.5), detector_options={"max_length": 10},
     )
-    return run_detection(stored, plan)
+    flags = run_detection(stored, plan)
+    fits = (F.col("score") > F.col("eps")) == F.col("is_anomaly")
+    return flags.select("seq_id", "eps", (F.col("score") >= 0).alias("scored"), fits.alias("flag_fits"))
+
+
+@query(
+    with_(EVENTS_PLUS, PLANE)
+    + """SELECT row_id, client_ip, row_number() OVER (PARTITION BY client_ip ORDER BY ts_us, row_id) - 1 AS pos FROM plane"""
+)
+def log_files_in_order(spark, folder):
+    """Lines written as text files, read back as a log; the place of each line among those of its client."""
+    path = f"{shared_folder(spark).rstrip('/')}/{tables.new_name('lines')}"
+    lines = log_lines(spark, folder)
+    tagged = F.concat_ws(" ", "value", F.concat(F.lit("row="), F.col("row_id")))
+    lines.repartitionByRange(4, "row_id").sortWithinPartitions("row_id").select(tagged.alias("value")).write.text(path)
+    read = logs.read_lines(spark, path).withColumn("line", F.regexp_extract("value", r"row=(\d+)$", 1).cast("long"))
+    placed = by_client(logs.parse_lines(read), order=logs.FILE_ORDER, state="line", keep=["client_ip"])
+    return placed.select(F.col("state").alias("row_id"), "client_ip", "pos")

@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
+import numpy as np
+from pyspark.ml.clustering import KMeansModel
 from pyspark.sql import functions as F
 
 from loglattice.operators import clustering, dbscan, selection
 from loglattice.operators import mixture as mx
 from loglattice.operators.scaling import z_score
-from loglattice.session import shared_folder
+from loglattice.session import materialize, shared_folder
 from loglattice.sources import tables
-from pyspark.ml.clustering import KMeansModel
+from workload.hash_sql import hashed
 from workload.registry import query, rounded, table, with_
 
 
@@ -19,7 +21,7 @@ def vectors(spark, folder):
         F.col("vec_id").alias("row_id"),
         "label",
         F.col("embedding").cast("array<double>").alias("x"),
-        *[F.col("embedding")[i].cast("double").alias(f"e{i}") for i in range(4)],
+        *[F.col("embedding")[i].cast("double").alias(f"e{i}") for i in range(64)],
     )
 
 
@@ -65,20 +67,35 @@ def _learnable(spark, folder):
     return clustering.with_vector(vectors(spark, folder), "x")
 
 
-@query()
+_TEST = f"""test AS (SELECT x AS row_id FROM ({hashed("SELECT vec_id AS x FROM embeddings", 4)})
+  WHERE (CASE WHEN h >= 9223372036854775808::UHUGEINT THEN h + 4 ELSE h END) % 10 = 0)"""
+
+
+def _given_is_nearest(rows, models):
+    """``(k, row_id, nearest)``: whether a model's label is the centre that is nearest by distance."""
+    labels = clustering.predict(rows, models)
+    out = None
+    for k, model in models.items():
+        near = clustering.nearest_center(rows, clustering.centers_of(model, rows)).select("row_id", F.col("label").alias("near"))
+        one = labels.where(F.col("k") == k).join(near, "row_id")
+        one = one.select(F.col("k").cast("long").alias("k"), "row_id", (F.col("label") == F.col("near")).alias("nearest"))
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+@query("SELECT k, vec_id AS row_id, true AS nearest FROM embeddings, (SELECT unnest(range(2, 7)) AS k)")
 def kmeans_sweep(spark, folder):
-    """Train on one part, label every row, report the sizes for each k."""
+    """Train on one part, label every row for each k: each label is the nearest centre."""
     rows = _learnable(spark, folder)
     train, _ = clustering.train_test(rows)
-    labels = clustering.predict(rows, clustering.kmeans_sweep(train))
-    return clustering.label_sizes(labels, clustering.DEFAULT_K)
+    return _given_is_nearest(rows, clustering.kmeans_sweep(train))
 
 
 @query("SELECT k, (SELECT count(*) FROM embeddings) AS n, k AS labels FROM (SELECT unnest(range(2, 7)) AS k)")
 def kmeans_totals(spark, folder):
     """Every row has one label for every k, and every label is a number below k."""
     rows = _learnable(spark, folder)
-    labels = clustering.predict(rows, clustering.kmeans_sweep(rows, max_iter=5))
+    labels = clustering.predict(rows, clustering.kmeans_sweep(rows))
     sizes = clustering.label_sizes(labels, clustering.DEFAULT_K)
     totals = sizes.groupBy("k").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("labels"))
     return totals.select(F.col("k").cast("long").alias("k"), "n", "labels")
@@ -88,47 +105,93 @@ def kmeans_totals(spark, folder):
 def kmeans_labels_are_nearest(spark, folder):
     """The label a fitted model gives a row is the centre that is nearest to it."""
     rows = _learnable(spark, folder)
-    models = clustering.kmeans_sweep(rows, [8], max_iter=5)
-    near = clustering.nearest_center(rows, clustering.centers_of(models[8], rows))
-    labels = clustering.predict(rows, models).select("row_id", F.col("label").alias("given"))
-    return near.join(labels, "row_id").select("row_id", (F.col("label") == F.col("given")).alias("nearest"))
+    return _given_is_nearest(rows, clustering.kmeans_sweep(rows, [8])).select("row_id", "nearest")
 
 
-@query()
+@query(with_(_TEST) + "SELECT k, row_id, true AS nearest FROM test, (SELECT unnest(range(2, 7)) AS k)")
 def kmeans_test_labels(spark, folder):
+    """Labels of the held-out rows: which rows those are, and that each label is the nearest centre."""
     train, test = clustering.train_test(_learnable(spark, folder))
-    return clustering.predict(test, clustering.kmeans_sweep(train))
+    return _given_is_nearest(test, clustering.kmeans_sweep(train))
 
 
-@query()
+@query("SELECT unnest(range(0, 10)) AS label, true AS centre_is_mean")
 def kmeans_fit_predict(spark, folder):
-    return clustering.fit_predict(_learnable(spark, folder), [10])
-
-
-@query()
-def kmeans_stored_and_loaded(spark, folder):
+    """At convergence the ten centres are the means of the rows that have their label."""
     rows = _learnable(spark, folder)
-    models = clustering.kmeans_sweep(rows, [5])
-    tables.store_model(models[5], shared_folder(spark), "km_5")
-    loaded = tables.load_model(KMeansModel, shared_folder(spark), "km_5")
-    return clustering.predict(rows, {5: loaded})
-
-
-def _coordinates(spark, folder):
-    return clustering.with_vector(plane_points(spark, folder, "e0", "e1", "e2"), "x")
+    labelled = rows.drop("label").join(clustering.fit_predict(rows, [10], tol=1e-9, max_iter=300), "row_id")
+    means = labelled.select("label", F.posexplode("x").alias("i", "v")).groupBy("label", "i").agg(F.avg("v").alias("m"))
+    entries = F.array_sort(F.collect_list(F.struct("i", "m")))
+    means = means.groupBy(F.col("label").alias("mean_of")).agg(F.transform(entries, lambda e: e["m"]).alias("m"))
+    model = clustering.kmeans_sweep(rows, [10], tol=1e-9, max_iter=300)[10]
+    pairs = means.join(clustering.centers_of(model, rows), F.col("mean_of") == F.col("center"))
+    far = F.aggregate(F.zip_with("m", "c", lambda a, b: F.abs(a - b)), F.lit(0.0), lambda acc, v: F.greatest(acc, v))
+    return pairs.select(F.col("center").cast("long").alias("label"), (far < 1e-6).alias("centre_is_mean"))
 
 
-@query()
+@query("SELECT vec_id AS row_id, true AS same FROM embeddings")
+def kmeans_stored_and_loaded(spark, folder):
+    """A stored model labels every row as the one it was stored from."""
+    rows, name = _learnable(spark, folder), tables.new_name("km_5")
+    model = clustering.kmeans_sweep(rows, [5])[5]
+    tables.store_model(spark, model, shared_folder(spark), name)
+    loaded = tables.load_model(spark, KMeansModel, shared_folder(spark), name)
+    both = clustering.add_label(clustering.add_label(rows, model, label="a"), loaded, label="b")
+    return both.select("row_id", (F.col("a") == F.col("b")).alias("same"))
+
+
+@query("SELECT vec_id AS row_id, true AS same FROM embeddings")
+def mixture_stored_and_loaded(spark, folder):
+    """A stored mixture over all 64 coordinates labels every row as the one it was stored from."""
+    rows, name = _learnable(spark, folder), tables.new_name("gmm_4")
+    model = clustering.gmm_sweep(rows, [4])[4]
+    tables.store_model(spark, model, shared_folder(spark), name)
+    loaded = tables.load_model(spark, mx.Mixture, shared_folder(spark), name)
+    both = clustering.add_label(clustering.add_label(rows, model, label="a"), loaded, label="b")
+    return both.select("row_id", (F.col("a") == F.col("b")).alias("same"))
+
+
+def _log_joint(m, x):
+    """log(weight * density) of every component as an array, from the inverse covariances."""
+
+    def one(j):
+        inverse = np.linalg.inv(m.covs[j])
+        off = [x[i] - float(v) for i, v in enumerate(m.means[j])]
+        form = sum((off[a] * off[b] * float(inverse[a, b]) for a in range(m.d) for b in range(m.d) if inverse[a, b]), F.lit(0.0))
+        constant = np.log(m.weights[j]) - 0.5 * (np.linalg.slogdet(m.covs[j])[1] + m.d * np.log(2 * np.pi))
+        return F.lit(float(constant)) - 0.5 * form
+
+    return F.array(*[one(j) for j in range(m.k)])
+
+
+def _given_is_likeliest(rows, models):
+    """``(k, row_id, likeliest)``: no component of the model gives the row a higher density than its label's.
+
+    The densities are worked out in columns from the inverse covariances.
+    """
+    labels, out = clustering.predict(rows, models), None
+    for k, m in models.items():
+        one = rows.drop("label").join(labels.where(F.col("k") == k), "row_id").withColumn("j", _log_joint(m, [F.col("x")[i] for i in range(m.d)]))
+        likeliest = F.get("j", F.col("label")) >= F.array_max("j") - 1e-6
+        one = one.select(F.col("k").cast("long").alias("k"), "row_id", likeliest.alias("likeliest"))
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+@query("SELECT k, vec_id AS row_id, true AS likeliest FROM embeddings, (SELECT unnest(range(2, 7)) AS k)")
 def gmm_diagonal_sweep(spark, folder):
-    rows = _coordinates(spark, folder)
+    """Diagonal mixtures of all 64 coordinates, trained on one part: every row has its likeliest component."""
+    rows = _learnable(spark, folder)
     train, _ = clustering.train_test(rows)
-    return clustering.label_sizes(clustering.predict(rows, clustering.gmm_sweep(train)), clustering.DEFAULT_K)
+    return _given_is_likeliest(rows, clustering.gmm_sweep(train))
 
 
-@query()
+@query(with_(_TEST) + "SELECT k, row_id, true AS likeliest FROM test, (SELECT unnest(range(2, 7)) AS k)")
 def gmm_full_test_labels(spark, folder):
-    train, test = clustering.train_test(_coordinates(spark, folder))
-    return clustering.predict(test, clustering.gmm_sweep(train, covariance="full"))
+    """Full mixtures of three coordinates; held-out rows have their likeliest component."""
+    rows = clustering.with_vector(plane_points(spark, folder, "e0", "e1", "e2"), "x")
+    train, test = clustering.train_test(rows)
+    return _given_is_likeliest(test, clustering.gmm_sweep(train, covariance="full"))
 
 
 EPS = 0.02
@@ -188,13 +251,16 @@ def neighbours_within_eps(spark, folder):
 
 
 @query(
-    with_(E)
-    + """SELECT label, count(*) AS n, round(sum(e0), 6) AS sum_0, round(sum(e1), 6) AS sum_1,
-  round(sum(e0 * e0), 6) AS sum_0_0, round(sum(e0 * e1), 6) AS sum_0_1, round(sum(e1 * e1), 6) AS sum_1_1 FROM e GROUP BY label"""
+    """WITH long_ AS (SELECT vec_id, label, unnest(range(0, 64)) AS i, CAST(unnest(embedding) AS DOUBLE) AS v FROM embeddings)
+SELECT label, -1 AS i, -1 AS j, CAST(count(*) AS DOUBLE) AS s FROM embeddings GROUP BY label
+UNION ALL SELECT label, CAST(i AS INTEGER), -1, round(sum(v), 6) FROM long_ GROUP BY label, i
+UNION ALL SELECT a.label, CAST(a.i AS INTEGER), CAST(b.i AS INTEGER), round(sum(a.v * b.v), 6) FROM long_ a JOIN long_ b ON a.vec_id = b.vec_id AND a.i <= b.i
+  GROUP BY a.label, a.i, b.i"""
 )
 def cluster_moments(spark, folder):
-    sums = selection.cluster_moments(vectors(spark, folder), ["e0", "e1"])
-    return rounded(sums, "sum_0", "sum_1", "sum_0_0", "sum_0_1", "sum_1_1")
+    """Counts, sums and sums of products of all 64 coordinates per label."""
+    sums = selection.cluster_moments(vectors(spark, folder), [f"e{i}" for i in range(64)])
+    return rounded(sums.withColumn("label", F.col("label").cast("int")), "s")
 
 
 MOMENTS = """m AS (SELECT label, count(*) AS n, avg(e0) AS m0, avg(e1) AS m1, count(*) / sum(count(*)) OVER () AS w,
@@ -305,8 +371,8 @@ def merged_components(spark, folder):
         "mu AS (SELECT j, sum(r) AS n, sum(r * e1) / sum(r) AS m0, sum(r * e2) / sum(r) AS m1 FROM resp GROUP BY j)",
     )
     + """SELECT resp.j AS component, round(any_value(n) / (SELECT count(*) FROM e), 6) AS weight, round(any_value(m0), 6) AS m0,
-  round(any_value(m1), 6) AS m1, round(sum(r * (e1 - m0) * (e1 - m0)) / any_value(n), 6) AS c00,
-  round(sum(r * (e1 - m0) * (e2 - m1)) / any_value(n), 6) AS c01, round(sum(r * (e2 - m1) * (e2 - m1)) / any_value(n), 6) AS c11
+  round(any_value(m1), 6) AS m1, round(sum(r * (e1 - m0) * (e1 - m0)) / any_value(n) + 1e-6, 6) AS c00,
+  round(sum(r * (e1 - m0) * (e2 - m1)) / any_value(n), 6) AS c01, round(sum(r * (e2 - m1) * (e2 - m1)) / any_value(n) + 1e-6, 6) AS c11
   FROM resp JOIN mu ON resp.j = mu.j GROUP BY resp.j"""
 )
 def cross_projected_mixture(spark, folder):
@@ -338,47 +404,107 @@ def gmm_diagonal_step(spark, folder):
     return _mixture_table(spark, mx.weighted_moments(rows, start, **options)[0])
 
 
-COLUMNS = ("e0", "e1", "e2")
+# Numeric profile of every customer: all numeric columns of the table and two sums over the orders.
+COLUMNS = ("acctbal", "nation", "orders", "spent")
 
 
-def _clusterings(spark, found):
-    rows = [(",".join(c.columns), c.clusters, float(c.score)) for c in found]
-    return spark.createDataFrame(rows, "columns string, clusters int, score double")
+def profiles(spark, folder):
+    """``(row_id, COLUMNS)`` of all customers."""
+    bought = table(spark, folder, "orders").groupBy("o_custkey").agg(F.count(F.lit(1)).alias("orders"), F.sum("o_totalprice").alias("spent"))
+    rows = table(spark, folder, "customer").join(bought, F.col("c_custkey") == F.col("o_custkey"), "left")
+    return rows.select(
+        F.col("c_custkey").alias("row_id"),
+        F.col("c_acctbal").cast("double").alias("acctbal"),
+        F.col("c_nationkey").cast("double").alias("nation"),
+        *[F.coalesce(F.col(c).cast("double"), F.lit(0.0)).alias(c) for c in ("orders", "spent")],
+    )
+
+
+def _standard(spark, folder):
+    """The standardised profile and its row count, stored."""
+    data = materialize(z_score(profiles(spark, folder), COLUMNS))
+    return data, data.count()
+
+
+def _score_of_labels(data, rows, found, criterion):
+    """The score of a clustering again, from the labels or densities it gives every row."""
+    if criterion == "ML":
+        m = found.model
+        joint = data.select(_log_joint(m, [F.col(c) for c in found.columns]).alias("j"))
+        top = F.array_max("j")
+        one = top + F.log(F.aggregate("j", F.lit(0.0), lambda acc, v: acc + F.exp(v - top)))
+        return 2 * joint.agg(F.sum(one)).first()[0] - m.parameters() * np.log(rows)
+    labelled = found.labelled(data)
+    columns = list(found.columns)
+    mean = labelled.agg(*[F.avg(c) for c in columns]).first()
+    inside, between = np.zeros((len(columns),) * 2), np.zeros((len(columns),) * 2)
+    aggs = [F.avg(c) for c in columns] + [F.covar_samp(a, b) for a in columns for b in columns]
+    for r in labelled.groupBy("label").agg(F.count(F.lit(1)), *aggs).collect():
+        share, off = r[1] / rows, np.array(r[2 : 2 + len(columns)]) - np.array(mean)
+        if r[1] > 1:
+            inside += share * np.array(r[2 + len(columns) :]).reshape(inside.shape)
+        between += share * np.outer(off, off)
+    return float(np.trace(np.linalg.pinv(inside) @ between)) if found.clusters > 1 else 0.0
+
+
+def _holds(data, rows, found, criterion):
+    """Whether the number of clusters is in range and the score is that of the labels."""
+    again = _score_of_labels(data, rows, found, criterion)
+    return 1 <= found.clusters <= selection.max_clusters(rows) and bool(np.isclose(found.score, again, rtol=1e-6, atol=1e-6))
 
 
-@query()
+def _outcome(spark, rows, names="columns string, score_holds boolean"):
+    return spark.createDataFrame(rows, names)
+
+
+@query("SELECT 'acctbal,nation,orders,spent' AS columns, true AS score_holds")
 def em_clustering(spark, folder):
-    data = z_score(vectors(spark, folder), COLUMNS).persist()
-    return _clusterings(spark, [selection.em_clustering(data, ["e0", "e1"])])
+    data, rows = _standard(spark, folder)
+    found = selection.em_clustering(data, COLUMNS, rows=rows)
+    return _outcome(spark, [(",".join(found.columns), _holds(data, rows, found, "ML"))])
 
 
-@query()
+@query("SELECT 'acctbal,nation,orders,spent' AS columns, true AS score_holds")
 def km_clustering(spark, folder):
-    data = z_score(vectors(spark, folder), COLUMNS).persist()
-    return _clusterings(spark, [selection.km_clustering(data, ["e0", "e1"])])
+    data, rows = _standard(spark, folder)
+    found = selection.km_clustering(data, COLUMNS, rows=rows)
+    return _outcome(spark, [(",".join(found.columns), _holds(data, rows, found, "SS"))])
 
 
-@query()
+@query("SELECT true AS score_holds, true AS best")
 def forward_step(spark, folder):
-    data = z_score(vectors(spark, folder), COLUMNS).persist()
-    rows = data.count()
-    best = selection.forward_step(COLUMNS, ["e0"], lambda c: selection.km_clustering(data, c, rows=rows))
-    return _clusterings(spark, [best])
+    """The step from one chosen column: no other column to add scores higher."""
+    data, rows = _standard(spark, folder)
+    cluster = lambda c: selection.km_clustering(data, c, rows=rows)
+    best = selection.forward_step(COLUMNS, ["orders"], cluster)
+    others = [cluster([c for c in COLUMNS if c in ("orders", new)]) for new in COLUMNS if new != "orders"]
+    fits = best.columns in [o.columns for o in others] and all(best.score >= o.score for o in others)
+    return _outcome(spark, [(_holds(data, rows, best, "SS"), fits)], "score_holds boolean, best boolean")
+
+
+def _searched(spark, folder, search, criterion):
+    """Priorities 1..m of the chosen columns, 0 of the others, and the score of the clustering of those."""
+    data, rows = _standard(spark, folder)
+    found = search(data)
+    chosen = sorted(p for p in found.priority.values() if p)
+    ranked = chosen == list(range(1, len(chosen) + 1)) and {c for c, p in found.priority.items() if p} == set(found.columns)
+    holds = _holds(data, rows, found.clustering, criterion)
+    return _outcome(spark, [(c, ranked, holds) for c in found.priority], "feature string, ranked boolean, score_holds boolean")
+
+
+_SEARCHED = "SELECT unnest(['acctbal', 'nation', 'orders', 'spent']) AS feature, true AS ranked, true AS score_holds"
 
 
-@query()
+@query(_SEARCHED)
 def feature_selection_em(spark, folder):
-    data = vectors(spark, folder)
-    return selection.priorities(data, selection.select_em(data, COLUMNS))
+    return _searched(spark, folder, lambda data: selection.select_em(data, COLUMNS), "ML")
 
 
-@query()
+@query(_SEARCHED)
 def feature_selection_em_scatter(spark, folder):
-    data = vectors(spark, folder)
-    return selection.priorities(data, selection.select_em(data, COLUMNS, criterion="SS"))
+    return _searched(spark, folder, lambda data: selection.select_em(data, COLUMNS, criterion="SS"), "SS")
 
 
-@query()
+@query(_SEARCHED)
 def feature_selection_km(spark, folder):
-    data = vectors(spark, folder)
-    return selection.priorities(data, selection.select_km(data, COLUMNS))
+    return _searched(spark, folder, lambda data: selection.select_km(data, COLUMNS), "SS")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from loglattice.operators import evaluate, transitions
@@ -241,9 +242,14 @@ def frequency_vectors(spark, folder):
     return rounded(frequency.frequency_vectors(sq.by_chunk(visits(spark, folder)), C, max_length=10), "x")
 
 
-@query()
+@query(with_(VISITS, CHUNK_SEQS) + "SELECT DISTINCT seq_id, true AS labelled, true AS size_holds, true AS flag_holds FROM seqs")
 def frequency_clusters(spark, folder):
-    return frequency.detect(sq.by_chunk(visits(spark, folder)), C, 4, min_share=0.2, max_length=10)
+    """Every chunk with a transition is in a cluster; sizes and flags are those of the labels."""
+    found = frequency.detect(sq.by_chunk(visits(spark, folder)), C, 4, min_share=0.2, max_length=10)
+    whole, all_ = Window.partitionBy("label"), found.select(F.count(F.lit(1))).scalar()
+    size = F.count(F.lit(1)).over(whole)
+    checked = found.withColumns({"size_holds": size == F.col("cluster_size"), "flag_holds": (size / all_ < 0.2) == F.col("is_anomaly")})
+    return checked.select("seq_id", F.col("label").between(0, 3).alias("labelled"), "size_holds", "flag_holds")
 
 
 @query(
@@ -450,5 +456,5 @@ def evaluation_detection_rates(spark, folder):
 @query(with_(VISITS) + "SELECT server_ip, count(*) AS n FROM visits GROUP BY server_ip")
 def table_stored_and_loaded(spark, folder):
     """The visits written as a partitioned table to the shared folder and read back."""
-    stored = tables.store(visits(spark, folder), shared_folder(spark), "visits", partition_by=["server_ip"])
+    stored = tables.store(visits(spark, folder), shared_folder(spark), tables.new_name("visits"), partition_by=["server_ip"])
     return stored.groupBy("server_ip").agg(F.count(F.lit(1)).alias("n"))
