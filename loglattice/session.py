@@ -26,6 +26,8 @@ def build_session(app: str = "loglattice", master: str | None = None, **conf: st
         # Also where the join's partitioning would have served the next step: a hot key costs more.
         "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
         "spark.sql.execution.arrow.pyspark.enabled": "true",
+        # Stored intermediate tables go once nothing refers to them.
+        "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
     }
     settings.update({k.replace("__", "."): v for k, v in conf.items()})
     for key, value in settings.items():

@@ -28,6 +28,8 @@ def test_transitions_continue_across_batches(spark, tmp_path):
         query.processAllAvailable()
         write([(3, "a", 30, 2), (4, "b", 40, 3)])
         query.processAllAvailable()
+        write([(5, "a", 1, 0), (6, "a", 35, None)])  # too late for its client; no label
+        query.processAllAvailable()
         got = {(r.client_ip, r.from_state, r.to_state): r.surprise for r in spark.table("surprise").collect()}
     finally:
         query.stop()

@@ -430,6 +430,33 @@ def http_transactions(spark, folder):
     return found.drop("timestamp", "request_status", "user_name", "hierarchy_status")
 
 
+@query(
+    with_(EVENTS_PLUS, _TALK)
+    + """SELECT event_id * 10 AS request, round(t, 3) AS asked, CASE WHEN found THEN round(t + 0.25, 3) END AS answered,
+  CASE WHEN NOT found THEN CAST(event_id * 10 AS VARCHAR) WHEN event_type = 'purchase' THEN concat(event_id * 10, ',', event_id * 10 + 2, ',', event_id * 10 + 4)
+    ELSE concat(event_id * 10, ',', event_id * 10 + 4) END AS packets FROM talk"""
+)
+def http_transaction_packets(spark, folder):
+    """When each request was sent and answered, and the packets of both."""
+    found = packets.transactions(packet_table(spark, folder), with_index=True)
+    return found.select(
+        "request", F.round(F.col("timestamp")[0], 3).alias("asked"), F.round(F.get("timestamp", F.lit(1)), 3).alias("answered"),
+        F.array_join(F.col("index").cast("array<string>"), ",").alias("packets"),
+    )
+
+
+@query(
+    with_(EVENTS_PLUS, _TALK)
+    + """SELECT event_id * 10 AS request, head || CASE WHEN event_type = 'purchase' THEN body ELSE '' END AS data FROM talk WHERE found"""
+)
+def http_reply_data(spark, folder):
+    """The bytes of every reply, its pieces put together in order."""
+    pieces = packets.reply_data(packet_table(spark, folder))
+    ordered = F.array_sort(F.collect_list(F.struct("start", F.col("payload").cast("string").alias("text"))))
+    whole = pieces.groupBy("request").agg(ordered.alias("parts"))
+    return whole.select("request", F.array_join(F.transform("parts", lambda p: p["text"]), "").alias("data"))
+
+
 @query(
     with_(EVENTS_PLUS, _TALK)
     + """SELECT event_id * 10 AS request, event_id * 10 + 4 AS idx, CAST(0 AS BIGINT) AS start, length(head) AS fresh

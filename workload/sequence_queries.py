@@ -32,11 +32,21 @@ def distinct_clients(spark, folder):
     return visits(spark, folder).select("client_ip").distinct()
 
 
+@query(with_(VISITS) + "SELECT DISTINCT server_ip FROM visits")
+def distinct_servers(spark, folder):
+    return visits(spark, folder).select("server_ip").distinct()
+
+
 @query(with_(VISITS, CLIENT_SEQS) + EMIT)
 def seq_by_client(spark, folder):
     return sq.by_client(visits(spark, folder))
 
 
+@query(with_(VISITS, CLIENT_SEQS) + EMIT)
+def seq_without_gap(spark, folder):
+    return sq.by_time_gap(visits(spark, folder), gap=None)
+
+
 @query(
     with_(
         VISITS,
@@ -67,6 +77,23 @@ def seq_pair(spark, folder):
     return sq.by_pair(visits(spark, folder))
 
 
+@query(
+    with_(
+        VISITS,
+        """marked AS (SELECT *, CASE WHEN lag(server_ip) OVER (PARTITION BY client_ip ORDER BY ts, row_id)
+  IS DISTINCT FROM server_ip THEN 1 ELSE 0 END AS opens FROM visits),
+runs AS (SELECT *, sum(opens) OVER (PARTITION BY client_ip ORDER BY ts, row_id) AS run,
+  sum(opens) OVER (PARTITION BY client_ip, server_ip ORDER BY ts, row_id) - 1 AS nth FROM marked)""",
+    )
+    + """SELECT client_ip || '_' || server_ip || '_' || CASE WHEN nth < 1000 THEN lpad(CAST(nth AS VARCHAR), 3, '0')
+    ELSE CAST(nth AS VARCHAR) END AS seq_id,
+  row_number() OVER (PARTITION BY client_ip, run ORDER BY ts, row_id) - 1 AS pos, label AS state FROM runs
+  QUALIFY run < max(run) OVER (PARTITION BY client_ip)"""
+)
+def seq_runs_but_the_last(spark, folder):
+    return sq.by_server_run(visits(spark, folder), drop_last_run=True)
+
+
 @query(
     with_(
         VISITS,
