@@ -24,9 +24,21 @@ def whole_text(column: str = "text") -> Column:
     return F.coalesce(F.col(column).cast("string"), F.lit(""))
 
 
+_FOLDERS: list[str] = []
+
+
 def new_folder(spark: SparkSession, name: str) -> str:
     """A folder name under the shared folder that no other call gets."""
-    return f"{shared_folder(spark).rstrip('/')}/llm/{name}-{uuid.uuid4().hex}"
+    _FOLDERS.append(f"{shared_folder(spark).rstrip('/')}/llm/{name}-{uuid.uuid4().hex}")
+    return _FOLDERS[-1]
+
+
+def clear_stored(spark: SparkSession) -> None:
+    """Remove the tables this process has stored; results that still read them must be written before."""
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs
+    while _FOLDERS:
+        path = hadoop.Path(_FOLDERS.pop())
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def store(df: DataFrame, name: str) -> DataFrame:

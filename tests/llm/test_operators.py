@@ -487,3 +487,16 @@ def test_pipeline_stages(spark, tmp_path):
     whole = corpus_pipeline.run(spark, str(tmp_path)).collect()
     check_packing(whole, 2048)
     assert {x["doc_id"] for x in whole} == {x["doc_id"] for x in docs.collect()}
+
+
+def test_stored_tables_are_cleared(spark):
+    import os
+
+    from loglattice.llm import common
+
+    path = new_folder(spark, "ids")
+    spark.range(3).write.parquet(path)
+    assert path in common._FOLDERS
+    common._FOLDERS[:] = [path]
+    common.clear_stored(spark)
+    assert not os.path.exists(path.removeprefix("file:"))
