@@ -3,7 +3,7 @@
 1. Each document's set of word shingles gives a key of the whole set, band keys and a signature of one byte per
    hash. Documents of equal sets form a class; one representative goes on.
 2. Representatives that share a band key form a bucket. Buckets of at most ``SMALL`` give their pairs. A larger bucket
-   is compared with its smallest id, the leader, only. Members linked to the leader are linked to each other
+   is compared with a leader only, the smallest id in any large bucket of its members. Members linked to the leader are linked to each other
    by way of it. A member that is not may still be linked to others of the bucket: then the two share differences
    from the leader, so members are dealt again into buckets by their rarest differences (see ``differences``),
    and the same step runs on those. What is left after ``ROUNDS`` such steps gives all pairs of its buckets.
@@ -247,6 +247,17 @@ def _pairs_of(buckets: DataFrame) -> DataFrame:
     return first.select("a", F.explode(F.slice("ids", F.col("i") + 2, F.greatest(F.size("ids") - F.col("i") - 1, F.lit(0)))).alias("b"))
 
 
+def _stars(big: DataFrame) -> DataFrame:
+    """(a = leader, b = member) of large buckets (key, leader, id).
+
+    Buckets of several bands hold much the same members, so a bucket takes the smallest leader that any of its
+    members has in any bucket. It need not be a member itself: what is shown in ``differences`` holds for any set.
+    """
+    least = big.groupBy("id").agg(F.min("leader").alias("least"))
+    common = big.select("key", "id").join(least, "id").groupBy("key").agg(F.min("least").alias("a"))
+    return big.select("key", F.col("id").alias("b")).join(common, "key").where("a <> b").select("a", "b").distinct()
+
+
 def links(members: DataFrame, signatures: DataFrame, texts: DataFrame, percent: int = PERCENT) -> DataFrame:
     """Links (a, b) that connect all that the buckets ``members`` (key, id) hold and that reach the threshold."""
     pairs, found = [], []
@@ -263,8 +274,7 @@ def links(members: DataFrame, signatures: DataFrame, texts: DataFrame, percent:
             left, right = big.select("key", F.col("id").alias("a")), big.select("key", F.col("id").alias("b"))
             pairs.append(left.join(right, "key").where("a < b").select("a", "b"))
             break
-        stars = big.where("id <> leader").select(F.col("leader").alias("a"), F.col("id").alias("b")).distinct()
-        compared = store(differences(stars, texts, percent), "compared")
+        compared = store(differences(_stars(big), texts, percent), "compared")
         found.append(compared.where("linked").select("a", "b"))
         members = _dealt_again(compared)
     every = pairs[0]
