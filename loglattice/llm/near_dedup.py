@@ -247,12 +247,16 @@ def _pairs_of(buckets: DataFrame) -> DataFrame:
     return first.select("a", F.explode(F.slice("ids", F.col("i") + 2, F.greatest(F.size("ids") - F.col("i") - 1, F.lit(0)))).alias("b"))
 
 
-def _stars(big: DataFrame) -> DataFrame:
-    """(a = leader, b = member) of large buckets (key, leader, id).
+def _stars(big: DataFrame, shared: bool) -> DataFrame:
+    """(a = leader, b = member) of large buckets (key, leader, id), the leader being the smallest member.
+
+    With ``shared`` (for bands) it is a common one:
 
     Buckets of several bands hold much the same members, so a bucket takes the smallest leader that any of its
     members has in any bucket. It need not be a member itself: what is shown in ``differences`` holds for any set.
     """
+    if not shared:
+        return big.where("id <> leader").select(F.col("leader").alias("a"), F.col("id").alias("b")).distinct()
     least = big.groupBy("id").agg(F.min("leader").alias("least"))
     common = big.select("key", "id").join(least, "id").groupBy("key").agg(F.min("least").alias("a"))
     return big.select("key", F.col("id").alias("b")).join(common, "key").where("a <> b").select("a", "b").distinct()
@@ -274,7 +278,7 @@ def links(members: DataFrame, signatures: DataFrame, texts: DataFrame, percent:
             left, right = big.select("key", F.col("id").alias("a")), big.select("key", F.col("id").alias("b"))
             pairs.append(left.join(right, "key").where("a < b").select("a", "b"))
             break
-        compared = store(differences(_stars(big), texts, percent), "compared")
+        compared = store(differences(_stars(big, turn == 0), texts, percent), "compared")
         found.append(compared.where("linked").select("a", "b"))
         members = _dealt_again(compared)
     every = pairs[0]
