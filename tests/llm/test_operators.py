@@ -489,6 +489,19 @@ def test_pipeline_stages(spark, tmp_path):
     assert {x["doc_id"] for x in whole} == {x["doc_id"] for x in docs.collect()}
 
 
+def test_pipeline_links_pairs_of_eighty_percent(spark):
+    words = [f"n{i}" for i in range(100)]
+    changed = [f"x{i}" if i in (30, 60) else w for i, w in enumerate(words)]
+    docs = spark.createDataFrame([(1, " ".join(words), "en", "s", 0), (2, " ".join(changed), "en", "s", 0)], COLUMNS)
+    a, b = (brute_shingles(w) for w in (words, changed))
+    assert 0.80 <= len(a & b) / len(a | b) < 0.85
+    assert [x["doc_id"] for x in corpus_pipeline.near(spark, docs, "").collect()] == [1]
+
+
+def brute_shingles(words):
+    return {tuple(words[i : i + 5]) for i in range(len(words) - 4)}
+
+
 def test_stored_tables_are_cleared(spark):
     import os
 
