@@ -451,6 +451,18 @@ def test_noise_goes_and_trusted_text_stays(spark):
     assert not any(got[1000 + i]["kept"] for i in range(20))
 
 
+def test_words_of_a_rare_language_are_known(spark):
+    r = random.Random(3)
+    word = lambda: "".join(r.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(6))
+    rare = [word() for _ in range(200)]
+    text = lambda: " ".join(r.choice(rare) for _ in range(60))
+    docs = [(i, vocabulary_text(i, 120), "en", "s", 0) for i in range(400)] + [(1000 + i, text(), "xx", "s", 0) for i in range(30)]
+    docs += [(2000, text(), "xx", "s", 0), (2001, " ".join(word() for _ in range(60)), "xx", "s", 0)]
+    labels = spark.createDataFrame([(d[0], 1, 0) for d in docs if d[0] < 2000], "doc_id long, quality int, toxic int")
+    got = {x["doc_id"]: x for x in quality.classify(spark.createDataFrame(docs, COLUMNS), labels).collect()}
+    assert got[2001]["perplexity"] > 100 * got[2000]["perplexity"]
+
+
 def test_quality_awkward(spark, awkward, none):
     labels = spark.createDataFrame([(2, 1, 0), (7, 1, 0), (None, 1, 0), (9, 0, 1)], "doc_id long, quality int, toxic int")
     got = quality.classify(awkward, labels).collect()
