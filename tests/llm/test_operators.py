@@ -463,6 +463,15 @@ def test_words_of_a_rare_language_are_known(spark):
     assert got[2001]["perplexity"] > 100 * got[2000]["perplexity"]
 
 
+def test_short_noise_goes(spark):
+    docs = [(i, vocabulary_text(i, [25, 120, 600][i % 3]), "en", "s", 0) for i in range(600)]
+    docs += [(1000 + i, " ".join(f"@@{i}{j}##" for j in range(25)), "en", "s", 0) for i in range(10)]
+    docs += [(2000 + i, " ".join(f"w{(i * 7 + j) % 90 + 200}" for j in range(25)), "en", "s", 0) for i in range(10)]
+    labels = spark.createDataFrame([(i, 1, 0) for i in range(600)], "doc_id long, quality int, toxic int")
+    got = {x["doc_id"]: x["kept"] for x in quality.classify(spark.createDataFrame(docs, COLUMNS), labels).collect()}
+    assert not any(got[i] for i in got if i >= 1000) and sum(got[i] for i in range(600)) >= 597
+
+
 def test_quality_awkward(spark, awkward, none):
     labels = spark.createDataFrame([(2, 1, 0), (7, 1, 0), (None, 1, 0), (9, 0, 1)], "doc_id long, quality int, toxic int")
     got = quality.classify(awkward, labels).collect()
