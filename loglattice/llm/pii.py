@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from loglattice.llm.common import arrow_map, joined_spans, whole_text
 
 # Kinds in the order of ties, and the character classes of the base patterns.
-KINDS = ("email", "ip", "card", "phone", "url", "iban", "ssn", "account")
+KINDS = ("email", "ip", "card", "phone", "url", "iban", "ssn", "account", "passport")
 LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 LABEL = re.compile(r"[A-Za-z0-9-]+")
 DIGITS = re.compile(r"[0-9]+")
@@ -29,7 +29,9 @@ PHONE_BODY = re.compile(r"[\x20().0-9-]*")
 CUES = ("account", "acct", "iban", "routing", "ssn", "social security", "passport", "konto", "compte", "cuenta")
 SCHEMES = ("http://", "https://", "ftp://", "ssh://", "sftp://")
 URL_BODY = re.compile(r"[A-Za-z0-9._~:/?#@!$&'*+,;=%-]+")
-IDENTIFIER = re.compile(r"[\s:#=.]*(?:(?:number|no|nr|id)\b[\s:#=.]*)?([A-Z0-9][A-Z0-9\x20-]{4,40}[A-Z0-9])")
+IDENTIFIER = re.compile(r"[\s:#=.]*(?:(?i:number|no|nr|num|id|is)\b[\s:#=.]*){0,3}([A-Z0-9][A-Z0-9\x20-]{4,40}[A-Z0-9])")
+PASSPORT = re.compile(r"[A-Z0-9]{6,10}(?![A-Za-z0-9])")
+ASCII_LOWER = {ord(c): ord(c.lower()) for c in "ABCDEFGHIJKLMNOPQRSTUVWXYZ"}
 SSN = re.compile(r"[0-9]{3}-[0-9]{2}-[0-9]{4}")
 
 
@@ -40,7 +42,7 @@ def build_automaton() -> ahocorasick.Automaton:
         + [(str(d), "digit") for d in range(10)]
         + [(f".{d}", "dotted") for d in range(10)]
         + [(s, "scheme") for s in SCHEMES]
-        + [(v, "cue") for c in CUES for v in {c, c.capitalize(), c.upper()}]
+        + [(c, "cue") for c in CUES]
     ):
         automaton.add_word(word, (kind, len(word)))
     automaton.make_automaton()
@@ -62,6 +64,13 @@ def iban(compact: str) -> bool:
     return int("".join(str(int(c, 36)) for c in compact[4:] + compact[:4])) % 97 == 1
 
 
+def passport(compact: str) -> bool:
+    """Six to nine letters and digits, a letter and two digits among them; a tenth place must be their check digit."""
+    if not (6 <= len(compact) <= 10 and any(c.isalpha() for c in compact) and sum(c.isdigit() for c in compact) >= 2):
+        return False
+    return len(compact) < 10 or str(sum(int(c, 36) * (7, 3, 1)[i % 3] for i, c in enumerate(compact[:9])) % 10) == compact[9]
+
+
 def email_at(text: str, at: int, floor: int) -> tuple[int, int] | None:
     """The address around the at-sign, not reaching left of ``floor``."""
     start = at
@@ -113,7 +122,8 @@ def scan(text: str, automaton: ahocorasick.Automaton) -> list[tuple[int, int, st
         if valid:
             spans.append((start, KINDS.index(kind), kind, end))
 
-    for last, (anchor, size) in automaton.iter(text):
+    # Cues count in any case; only A-Z are lowered, so places stay.
+    for last, (anchor, size) in automaton.iter(text.lower() if text.isascii() else text.translate(ASCII_LOWER)):
         at = last - size + 1
         if anchor == "digit":
             if at < chain_end:
@@ -135,7 +145,7 @@ def scan(text: str, automaton: ahocorasick.Automaton) -> list[tuple[int, int, st
             if at >= ends["phone"] and (end := phone_at(text, at)):
                 add("phone", at, end, 10 <= sum("0" <= c <= "9" for c in text[at:end]) <= 15)
         elif anchor == "scheme":
-            if at >= ends["url"] and (body := URL_BODY.match(text, last + 1)):
+            if at >= ends["url"] and text[at : last + 1].islower() and (body := URL_BODY.match(text, last + 1)):
                 end = body.end()
                 while text[end - 1] in ".,;:!?'":
                     end -= 1
@@ -143,7 +153,7 @@ def scan(text: str, automaton: ahocorasick.Automaton) -> list[tuple[int, int, st
                     add("url", at, end)
         elif found := IDENTIFIER.match(text, last + 1):
             start, end = found.span(1)
-            if start < max(ends["iban"], ends["ssn"], ends["account"]):
+            if start < max(ends["iban"], ends["ssn"], ends["account"], ends["passport"]):
                 continue
             value = found[1]
             # The longest valid prefix at a group border: text may follow the number.
@@ -154,6 +164,8 @@ def scan(text: str, automaton: ahocorasick.Automaton) -> list[tuple[int, int, st
             elif number := SSN.match(value):
                 if number[0][:3] not in ("000", "666") and number[0][0] != "9" and number[0][4:6] != "00" and number[0][7:] != "0000":
                     add("ssn", start, start + number.end())
+            elif text[at : last + 1].lower() == "passport" and (number := PASSPORT.match(text, start)) and passport(number[0]):
+                add("passport", start, number.end())
             elif number := re.match(r"[0-9](?:[\x20-]?[0-9]){5,16}(?![0-9])", value):
                 add("account", start, start + number.end())
     return spans

@@ -116,6 +116,17 @@ def test_pii_added_kinds():
     assert kinds["account"] == "12345678" and kinds["ssn"] == "123-45-6789" and kinds["url"] == "https://a.example/x?y=1"
 
 
+def test_pii_cues_in_any_case():
+    automaton = pii.build_automaton()
+    kinds = lambda text: [(s[2], text[s[0] : s[3]]) for s in pii.scan(text, automaton)]
+    for text in ("Account Number: 123456789", "aCCount No. 123456789", "Konto NR 123456789", "account number is 123456789", "Ä Account ID: 123456789"):
+        assert kinds(text) == [("account", "123456789")]
+    assert kinds("Social Security Number: 123-45-6789") == [("ssn", "123-45-6789")]
+    assert kinds("passport: C4J8K21PZ issued") == kinds("Passport No. C4J8K21PZ") == [("passport", "C4J8K21PZ")]
+    assert kinds("Passport L898902C36") == [("passport", "L898902C36")] and kinds("Passport L898902C37") == []
+    assert kinds("passport REQUIRED") == [] and kinds("HTTP://a.example") == []
+
+
 def _base_columns(spans, kinds):
     return (*[sum(s[1] == k for s in spans) for k in range(kinds)], hashlib.sha256(brute.joined(spans).encode()).hexdigest())
 
