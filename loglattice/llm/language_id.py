@@ -34,12 +34,15 @@ RATE, DECAY = 0.25, 1e-4
 REMEMBERED = 600_000
 CHAIN_CELLS = 400_000
 EDGES = re.compile(r"^[\W\d_]+|[\W\d_]+$")
-LETTER = re.compile(r"[^\W\d_]")
 
 
 def stem(chunk: str) -> str:
     """The lower-cased word without what is not a letter at its ends; empty if it has no letter."""
-    return EDGES.sub("", chunk).lower()
+    word = EDGES.sub("", chunk)
+    if word and not (word[0].isalpha() and word[-1].isalpha()):  # number characters such as a raised 2 are no letters
+        letters = [i for i, c in enumerate(word) if c.isalpha()]
+        word = word[letters[0] : letters[-1] + 1] if letters else ""
+    return word.lower()
 
 
 def features(word: str, lexicon: frozenset[str] | set[str]) -> list[int]:
@@ -84,13 +87,13 @@ def forward_backward(scores: np.ndarray, lengths: np.ndarray, transitions: np.nd
     """Label probabilities (place, chain, label) and the summed expected transitions.
 
     ``scores`` is (place, chain, label), padded; lengths fall along the chains, so the ones still running
-    at a place are the first ones. Messages are normalised at every place.
+    at a place are the first ones. Messages are normalised at every place; places behind a chain's end have probability 0.
     """
     places, count, _ = scores.shape
     psi = np.exp(scores - scores.max(axis=2, keepdims=True))
     move = np.exp(transitions - transitions.max()).astype(np.float32)
     running = np.searchsorted(-lengths, -np.arange(places), side="left")
-    alpha, beta = np.empty_like(psi), np.ones_like(psi)
+    alpha, beta = np.zeros_like(psi), np.ones_like(psi)
     alpha[0] = psi[0] * np.exp(start - start.max()).astype(np.float32)
     alpha[0] /= alpha[0].sum(axis=1, keepdims=True)
     for t in range(1, places):
