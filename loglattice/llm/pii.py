@@ -98,7 +98,7 @@ def address_at(text: str, start: int) -> tuple[int, bool] | None:
             return None
         parts.append(number[0])
         end = number.end()
-    return end, all(len(p.lstrip("0")) <= 3 and int(p) <= 255 for p in parts)
+    return end, all(len(n := p.lstrip("0")) <= 3 and int(n or 0) <= 255 for p in parts)
 
 
 def phone_at(text: str, plus: int) -> int | None:
