@@ -9,6 +9,7 @@ character enters and one leaves, so a step costs the same for any window.
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -22,17 +23,22 @@ HEX = r"[0-9a-f]{24,}+"
 
 WINDOW = 20
 BLOCK = 256
+#: Bits of a character's count in a window, and counts in one 64-bit number.
+COUNT_BITS = 5
+PACKED = 12
 #: Strings worth a look: long enough, of letters, digits and the usual code characters.
 CANDIDATE = r"[A-Za-z0-9+/_=-]{20,}+"
 #: Character class, its pattern and the least entropy in bits of a window of that class.
 CLASSES = (("hex", r"^[0-9a-fA-F]+$", 3.0), ("alnum", r"^[A-Za-z0-9]+$", 3.7), ("code", r"^[A-Za-z0-9+/_=-]+$", 3.9))
-#: Allow list: strings without both letters and digits (words, rules, numbers), UUIDs, dates and host-like slugs.
+#: Allow list: strings without a digit if of one case or of words, strings without letters, UUIDs, dates (with a time or
+#: a short slug of words) and host-like slugs. Groups repeat possessively, so a long string needs no deep stack.
 ALLOWED = (
-    r"^[^0-9]*$",
-    r"^[^A-Za-z]*$",
+    r"^(?:[^0-9A-Z]*+|[^0-9a-z]*+)$",
+    r"^[+/_=-]*+(?:[A-Z]?+[a-z]{2,}+[+/_=-]*+)++$",
+    r"^[^A-Za-z]*+$",
     r"^[0-9a-fA-F]{8}(-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}$",
-    r"^[0-9]{4}-[0-9]{2}-[0-9]{2}[A-Za-z0-9_-]*$",
-    r"^[a-z]+([-_/][a-z]+)+[-_/]?[0-9]{1,4}$",
+    r"^[0-9]{4}-[0-9]{2}-[0-9]{2}(?:[T_-][0-9]{2}[0-9_-]{0,10}Z?)?(?:[_-][A-Za-z]{1,20}){0,8}[_-]?[0-9]{0,4}$",
+    r"^[a-z]++(?:[-_/][a-z]++)++[-_/]?[0-9]{1,4}$",
 )
 
 
@@ -66,40 +72,54 @@ def matches(text: Column, pattern: str) -> Column:
     return F.when(text.rlike(pattern), F.flatten(placed)).otherwise(none)
 
 
+def bound(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with the value worked out once, however often ``use`` names it."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def hot_range(part: Column, least: Column) -> Column:
     """(first, last) start of the windows of ``part`` with at least ``least`` bits; null when there is none.
 
-    The counts of the window's characters are an array by code (candidates are ASCII). Entering raises
-    a count c and the sum by f(c+1) - f(c), leaving lowers them, with f(c) = c * log2(c).
+    The counts of the window's characters (ASCII, at most WINDOW each) are packed twelve to a number.
+    Entering raises a count c and the sum by f(c+1) - f(c), leaving lowers them, with f(c) = c * log2(c). Each character
+    comes with the one that leaves as it enters, and every value is bound once, so a step costs the same for any string.
     """
     f = F.array(*[F.lit(c * math.log2(c) if c else 0.0) for c in range(WINDOW + 2)])
-    chars = F.transform(F.split(part, ""), lambda ch: F.ascii(ch))
 
     def moved(state: Column, code: Column, by: int) -> Column:
-        count = F.get(state["counts"], code)
-        counts = F.transform(state["counts"], lambda c, i: F.when(i == code, c + by).otherwise(c))
-        return F.struct(
-            state["i"].alias("i"), counts.alias("counts"), (state["sum"] + F.get(f, count + by) - F.get(f, count)).alias("sum"),
-            state["first"].alias("first"), state["last"].alias("last"),
-        )
-
-    def step(state: Column, code: Column) -> Column:
-        into = moved(state, code, 1)
-        both = F.when(state["i"] >= WINDOW, moved(into, F.get(chars, state["i"] - WINDOW), -1)).otherwise(into)
-        bits = F.lit(math.log2(WINDOW)) - both["sum"] / WINDOW
-        start = state["i"] - (WINDOW - 1)
-        hot = (start >= 0) & (bits >= least)
-        return F.struct(
-            (state["i"] + 1).alias("i"), both["counts"].alias("counts"), both["sum"].alias("sum"),
-            F.when(hot & state["first"].isNull(), start).otherwise(state["first"]).alias("first"),
-            F.when(hot, start).otherwise(state["last"]).alias("last"),
-        )
+        """The state (counts, sum) after the character ``code`` has entered (by 1) or left (by -1)."""
+
+        def change(at: Column) -> Column:
+            count = F.call_function("shiftright", F.get(state["counts"], at["slot"]), at["shift"]).bitwiseAND(F.lit(2**COUNT_BITS - 1)).cast("int")
+            step = F.call_function("shiftleft", F.lit(by).cast("long"), at["shift"])
+            counts = F.transform(state["counts"], lambda packed, slot: F.when(slot == at["slot"], packed + step).otherwise(packed))
+            return bound(count, lambda c: F.struct(counts.alias("counts"), (state["sum"] + F.get(f, c + by) - F.get(f, c)).alias("sum")))
+
+        place = F.struct(F.floor(code / PACKED).cast("int").alias("slot"), (code % PACKED * COUNT_BITS).cast("int").alias("shift"))
+        return bound(place, change)
+
+    def step(state: Column, move: Column) -> Column:
+        def done(now: Column) -> Column:
+            start = state["i"] - (WINDOW - 1)
+            hot = (start >= 0) & (F.lit(math.log2(WINDOW)) - now["sum"] / WINDOW >= least)
+            return bound(hot, lambda h: F.struct(
+                (state["i"] + 1).alias("i"), now["counts"].alias("counts"), now["sum"].alias("sum"),
+                F.when(h & state["first"].isNull(), start).otherwise(state["first"]).alias("first"),
+                F.when(h, start).otherwise(state["last"]).alias("last"),
+            ))
+
+        leave = lambda now: F.when(move["out"] >= 0, moved(now, move["out"], -1)).otherwise(now)
+        return bound(moved(state, move["code"], 1), lambda entered: bound(leave(entered), done))
 
     zero = F.struct(
-        F.lit(0).alias("i"), F.array_repeat(F.lit(0), 128).alias("counts"), F.lit(0.0).alias("sum"),
+        F.lit(0).alias("i"), F.array_repeat(F.lit(0).cast("long"), -(-128 // PACKED)).alias("counts"), F.lit(0.0).alias("sum"),
         F.lit(None).cast("int").alias("first"), F.lit(None).cast("int").alias("last"),
     )
-    return F.aggregate(chars, zero, step, lambda s: F.struct(s["first"].alias("first"), s["last"].alias("last")))
+    chars = lambda s: F.transform(F.split(s, ""), lambda ch: F.ascii(ch))
+    before = F.concat(F.array_repeat(F.lit(-1), WINDOW), chars(part))
+    moves = F.zip_with(chars(part), before, lambda code, out: F.struct(code.alias("code"), out.alias("out")))
+    moves = F.slice(moves, F.lit(1), F.length(part))
+    return F.aggregate(moves, zero, step, lambda s: F.struct(s["first"].alias("first"), s["last"].alias("last")))
 
 
 def least_bits(part: Column) -> Column:
@@ -115,7 +135,8 @@ def entropy_spans(text: Column) -> Column:
     found = matches(text, CANDIDATE)
     allowed = lambda part: F.array(*[part.rlike(p) for p in ALLOWED])
     strings = F.filter(found, lambda m: ~F.array_contains(allowed(m["part"]), F.lit(True)))
-    ranged = F.transform(strings, lambda m: F.struct(m["start"].alias("start"), hot_range(m["part"], least_bits(m["part"])).alias("range")))
+    classed = F.transform(strings, lambda m: F.struct(m["start"].alias("start"), m["part"].alias("part"), least_bits(m["part"]).alias("least")))
+    ranged = F.transform(classed, lambda m: F.struct(m["start"].alias("start"), hot_range(m["part"], m["least"]).alias("range")))
     return F.filter(ranged, lambda m: m["range"]["first"].isNotNull())
 
 
