@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 import uuid
+import weakref
 from collections.abc import Callable, Iterable, Iterator, Sequence
 
 import numpy as np
@@ -25,6 +26,7 @@ def whole_text(column: str = "text") -> Column:
 
 
 _FOLDERS: list[str] = []
+_STORED: weakref.WeakKeyDictionary[DataFrame, str] = weakref.WeakKeyDictionary()
 
 
 def new_folder(spark: SparkSession, name: str) -> str:
@@ -35,10 +37,13 @@ def new_folder(spark: SparkSession, name: str) -> str:
 
 def clear_stored(spark: SparkSession) -> None:
     """Remove the tables this process has stored; results that still read them must be written before."""
-    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs
     while _FOLDERS:
-        path = hadoop.Path(_FOLDERS.pop())
-        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+        _delete(spark, _FOLDERS.pop())
+
+
+def _delete(spark: SparkSession, folder: str) -> None:
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def store(df: DataFrame, name: str) -> DataFrame:
@@ -49,7 +54,18 @@ def store(df: DataFrame, name: str) -> DataFrame:
     """
     path = new_folder(df.sparkSession, name)
     df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    stored = df.sparkSession.read.schema(df.schema).parquet(path)
+    _STORED[stored] = path
+    return stored
+
+
+def discard(*tables: DataFrame) -> None:
+    """Remove tables that ``store`` has returned and that nothing reads any more."""
+    for table in tables:
+        path = _STORED.pop(table, None)
+        if path is not None:
+            _FOLDERS.remove(path)
+            _delete(table.sparkSession, path)
 
 
 def partitions(spark: SparkSession) -> int:
