@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loglattice.llm.common import store
+from loglattice.llm.common import discard, store
 
 
 def _mark(edges: DataFrame) -> tuple:
@@ -35,7 +35,10 @@ def components(edges: DataFrame) -> DataFrame:
     edges = store(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
     before = _mark(edges)
     while before[0]:
-        edges = store(_small_star(store(_large_star(edges), "large-star")), "small-star")
+        large = store(_large_star(edges), "large-star")
+        small = store(_small_star(large), "small-star")
+        discard(edges, large)
+        edges = small
         after = _mark(edges)
         if after == before:
             break
