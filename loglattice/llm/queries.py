@@ -155,8 +155,8 @@ one AS (SELECT a.w, b.w AS o, b.n AS m FROM cut a JOIN cut b USING (hole) WHERE
   UNION SELECT a.w, b.w, b.n FROM cut a JOIN words b ON a.less = b.w UNION SELECT b.w, a.w, a.n FROM cut a JOIN words b ON a.less = b.w),
 best AS (SELECT w, count(*) AS n_near, min(struct_pack(m := -m, o := encode(o))) AS b FROM one GROUP BY w),
 variant AS (SELECT w, n, coalesce(n_near, 0) AS n_near, CASE WHEN -b.m >= 5 * n THEN decode(b.o) END AS form, CASE WHEN -b.m >= 5 * n THEN -b.m END AS form_n FROM words LEFT JOIN best USING (w)),
-chain AS (SELECT w, coalesce(form, w) AS at, form IS NOT NULL AS more FROM variant
-  UNION ALL SELECT c.w, coalesce(v.form, v.w), v.form IS NOT NULL FROM chain c JOIN variant v ON c.at = v.w WHERE c.more)
-SELECT w AS word, form, at AS root, n, n_near::BIGINT AS n_near, form_n::BIGINT AS form_n FROM variant JOIN chain USING (w) WHERE NOT more""")
+chain AS (SELECT w, coalesce(form, w) AS root, form IS NOT NULL AS more FROM variant
+  UNION ALL SELECT c.w, coalesce(v.form, v.w), v.form IS NOT NULL FROM chain c JOIN variant v ON c.root = v.w WHERE c.more)
+SELECT w AS word, form, root, n, n_near::BIGINT AS n_near, form_n::BIGINT AS form_n FROM variant JOIN chain USING (w) WHERE NOT more""")
 def op13_spelling_variants(spark: SparkSession, folder: str) -> DataFrame:
     return spelling_variants(documents(spark, folder))
