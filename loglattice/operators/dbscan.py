@@ -6,6 +6,9 @@ holds only core points and is one node of the cluster graph, however many rows i
 remains is a question between bounding boxes: a pair of boxes lies within eps as a whole,
 lies apart as a whole, or is split into smaller boxes and asked again. The point-by-point
 test is used only where its measured work is small.
+
+Boxes of more than ``BOX_COLUMNS`` columns say little, so wide tables go another way: ``space_join`` cuts them
+along all columns, directions of large variance and the norm, and compares points in the leaves.
 """
 
 from __future__ import annotations
@@ -19,11 +22,14 @@ from pyspark.sql import functions as F
 
 from loglattice.operators import ordered as o
 from loglattice.operators.lookup import lookup
+from loglattice.operators.space_join import LEAF_ROWS, SpaceJoin
 from loglattice.session import materialize
 
 NOISE = -1
 # Pairs of points tested directly rather than by splitting boxes again.
 DIRECT_PAIRS = 20_000_000
+# Up to so many columns a grid over the widest ones proposes the pairs of boxes.
+BOX_COLUMNS = 3
 
 
 class _Space:
@@ -39,12 +45,14 @@ class _Space:
         # The smallest halving of eps whose cell diagonal is strictly below eps.
         self.base = next(h for h in itertools.count(1) if 2**h > math.sqrt(self.d))
         self.eps = eps
-        self.points = points.withColumn("cell", self.key(F.col("x"), self.base))
+        self.points = points if self.d > BOX_COLUMNS else points.withColumn("cell", self.key(F.col("x"), self.base))
+        if self.d > BOX_COLUMNS:
+            return
         spread = points.agg(
             *[(F.max(F.col("x")[j]) - F.min(F.col("x")[j])).alias(f"s{j}") for j in range(self.d)]
         ).first()
         widest = sorted(range(self.d), key=lambda j: -(spread[j] or 0))
-        self.grid = sorted(widest[:3])
+        self.grid = sorted(widest[:BOX_COLUMNS])
 
     def key(self, x: Column, level: int) -> Column:
         side = self.eps / 2**level
@@ -175,11 +183,14 @@ def _counts(space: _Space, queries: DataFrame, enough: int | None) -> DataFrame:
 
 def neighbour_counts(
     rows: DataFrame, *, eps: float = 0.5, row_id: str = "row_id", features: str = "x",
-    direct_pairs: int = DIRECT_PAIRS,
+    direct_pairs: int = DIRECT_PAIRS, leaf_rows: int = LEAF_ROWS,
 ) -> DataFrame:
     """``(row_id, near)``: the number of rows within eps of each row, itself included."""
     space = _Space(rows, row_id, features, eps, direct_pairs)
-    counts = _counts(space, space.points, None)
+    if space.d > BOX_COLUMNS:
+        counts = SpaceJoin(space.points.select("pid", "w", "x"), space.d, eps, leaf_rows=leaf_rows).counts()
+    else:
+        counts = _counts(space, space.points, None)
     per_point = materialize(space.points.join(counts, "pid").select(F.col("x").alias(features), "near"))
     return lookup(rows.select(row_id, features), per_point, [features], "inner").select(row_id, "near")
 
@@ -218,7 +229,7 @@ def connected_components(nodes: DataFrame, edges: DataFrame, *, steps: int = 2)
 
 def dbscan(
     rows: DataFrame, *, eps: float = 0.5, min_points: int = 5, row_id: str = "row_id", features: str = "x",
-    direct_pairs: int = DIRECT_PAIRS,
+    direct_pairs: int = DIRECT_PAIRS, leaf_rows: int = LEAF_ROWS,
 ) -> DataFrame:
     """``(row_id, label)`` for ``rows`` with an ARRAY<DOUBLE> column ``features``.
 
@@ -227,6 +238,35 @@ def dbscan(
     such cluster, the rest is labelled -1. Clusters are numbered by their first core row.
     """
     space = _Space(rows, row_id, features, eps, direct_pairs)
+    per_point = _wide_labels(space, min_points, leaf_rows) if space.d > BOX_COLUMNS else _box_labels(space, min_points)
+    per_point = materialize(per_point.withColumnRenamed("x", features))
+    out = lookup(rows.select(row_id, features), per_point, [features])
+    return out.select(row_id, F.coalesce("label", F.lit(NOISE)).alias("label"))
+
+
+def _numbered(roots: DataFrame, first: DataFrame) -> DataFrame:
+    """Stored ``(node, label)``: the trees of ``roots (node, root)`` numbered by the first row of ``first (node, first_row)``."""
+    named = roots.join(first, "node").groupBy("root").agg(F.min("first_row").alias("first_row"))
+    named = o.OrderedGroups(named.withColumn("all", F.lit(0)), ["all"], ["first_row", "root"]).scan(nth=o.position()).df
+    named = materialize(named.select("root", (F.col("nth") - 1).cast("int").alias("label")))
+    return materialize(lookup(roots, named, ["root"], "inner").select("node", "label"))
+
+
+def _wide_labels(space: _Space, min_points: int, leaf_rows: int) -> DataFrame:
+    """``(x, label)`` of the points in a cluster, by cuts of the space and two passes over its leaves."""
+    join = SpaceJoin(space.points.select("pid", "w", "x"), space.d, space.eps, leaf_rows=leaf_rows)
+    core = materialize(join.counts(min_points).where(F.col("near") >= min_points).select("pid"))
+    links, border = join.links(core)
+    roots = connected_components(core.select(F.col("pid").alias("node")), links)
+    labels = _numbered(roots, space.points.select(F.col("pid").alias("node"), "first_row"))
+    inside = labels.select(F.col("node").alias("pid"), "label")
+    beside = lookup(border, labels.withColumnRenamed("node", "core"), ["core"], "inner").groupBy("pid").agg(F.min("label").alias("label"))
+    found = materialize(inside.unionByName(beside))
+    return lookup(space.points, found, ["pid"], "inner").select("x", "label")
+
+
+def _box_labels(space: _Space, min_points: int) -> DataFrame:
+    """``(x, label)`` of the points in a cluster, by boxes."""
     sizes = space.points.groupBy("cell").agg(F.sum("w").alias("n"))
     dense = materialize(sizes.where(F.col("n") >= min_points).select("cell"))
     sparse = materialize(lookup(space.points, dense, ["cell"], "left_anti"))
@@ -253,11 +293,7 @@ def dbscan(
     edges = _resolve(space, pairs, core, ["node"], linked, unlinked, both_sides=True)
     roots = connected_components(cells, edges)
 
-    first = core.groupBy("node").agg(F.min("first_row").alias("first_row"))
-    named = roots.join(first, "node").groupBy("root").agg(F.min("first_row").alias("first_row"))
-    named = o.OrderedGroups(named.withColumn("all", F.lit(0)), ["all"], ["first_row", "root"]).scan(nth=o.position()).df
-    named = materialize(named.select("root", (F.col("nth") - 1).cast("int").alias("label")))
-    labels = materialize(lookup(roots, named, ["root"], "inner").select("node", "label"))
+    labels = _numbered(roots, core.groupBy("node").agg(F.min("first_row").alias("first_row")))
 
     core = lookup(core, labels, ["node"], "inner")
     near_core = space.near(space.as_boxes(loose, "pid"), boxes.join(labels, "node").drop("node"))
@@ -267,7 +303,4 @@ def dbscan(
 
     border = _resolve(space, near_core, core, ["label"], adjacent, lambda df, _: df)
     border = border.groupBy("pid").agg(F.min("label").alias("label"))
-    per_point = core.select("x", "label").unionByName(loose.join(border, "pid").select("x", "label"))
-    per_point = materialize(per_point.withColumnRenamed("x", features))
-    out = lookup(rows.select(row_id, features), per_point, [features])
-    return out.select(row_id, F.coalesce("label", F.lit(NOISE)).alias("label"))
+    return core.select("x", "label").unionByName(loose.join(border, "pid").select("x", "label"))

@@ -194,15 +194,10 @@ def gmm_full_test_labels(spark, folder):
     return _given_is_likeliest(test, clustering.gmm_sweep(train, covariance="full"))
 
 
-EPS = 0.02
-
-
-def _dbscan_sql(points: str, d: int, eps: float, min_points: int = 5) -> str:
-    """DBSCAN of ``points (row_id, x0 ...)`` through the reachability closure of distinct points."""
-    xs = ", ".join(f"x{i}" for i in range(d))
-    gap = " + ".join(f"(a.x{i} - b.x{i}) * (a.x{i} - b.x{i})" for i in range(d))
+def _dbscan_sql(points: str, gap: str, eps: float, min_points: int = 5) -> str:
+    """DBSCAN of ``points (row_id, x)`` through the reachability closure of distinct points; ``gap`` is the squared distance."""
     return f"""WITH RECURSIVE p AS ({points}),
-q AS (SELECT {xs}, count(*) AS w, min(row_id) AS id FROM p GROUP BY {xs}),
+q AS (SELECT x, count(*) AS w, min(row_id) AS id FROM p GROUP BY x),
 near AS (SELECT a.id AS a, b.id AS b, b.w FROM q a, q b WHERE {gap} <= {eps}::DOUBLE * {eps}::DOUBLE),
 core AS (SELECT a AS id FROM near GROUP BY a HAVING sum(w) >= {min_points}),
 links AS (SELECT a, b FROM near WHERE a IN (SELECT id FROM core) AND b IN (SELECT id FROM core)),
@@ -212,17 +207,45 @@ named AS (SELECT id, dense_rank() OVER (ORDER BY root) - 1 AS label FROM root),
 found AS (SELECT a AS id, min(label) AS label FROM near JOIN named ON b = named.id GROUP BY a),
 final AS (SELECT q.*, CAST(coalesce(n.label, f.label, -1) AS INTEGER) AS label FROM q LEFT JOIN named n ON q.id = n.id
   LEFT JOIN found f ON q.id = f.id)
-"""
+SELECT p.row_id, label FROM p JOIN final USING (x)"""
+
+
+_PLANE_GAP = "(a.x[1] - b.x[1]) * (a.x[1] - b.x[1]) + (a.x[2] - b.x[2]) * (a.x[2] - b.x[2])"
+_WIDE_GAP = "list_sum(list_transform(list_zip(a.x, b.x), lambda z: (z[1] - z[2]) * (z[1] - z[2])))"
+_PLANE = "SELECT vec_id AS row_id, [CAST(embedding[1] AS DOUBLE), CAST(embedding[2] AS DOUBLE)] AS x FROM embeddings"
+_WIDE = "SELECT vec_id AS row_id, CAST(embedding AS DOUBLE[]) AS x FROM embeddings"
+_ORDERS = """SELECT o_orderkey AS row_id, [floor(o_totalprice / 1000) / 500,
+  CAST(substr(o_orderpriority, 1, 1) AS INTEGER) / 5] AS x FROM orders"""
+# Balance and orders of a customer, and a 0/1 column for each nation.
+_PROFILES = """SELECT c_custkey AS row_id, list_concat([CAST(c_acctbal AS DOUBLE) / 10000, coalesce(n, 0) / 40],
+  list_transform(range(25), lambda i: CASE WHEN c_nationkey = i THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END)) AS x
+  FROM customer LEFT JOIN (SELECT o_custkey, count(*) AS n FROM orders GROUP BY o_custkey) ON c_custkey = o_custkey"""
+PLANE_EPS, WIDE_EPS, PROFILE_EPS = 0.02, 1.2, 0.06
 
 
-_POINTS = "SELECT vec_id AS row_id, CAST(embedding[1] AS DOUBLE) AS x0, CAST(embedding[2] AS DOUBLE) AS x1 FROM embeddings"
-_ORDERS = """SELECT o_orderkey AS row_id, floor(o_totalprice / 1000) / 500 AS x0,
-  CAST(substr(o_orderpriority, 1, 1) AS INTEGER) / 5 AS x1 FROM orders"""
+def _all_coordinates(spark, folder):
+    return vectors(spark, folder).select("row_id", "label", "x")
 
 
-@query(_dbscan_sql(_POINTS, 2, EPS) + "SELECT p.row_id, label FROM p JOIN final USING (x0, x1)")
+@query(_dbscan_sql(_WIDE, _WIDE_GAP, WIDE_EPS))
 def density_clusters(spark, folder):
-    return dbscan.dbscan(plane_points(spark, folder, "e0", "e1"), eps=EPS)
+    """Density clusters of all 64 coordinates."""
+    return dbscan.dbscan(_all_coordinates(spark, folder), eps=WIDE_EPS)
+
+
+@query(_dbscan_sql(_PLANE, _PLANE_GAP, PLANE_EPS))
+def density_clusters_in_plane(spark, folder):
+    return dbscan.dbscan(plane_points(spark, folder, "e0", "e1"), eps=PLANE_EPS)
+
+
+@query(_dbscan_sql(_PROFILES, _WIDE_GAP, PROFILE_EPS))
+def density_clusters_with_dummies(spark, folder):
+    """Customers by two numbers and 25 columns of 0 and 1, which any two neighbours share."""
+    bought = table(spark, folder, "orders").groupBy("o_custkey").agg(F.count(F.lit(1)).alias("n"))
+    rows = table(spark, folder, "customer").join(bought, F.col("c_custkey") == F.col("o_custkey"), "left")
+    dummies = [F.when(F.col("c_nationkey") == i, 1.0).otherwise(0.0) for i in range(25)]
+    x = F.array(F.col("c_acctbal").cast("double") / 10000, F.coalesce("n", F.lit(0)) / 40, *dummies)
+    return dbscan.dbscan(rows.select(F.col("c_custkey").alias("row_id"), x.alias("x")), eps=PROFILE_EPS)
 
 
 def _order_points(spark, folder):
@@ -236,18 +259,20 @@ def _order_points(spark, folder):
     )
 
 
-@query(_dbscan_sql(_ORDERS, 2, 0.0021, 20) + "SELECT p.row_id, label FROM p JOIN final USING (x0, x1)")
+@query(_dbscan_sql(_ORDERS, _PLANE_GAP, 0.0021, 20))
 def density_clusters_of_copies(spark, folder):
     return dbscan.dbscan(_order_points(spark, folder), eps=0.0021, min_points=20)
 
 
-@query(
-    f"""WITH p AS ({_POINTS})
-SELECT a.row_id, count(*) AS near FROM p a, p b
-WHERE (a.x0 - b.x0) * (a.x0 - b.x0) + (a.x1 - b.x1) * (a.x1 - b.x1) <= {EPS}::DOUBLE * {EPS}::DOUBLE GROUP BY a.row_id"""
-)
+@query(f"WITH p AS ({_WIDE}) SELECT a.row_id, count(*) AS near FROM p a, p b WHERE {_WIDE_GAP} <= {WIDE_EPS}::DOUBLE * {WIDE_EPS}::DOUBLE GROUP BY a.row_id")
 def neighbours_within_eps(spark, folder):
-    return dbscan.neighbour_counts(plane_points(spark, folder, "e0", "e1"), eps=EPS)
+    """Neighbours of every embedding over all 64 coordinates."""
+    return dbscan.neighbour_counts(_all_coordinates(spark, folder), eps=WIDE_EPS)
+
+
+@query(f"WITH p AS ({_PLANE}) SELECT a.row_id, count(*) AS near FROM p a, p b WHERE {_PLANE_GAP} <= {PLANE_EPS}::DOUBLE * {PLANE_EPS}::DOUBLE GROUP BY a.row_id")
+def neighbours_in_plane(spark, folder):
+    return dbscan.neighbour_counts(plane_points(spark, folder, "e0", "e1"), eps=PLANE_EPS)
 
 
 @query(
