@@ -1,9 +1,11 @@
 """Outlier scores from the similarity of a sequence to all the others.
 
 Equal sequences (for n-grams: equal bags of grams) are collapsed first, with their
-multiplicity. The distinct ones are hashed into blocks of bounded size and every pair of blocks meets in one tile, where vectorised
-kernels compare them and only one partial sum per sequence leaves the tile: no pair of
-sequences becomes a row, and no task holds more than two blocks.
+multiplicity. What shares nothing has similarity 0, so an inverted index decides what meets: each distinct one
+has a set of tokens (states, or grams); ordered by their rarest token they are cut into blocks of bounded size, postings
+name the blocks of each token, and only pairs of blocks with a common token become tiles. In a tile, bags are
+compared along the postings of the grams they share, sequences by one dynamic programme per prefix. Only one partial sum per
+sequence leaves a tile: no pair of sequences becomes a row, and no task holds more than two blocks.
 """
 
 from __future__ import annotations
@@ -24,6 +26,10 @@ from loglattice.operators.thresholds import flag
 from loglattice.session import materialize
 
 BLOCK = 4096
+# A token in more blocks than this is heavy: all blocks with a heavy token meet, without a list for each token.
+HEAVY_BLOCKS = 64
+# Shared postings cost about as much as so many cells of a dense product.
+POSTING_CELLS = 24
 # Fixed value: the score of a sequence that resembles no other.
 DISSIMILAR = 100000.0
 
@@ -41,6 +47,11 @@ class Ragged:
         shift = np.repeat(self.offsets[:-1][rows] - offsets[:-1], lengths)
         return Ragged(self.flat[np.arange(offsets[-1]) + shift], offsets)
 
+    def only(self, states: np.ndarray) -> Ragged:
+        """The sequences without other states than ``states``."""
+        keep = np.isin(self.flat, states)
+        return Ragged(self.flat[keep], np.concatenate([[0], np.cumsum(keep)])[self.offsets])
+
     def padded(self, fill: int) -> np.ndarray:
         out = np.full((len(self.lengths), int(self.lengths.max(initial=0))), fill, dtype=np.int64)
         row = np.repeat(np.arange(len(self.lengths)), self.lengths)
@@ -52,10 +63,12 @@ def lcs_matrix(a: Ragged, b: Ragged) -> np.ndarray:
     """LCS lengths of all pairs, by the bit-parallel recurrence on 64-bit words.
 
     Bit i of ``v`` for a pair is 0 once the prefix of ``a`` up to i has gained a match; each
-    state of ``b`` updates ``v`` with one addition. Words chain through the carry.
+    state of ``b`` updates ``v`` with one addition. Words chain through the carry. States that only one side
+    has match nothing and are left out. The sequences of ``b`` form a prefix trie: ``v`` is worked out once for each of its nodes.
     """
-    states, coded = np.unique(np.concatenate([a.flat, b.flat]), return_inverse=True)
-    pa_, pb = Ragged(coded[: len(a.flat)], a.offsets), Ragged(coded[len(a.flat) :], b.offsets)
+    states = np.intersect1d(a.flat, b.flat)
+    a, b = a.only(states), b.only(states)
+    pa_, pb = (Ragged(np.searchsorted(states, x.flat), x.offsets) for x in (a, b))
     words = max(1, -(-int(a.lengths.max(initial=1)) // 64))
     # masks[w, s, i]: the positions of state s in sequence i; the last state is padding.
     masks = np.zeros((words, len(states) + 1, len(a.lengths)), dtype=np.uint64)
@@ -64,17 +77,19 @@ def lcs_matrix(a: Ragged, b: Ragged) -> np.ndarray:
     bits = np.left_shift(np.uint64(1), (at % 64).astype(np.uint64))
     np.bitwise_or.at(masks, (at // 64, pa_.flat, row), bits)
     steps = pb.padded(len(states))
-    out = np.empty((len(a.lengths), len(b.lengths)), dtype=np.int64)
+    order = np.lexsort(steps.T[::-1]) if steps.shape[1] else np.arange(len(steps))
+    out = np.zeros((len(a.lengths), len(b.lengths)), dtype=np.int64)
     rows_at_once = max(1, 65536 // max(1, len(a.lengths) * words))
     full = np.uint64(0xFFFFFFFFFFFFFFFF)
-    for start in range(0, len(b.lengths), rows_at_once):
-        part = steps[start : start + rows_at_once]
-        part = part[:, : int(b.lengths[start : start + rows_at_once].max(initial=0))]
-        v = np.full((words, len(part), len(a.lengths)), full, dtype=np.uint64)
-        for p in range(part.shape[1]):
-            carry = None
+    for start in range(0, len(order), rows_at_once):
+        rows = order[start : start + rows_at_once]
+        nodes, firsts, parents = trie(steps[rows][:, : int(b.lengths[rows].max(initial=0))])
+        v = np.full((words, 1, len(a.lengths)), full, dtype=np.uint64)
+        for p, (first, parent) in enumerate(zip(firsts, parents)):
+            v = v[:, parent]
+            state, carry = steps[rows[first], p], None
             for w in range(words):
-                x = v[w] & masks[w][part[:, p]]
+                x = v[w] & masks[w][state]
                 total = v[w] + x
                 over = total < x
                 if carry is not None:
@@ -83,10 +98,27 @@ def lcs_matrix(a: Ragged, b: Ragged) -> np.ndarray:
                 v[w] = total | (v[w] - x)
                 carry = over.astype(np.uint64) if w + 1 < words else None
         zeros = np.bitwise_count(~v).sum(axis=0, dtype=np.int64)
-        out[:, start : start + len(part)] = zeros.T
+        out[:, rows] = zeros[nodes].T
     return out
 
 
+def trie(rows: np.ndarray) -> tuple[np.ndarray, list[np.ndarray], list[np.ndarray]]:
+    """Prefix trie of sorted rows of equal width.
+
+    Per depth the first row of each node and the node above it; and the deepest node of each row.
+    """
+    above, firsts, parents = np.zeros(len(rows), dtype=np.int64), [], []
+    changed = np.zeros(len(rows), dtype=bool)
+    changed[:1] = True
+    for p in range(rows.shape[1]):
+        changed[1:] |= rows[1:, p] != rows[:-1, p]
+        first = np.flatnonzero(changed)
+        firsts.append(first)
+        parents.append(above[first])
+        above = np.cumsum(changed) - 1
+    return above, firsts, parents
+
+
 def lcs_kernel(a: Ragged, b: Ragged) -> np.ndarray:
     area = a.lengths.astype(float)[:, None] * b.lengths.astype(float)[None, :]
     return lcs_matrix(a, b) / np.sqrt(area)
@@ -136,22 +168,45 @@ def _common(ca: np.ndarray, cb: np.ndarray, levels: int = 32) -> np.ndarray:
     return out
 
 
+def _along_postings(sides: list[tuple[np.ndarray, np.ndarray, np.ndarray]], shape: tuple[int, int], match: str) -> np.ndarray:
+    """Common grams of all pairs, added up along the two postings of each shared gram."""
+    out = np.zeros(shape)
+    lists = []
+    for rows, gram, counts in sides:
+        order = np.argsort(gram, kind="stable")
+        ends = np.cumsum(np.bincount(gram))
+        lists.append((rows[order], counts[order].astype(float), ends))
+    (rows_a, counts_a, ends_a), (rows_b, counts_b, ends_b) = lists
+    for g in range(len(ends_a)):
+        a, b = (slice(ends[g - 1] if g else 0, ends[g]) for ends in (ends_a, ends_b))
+        both = (np.minimum if match == "bag" else np.multiply).outer(counts_a[a], counts_b[b])
+        out[np.ix_(rows_a[a], rows_b[b])] += both
+    return out
+
+
 def ngram_tile(n: int, match: str, width: int = 2048) -> Callable[[pa.Table, pa.Table], np.ndarray]:
-    """Similarities of two blocks of gram bags, ``width`` grams at a time."""
+    """Similarities of two blocks of gram bags: along the postings if those are few, else ``width`` grams at a time."""
 
     def tile(left: pa.Table, right: pa.Table) -> np.ndarray:
         sides = _entries(left, right)
         grams = 1 + max((int(g.max(initial=-1)) for _, g, _ in sides), default=-1)
-        c = np.zeros((left.num_rows, right.num_rows))
-        for start in range(0, grams, width):
-            dense = []
-            for (rows, gram, counts), table in zip(sides, (left, right)):
-                now = (gram >= start) & (gram < start + width)
-                m = np.zeros((table.num_rows, min(width, grams - start)), dtype=np.int64)
-                m[rows[now], gram[now] - start] = counts[now]
-                dense.append(m)
-            ca, cb = dense
-            c += _common(ca, cb) if match == "bag" else ca.astype(float) @ cb.astype(float).T
+        shape = (left.num_rows, right.num_rows)
+        postings = [np.bincount(g, minlength=grams).astype(float) for _, g, _ in sides]
+        if not grams:
+            c = np.zeros(shape)
+        elif float(postings[0] @ postings[1]) * POSTING_CELLS < shape[0] * shape[1] * grams:
+            c = _along_postings(sides, shape, match)
+        else:
+            c = np.zeros(shape)
+            for start in range(0, grams, width):
+                dense = []
+                for (rows, gram, counts), table in zip(sides, (left, right)):
+                    now = (gram >= start) & (gram < start + width)
+                    m = np.zeros((table.num_rows, min(width, grams - start)), dtype=np.int64)
+                    m[rows[now], gram[now] - start] = counts[now]
+                    dense.append(m)
+                ca, cb = dense
+                c += _common(ca, cb) if match == "bag" else ca.astype(float) @ cb.astype(float).T
         # A bag holds length + n - 1 grams.
         size = left.column("grams").to_numpy()[:, None] + right.column("grams").to_numpy()[None, :]
         with np.errstate(divide="ignore"):
@@ -180,15 +235,35 @@ def _partial(tile: Callable[[pa.Table, pa.Table], np.ndarray]) -> Callable[[pa.T
     return partial_sums
 
 
-def _similarity_sums(distinct: DataFrame, tile: Callable[[pa.Table, pa.Table], np.ndarray], block: int) -> DataFrame:
+def blocks_and_tiles(distinct: DataFrame, tokens: Column, blocks: int) -> tuple[DataFrame, DataFrame]:
+    """``distinct`` with a block ``blk``, and the stored pairs ``(ti, tj)`` of blocks with a common token.
+
+    Rows are cut into ranges by their rarest token, so blocks share as few tokens as can be. A block meets itself.
+    """
+    postings = materialize(distinct.select("did", F.explode(F.array_distinct(tokens)).alias("token")))
+    counts = materialize(postings.groupBy("token").agg(F.count(F.lit(1)).alias("n")))
+    # A frequent token has many postings; the skew join splits them.
+    rarest = lookup(postings, counts, ["token"], "inner").groupBy("did").agg(F.min(F.struct("n", "token")).alias("r"))
+    ranged = rarest.repartitionByRange(blocks, "r.token", "did").select("did", F.spark_partition_id().alias("blk"))
+    placed = materialize(ranged)
+    held = postings.join(placed, "did").groupBy("token").agg(F.array_sort(F.collect_set("blk")).alias("blks"))
+    held = materialize(held.select("blks").distinct())
+    light = held.where(F.size("blks") <= HEAVY_BLOCKS)
+    heavy = held.where(F.size("blks") > HEAVY_BLOCKS).select(F.explode("blks").alias("blk")).agg(F.array_sort(F.collect_set("blk")).alias("blks"))
+    first = light.unionByName(heavy).select(F.posexplode("blks").alias("i", "ti"), "blks")
+    tiles = first.select("ti", F.explode(F.slice("blks", F.col("i") + 1, F.size("blks"))).alias("tj")).distinct()
+    return distinct.join(placed, "did"), materialize(tiles)
+
+
+def _similarity_sums(distinct: DataFrame, tile: Callable[[pa.Table, pa.Table], np.ndarray], block: int, tokens: Column) -> DataFrame:
     """``(did, s)``: similarity to all sequences, for a stored ``distinct (did, times, ...)``."""
     d = distinct.count()
     parallel = distinct.sparkSession.sparkContext.defaultParallelism
     blocks = max(1, math.ceil(d / block), min(math.ceil(math.sqrt(8 * parallel)), d // 256))
-    tiles = blocks * (blocks + 1) // 2
-    rows = distinct.withColumn("blk", F.pmod(F.xxhash64("did"), F.lit(blocks)).cast("int"))
-    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-    rows = rows.withColumns({"ti": F.least("blk", "other"), "tj": F.greatest("blk", "other")}).drop("other")
+    rows, pairs = blocks_and_tiles(distinct, tokens, blocks)
+    tiles = pairs.count()
+    ends = pairs.select("ti", "tj", F.explode(F.array_distinct(F.array("ti", "tj"))).alias("blk"))
+    rows = rows.join(ends, "blk")
     partial = (
         rows.repartition(max(1, min(tiles, 4 * max(parallel, tiles // 64))), "ti", "tj")
         .groupBy("ti", "tj")
@@ -216,7 +291,7 @@ def lcs_scores(sequences: DataFrame, *, block: int = BLOCK) -> DataFrame:
     """
     arrays = materialize(as_arrays(sequences))
     distinct = _numbered(arrays.groupBy("states").agg(F.count(F.lit(1)).alias("times")))
-    sums = _similarity_sums(distinct, lcs_tile, block)
+    sums = _similarity_sums(distinct, lcs_tile, block, F.col("states"))
     score = _score(F.col("s"), F.col("times"), arrays.count())
     per_distinct = materialize(distinct.join(sums, "did").select("states", score.alias("score")))
     return lookup(arrays, per_distinct, ["states"], "inner").select("seq_id", "score")
@@ -274,7 +349,7 @@ def ngram_scores(
         raise ValueError(match)
     bags = materialize(gram_bags(sequences, n, **options))
     distinct = _numbered(bags.groupBy("bag", "grams").agg(F.count(F.lit(1)).alias("times")))
-    sums = _similarity_sums(distinct, ngram_tile(n, match), block)
+    sums = _similarity_sums(distinct, ngram_tile(n, match), block, F.col("bag.gram"))
     per_bag = materialize(distinct.join(sums, "did").select("bag", "s"))
     same = ["f1", "f2", "grams"]
     equal = materialize(bags.groupBy(*same).agg(F.count(F.lit(1)).alias("equal")))

@@ -4,6 +4,7 @@ from collections import Counter
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from helpers import SEQS, as_dict, sequence_table
 from loglattice.operators.detectors import similarity as sm
@@ -73,6 +74,57 @@ def test_ngram_kernel(n, match):
         assert np.allclose(got, want)
 
 
+def test_prefixes_share_their_work():
+    rows = np.array([[0, 1, 2], [0, 1, 3], [0, 1, 3], [0, 2, 2], [1, 0, 0]])
+    nodes, firsts, parents = sm.trie(rows)
+    assert [f.tolist() for f in firsts] == [[0, 4], [0, 3, 4], [0, 1, 3, 4]]
+    assert [p.tolist() for p in parents] == [[0, 0], [0, 0, 1], [0, 0, 1, 2]]
+    assert nodes.tolist() == [0, 1, 1, 2, 3]
+
+
+@pytest.mark.parametrize("match", ["bag", "product"])
+@pytest.mark.parametrize("cells", [0, 10**9])
+def test_postings_and_dense_products_agree(monkeypatch, match, cells):
+    rng = random.Random(4)
+    seqs = [[rng.randrange(i, i + 9) for _ in range(rng.randrange(2, 9))] for i in range(0, 200, 5)]
+    kind = pa.list_(pa.struct([("gram", pa.string()), ("c", pa.int64())]))
+
+    def block(part):
+        bags = [[{"gram": ",".join(map(str, g)), "c": c} for g, c in bag(s, 1).items()] for s in part]
+        return pa.table({"bag": pa.array(bags, kind), "grams": pa.array([3 * len(s) ** 2 for s in part])})
+
+    monkeypatch.setattr(sm, "POSTING_CELLS", cells)
+    got = sm.ngram_tile(1, match, 16)(block(seqs[:25]), block(seqs[20:]))
+    for i, a in enumerate(seqs[:25]):
+        for j, b in enumerate(seqs[20:]):
+            x, y = bag(a, 1), bag(b, 1)
+            c = sum(min(x[g], y[g]) if match == "bag" else x[g] * y[g] for g in x)
+            assert got[i, j] == pytest.approx(c / (3 * len(a) ** 2 + 3 * len(b) ** 2 - c))
+
+
+@pytest.mark.parametrize("heavy", [64, 2])
+def test_blocks_without_a_common_token_do_not_meet(spark, monkeypatch, heavy):
+    monkeypatch.setattr(sm, "HEAVY_BLOCKS", heavy)
+    rng = random.Random(6)
+    # Twenty families of states of their own, and one state in three families.
+    seqs = [[rng.randrange(10 * f, 10 * f + 5) for _ in range(rng.randrange(1, 6))] + ([999] if f < 3 else []) for f in range(20) for _ in range(12)]
+    rows = spark.createDataFrame([(i, s) for i, s in enumerate(seqs)], "did long, states array<int>")
+    placed, tiles = sm.blocks_and_tiles(rows, F.col("states"), 20)
+    blk = {r.did: r.blk for r in placed.collect()}
+    pairs = {(r.ti, r.tj) for r in tiles.collect()}
+    for i, a in enumerate(seqs):
+        for j, b in enumerate(seqs):
+            if set(a) & set(b):
+                assert tuple(sorted((blk[i], blk[j]))) in pairs
+    blocks = len(set(blk.values()))
+    assert len(pairs) < 0.4 * blocks * (blocks + 1) / 2
+    table = sequence_table(spark, seqs)
+    got = as_dict(sm.lcs_scores(table, block=13))
+    assert [got[str(i)] for i in range(len(seqs))] == pytest.approx(scores(seqs, lambda a, b: lcs(a, b) / (len(a) * len(b)) ** 0.5))
+    got = as_dict(sm.ngram_scores(table, 2, block=13))
+    assert [got[str(i)] for i in range(len(seqs))] == pytest.approx(scores(seqs, lambda a, b: gram_sim(a, b, 2)))
+
+
 def test_lcs_golden(spark):
     got = as_dict(sm.lcs_scores(sequence_table(spark, FIVE)))
     want = [2.2094012918, 2.1939492145, 2.3771634263, 2.8694350803, 6.2478200176]
