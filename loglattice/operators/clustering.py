@@ -5,13 +5,13 @@ from __future__ import annotations
 from collections.abc import Iterable, Mapping
 from concurrent.futures import ThreadPoolExecutor
 
-import numpy as np
-from pyspark.ml.clustering import GaussianMixture, GaussianMixtureModel, KMeans, KMeansModel
+from pyspark.ml.clustering import KMeans, KMeansModel
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from loglattice.functions.fields import split_bucket
+from loglattice.operators import batched
 from loglattice.operators import mixture as mx
 
 # The default sweep tries 2 to 6 clusters.
@@ -55,49 +55,23 @@ def kmeans_sweep(
 
 def gmm_sweep(
     df: DataFrame, ks: Iterable[int] = DEFAULT_K, *, covariance: str = "diag", features: str = "features",
-    seed: int = 0, max_iter: int = 100, tol: float = 1e-3, threads: int = 4,
+    seed: int = 0, max_iter: int = 100, tol: float = 1e-3,
 ) -> dict[int, mx.Mixture]:
-    """One Gaussian mixture per k, with ``diag`` or ``full`` covariances."""
-    data = df.select(F.col(features), vector_to_array(features).alias("x")).persist()
-    try:
-        if covariance == "full":
-            return _sweep(lambda k: full_gmm(data, k, features, seed, max_iter, tol), ks, threads)
-        if covariance == "diag":
-            return _sweep(lambda k: _diagonal_gmm(data, k, features, seed, max_iter, tol), ks, threads)
+    """One Gaussian mixture per k, with ``diag`` or ``full`` covariances; each iteration of all k is one pass."""
+    if covariance not in ("diag", "full"):
         raise ValueError(covariance)
+    ks = list(ks)
+    data = df.select(vector_to_array(features).alias("x")).persist()
+    try:
+        d = data.select(F.size("x").alias("d")).first()
+        scans = batched.Scans(data, d["d"] if d else 0)
+        every = tuple(range(scans.d))
+        fits = batched.gmm_fits(scans, [(every, k) for k in ks], diagonal=covariance == "diag", seed=seed, max_iter=max_iter, tol=tol)
+        return dict(zip(ks, map(scans.moved_back, fits)))
     finally:
         data.unpersist()
 
 
-def as_mixture(model: GaussianMixtureModel, floor: float = mx.COVARIANCE_FLOOR) -> mx.Mixture:
-    rows = model.gaussians
-    means = np.array([g.mean.toArray() for g in rows])
-    covs = np.array([g.cov.toArray() for g in rows]) + floor * np.eye(means.shape[1])
-    return mx.Mixture(np.array(model.weights), means, covs)
-
-
-def full_gmm(data: DataFrame, k: int, features: str, seed: int, max_iter: int = 100, tol: float = 1e-3) -> mx.Mixture:
-    model = GaussianMixture(k=k, seed=seed, featuresCol=features, maxIter=max_iter, tol=tol).fit(data)
-    return as_mixture(model)
-
-
-def _diagonal_gmm(data: DataFrame, k: int, features: str, seed: int, max_iter: int, tol: float) -> mx.Mixture:
-    """Expectation-maximisation from a k-means start; each round is one pass of sums."""
-    start = KMeans(k=k, seed=seed, featuresCol=features).fit(data)
-    d = len(start.clusterCenters()[0])
-    labelled = start.transform(data)
-    centre = mx.column_means(data, "x", d)
-    options = dict(diagonal=True, floor=mx.COVARIANCE_FLOOR, target="x", target_d=d, centre=centre)
-    current, _ = mx.weighted_moments(labelled, None, label=start.getPredictionCol(), k=k, **options)
-    last, n = -np.inf, data.count()
-    for _ in range(max_iter):
-        current, total = mx.weighted_moments(data, current, "x", **options)
-        if abs(total / n - last) < tol:
-            break
-        last = total / n
-    return current
-
-
 def predict(df: DataFrame, models: Mapping[int, KMeansModel | mx.Mixture], *, row_id: str = "row_id", features: str = "features") -> DataFrame:
     """``(k, row_id, label)`` for every model, from one scan of ``df``."""
     out = df.select(row_id, features, vector_to_array(features).alias("x"))

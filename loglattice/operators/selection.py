@@ -1,26 +1,25 @@
 """Feature selection without labels: greedy forward search over clusterings.
 
-The driver owns the search; every fit and every score is a Spark job over one stored table
-of standardised columns, and only moments and model parameters come back.
+The driver owns the search. All candidates of a step are fitted together, in passes over one stored table
+of standardised columns that serve every candidate and every number of clusters; only moments and model parameters
+come back.
 """
 
 from __future__ import annotations
 
 import math
 from collections.abc import Callable, Iterator, Sequence
-from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field, replace
 from typing import Any
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
-from pyspark.ml.clustering import KMeans, KMeansModel
-from pyspark.ml.functions import array_to_vector
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from loglattice.operators import batched
 from loglattice.operators import mixture as mx
-from loglattice.operators.clustering import full_gmm
 from loglattice.operators.scaling import z_score
 
 Score = Callable[[DataFrame], float]
@@ -121,56 +120,90 @@ class Clustering:
     def labelled(self, df: DataFrame) -> DataFrame:
         if isinstance(self.model, mx.Mixture):
             return mx.assign(df.withColumn("__x", _array(self.columns)), self.model, "__x").drop("__x")
-        if isinstance(self.model, KMeansModel):
-            model = self.model.copy({self.model.featuresCol: "__x", self.model.predictionCol: "label"})
-            return model.transform(df.withColumn("__x", array_to_vector(_array(self.columns)))).drop("__x")
+        if isinstance(self.model, batched.Centres):
+            centres, d = self.model, len(self.columns)
+
+            @F.pandas_udf("int")
+            def nearest(x):
+                return pd.Series(centres.label(np.vstack(x.to_numpy()).reshape(-1, d)).astype("int32") if len(x) else [], dtype="int32")
+
+            return df.withColumn("label", nearest(_array(self.columns).cast("array<double>")))
         return df.withColumn("label", F.lit(0))
 
 
-def em_clustering(
-    df: DataFrame, columns: Sequence[str], *, rows: int | None = None, criterion: str = "ML", seed: int = 0
-) -> Clustering:
-    """Gaussian mixture with its number of components chosen by merging.
+def scans_of(df: DataFrame, columns: Sequence[str]) -> batched.Scans:
+    """Passes over all ``columns``; a subset of them is a choice of places."""
+    return batched.Scans(df.select(_array(columns).cast("array<double>").alias("x")), len(columns))
+
+
+def _moments(job: batched.Job, sums: np.ndarray) -> Moments:
+    """Moments of the labels that have rows."""
+    k, d = job.model.k, len(job.columns)
+    n, sx, sxx = sums[:k], sums[k : k + k * d].reshape(k, d), sums[k + k * d :].reshape(k, d, d)
+    some = n > 0
+    n, sx, sxx = n[some], sx[some], sxx[some]
+    means = sx / n[:, None]
+    return Moments(n, means, (sxx - n[:, None, None] * means[:, :, None] * means[:, None, :]) / np.maximum(n - 1, 1)[:, None, None])
+
+
+def _scatters(scans: batched.Scans, jobs: Sequence[batched.Job]) -> list[float]:
+    return [scatter(_moments(j, s)) if (s[: j.model.k] > 0).sum() > 1 else 0.0 for j, s in zip(jobs, scans.sums(jobs, batched.label_sums))] if jobs else []
+
+
+def em_clusterings(scans: batched.Scans, names: Sequence[str], subsets: Sequence[Sequence[str]], *, criterion: str = "ML", seed: int = 0) -> list[Clustering]:
+    """Gaussian mixtures of several subsets of the columns ``names``, each with its number of components chosen by merging.
 
     One fit with the largest number, then the closest pair is merged again and again without
-    fitting; all those mixtures are scored in one pass and the best (of equals the smallest)
+    fitting; all those mixtures of all subsets are scored in one pass and the best (of equals the smallest)
     is kept. ``criterion`` ML scores by likelihood, SS by scatter.
     """
-    rows = df.count() if rows is None else rows
-    data = df.select(_array(columns).alias("x"), array_to_vector(_array(columns)).alias("features"))
-    series = mx.merge_series(full_gmm(data, max_clusters(rows), "features", seed))
-    totals = mx.log_likelihoods(data, series)
-    scores = [mx.criterion(t, m, rows) for t, m in zip(totals, series)]
-    best = max(range(len(series)), key=lambda i: (scores[i], i))
-    found = Clustering(tuple(columns), series[best].k, scores[best], series[best])
+    places = [[list(names).index(c) for c in subset] for subset in subsets]
+    fits = batched.gmm_fits(scans, [(p, max_clusters(scans.rows)) for p in places], diagonal=False, seed=seed)
+    series = [[batched.Job(f.columns, m) for m in mx.merge_series(f.model)] for f in fits]
+    flat = [j for jobs in series for j in jobs]
+    totals = iter(scans.sums(flat, batched.likelihood_sums))
+    chosen = []
+    for jobs in series:
+        scores = [mx.criterion(float(next(totals)[0]), j.model, scans.rows) for j in jobs]
+        best = max(range(len(jobs)), key=lambda i: (scores[i], i))
+        chosen.append((jobs[best], scores[best]))
     if criterion == "SS":
-        found = replace(found, score=scatter_criterion(found.labelled(df), columns))
-    return found
+        chosen = list(zip([j for j, _ in chosen], _scatters(scans, [j for j, _ in chosen])))
+    return [Clustering(tuple(s), j.model.k, score, scans.moved_back(j)) for s, (j, score) in zip(subsets, chosen)]
+
+
+def km_clusterings(scans: batched.Scans, names: Sequence[str], subsets: Sequence[Sequence[str]], *, seed: int = 0) -> list[Clustering]:
+    """K-means of several subsets for every k up to the largest, in shared passes; best scatter, of equals the smallest k."""
+    places = [[list(names).index(c) for c in subset] for subset in subsets]
+    ks = range(2, max_clusters(scans.rows) + 1)
+    jobs = batched.kmeans_fits(scans, [(p, k) for p in places for k in ks], seed=seed)
+    scores = iter(zip(jobs, _scatters(scans, jobs)))
+    out = []
+    for subset in subsets:
+        tried = [Clustering(tuple(subset), 1, 0.0)]
+        for k in ks:
+            job, score = next(scores)
+            tried.append(Clustering(tuple(subset), k, score, scans.moved_back(job)))
+        out.append(max(tried, key=lambda t: t.score))
+    return out
+
 
+def em_clustering(df: DataFrame, columns: Sequence[str], *, criterion: str = "ML", seed: int = 0) -> Clustering:
+    """``em_clusterings`` of all ``columns``."""
+    return em_clusterings(scans_of(df, columns), columns, [columns], criterion=criterion, seed=seed)[0]
 
-def km_clustering(
-    df: DataFrame, columns: Sequence[str], *, rows: int | None = None, seed: int = 0, threads: int = 4
-) -> Clustering:
-    """K-means fitted for every k up to the largest; best scatter, of equals the smallest k."""
-    rows = df.count() if rows is None else rows
-    data = df.select(*columns, array_to_vector(_array(columns)).alias("__x"))
 
-    def fit(k: int) -> Clustering:
-        model = KMeans(k=k, seed=seed, featuresCol="__x", predictionCol="label").fit(data)
-        return Clustering(tuple(columns), k, scatter_criterion(model.transform(data), columns), model)
+def km_clustering(df: DataFrame, columns: Sequence[str], *, seed: int = 0) -> Clustering:
+    """``km_clusterings`` of all ``columns``."""
+    return km_clusterings(scans_of(df, columns), columns, [columns], seed=seed)[0]
 
-    with ThreadPoolExecutor(threads) as pool:
-        tried = list(pool.map(fit, range(2, max_clusters(rows) + 1)))
-    return max([Clustering(tuple(columns), 1, 0.0), *tried], key=lambda t: t.score)
 
+Clusterer = Callable[[Sequence[Sequence[str]]], list[Clustering]]
 
-def forward_step(
-    columns: Sequence[str], chosen: Sequence[str], cluster: Callable[[Sequence[str]], Clustering], threads: int = 4
-) -> Clustering:
-    """The best clustering of ``chosen`` plus one more column; of equals the first column."""
-    open_ = [c for c in columns if c not in chosen]
-    with ThreadPoolExecutor(threads) as pool:
-        tried = list(pool.map(lambda c: cluster(_ordered(columns, [*chosen, c])), open_))
+
+def forward_step(columns: Sequence[str], chosen: Sequence[str], cluster: Clusterer) -> Clustering:
+    """The best clustering of ``chosen`` plus one more column, all tried together; of equals the first column."""
+    tried = cluster([_ordered(columns, [*chosen, c]) for c in columns if c not in chosen])
     return max(tried, key=lambda t: t.score)  # max keeps the first of equals
 
 
@@ -207,9 +240,8 @@ def _cross_likelihood(df: DataFrame, rows: int, found: Clustering, columns: Sequ
 
 def _search(
     columns: Sequence[str],
-    cluster: Callable[[Sequence[str]], Clustering],
+    cluster: Clusterer,
     cross: Callable[[Clustering, Sequence[str]], float],
-    threads: int,
 ) -> Selection:
     """Grow the subset while the new one wins the comparison across subsets.
 
@@ -220,7 +252,7 @@ def _search(
     added: list[str] = []
     kept = 0
     while len(added) < len(columns):
-        new = forward_step(columns, added, cluster, threads)
+        new = forward_step(columns, added, cluster)
         added += [c for c in new.columns if c not in added]
         steps.append(new)
         if len(steps) > 1:
@@ -232,36 +264,31 @@ def _search(
     return Selection(priority, steps[kept - 1], tuple(steps))
 
 
-def select_em(
-    df: DataFrame, columns: Sequence[str], *, criterion: str = "ML", seed: int = 0, threads: int = 4
-) -> Selection:
+def select_em(df: DataFrame, columns: Sequence[str], *, criterion: str = "ML", seed: int = 0) -> Selection:
     """Forward selection with mixture clustering, scored by ``ML`` or ``SS``."""
     data = z_score(df, columns).select(*columns).persist()
     try:
-        rows = data.count()
+        scans = scans_of(data, columns)
 
         def cross(found: Clustering, other: Sequence[str]) -> float:
             if criterion == "SS":
                 return scatter_criterion(found.labelled(data), other)
-            return _cross_likelihood(data, rows, found, other)
+            return _cross_likelihood(data, scans.rows, found, other)
 
-        return _search(
-            columns, lambda c: em_clustering(data, c, rows=rows, criterion=criterion, seed=seed), cross, threads
-        )
+        return _search(columns, lambda subsets: em_clusterings(scans, columns, subsets, criterion=criterion, seed=seed), cross)
     finally:
         data.unpersist()
 
 
-def select_km(df: DataFrame, columns: Sequence[str], *, seed: int = 0, threads: int = 4) -> Selection:
+def select_km(df: DataFrame, columns: Sequence[str], *, seed: int = 0) -> Selection:
     """Forward selection with k-means clustering, scored by scatter."""
     data = z_score(df, columns).select(*columns).persist()
     try:
-        rows = data.count()
+        scans = scans_of(data, columns)
         return _search(
             columns,
-            lambda c: km_clustering(data, c, rows=rows, seed=seed),
+            lambda subsets: km_clusterings(scans, columns, subsets, seed=seed),
             lambda found, other: scatter_criterion(found.labelled(data), other),
-            threads,
         )
     finally:
         data.unpersist()

@@ -485,14 +485,14 @@ def _outcome(spark, rows, names="columns string, score_holds boolean"):
 @query("SELECT 'acctbal,nation,orders,spent' AS columns, true AS score_holds")
 def em_clustering(spark, folder):
     data, rows = _standard(spark, folder)
-    found = selection.em_clustering(data, COLUMNS, rows=rows)
+    found = selection.em_clustering(data, COLUMNS)
     return _outcome(spark, [(",".join(found.columns), _holds(data, rows, found, "ML"))])
 
 
 @query("SELECT 'acctbal,nation,orders,spent' AS columns, true AS score_holds")
 def km_clustering(spark, folder):
     data, rows = _standard(spark, folder)
-    found = selection.km_clustering(data, COLUMNS, rows=rows)
+    found = selection.km_clustering(data, COLUMNS)
     return _outcome(spark, [(",".join(found.columns), _holds(data, rows, found, "SS"))])
 
 
@@ -500,9 +500,10 @@ def km_clustering(spark, folder):
 def forward_step(spark, folder):
     """The step from one chosen column: no other column to add scores higher."""
     data, rows = _standard(spark, folder)
-    cluster = lambda c: selection.km_clustering(data, c, rows=rows)
+    scans = selection.scans_of(data, COLUMNS)
+    cluster = lambda subsets: selection.km_clusterings(scans, COLUMNS, subsets)
     best = selection.forward_step(COLUMNS, ["orders"], cluster)
-    others = [cluster([c for c in COLUMNS if c in ("orders", new)]) for new in COLUMNS if new != "orders"]
+    others = cluster([[c for c in COLUMNS if c in ("orders", new)] for new in COLUMNS if new != "orders"])
     fits = best.columns in [o.columns for o in others] and all(best.score >= o.score for o in others)
     return _outcome(spark, [(_holds(data, rows, best, "SS"), fits)], "score_holds boolean, best boolean")
 
@@ -533,3 +534,52 @@ def feature_selection_em_scatter(spark, folder):
 @query(_SEARCHED)
 def feature_selection_km(spark, folder):
     return _searched(spark, folder, lambda data: selection.select_km(data, COLUMNS), "SS")
+
+
+# The searches over all 64 embedding coordinates: fitted models have no SQL, tests recheck scores from labels.
+WIDE_COLUMNS = [f"e{i}" for i in range(64)]
+
+
+def _wide_standard(spark, folder):
+    return materialize(z_score(vectors(spark, folder).select("row_id", *WIDE_COLUMNS), WIDE_COLUMNS))
+
+
+def _as_rows(spark, *found):
+    rows = [(",".join(f.columns), f.clusters, float(f.score)) for f in found]
+    return spark.createDataFrame(rows, "columns string, clusters int, score double")
+
+
+@query()
+def em_clustering_of_embeddings(spark, folder):
+    """Number of components and score of a full mixture of 64 coordinates."""
+    return _as_rows(spark, selection.em_clustering(_wide_standard(spark, folder), WIDE_COLUMNS))
+
+
+@query()
+def km_clustering_of_embeddings(spark, folder):
+    return _as_rows(spark, selection.km_clustering(_wide_standard(spark, folder), WIDE_COLUMNS))
+
+
+@query()
+def forward_step_of_embeddings(spark, folder):
+    """The score of every coordinate as the first of a search, 64 candidates in shared passes."""
+    scans = selection.scans_of(_wide_standard(spark, folder), WIDE_COLUMNS)
+    return _as_rows(spark, *selection.km_clusterings(scans, WIDE_COLUMNS, [[c] for c in WIDE_COLUMNS]))
+
+
+@query()
+def feature_selection_em_of_embeddings(spark, folder):
+    rows = vectors(spark, folder)
+    return selection.priorities(rows, selection.select_em(rows, WIDE_COLUMNS))
+
+
+@query()
+def feature_selection_em_scatter_of_embeddings(spark, folder):
+    rows = vectors(spark, folder)
+    return selection.priorities(rows, selection.select_em(rows, WIDE_COLUMNS, criterion="SS"))
+
+
+@query()
+def feature_selection_km_of_embeddings(spark, folder):
+    rows = vectors(spark, folder)
+    return selection.priorities(rows, selection.select_km(rows, WIDE_COLUMNS))
