@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import numpy as np
+import pandas as pd
 from pyspark.ml.clustering import KMeansModel
 from pyspark.sql import functions as F
 
@@ -152,30 +153,34 @@ def mixture_stored_and_loaded(spark, folder):
 
 
 def _log_joint(m, x):
-    """log(weight * density) of every component as an array, from the inverse covariances."""
+    """log(weight * density) of every component as an array, for an array column ``x``; from the inverse
+    covariances, where the library solves with their roots."""
+    inverses = [np.linalg.inv(c) for c in m.covs]
+    constants = [np.log(w) - 0.5 * (np.linalg.slogdet(c)[1] + m.d * np.log(2 * np.pi)) for w, c in zip(m.weights, m.covs)]
+    means, d = m.means, m.d
 
-    def one(j):
-        inverse = np.linalg.inv(m.covs[j])
-        off = [x[i] - float(v) for i, v in enumerate(m.means[j])]
-        form = sum((off[a] * off[b] * float(inverse[a, b]) for a in range(m.d) for b in range(m.d) if inverse[a, b]), F.lit(0.0))
-        constant = np.log(m.weights[j]) - 0.5 * (np.linalg.slogdet(m.covs[j])[1] + m.d * np.log(2 * np.pi))
-        return F.lit(float(constant)) - 0.5 * form
+    @F.pandas_udf("array<double>")
+    def joint(rows: pd.Series) -> pd.Series:
+        x = np.vstack(rows.to_numpy()).reshape(-1, d) if len(rows) else np.zeros((0, d))
+        forms = [c - 0.5 * np.einsum("ni,ij,nj->n", x - mean, v, x - mean, optimize=True) for c, v, mean in zip(constants, inverses, means)]
+        return pd.Series(list(np.stack(forms, axis=1)))
 
-    return F.array(*[one(j) for j in range(m.k)])
+    return joint(x.cast("array<double>"))
 
 
 def _given_is_likeliest(rows, models):
     """``(k, row_id, likeliest)``: no component of the model gives the row a higher density than its label's.
 
-    The densities are worked out in columns from the inverse covariances.
+    The densities are worked out in columns from the inverse covariances; all models are read off one scan.
     """
-    labels, out = clustering.predict(rows, models), None
+    out = rows.select("row_id", "x", "features")
     for k, m in models.items():
-        one = rows.drop("label").join(labels.where(F.col("k") == k), "row_id").withColumn("j", _log_joint(m, [F.col("x")[i] for i in range(m.d)]))
-        likeliest = F.get("j", F.col("label")) >= F.array_max("j") - 1e-6
-        one = one.select(F.col("k").cast("long").alias("k"), "row_id", likeliest.alias("likeliest"))
-        out = one if out is None else out.unionByName(one)
-    return out
+        out = clustering.add_label(out, m, label=f"label_{k}")
+        out = out.withColumn(f"joint_{k}", _log_joint(m, F.col("x")))
+    tests = [
+        F.struct(F.lit(k).cast("long").alias("k"), (F.get(f"joint_{k}", F.col(f"label_{k}")) >= F.array_max(f"joint_{k}") - 1e-6).alias("likeliest")) for k in models
+    ]
+    return out.select("row_id", F.explode(F.array(*tests)).alias("t")).select("t.k", "row_id", "t.likeliest")
 
 
 @query("SELECT k, vec_id AS row_id, true AS likeliest FROM embeddings, (SELECT unnest(range(2, 7)) AS k)")
@@ -188,9 +193,8 @@ def gmm_diagonal_sweep(spark, folder):
 
 @query(with_(_TEST) + "SELECT k, row_id, true AS likeliest FROM test, (SELECT unnest(range(2, 7)) AS k)")
 def gmm_full_test_labels(spark, folder):
-    """Full mixtures of three coordinates; held-out rows have their likeliest component."""
-    rows = clustering.with_vector(plane_points(spark, folder, "e0", "e1", "e2"), "x")
-    train, test = clustering.train_test(rows)
+    """Full mixtures of all 64 coordinates; held-out rows have their likeliest component."""
+    train, test = clustering.train_test(_learnable(spark, folder))
     return _given_is_likeliest(test, clustering.gmm_sweep(train, covariance="full"))
 
 
@@ -314,29 +318,33 @@ def _label_mixture(spark, folder, *columns):
     return rows, mixture
 
 
-DENSITY = """dens AS (SELECT e.row_id, m.label AS j, m.w * exp(-0.5 * (c11 * (e0 - m0) * (e0 - m0) - 2 * c01 * (e0 - m0) * (e1 - m1)
-  + c00 * (e1 - m1) * (e1 - m1)) / (c00 * c11 - c01 * c01)) / (2 * pi() * sqrt(c00 * c11 - c01 * c01)) AS p FROM e, m)"""
+# A diagonal mixture with the moments of the labels, over the 64 coordinates as rows (row_id, label, i, v).
+LONG = "long_ AS (SELECT vec_id AS row_id, label, unnest(range(0, 64)) AS i, CAST(unnest(embedding) AS DOUBLE) AS v FROM embeddings)"
+DIAGONAL = """share AS (SELECT label AS j, count(*) / sum(count(*)) OVER () AS w FROM embeddings GROUP BY label),
+entry AS (SELECT label AS j, i, avg(v) AS m, var_pop(v) AS s FROM long_ GROUP BY label, i),
+forms AS (SELECT row_id, j, sum(-0.5 * ((v - m) * (v - m) / s + ln(2 * pi() * s))) AS f FROM long_ JOIN entry USING (i) GROUP BY row_id, j),
+joint AS (SELECT row_id, j, f + ln(w) AS p FROM forms JOIN share USING (j)),
+total AS (SELECT row_id, max(p) + ln(sum(exp(p - t))) AS p FROM (SELECT *, max(p) OVER (PARTITION BY row_id) AS t FROM joint) GROUP BY row_id)"""
 
 
-@query(
-    with_(E, MOMENTS, DENSITY, "rows_ AS (SELECT row_id, sum(p) AS p FROM dens GROUP BY row_id)")
-    + """SELECT round(sum(ln(p)), 4) AS log_likelihood,
-  round(2 * sum(ln(p)) - (10 * 2 + 10 * 3 + 9) * ln(count(*)), 4) AS score FROM rows_"""
-)
+def _diagonal_mixture(spark, folder):
+    rows = vectors(spark, folder).select("row_id", "label", "x")
+    return rows, mx.weighted_moments(rows, None, label="label", k=10, target="x", target_d=64, diagonal=True)[0]
+
+
+@query(with_(LONG, DIAGONAL) + "SELECT round(sum(p), 3) AS log_likelihood, round(2 * sum(p) - (10 * 64 + 10 * 64 + 9) * ln(count(*)), 3) AS score FROM total")
 def likelihood_criterion(spark, folder):
-    rows, mixture = _label_mixture(spark, folder, "e0", "e1")
+    """Likelihood of all 64 coordinates under the diagonal mixture of the labels, and its criterion."""
+    rows, mixture = _diagonal_mixture(spark, folder)
     total = mx.log_likelihoods(rows, [mixture])[0]
-    score = mx.criterion(total, mixture, rows.count())
+    score = 2 * total - mixture.parameters(diagonal=True) * float(np.log(rows.count()))
     out = spark.createDataFrame([(total, score)], "log_likelihood double, score double")
-    return rounded(out, "log_likelihood", "score", places=4)
+    return rounded(out, "log_likelihood", "score", places=3)
 
 
-@query(
-    with_(E, MOMENTS, DENSITY)
-    + "SELECT row_id, arg_max(j, p) AS component FROM dens GROUP BY row_id"
-)
+@query(with_(LONG, DIAGONAL) + "SELECT row_id, arg_max(j, p) AS component FROM joint GROUP BY row_id")
 def mixture_assignment(spark, folder):
-    rows, mixture = _label_mixture(spark, folder, "e0", "e1")
+    rows, mixture = _diagonal_mixture(spark, folder)
     return mx.assign(rows, mixture, label="component").select("row_id", "component")
 
 
@@ -408,25 +416,22 @@ def cross_projected_mixture(spark, folder):
     return _mixture_table(spark, m)
 
 
+def _entries(spark, m):
+    """``(component, i, weight, mean, variance)`` of a diagonal mixture."""
+    rows = [(j, i, float(m.weights[j]), float(m.means[j, i]), float(m.covs[j, i, i])) for j in range(m.k) for i in range(m.d)]
+    return rounded(spark.createDataFrame(rows, "component int, i int, weight double, mean double, variance double"), "weight", "mean", "variance")
+
+
 @query(
-    with_(
-        E,
-        "m AS (SELECT label AS j, count(*) / sum(count(*)) OVER () AS w, avg(e0) AS m0, avg(e1) AS m1, var_pop(e0) AS v0, var_pop(e1) AS v1 FROM e GROUP BY label)",
-        """dens AS (SELECT row_id, e0, e1, j, w * exp(-0.5 * ((e0 - m0) * (e0 - m0) / v0 + (e1 - m1) * (e1 - m1) / v1))
-  / (2 * pi() * sqrt(v0 * v1)) AS p FROM e, m)""",
-        "resp AS (SELECT *, p / sum(p) OVER (PARTITION BY row_id) AS r FROM dens)",
-        "mu AS (SELECT j, sum(r) AS n, sum(r * e0) / sum(r) AS a0, sum(r * e1) / sum(r) AS a1 FROM resp GROUP BY j)",
-    )
-    + """SELECT resp.j AS component, round(any_value(n) / (SELECT count(*) FROM e), 6) AS weight, round(any_value(a0), 6) AS m0,
-  round(any_value(a1), 6) AS m1, round(sum(r * (e0 - a0) * (e0 - a0)) / any_value(n), 6) AS c00,
-  0.0::DOUBLE AS c01, round(sum(r * (e1 - a1) * (e1 - a1)) / any_value(n), 6) AS c11 FROM resp JOIN mu ON resp.j = mu.j GROUP BY resp.j"""
-)
+    with_(LONG, DIAGONAL, "resp AS (SELECT row_id, j, exp(joint.p - total.p) AS r FROM joint JOIN total USING (row_id))", "size AS (SELECT j, sum(r) AS n FROM resp GROUP BY j)",
+          "mu AS (SELECT j, i, sum(r * v) / sum(r) AS a FROM resp JOIN long_ USING (row_id) GROUP BY j, i)")
+    + """SELECT resp.j AS component, CAST(long_.i AS INTEGER) AS i, round(any_value(n) / (SELECT count(*) FROM embeddings), 6) AS weight, round(any_value(a), 6) AS mean,
+  round(sum(r * (v - a) * (v - a)) / any_value(n), 6) AS variance FROM resp JOIN long_ USING (row_id) JOIN mu ON resp.j = mu.j AND long_.i = mu.i JOIN size ON resp.j = size.j GROUP BY resp.j, long_.i"""
+)
 def gmm_diagonal_step(spark, folder):
-    """One round of expectation-maximisation, started from the moments of the labels."""
-    rows = plane_points(spark, folder, "e0", "e1")
-    options = dict(target="x", target_d=2, diagonal=True)
-    start, _ = mx.weighted_moments(rows, None, label="label", k=10, **options)
-    return _mixture_table(spark, mx.weighted_moments(rows, start, **options)[0])
+    """One round of expectation-maximisation over all 64 coordinates, started from the moments of the labels."""
+    rows, start = _diagonal_mixture(spark, folder)
+    return _entries(spark, mx.weighted_moments(rows, start, target="x", target_d=64, diagonal=True)[0])
 
 
 # Numeric profile of every customer: all numeric columns of the table and two sums over the orders.
@@ -455,7 +460,7 @@ def _score_of_labels(data, rows, found, criterion):
     """The score of a clustering again, from the labels or densities it gives every row."""
     if criterion == "ML":
         m = found.model
-        joint = data.select(_log_joint(m, [F.col(c) for c in found.columns]).alias("j"))
+        joint = data.select(_log_joint(m, F.array(*[F.col(c) for c in found.columns])).alias("j"))
         top = F.array_max("j")
         one = top + F.log(F.aggregate("j", F.lit(0.0), lambda acc, v: acc + F.exp(v - top)))
         return 2 * joint.agg(F.sum(one)).first()[0] - m.parameters() * np.log(rows)
@@ -583,3 +588,30 @@ def feature_selection_em_scatter_of_embeddings(spark, folder):
 def feature_selection_km_of_embeddings(spark, folder):
     rows = vectors(spark, folder)
     return selection.priorities(rows, selection.select_km(rows, WIDE_COLUMNS))
+
+
+@query()
+def scatter_of_embeddings(spark, folder):
+    """The scatter of the labels over all 64 coordinates."""
+    rows = vectors(spark, folder)
+    return rounded(spark.createDataFrame([(selection.scatter_criterion(rows, WIDE_COLUMNS),)], "score double"), "score")
+
+
+def _full_entries(spark, m):
+    """``(component, i, j, weight, mean, covariance)`` of a full mixture, i <= j."""
+    rows = [(c, i, j, float(m.weights[c]), float(m.means[c, i]), float(m.covs[c, i, j])) for c in range(m.k) for i in range(m.d) for j in range(i, m.d)]
+    return rounded(spark.createDataFrame(rows, "component int, i int, j int, weight double, mean double, covariance double"), "weight", "mean", "covariance")
+
+
+@query()
+def merged_components_of_embeddings(spark, folder):
+    """The full mixture of the labels over 64 coordinates with its closest pair merged."""
+    return _full_entries(spark, mx.merge_closest(_label_mixture(spark, folder, *WIDE_COLUMNS)[1]))
+
+
+@query()
+def cross_projected_mixture_of_embeddings(spark, folder):
+    """Responsibilities from the first 32 coordinates, weighted moments of the other 32."""
+    _, mixture = _label_mixture(spark, folder, *WIDE_COLUMNS[:32])
+    found = selection.Clustering(tuple(WIDE_COLUMNS[:32]), mixture.k, 0.0, mixture)
+    return _full_entries(spark, selection.cross_mixture(vectors(spark, folder), found, WIDE_COLUMNS[32:]))
