@@ -3,7 +3,8 @@
 Input ``packets(idx LONG, ts DOUBLE, src STRING, dst STRING, sport INT, dport INT, seq LONG,
 ack LONG, payload BINARY)``. A request acknowledges byte A of its flow and the reply starts at
 byte A, so requests (at ``ack``) and reply segments (at ``seq``) of a flow share one ordering
-by offset, and stitching is a scan along it. Sequence numbers are taken as already unwrapped.
+by offset, and stitching is a scan along it. Numbers as captured, which start again after 2^32, are
+turned into offsets by ``unwrapped`` first (``raw=True`` of the functions below).
 """
 
 from __future__ import annotations
@@ -63,12 +64,40 @@ def _described(packets: DataFrame) -> DataFrame:
     ).drop("__text")
 
 
-def stitched(packets: DataFrame, *, rows_per_block: int = o.ROWS_PER_BLOCK) -> DataFrame:
+def unwrapped(packets: DataFrame, *, rows_per_block: int = o.ROWS_PER_BLOCK) -> DataFrame:
+    """``packets`` whose 32-bit ``seq`` and ``ack`` are offsets that go on growing past 2^32.
+
+    The ``seq`` of a direction and the ``ack`` of the other one count the same bytes, so both are scanned together in
+    order of time: each number lies less than 2^31 before or after the one before it, and the signed steps add up
+    from the first number. So disorder and retransmissions do no harm. A zero ``ack`` without payload acknowledges
+    nothing and stays. ``idx`` names a packet; null numbers stay null.
+    """
+    own = F.struct(F.col("src").alias("a"), F.col("sport").alias("a_port"), F.col("dst").alias("b"), F.col("dport").alias("b_port"), F.col("seq").alias("raw"), F.lit(0).alias("is_ack"))
+    other = F.struct(F.col("dst").alias("a"), F.col("dport").alias("a_port"), F.col("src").alias("b"), F.col("sport").alias("b_port"), F.col("ack").alias("raw"), F.lit(1).alias("is_ack"))
+    nothing = (F.col("ack") == 0) & (F.coalesce(F.octet_length("payload"), F.lit(0)) == 0)
+    numbers = packets.select("idx", "ts", F.explode(F.array(own, F.when(~F.coalesce(nothing, F.lit(False)), other))).alias("v"))
+    numbers = numbers.where("v.raw IS NOT NULL").select("idx", "ts", "v.*")
+    turn, half = 1 << 32, 1 << 31
+    step = F.pmod(F.col("raw") - F.col("__before") + half, F.lit(turn)) - half
+    placed = (
+        o.OrderedGroups(numbers, ("a", "a_port", "b", "b_port"), ("ts", "idx", "is_ack"), rows_per_block=rows_per_block)
+        .scan(__before=o.previous(F.col("raw")))
+        .derive(__step=F.when(F.col("__before").isNull(), F.col("raw")).otherwise(step))
+        .scan(__at=o.running_sum(F.col("__step")))
+        .df
+    )
+    found = placed.groupBy("idx").agg(F.max(F.when(F.col("is_ack") == 0, F.col("__at"))).alias("__seq"), F.max(F.when(F.col("is_ack") == 1, F.col("__at"))).alias("__ack"))
+    joined = packets.join(found, "idx", "left")
+    return joined.withColumns({"seq": F.coalesce("__seq", "seq"), "ack": F.coalesce("__ack", "ack")}).select(packets.columns)
+
+
+def stitched(packets: DataFrame, *, rows_per_block: int = o.ROWS_PER_BLOCK, raw: bool = False) -> DataFrame:
     """Requests and the reply segments that belong to them, one row each.
 
     ``request`` is the packet number of the request; reply rows add ``fresh`` bytes (bytes a
     retransmission repeats count once). A segment past a hole in the reply is left out.
     """
+    packets = unwrapped(packets, rows_per_block=rows_per_block) if raw else packets
     asks = F.col("request_method").isNotNull()
     rows = _described(packets).select(
         F.when(asks, F.col("src")).otherwise(F.col("dst")).alias("client_ip"),

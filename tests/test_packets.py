@@ -74,3 +74,27 @@ def test_disorder_retransmission_holes_and_flows(spark, block):
     pieces = sorted((x.request, x.start, bytes(x.payload)) for x in pk.reply_data(df).collect())
     assert b"".join(p for q, _, p in pieces if q == 1) == OK + b"b" * 10 + b"c" * 5
     assert pk.http_requests(df).count() == 6
+
+
+@pytest.mark.parametrize("block", [3, 1000])
+def test_numbers_that_start_again(spark, block):
+    turn = 1 << 32
+    n = len(OK)
+    base, asked = turn - n - 7, turn - 20
+    rows = [
+        (0, -0.1, "c", "s", 5000, 80, asked - 1, 0, bytearray()),
+        up(1, 0.0, asked, base, GET),
+        down(2, 0.1, base, asked + len(GET), OK),
+        down(4, 0.3, base + n + 30, asked + len(GET), b"z" * 5),
+        down(3, 0.2, base + n, asked + len(GET), b"y" * 30),
+        down(5, 0.4, base, asked + len(GET), OK),
+        up(6, 1.0, asked + len(GET), base + n + 35, GET),
+        down(7, 1.1, base + n + 35, asked + 2 * len(GET), OK),
+    ]
+    want = run(spark, rows, rows_per_block=block)
+    wrapped = [(*r[:6], r[6] % turn, r[7] % turn, r[8]) for r in rows]
+    got = run(spark, wrapped, rows_per_block=block, raw=True)
+    assert got == want and (want[1].size_of_reply, want[6].size_of_reply) == (n + 35, n)
+    assert run(spark, wrapped, rows_per_block=block) != want
+    offsets = {r.idx: (r.seq - asked, r.ack) for r in pk.unwrapped(spark.createDataFrame(wrapped, SCHEMA)).collect()}
+    assert offsets[0] == (-1, 0) and offsets[6][0] == len(GET) and offsets[6][1] - offsets[1][1] == n + 35

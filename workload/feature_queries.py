@@ -416,7 +416,7 @@ def http_requests(spark, folder):
     return packets.http_requests(packet_table(spark, folder)).drop("ts")
 
 
-@query(
+_TRANSACTIONS = (
     with_(EVENTS_PLUS, _TALK)
     + f"""SELECT event_id * 10 AS request, found AS found_response,
   CASE WHEN found THEN CAST(trunc(((t + 0.25) - t) * 1000) AS BIGINT) END AS response_time,
@@ -425,11 +425,22 @@ def http_requests(spark, folder):
   'GET' AS request_method, concat('http://', peer, upath) AS url_from_client, peer AS server_ip, peer AS server_peer_name,
   '-' AS Referer, {_AGENT} AS User_Agent, found AND event_type = 'view' AS Chunked FROM talk"""
 )
+
+
+@query(_TRANSACTIONS)
 def http_transactions(spark, folder):
     found = packets.transactions(packet_table(spark, folder))
     return found.drop("timestamp", "request_status", "user_name", "hierarchy_status")
 
 
+@query(_TRANSACTIONS)
+def http_transactions_past_the_turn(spark, folder):
+    """The same transactions from numbers of 32 bits that start again inside the flows."""
+    captured = packet_table(spark, folder).withColumns({c: F.pmod(F.col(c) - 5_000_000, F.lit(1 << 32)) for c in ("seq", "ack")})
+    found = packets.transactions(captured, raw=True)
+    return found.drop("timestamp", "request_status", "user_name", "hierarchy_status")
+
+
 @query(
     with_(EVENTS_PLUS, _TALK)
     + """SELECT event_id * 10 AS request, round(t, 3) AS asked, CASE WHEN found THEN round(t + 0.25, 3) END AS answered,
