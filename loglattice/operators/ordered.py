@@ -82,6 +82,18 @@ def _axis(df: DataFrame, name: str) -> Column:
     return F.col(name).cast("double")
 
 
+def _tail_number(x: Column, prefix: Column) -> Column:
+    """The six bytes of a string after ``prefix`` characters as a number, in the order of the strings."""
+    tail = F.hex(F.encode(F.substring(x, prefix + 1, F.lit(6)), "UTF-8"))
+    return F.conv(F.rpad(F.substring(tail, 1, 12), 12, "0"), 16, 10).cast("double")
+
+
+def _common_prefix(low: Column, high: Column) -> Column:
+    """The number of characters two different strings start with alike."""
+    shorter = F.least(F.length(low), F.length(high))
+    return F.size(F.filter(F.sequence(F.lit(0), shorter), lambda i: F.left(low, i) == F.left(high, i))) - 1
+
+
 def _oversized(df: DataFrame, by: list[str], order: list[str], rows_per_block: int) -> DataFrame:
     """The groups above ``rows_per_block`` with the ordering column to cut and the slice width.
 
@@ -99,12 +111,17 @@ def _oversized(df: DataFrame, by: list[str], order: list[str], rows_per_block: i
         varies = F.coalesce(F.col(f"__lo{i}") < F.col(f"__hi{i}"), F.lit(False)) | some_null
         low, high = F.col(f"__lo{i}"), F.col(f"__hi{i}")
         if isinstance(df.schema[order[i]].dataType, T.StringType):
-            cut = (F.lit(0.0), F.lit(1.0), low, F.lit(1).cast("long"))
+            # All strings of the group share what its first and last start with; the bytes after that are cut like numbers.
+            prefix = F.coalesce(_common_prefix(low, high), F.lit(0))
+            first, last = _tail_number(low, prefix), _tail_number(high, prefix)
+            # Strings that differ by zero bytes at the end only are told apart by the first one.
+            text = F.when(first < last, F.lit(None).cast("string")).otherwise(low)
         else:
-            slices = F.ceil(F.col("__n") * F.lit(2.0 / rows_per_block)).cast("long")
-            width = (high - low) / slices
-            cut = (low, F.when(width > 0, width).otherwise(F.lit(1.0)), F.lit(None).cast("string"), slices)
-        names = ("low", "width", "text", "slices")
+            first, last, prefix, text = low, high, F.lit(0), F.lit(None).cast("string")
+        slices = F.ceil(F.col("__n") * F.lit(2.0 / rows_per_block)).cast("long")
+        width = (last - first) / slices
+        cut = (first, F.when(width > 0, width).otherwise(F.lit(1.0)), text, prefix.cast("int"), slices)
+        names = ("low", "width", "text", "prefix", "slices")
         entry = F.struct(F.lit(i).alias("axis"), *[c.alias(n) for n, c in zip(names, cut)])
         pick = F.when(varies, entry).otherwise(pick)
     return stats.select(*by, pick.alias("__cut")).where(F.col("__cut").isNotNull())
@@ -117,7 +134,8 @@ def _deeper(df: DataFrame, order: list[str], radix: int, kind: str) -> Column:
     for i, name in enumerate(order):
         x = _axis(df, name)
         if isinstance(df.schema[name].dataType, T.StringType):
-            slice_ = (x > cut["text"]).cast("long")
+            by_bytes = F.floor((_tail_number(x, cut["prefix"]) - cut["low"]) / cut["width"]).cast("long")
+            slice_ = F.when(cut["text"].isNull(), by_bytes).otherwise((x > cut["text"]).cast("long"))
         else:
             slice_ = F.floor((x - cut["low"]) / cut["width"]).cast("long")
         digit = F.when(cut["axis"] == i, F.coalesce(slice_, F.lit(-1)) + 1).otherwise(digit)

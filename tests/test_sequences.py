@@ -153,3 +153,24 @@ def test_a_missing_server_and_a_dash_are_one_name(spark):
     for mode in ("pair", "run", "client", "chunk"):
         found = sq.build_sequences(df, mode, order=("ts", "row_id")).collect()
         assert len({(r.seq_id, r.pos) for r in found}) == len(found), mode
+
+
+@pytest.mark.parametrize("kind", ["words", "urls", "spread", "ends"])
+def test_hot_group_along_a_string_is_cut_in_few_rounds(spark, monkeypatch, kind):
+    make = {
+        "words": lambda i: f"{i * 7919 % 1000:03d}",
+        "urls": lambda i: f"https://host.example/a/very/long/path/that/all/share/{i * 7919 % 1000}/é{i % 7}",
+        "spread": lambda i: chr(97 + i % 26) + "x" * (i % 5) + str(i),
+        "ends": lambda i: "same" + "\0" * (i % 9),
+    }[kind]
+    rows = [("hot", make(i), i) for i in range(1000 if kind != "ends" else 40)] + [("hot", None, -1), ("cold", "z", -2)]
+    df = spark.createDataFrame(rows, "k string, f string, id long").repartition(3)
+    rounds, oversized = [], o._oversized
+    monkeypatch.setattr(o, "_oversized", lambda *a: rounds.append(1) or oversized(*a))
+    groups = o.OrderedGroups(df, ["k"], ["f", "id"], rows_per_block=4)
+    got = {r.id: r.nth for r in groups.scan(nth=o.position()).df.collect()}
+    order = sorted((r for r in rows if r[0] == "hot"), key=lambda r: (r[1] is not None, (r[1] or "").encode(), r[2]))
+    assert [got[r[2]] for r in order] == list(range(1, len(order) + 1)) and got[-2] == 1
+    assert len(rounds) <= (10 if kind != "ends" else 14)
+    largest = groups._df.where("k = 'hot'").groupBy(o._BLOCK).count().agg({"count": "max"}).first()[0]
+    assert largest <= 4
