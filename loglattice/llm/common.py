@@ -56,9 +56,19 @@ def store(df: DataFrame, name: str) -> DataFrame:
     df.write.option("compression", "zstd").parquet(path)
     stored = df.sparkSession.read.schema(df.schema).parquet(path)
     _STORED[stored] = path
+    release(df.sparkSession)
     return stored
 
 
+def release(spark: SparkSession) -> None:
+    """Have Spark remove the shuffle files of finished steps.
+
+    Its cleaner acts when the driver collects garbage, which a driver with free memory does every half hour only; until
+    then the files of all steps lie on the executors' disks together.
+    """
+    spark.sparkContext._jvm.System.gc()
+
+
 def discard(*tables: DataFrame) -> None:
     """Remove tables that ``store`` has returned and that nothing reads any more."""
     for table in tables:

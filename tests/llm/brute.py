@@ -70,8 +70,8 @@ def near_components(texts):
     return {i: (len(sets[i]), find(i)) for i in texts}
 
 
-def kneser_ney(sequences, size):
-    """p(w3 | w1, w2) as a function, from the definition, over lists of ids already padded."""
+def kneser_ney_of(tri, size):
+    """p(w3 | w1, w2) as a function, from the definition, over a Counter of trigrams."""
     from collections import Counter, defaultdict
 
     def discounts(counts):
@@ -80,7 +80,6 @@ def kneser_ney(sequences, size):
         raw = [k - (k + 1) * y * n[k + 1] / n[k] if n[k] and n[k + 1] else 0.5 * k for k in (1, 2, 3)]
         return [min(max(d, 0.05), k) for d, k in zip(raw, (1, 2, 3))]
 
-    tri = Counter(t for s in sequences for t in zip(s, s[1:], s[2:]))
     bi = Counter((b, c) for _, b, c in tri)
     uni = Counter(c for _, c in bi)
     total = sum(uni.values())

@@ -434,25 +434,46 @@ def test_held_out_language_accuracy(spark):
 # Quality
 
 
-def test_likelihoods_match_the_definition(spark):
+@pytest.mark.parametrize("bits", [1, 7])
+def test_likelihoods_match_the_definition(spark, bits, monkeypatch):
+    monkeypatch.setattr(quality, "BLOCK_DOCS", 13)
+    monkeypatch.setattr(quality, "PACK_ROWS", 500)
     r = random.Random(14)
-    texts = [vocabulary_text(100 + i, r.randint(0, 120), 60) + (" !!NOISE!!" if i % 7 == 0 else "") for i in range(60)]
+    texts = [vocabulary_text(100 + i, r.randint(0, 120), 60 + 60 * (i % 2)) + (" !!NOISE!!" if i % 7 == 0 else "") for i in range(60)]
+    texts += [f"Once{i} {texts[i]} only-{i}" for i in range(6)]
     docs = spark.createDataFrame([(i, t, "en", i % 3) for i, t in enumerate(texts)], "doc_id long, text string, lang string, part int")
-    words = quality.vocabulary(docs)
-    counts = Counter(w for t in texts for w in t.split())
-    assert words == sorted(w for w, n in counts.items() if n >= quality.SHARE * sum(counts.values()))
-    words = words[::2]
-    blocks = quality.blocked(quality.encoded(docs, words).join(docs.select("doc_id", "part"), "doc_id"), 60)
-    model, lowest = quality.model_tables(quality.counted_trigrams(blocks), quality.FIRST_WORD + len(words))
-    got = {x["doc_id"]: x["nll"] for x in quality.scored(blocks, model, lowest).collect()}
-    ids = quality.WordIds(words)
-    padded = [[quality.START] * 2 + [ids[w] for w in t.split()] + [quality.END] for t in texts]
-    p = brute.kneser_ney([s for i, s in enumerate(padded) if i % 3 == 1], quality.FIRST_WORD + len(words))
-    for i, s in enumerate(padded):
+    plain = quality.blocked(quality.encoded(docs).join(docs.select("doc_id", "part"), "doc_id"), 66)
+    known = quality.trusted_words(plain)
+    blocks = quality.with_classes(plain, known)
+    n = Counter(w for i, t in enumerate(texts) if i % 3 == 1 for w in t.split())
+    assert {x["word"]: x["n"] for x in known.collect()} == {quality.word_id(w): k for w, k in n.items()}
+    size = quality.FIRST_WORD + len(n)
+    model, lowest = quality.model_tables(quality.counted_trigrams(blocks), size, bits)
+    got = {x["doc_id"]: x["nll"] for x in quality.scored(blocks, model, lowest, bits).collect()}
+
+    def padded(text, classed):
+        return [quality.START] * 2 + [quality.shape(w) if classed(w) else quality.word_id(w) for w in text.split()] + [quality.END]
+
+    counted = [t for i, t in enumerate(texts) if i % 3 == 1]
+    once = [(padded(t, lambda w: False), padded(t, lambda w: n[w] == 1)) for t in counted]
+    grams = [g for s, _ in once for g in zip(s, s[1:], s[2:])]
+    again = [h for s, c in once for g, h in zip(zip(s, s[1:], s[2:]), zip(c, c[1:], c[2:])) if g != h]
+    assert again
+    p = brute.kneser_ney_of(Counter(grams + again), size)
+    for i, t in enumerate(texts):
+        s = padded(t, lambda w: w not in n)
         nll = [-np.log(p(*k)) + (np.log(quality.OPEN_WORDS) if k[2] < quality.SHAPES else 0) for k in zip(s, s[1:], s[2:])]
         assert got[i] == pytest.approx(np.mean(nll), rel=1e-5)
 
 
+def test_packed_keys_come_back():
+    keys = quality.short_keys(np.random.default_rng(3).integers(-(2**62), 2**62, 5000))
+    assert (quality.unpack_keys(quality.pack_keys(keys)) == keys).all() and len(quality.pack_keys(keys)) < 8 * len(keys)
+    parts = list(quality.by_shard(keys, 5))
+    assert [s for s, _ in parts] == list(range(32)) and np.array_equal(np.concatenate([keys[at] for _, at in parts]), keys)
+    assert len(quality.unpack_keys(quality.pack_keys(keys[:0]))) == 0 and list(quality.by_shard(keys[:0], 5)) == []
+
+
 def test_noise_goes_and_trusted_text_stays(spark):
     good = [(i, vocabulary_text(i, 120), ["en", None][i % 2], "s", 0) for i in range(300)]
     bad = [(1000 + i, " ".join(f"@@{i}{j}##" for j in range(150)), "en", "s", 0) for i in range(20)] + [(2000, "w1 " * 0 + "##", "en", "s", 0)]
