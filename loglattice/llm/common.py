@@ -51,12 +51,13 @@ def store(df: DataFrame, name: str) -> DataFrame:
 
     Cuts the lineage: a lost executor costs a file read, not a new run. Every call writes to a
     folder of its own, so two runs never see each other's tables.
+    Spark's listeners still know the step just ended, so its shuffle files go before the next one.
     """
+    release(df.sparkSession)
     path = new_folder(df.sparkSession, name)
     df.write.option("compression", "zstd").parquet(path)
     stored = df.sparkSession.read.schema(df.schema).parquet(path)
     _STORED[stored] = path
-    release(df.sparkSession)
     return stored
 
 
@@ -71,6 +72,7 @@ def release(spark: SparkSession) -> None:
 
 def discard(*tables: DataFrame) -> None:
     """Remove tables that ``store`` has returned and that nothing reads any more."""
+    release(tables[0].sparkSession)
     for table in tables:
         path = _STORED.pop(table, None)
         if path is not None:
