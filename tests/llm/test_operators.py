@@ -434,7 +434,7 @@ def test_held_out_language_accuracy(spark):
 # Quality
 
 
-@pytest.mark.parametrize("bits", [1, 7])
+@pytest.mark.parametrize("bits", [2, 7])
 def test_likelihoods_match_the_definition(spark, bits, monkeypatch):
     monkeypatch.setattr(quality, "BLOCK_DOCS", 13)
     monkeypatch.setattr(quality, "PACK_ROWS", 500)
