@@ -6,7 +6,9 @@
    is compared with a leader only, the smallest id in any large bucket of its members. Members linked to the leader are linked to each other
    by way of it. A member that is not may still be linked to others of the bucket: then the two share differences
    from the leader, so members are dealt again into buckets by their rarest differences (see ``differences``),
-   and the same step runs on those. What is left after ``ROUNDS`` such steps gives all pairs of its buckets.
+   and the same step runs on those. Members already connected by links found so far need no pair: a bucket of one
+   component goes, and one with at most ``FEW`` members outside its main component gives their pairs with the others. What is left
+   after ``ROUNDS`` such steps gives the pairs between components of its buckets.
 3. Pairs are compared signature batch by signature batch; a pair goes as soon as the posterior probability that it reaches
    the threshold is below ``MISS``. Survivors are verified on their full sets.
 4. Links between representatives give components; copies inherit them.
@@ -16,13 +18,14 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from loglattice.llm.common import arrow_map, store, whole_text
+from loglattice.llm.common import arrow_map, discard, store, whole_text
 from loglattice.llm.components import components
 
 WORDS = 5
@@ -32,7 +35,8 @@ HASHES = BANDS * ROWS
 BATCH = 25
 MISS = 1e-9
 SMALL = 32
-ROUNDS = 4
+FEW = 4
+ROUNDS = 6
 
 U64 = np.uint64
 BASE = U64(0x9E3779B97F4A7C15)
@@ -225,8 +229,8 @@ def differences(stars: DataFrame, texts: DataFrame, percent: int = PERCENT) -> D
     return arrow_map(_with_texts(stars, texts), "a long, b long, linked boolean, prefix int, own array<long>", run, chunk=200)
 
 
-def _dealt_again(compared: DataFrame) -> DataFrame:
-    """(key, id): buckets of members that share rare differences from their leader, at least one not linked to it."""
+def _dealt_again(compared: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(key, id): buckets of members that share rare differences from their leader, at least one not linked to it; and the table they read."""
     open_ = compared.where("NOT linked").select("a").distinct()
     tokens = compared.join(open_, "a", "left_semi").select("a", "b", "linked", "prefix", F.explode("own").alias("e"))
     counts = tokens.groupBy("a", "e").agg(F.count(F.lit(1)).alias("n"))
@@ -237,7 +241,7 @@ def _dealt_again(compared: DataFrame) -> DataFrame:
     rare_linked, apart = F.max(F.col("rare") & F.col("linked")).alias("wide"), F.max(~F.col("linked")).alias("apart")
     kinds = ranked.groupBy("a", "e").agg(rare_linked, apart, F.max("rare").alias("any_rare")).where("apart AND any_rare")
     members = ranked.join(kinds, ["a", "e"]).where("rare OR wide")
-    return members.select(F.xxhash64("a", "e").alias("key"), F.col("b").alias("id"))
+    return members.select(F.xxhash64("a", "e").alias("key"), F.col("b").alias("id")), ranked
 
 
 def _pairs_of(buckets: DataFrame) -> DataFrame:
@@ -262,33 +266,42 @@ def _stars(big: DataFrame, shared: bool) -> DataFrame:
     return big.select("key", F.col("id").alias("b")).join(common, "key").where("a <> b").select("a", "b").distinct()
 
 
+def _between(sized: DataFrame) -> DataFrame:
+    """Pairs (a < b) of bucket members in different components: those outside the bucket's main one with all others."""
+    outside = sized.where("root <> main").select("key", F.col("id").alias("x"), F.col("root").alias("rx"))
+    met = outside.join(sized.select("key", "id", "root"), "key").where("root <> rx")
+    return met.select(F.least("x", "id").alias("a"), F.greatest("x", "id").alias("b")).distinct()
+
+
 def links(members: DataFrame, signatures: DataFrame, texts: DataFrame, percent: int = PERCENT) -> DataFrame:
     """Links (a, b) that connect all that the buckets ``members`` (key, id) hold and that reach the threshold."""
-    pairs, found = [], []
+    pairs, found, read = [], [], []
     for turn in range(ROUNDS):
-        members = store(members, "members")
-        sizes = members.groupBy("key").agg(F.min("id").alias("leader"), F.count(F.lit(1)).alias("n")).where("n > 1")
-        sized = store(members.join(sizes, "key"), "sized")
-        small = sized.where(F.col("n") <= SMALL).groupBy("key").agg(F.array_sort(F.collect_set("id")).alias("ids"))
-        pairs.append(_pairs_of(small))
-        big = sized.where(F.col("n") > SMALL)
-        if big.isEmpty():
-            break
-        if turn == ROUNDS - 1:
-            left, right = big.select("key", F.col("id").alias("a")), big.select("key", F.col("id").alias("b"))
-            pairs.append(left.join(right, "key").where("a < b").select("a", "b"))
+        members = store(members.distinct(), "members")
+        if read:
+            discard(*read)
+        roots = components(reduce(DataFrame.union, found)) if found else None
+        rooted = members.withColumn("root", F.col("id")) if roots is None else members.join(roots, "id", "left").select("key", "id", F.coalesce("root", "id").alias("root"))
+        counts = rooted.groupBy("key", "root").agg(F.min("id").alias("leader"), F.count(F.lit(1)).alias("n"))
+        sizes = counts.groupBy("key").agg(F.min("leader").alias("leader"), F.sum("n").alias("n"), F.max_by("root", F.struct("n", "root")).alias("main"), F.max("n").alias("most"))
+        sized = store(rooted.join(sizes.where("n > most"), "key"), "sized")
+        few = (F.col("n") <= SMALL) if turn == 0 else (F.col("n") <= SMALL) | (F.col("n") - F.col("most") <= FEW)
+        big = sized.where(~few)
+        last = turn == ROUNDS - 1 or big.isEmpty()
+        if turn == 0:
+            pairs.append(store(_pairs_of(sized.where(few).groupBy("key").agg(F.array_sort(F.collect_set("id")).alias("ids"))).distinct(), "pairs"))
+        else:
+            pairs.append(store(_between(sized if last else sized.where(few)), "pairs"))
+        if last:
+            discard(members, sized)
             break
         compared = store(differences(_stars(big, turn == 0), texts, percent), "compared")
-        found.append(compared.where("linked").select("a", "b"))
-        members = _dealt_again(compared)
-    every = pairs[0]
-    for more in pairs[1:]:
-        every = every.union(more)
-    survivors = store(plausible(every.distinct(), signatures, percent), "plausible")
-    out = verified(survivors, texts, percent)
-    for more in found:
-        out = out.union(more)
-    return out
+        discard(members, sized)
+        found.append(store(compared.where("linked").select("a", "b"), "linked"))
+        members, ranked = _dealt_again(compared)
+        read = [compared, ranked]
+    survivors = store(plausible(reduce(DataFrame.union, pairs).distinct(), signatures, percent), "plausible")
+    return reduce(DataFrame.union, [verified(survivors, texts, percent), *found])
 
 
 def near_dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", percent: int = PERCENT) -> DataFrame:
