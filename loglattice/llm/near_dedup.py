@@ -2,15 +2,15 @@
 
 1. Each document's set of word shingles gives a key of the whole set, band keys and a signature of one byte per
    hash. Documents of equal sets form a class; one representative goes on.
-2. Representatives that share a band key form a bucket. Buckets of at most ``SMALL`` give their pairs. A larger bucket
-   is compared with a leader only, the smallest id in any large bucket of its members. Members linked to the leader are linked to each other
-   by way of it. A member that is not may still be linked to others of the bucket: then the two share differences
-   from the leader, so members are dealt again into buckets by their rarest differences (see ``differences``),
-   and the same step runs on those. Members already connected by links found so far need no pair: a bucket of one
-   component goes, and one with at most ``FEW`` members outside its main component gives their pairs with the others. What is left
-   after ``ROUNDS`` such steps gives the pairs between components of its buckets.
-3. Pairs are compared signature batch by signature batch; a pair goes as soon as the posterior probability that it reaches
-   the threshold is below ``MISS``. Survivors are verified on their full sets.
+2. Representatives that share a band key form a bucket. Buckets of at most ``SMALL`` are compared in tiles of signatures,
+   batch by batch: a pair goes as soon as the posterior probability that it reaches the threshold is below ``MISS``. First
+   each tile gives only the likeliest pairs that would connect its documents; these are verified on their full sets. Then
+   the pairs that are left between different components are all verified, inside their tiles (``pair_tiles``).
+3. A larger bucket is compared with a leader only, the smallest id in any large bucket of its members. Members linked to the
+   leader are linked to each other by way of it. A member that is not may still be linked to others of the bucket: then the
+   two share differences from the leader, so members are dealt again into buckets by their rarest differences (see
+   ``differences``), and the same step runs on those. A bucket of one component goes; one with at most ``FEW`` members
+   outside its main component is compared in tiles, as is what is left after ``ROUNDS`` such steps.
 4. Links between representatives give components; copies inherit them.
 """
 
@@ -25,6 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from loglattice.llm import pair_tiles
 from loglattice.llm.common import arrow_map, discard, store, whole_text
 from loglattice.llm.components import components
 
@@ -34,8 +35,10 @@ BANDS, ROWS = 25, 5
 HASHES = BANDS * ROWS
 BATCH = 25
 MISS = 1e-9
-SMALL = 32
-FEW = 4
+SMALL = 8192
+FEW = 1024
+#: Members of a star that get the leader's text from one copy.
+STAR = 256
 ROUNDS = 6
 
 U64 = np.uint64
@@ -44,7 +47,7 @@ INVERSE = U64(pow(int(BASE), -1, 1 << 64))
 _random = np.random.default_rng(20)
 FACTORS = (_random.integers(0, 1 << 32, HASHES, dtype=np.uint64) | U64(1)).astype(np.uint32)
 SHIFTS = _random.integers(0, 1 << 32, HASHES, dtype=np.uint64).astype(np.uint32)
-BAND_FACTORS = _random.integers(0, 1 << 63, ROWS, dtype=np.uint64) | U64(1)
+PLACES = 8 * np.arange(ROWS)
 SPACES = np.zeros(256, bool)
 SPACES[[0x20, *range(0x09, 0x0E)]] = True
 
@@ -107,7 +110,7 @@ def minhashes(shingles: np.ndarray) -> np.ndarray:
 
 
 def sketches(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles, the key of the set (two numbers), band keys and the signature."""
+    """doc_id, n_shingles, the key of the set (two numbers), band keys (band number and its bytes of the signature) and the signature."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
         for batch in batches:
@@ -119,9 +122,9 @@ def sketches(docs: DataFrame) -> DataFrame:
                 with np.errstate(over="ignore"):
                     key = [int(mixed(s + U64(k)).sum().astype(np.int64)) for k in (1, 2)]
                     hashes = minhashes(s)
-                    bands = mixed((hashes.reshape(BANDS, ROWS).astype(U64) * BAND_FACTORS).sum(axis=1) + np.arange(BANDS, dtype=U64) * BASE)
                     signature = ((hashes * np.uint32(0x9E3779B1)) >> np.uint32(24)).astype(np.uint8)
-                yield doc_id, len(s), *key, bands.astype(np.int64).tolist(), signature.tobytes()
+                    bands = (signature.reshape(BANDS, ROWS).astype(np.int64) << PLACES).sum(axis=1) + (np.arange(BANDS) << 40)
+                yield doc_id, len(s), *key, bands.tolist(), signature.tobytes()
 
     return arrow_map(docs, "doc_id long, n_shingles long, key1 long, key2 long, bands array<long>, signature binary", run)
 
@@ -144,31 +147,13 @@ def least_matches(percent: int = PERCENT, miss: float = MISS) -> dict[int, int]:
     return out
 
 
-def plausible(pairs: DataFrame, signatures: DataFrame, percent: int = PERCENT, miss: float = MISS) -> DataFrame:
-    """Pairs (a, b) that the signatures do not rule out, batch by batch."""
-    least = least_matches(percent, miss)
-    side = lambda n: signatures.select(F.col("id").alias(n), F.col("signature").alias(f"s{n}"))
-    joined = pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "sa", "sb")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            matrix = lambda i: np.frombuffer(b"".join(batch.column(i).to_pylist()), np.uint8).reshape(-1, HASHES)  # noqa: B023, E731
-            if not batch.num_rows:
-                continue
-            left, right = matrix(2), matrix(3)
-            alive, matches = np.arange(batch.num_rows), np.zeros(batch.num_rows, np.int64)
-            for n in range(BATCH, HASHES + 1, BATCH):
-                part = slice(n - BATCH, n)
-                matches[alive] += (left[alive, part] == right[alive, part]).sum(axis=1)
-                alive = alive[matches[alive] >= least[n]]
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(alive)), batch.column(1).take(pa.array(alive))], names=["a", "b"])
-
-    return joined.mapInArrow(run, "a long, b long")
-
-
 def _with_texts(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+    """Texts of both sides; a leader's goes out once for every ``STAR`` members or so."""
     side = lambda n: texts.select(F.col("id").alias(n), F.col("text").alias(f"t{n}"))
-    return pairs.join(side("b"), "b").join(side("a"), "a").select("a", "b", "ta", "tb")
+    shares = pairs.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / F.lit(STAR)).cast("int").alias("shares"))
+    leaders = shares.select("a", F.explode(F.sequence(F.lit(0), F.col("shares") - 1)).alias("share")).join(side("a"), "a")
+    dealt = pairs.join(shares, "a").select("a", "b", F.pmod(F.xxhash64("b"), "shares").cast("int").alias("share"))
+    return dealt.join(side("b"), "b").join(leaders, ["a", "share"]).select("a", "b", "ta", "tb")
 
 
 class _Sets:
@@ -190,20 +175,6 @@ def linked(a: np.ndarray, b: np.ndarray, percent: int = PERCENT) -> bool:
     return 100 * shared >= percent * (len(a) + len(b) - shared)
 
 
-def verified(pairs: DataFrame, texts: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """Pairs whose full sets reach the threshold."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
-        sets = _Sets()
-        for batch in batches:
-            ids = zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)
-            for (a, b), ta, tb in zip(ids, batch.column(2), batch.column(3), strict=True):
-                if linked(sets.get(a, ta), sets.get(b, tb), percent):
-                    yield a, b
-
-    return arrow_map(_with_texts(pairs, texts), "a long, b long", run)
-
-
 def differences(stars: DataFrame, texts: DataFrame, percent: int = PERCENT) -> DataFrame:
     """For (a = leader, b = member): whether they are linked, and the shingles in one of the two sets only.
 
@@ -244,13 +215,6 @@ def _dealt_again(compared: DataFrame) -> tuple[DataFrame, DataFrame]:
     return members.select(F.xxhash64("a", "e").alias("key"), F.col("b").alias("id")), ranked
 
 
-def _pairs_of(buckets: DataFrame) -> DataFrame:
-    """All pairs of the arrays ``ids`` (ascending); equal arrays count once."""
-    ids = buckets.select("ids").distinct()
-    first = ids.select(F.posexplode("ids").alias("i", "a"), "ids")
-    return first.select("a", F.explode(F.slice("ids", F.col("i") + 2, F.greatest(F.size("ids") - F.col("i") - 1, F.lit(0)))).alias("b"))
-
-
 def _stars(big: DataFrame, shared: bool) -> DataFrame:
     """(a = leader, b = member) of large buckets (key, leader, id), the leader being the smallest member.
 
@@ -266,32 +230,42 @@ def _stars(big: DataFrame, shared: bool) -> DataFrame:
     return big.select("key", F.col("id").alias("b")).join(common, "key").where("a <> b").select("a", "b").distinct()
 
 
-def _between(sized: DataFrame) -> DataFrame:
-    """Pairs (a < b) of bucket members in different components: those outside the bucket's main one with all others."""
-    outside = sized.where("root <> main").select("key", F.col("id").alias("x"), F.col("root").alias("rx"))
-    met = outside.join(sized.select("key", "id", "root"), "key").where("root <> rx")
-    return met.select(F.least("x", "id").alias("a"), F.greatest("x", "id").alias("b")).distinct()
-
-
 def links(members: DataFrame, signatures: DataFrame, texts: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """Links (a, b) that connect all that the buckets ``members`` (key, id) hold and that reach the threshold."""
-    pairs, found, read = [], [], []
+    """Links (a, b) that connect all that the buckets of the band keys ``members`` (key, id) hold and that reach the threshold.
+
+    ``signatures``: id, n_shingles, signature.
+    """
+    least = least_matches(percent)
+    members = store(members.join(signatures.select("id", "n_shingles"), "id").select("key", "id", "n_shingles"), "members")
+    sizes = members.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.sum("n_shingles").alias("weight")).where(F.col("n") <= SMALL)
+    number = pair_tiles.blocks(F.col("n"), F.col("weight"))
+    whole = members.join(sizes, "key").select("key", "id", F.col("id").alias("root"), F.lit(None).cast("long").alias("main"), number.alias("blocks"), number.alias("outside_blocks"))
+    likely = store(pair_tiles.repacked(pair_tiles.possible_pairs(pair_tiles.dealt(whole, signatures), least, forest=True, bands=None)), "likely")
+    found = [store(pair_tiles.verified(likely, texts, shingle_set, percent), "linked")]
+    discard(likely)
+    last_links, read = [], []
     for turn in range(ROUNDS):
-        members = store(members.distinct(), "members")
+        if turn:
+            members = store(members.distinct().join(signatures.select("id", "n_shingles"), "id").select("key", "id", "n_shingles"), "members")
         if read:
             discard(*read)
-        roots = components(reduce(DataFrame.union, found)) if found else None
-        rooted = members.withColumn("root", F.col("id")) if roots is None else members.join(roots, "id", "left").select("key", "id", F.coalesce("root", "id").alias("root"))
-        counts = rooted.groupBy("key", "root").agg(F.min("id").alias("leader"), F.count(F.lit(1)).alias("n"))
-        sizes = counts.groupBy("key").agg(F.min("leader").alias("leader"), F.sum("n").alias("n"), F.max_by("root", F.struct("n", "root")).alias("main"), F.max("n").alias("most"))
-        sized = store(rooted.join(sizes.where("n > most"), "key"), "sized")
-        few = (F.col("n") <= SMALL) if turn == 0 else (F.col("n") <= SMALL) | (F.col("n") - F.col("most") <= FEW)
+        roots = components(reduce(DataFrame.union, found))
+        rooted = members.join(roots, "id", "left").select("key", "id", "n_shingles", F.coalesce("root", "id").alias("root"))
+        counts = rooted.groupBy("key", "root").agg(F.min("id").alias("leader"), F.count(F.lit(1)).alias("n"), F.sum("n_shingles").alias("weight"))
+        sizes = counts.groupBy("key").agg(
+            F.min("leader").alias("leader"), F.sum("n").alias("n"), F.sum("weight").alias("weight"),
+            F.max_by(F.struct("root", "n", "weight"), F.struct("n", "root")).alias("most"),
+        ).where("n > most.n")
+        rest = pair_tiles.blocks(F.col("n") - F.col("most.n"), F.col("weight") - F.col("most.weight"))
+        sizes = sizes.select("key", "leader", "n", (F.col("n") - F.col("most.n")).alias("apart"), F.col("most.root").alias("main"), pair_tiles.blocks(F.col("n"), F.col("weight")).alias("blocks"), rest.alias("outside_blocks"))
+        sized = store(rooted.join(sizes, "key"), "sized")
+        few = (F.col("n") <= SMALL) | (F.col("apart") <= FEW)
         big = sized.where(~few)
         last = turn == ROUNDS - 1 or big.isEmpty()
-        if turn == 0:
-            pairs.append(store(_pairs_of(sized.where(few).groupBy("key").agg(F.array_sort(F.collect_set("id")).alias("ids"))).distinct(), "pairs"))
-        else:
-            pairs.append(store(_between(sized if last else sized.where(few)), "pairs"))
+        pairs = pair_tiles.possible_pairs(pair_tiles.dealt(sized if last else sized.where(few), signatures), least, forest=False, bands=None if turn else (BANDS, ROWS))
+        pairs = store(pair_tiles.repacked(pairs) if turn else pairs, "possible")
+        last_links.append(store(pair_tiles.verified(pairs, texts, shingle_set, percent), "linked"))
+        discard(pairs)
         if last:
             discard(members, sized)
             break
@@ -300,8 +274,7 @@ def links(members: DataFrame, signatures: DataFrame, texts: DataFrame, percent:
         found.append(store(compared.where("linked").select("a", "b"), "linked"))
         members, ranked = _dealt_again(compared)
         read = [compared, ranked]
-    survivors = store(plausible(reduce(DataFrame.union, pairs).distinct(), signatures, percent), "plausible")
-    return reduce(DataFrame.union, [verified(survivors, texts, percent), *found])
+    return reduce(DataFrame.union, [*found, *last_links])
 
 
 def near_dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", percent: int = PERCENT) -> DataFrame:
@@ -319,14 +292,14 @@ def near_dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text
     classes = store(filled.groupBy(*key).agg(F.min("doc_id").alias("id")), "classes")
     # Copies have one set, so any row with the representative's id and key will do.
     chosen = filled.join(classes.withColumnRenamed("id", "doc_id"), ["doc_id", *key], "left_semi").dropDuplicates(["doc_id", *key])
-    chosen = store(chosen.select(F.col("doc_id").alias("id"), "signature", "bands"), "representatives")
+    chosen = store(chosen.select(F.col("doc_id").alias("id"), "n_shingles", "signature", "bands"), "representatives")
     banded = chosen.select("id", F.explode("bands").alias("key"))
     shared = banded.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("key")
     members = store(banded.join(shared, "key", "left_semi").select("key", "id"), "banded")
     wanted = members.select("id").distinct()
     texts = rows.select(F.col("doc_id").alias("id"), "text").join(wanted, "id", "left_semi")
     texts = store(texts, "texts")
-    found = components(links(members, chosen.select("id", "signature"), texts, percent))
+    found = components(links(members, chosen.select("id", "n_shingles", "signature"), texts, percent))
     labelled = classes.join(found, "id", "left").select(*key, F.coalesce("root", "id").alias("component"))
     out = sketched.join(labelled, key, "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id"))

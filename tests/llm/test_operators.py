@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from loglattice.llm import (
-    byte_bpe, components, exact_dedup, fingerprint, language_id, near_dedup, packing, pii, quality, secret_scan, token_files, wavelet,
+    byte_bpe, components, exact_dedup, fingerprint, language_id, near_dedup, packing, pair_tiles, pii, quality, secret_scan, token_files, wavelet,
 )
 from loglattice.llm.common import new_folder
 from loglattice.llm.word_tokens import WordEncoder
@@ -186,8 +186,10 @@ def test_near_dedup_matches_all_pairs(spark, monkeypatch):
     texts |= {1: "a b c", 2: "A  b\nc", 3: "a b c d", 4: None, 5: "", 6: " \t", 7: vocabulary_text(9, 5000), 8: vocabulary_text(9, 5000) + " tail"}
     docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string").withColumn("component_id", F.lit(1))
     want = brute.near_components(texts)
-    for small in (2, 32):
+    for small, few, block in ((2, 4, 1024), (32, 4, 16), (8192, 1024, 40)):
         monkeypatch.setattr(near_dedup, "SMALL", small)
+        monkeypatch.setattr(near_dedup, "FEW", few)
+        monkeypatch.setattr(pair_tiles, "BLOCK", block)
         got = {x["doc_id"]: (x["n_shingles"], x["component_id"]) for x in near_dedup.near_dedup(docs).collect()}
         assert got == want
 
