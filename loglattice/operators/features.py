@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
-from pyspark.ml.feature import OneHotEncoder, VectorAssembler
+from pyspark.ml.feature import VectorAssembler
+from pyspark.ml.linalg import Vectors, VectorUDT
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -138,15 +139,18 @@ def sparse_dummies(df: DataFrame, columns: Sequence[str], values: DataFrame | No
     values = dummy_values(df, columns) if values is None else values
     seen = {r["feature"]: r["n"] for r in values.groupBy("feature").agg(F.count(F.lit(1)).alias("n")).collect()}
     sizes = {c: max(seen.get(c, 0), 1) for c in columns}
-    order, slots = df.columns, [f"__slot_{c}" for c in columns]
-    for c, slot in zip(columns, slots):
-        own = values.where(F.col("feature") == c).select(F.col("value").alias(c), F.col("slot").alias(slot))
+    order = df.columns
+    for c in columns:
+        own = values.where(F.col("feature") == c).select(F.col("value").alias(c), F.col("slot").alias(f"__slot_{c}"))
         df = lookup(df.withColumn(c, F.col(c).cast("string")), own, [c])
-        df = df.withColumn(slot, F.coalesce(slot, F.lit(sizes[c])).cast("double"))
-    # The last category stands for a missing value and is the one that the encoder leaves out.
-    top = df.sparkSession.createDataFrame([tuple(float(sizes[c]) for c in columns)], ", ".join(f"`{s}` double" for s in slots))
-    encoder = OneHotEncoder(inputCols=slots, outputCols=[f"__hot_{c}" for c in columns], dropLast=True).fit(top)
-    return encoder.transform(df).select(*[F.col(f"__hot_{c}").alias(c) if c in columns else F.col(c) for c in order])
+    # The schema tells the size only: a name for each slot, as Spark's encoder writes, would fill the driver.
+    hot = {c: _unit_vector(sizes[c])(f"__slot_{c}").alias(c, metadata={"ml_attr": {"num_attrs": sizes[c]}}) for c in columns}
+    return df.select(*[hot.get(c, F.col(c)) for c in order])
+
+
+def _unit_vector(size: int) -> Callable[..., Column]:
+    """A slot as a sparse vector with a one there, all zeros for a null."""
+    return F.udf(lambda slot: Vectors.sparse(size, [], []) if slot is None else Vectors.sparse(size, [slot], [1.0]), VectorUDT())
 
 
 def dummies_long(df: DataFrame, columns: Sequence[str], row_id: str = "row_id") -> DataFrame:

@@ -128,6 +128,17 @@ def test_dummies_of_many_values(spark):
     assert all(r.c.size == 12_000 and r.c.indices.tolist() == [slots[f"v{r.row_id}"]] and r.d.numNonzeros() == 0 for r in rows)
 
 
+def test_schema_of_sparse_dummies_does_not_grow_with_the_values(spark):
+    def schema(n):
+        df = spark.range(n).select(F.concat(F.lit("v"), F.col("id")).alias("c"))
+        return features.sparse_dummies(df, ["c"])
+
+    assert len(schema(3_000).schema.json()) - len(schema(30).schema.json()) < 10
+    # Also without rows the size is known, and vectors can be assembled.
+    empty = schema(30).where("false")
+    assert features.assemble(empty, ["c"]).count() == 0
+
+
 def test_input_table_without_nulls(spark):
     plane = spark.createDataFrame([(1, "200", "10", "r1"), (2, "200", "-", "r2"), (3, "404", "30", None)], "row_id long, status_to_client string, size_of_reply string, Referer string")
     table = features.input_table(plane, ["status_to_client", "size_of_reply", "Referer"], ["size_of_reply"])
