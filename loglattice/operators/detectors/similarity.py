@@ -4,14 +4,14 @@ Equal sequences (for n-grams: equal bags of grams) are collapsed first, with the
 multiplicity. What shares nothing has similarity 0, so an inverted index decides what meets: each distinct one
 has a set of tokens (states, or grams); ordered by their rarest token they are cut into blocks of bounded size, postings
 name the blocks of each token, and only pairs of blocks with a common token become tiles. In a tile, bags are
-compared along the postings of the grams they share, sequences by one dynamic programme per prefix. Only one partial sum per
+compared along the postings of the grams they share or several in one number, sequences by one dynamic programme per prefix. Only one partial sum per
 sequence leaves a tile: no pair of sequences becomes a row, and no task holds more than two blocks.
 """
 
 from __future__ import annotations
 
 import math
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -25,7 +25,14 @@ from loglattice.operators.sequences import as_arrays
 from loglattice.operators.thresholds import flag
 from loglattice.session import materialize
 
-BLOCK = 4096
+BLOCK = 16384
+# Rows of either side that are compared at once: sequences, and bags.
+PIECE = 512
+TILE = 2048
+# Bags below this size are compared several at a time in one number.
+PACKED_GRAMS = 256
+# States, or distinct grams, of a block.
+BLOCK_TOKENS = 1 << 22
 # A token in more blocks than this is heavy: all blocks with a heavy token meet, without a list for each token.
 HEAVY_BLOCKS = 64
 # Shared postings cost about as much as so many cells of a dense product.
@@ -59,46 +66,64 @@ class Ragged:
         return out
 
 
-def lcs_matrix(a: Ragged, b: Ragged) -> np.ndarray:
-    """LCS lengths of all pairs, by the bit-parallel recurrence on 64-bit words.
+def lcs_counts(a: Ragged, b: Ragged, groups: Sequence[np.ndarray]) -> Iterator[tuple[slice, int, np.ndarray, np.ndarray, np.ndarray]]:
+    """LCS lengths of all pairs, by the bit-parallel recurrence, a piece of the matrix at a time.
 
     Bit i of ``v`` for a pair is 0 once the prefix of ``a`` up to i has gained a match; each
-    state of ``b`` updates ``v`` with one addition. Words chain through the carry. States that only one side
-    has match nothing and are left out. The sequences of ``b`` form a prefix trie: ``v`` is worked out once for each of its nodes.
+    state of ``b`` updates ``v`` with one addition, on the narrowest words that hold a sequence of ``a``; 64-bit words chain
+    through the carry. States that only one side has match nothing and are left out. Sequences of ``b`` that follow each other
+    in order form a prefix trie: ``v`` is worked out once for each of its nodes. A piece is a range of ``a``, the number of a
+    group of ``b``, some rows of it, the trie node of each, and the lengths of nodes by rows of ``a``.
     """
     states = np.intersect1d(a.flat, b.flat)
     a, b = a.only(states), b.only(states)
     pa_, pb = (Ragged(np.searchsorted(states, x.flat), x.offsets) for x in (a, b))
-    words = max(1, -(-int(a.lengths.max(initial=1)) // 64))
-    # masks[w, s, i]: the positions of state s in sequence i; the last state is padding.
-    masks = np.zeros((words, len(states) + 1, len(a.lengths)), dtype=np.uint64)
-    row = np.repeat(np.arange(len(a.lengths)), a.lengths)
-    at = np.arange(len(a.flat)) - a.offsets[:-1][row]
-    bits = np.left_shift(np.uint64(1), (at % 64).astype(np.uint64))
-    np.bitwise_or.at(masks, (at // 64, pa_.flat, row), bits)
+    longest = int(a.lengths.max(initial=1))
+    words = max(1, -(-longest // 64))
+    kind = np.uint16 if longest <= 16 else np.uint32 if longest <= 32 else np.uint64
     steps = pb.padded(len(states))
-    order = np.lexsort(steps.T[::-1]) if steps.shape[1] else np.arange(len(steps))
+    tries = []
+    for g, group in enumerate(groups):
+        order = group[np.lexsort(steps[group].T[::-1])] if steps.shape[1] else group
+        for start in range(0, len(order), PIECE):
+            rows = order[start : start + PIECE]
+            held = steps[rows][:, : int(b.lengths[rows].max(initial=0))]
+            nodes, firsts, parents = trie(held)
+            tries.append((g, rows, nodes, [(parent, held[first, p]) for p, (first, parent) in enumerate(zip(firsts, parents))]))
+    for low in range(0, len(a.lengths), PIECE):
+        near = slice(low, min(low + PIECE, len(a.lengths)))
+        one = pa_.take(np.arange(near.start, near.stop))
+        row = np.repeat(np.arange(len(one.lengths)), one.lengths)
+        at = np.arange(len(one.flat)) - one.offsets[:-1][row]
+        # mask[w, s, i]: the positions of state s in sequence i; the last state is padding.
+        mask = np.zeros((words, len(states) + 1, len(one.lengths)), dtype=kind)
+        np.bitwise_or.at(mask, (at // 64, one.flat, row), np.left_shift(np.uint64(1), (at % 64).astype(np.uint64)).astype(kind))
+        for g, rows, nodes, levels in tries:
+            v = np.full((words, 1, mask.shape[2]), np.iinfo(kind).max, dtype=kind)
+            for parent, state in levels:
+                v = v[:, parent]
+                carry = None
+                for w in range(words):
+                    x = v[w] & mask[w][state]
+                    total = v[w] + x
+                    if words > 1:
+                        over = total < x
+                        if carry is not None:
+                            total = total + carry
+                            over |= total < carry
+                        carry = over.astype(kind)
+                    v[w] = total | (v[w] - x)
+            counts = np.bitwise_count(~v)
+            # Without levels (no common state) all rows are the one node of the start.
+            nodes = nodes if levels else np.zeros(len(rows), dtype=np.int64)
+            yield near, g, rows, nodes, counts[0] if words == 1 else counts.sum(axis=0, dtype=np.int64)
+
+
+def lcs_matrix(a: Ragged, b: Ragged) -> np.ndarray:
+    """LCS lengths of all pairs."""
     out = np.zeros((len(a.lengths), len(b.lengths)), dtype=np.int64)
-    rows_at_once = max(1, 65536 // max(1, len(a.lengths) * words))
-    full = np.uint64(0xFFFFFFFFFFFFFFFF)
-    for start in range(0, len(order), rows_at_once):
-        rows = order[start : start + rows_at_once]
-        nodes, firsts, parents = trie(steps[rows][:, : int(b.lengths[rows].max(initial=0))])
-        v = np.full((words, 1, len(a.lengths)), full, dtype=np.uint64)
-        for p, (first, parent) in enumerate(zip(firsts, parents)):
-            v = v[:, parent]
-            state, carry = steps[rows[first], p], None
-            for w in range(words):
-                x = v[w] & masks[w][state]
-                total = v[w] + x
-                over = total < x
-                if carry is not None:
-                    total = total + carry
-                    over |= total < carry
-                v[w] = total | (v[w] - x)
-                carry = over.astype(np.uint64) if w + 1 < words else None
-        zeros = np.bitwise_count(~v).sum(axis=0, dtype=np.int64)
-        out[:, rows] = zeros[nodes].T
+    for near, _, rows, nodes, counts in lcs_counts(a, b, [np.arange(len(b.lengths))]):
+        out[near, rows] = counts[nodes].T
     return out
 
 
@@ -119,19 +144,44 @@ def trie(rows: np.ndarray) -> tuple[np.ndarray, list[np.ndarray], list[np.ndarra
     return above, firsts, parents
 
 
-def lcs_kernel(a: Ragged, b: Ragged) -> np.ndarray:
-    area = a.lengths.astype(float)[:, None] * b.lengths.astype(float)[None, :]
-    return lcs_matrix(a, b) / np.sqrt(area)
-
-
 def _ragged(states: pa.ListArray) -> Ragged:
     offsets = states.offsets.to_numpy().astype(np.int64)
     flat = states.values.to_numpy(zero_copy_only=False)[offsets[0] : offsets[-1]]
     return Ragged(flat, offsets - offsets[0])
 
 
-def lcs_tile(left: pa.Table, right: pa.Table) -> np.ndarray:
-    return lcs_kernel(_ragged(left.column("states").chunk(0)), _ragged(right.column("states").chunk(0)))
+def _by_length(lengths: np.ndarray) -> tuple[np.ndarray, list[np.ndarray]]:
+    """The distinct lengths and the rows of each."""
+    order = np.argsort(lengths, kind="stable")
+    found, firsts = np.unique(lengths[order], return_index=True)
+    return found, np.split(order, firsts[1:]) if len(order) else []
+
+
+def lcs_sums(left: pa.Table, right: pa.Table, both: bool) -> tuple[np.ndarray, np.ndarray | None]:
+    """Similarities LCS / sqrt(length * length) summed over the other block, for ``left`` and, with ``both``, for ``right``.
+
+    LCS lengths are added up per length of the other sequence, as whole numbers, and only those sums are divided.
+    """
+    a, b = (_ragged(t.column("states").chunk(0)) for t in (left, right))
+    times_a, times_b = (t.column("times").to_numpy().astype(float) for t in (left, right))
+    lengths_a, groups_a = _by_length(a.lengths)
+    lengths_b, groups_b = _by_length(b.lengths)
+    # Rows of ``a`` in order of their length, so that a length is a range of them.
+    order = np.concatenate([*groups_a, np.zeros(0, dtype=np.int64)])
+    ends = np.cumsum([0, *map(len, groups_a)])
+    a, times_a = a.take(order), times_a[order]
+    of_a, of_b = np.zeros((len(lengths_b), len(order))), np.zeros((len(lengths_a), len(times_b)))
+    for near, g, rows, nodes, counts in lcs_counts(a, b, groups_b):
+        counts = counts.astype(float)
+        of_a[g, near] += np.bincount(nodes, times_b[rows], minlength=len(counts)) @ counts
+        if both:
+            for h in range(len(lengths_a)):
+                lo, hi = max(ends[h], near.start), min(ends[h + 1], near.stop)
+                if lo < hi:
+                    of_b[h, rows] += (counts[:, lo - near.start : hi - near.start] @ times_a[lo:hi])[nodes]
+    sums = np.zeros(len(order))
+    sums[order] = (of_a / np.sqrt(lengths_b[:, None].astype(float) * a.lengths[None, :])).sum(axis=0)
+    return sums, (of_b / np.sqrt(lengths_a[:, None].astype(float) * b.lengths[None, :])).sum(axis=0) if both else None
 
 
 def _entries(left: pa.Table, right: pa.Table) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
@@ -215,7 +265,114 @@ def ngram_tile(n: int, match: str, width: int = 2048) -> Callable[[pa.Table, pa.
     return tile
 
 
-def _partial(tile: Callable[[pa.Table, pa.Table], np.ndarray]) -> Callable[[pa.Table], pa.Table]:
+def _packed(a: tuple, b: tuple, size_a: np.ndarray, size_b: np.ndarray, times: np.ndarray) -> np.ndarray:
+    """Similarities of bags summed over ``b``, for every row of ``a``; sides are those of ``_entries``.
+
+    The common grams of a pair are an inner product over (gram, 1 to its count). As they are few bits, several rows of ``b``
+    share a number of the product, and a table gives the similarities of several of them at once.
+    """
+    bits = int(min(size_a.max(initial=0), size_b.max(initial=0))).bit_length()
+    per = max(1, 12 // bits)
+    pack = per * max(1, 24 // (per * bits))
+    units = []
+    for rows, gram, counts in (a, b):
+        at = np.repeat(np.arange(len(rows)), counts)
+        level = np.arange(len(at)) - np.repeat(np.cumsum(counts) - counts, counts)
+        units.append((rows[at], gram[at] * (1 << bits) + level))
+    live = np.intersect1d(units[0][1], units[1][1])
+    cells = []
+    for rows, unit in units:
+        keep = np.isin(unit, live)
+        cells.append((rows[keep], np.searchsorted(live, unit[keep])))
+    # Rows of ``b`` with equal size and times follow each other and fill up numbers of their own.
+    order = np.lexsort((times, size_b))
+    runs = np.flatnonzero(np.r_[True, (np.diff(size_b[order]) != 0) | (np.diff(times[order]) != 0)])
+    lengths = np.diff(np.r_[runs, len(order)])
+    numbers = -(-lengths // pack)
+    first = np.cumsum(numbers) - numbers
+    inside = np.arange(len(order)) - np.repeat(runs, lengths)
+    place = np.empty(len(order), dtype=np.int64)
+    place[order] = np.repeat(first, lengths) + inside // pack
+    field = np.empty(len(order), dtype=np.int64)
+    field[order] = inside % pack
+    total = int(numbers.sum())
+    weight, size_of = np.repeat(times[order][runs], numbers), np.repeat(size_b[order][runs], numbers)
+    cuts = np.r_[np.flatnonzero(np.r_[True, np.diff(size_of) != 0]), total]
+    by_size = np.argsort(size_a, kind="stable")
+    rank = np.empty(len(by_size), dtype=np.int64)
+    rank[by_size] = np.arange(len(by_size))
+    sizes = size_a[by_size]
+    (rows_a, unit_a), (rows_b, unit_b) = cells
+    rows_a = rank[rows_a]
+    sort = np.argsort(rows_a, kind="stable")
+    rows_a, unit_a = rows_a[sort], unit_a[sort]
+    codes = np.arange(1 << (per * bits))
+    fields = [(codes >> (bits * j)) & ((1 << bits) - 1) for j in range(per)]
+    tables: dict[int, np.ndarray] = {}
+
+    def table(size: int) -> np.ndarray:
+        if size not in tables:
+            with np.errstate(divide="ignore"):
+                # A code with more common grams than both bags allow does not occur.
+                tables[size] = sum(np.where(c < size, c / np.maximum(size - c, 1), 0.0) for c in fields)
+        return tables[size]
+
+    sums = np.zeros(len(sizes))
+    for wide in range(0, total, PIECE * 4):
+        here = slice(wide, min(wide + PIECE * 4, total))
+        mine = (place[rows_b] >= here.start) & (place[rows_b] < here.stop)
+        packed = np.zeros((len(live), here.stop - here.start), dtype=np.float32)
+        np.add.at(packed, (unit_b[mine], place[rows_b[mine]] - here.start), np.left_shift(1, bits * field[rows_b[mine]]).astype(np.float32))
+        for low in range(0, len(sizes), PIECE):
+            high = min(low + PIECE, len(sizes))
+            own = slice(*np.searchsorted(rows_a, [low, high]))
+            ones = np.zeros((high - low, len(live)), dtype=np.float32)
+            ones[rows_a[own] - low, unit_a[own]] = 1
+            common = (ones @ packed).astype(np.int32)
+            steps = np.r_[low, low + 1 + np.flatnonzero(np.diff(sizes[low:high])), high]
+            for top, end in zip(steps[:-1], steps[1:]):
+                for x, y in zip(np.maximum(cuts[:-1], here.start), np.minimum(cuts[1:], here.stop)):
+                    if x < y:
+                        part, known = common[top - low : end - low, x - here.start : y - here.start], table(int(sizes[top] + size_of[x]))
+                        found = known[part & (len(codes) - 1)]
+                        for shift in range(per * bits, pack * bits, per * bits):
+                            found += known[(part >> shift) & (len(codes) - 1)]
+                        sums[top:end] += found @ weight[x:y]
+    out = np.empty(len(sizes))
+    out[by_size] = sums
+    return out
+
+
+def ngram_sums(n: int, match: str, width: int = 2048) -> Callable[[pa.Table, pa.Table, bool], tuple[np.ndarray, np.ndarray | None]]:
+    """Similarities of gram bags summed over the other block, for ``left`` and, with ``both``, for ``right``."""
+    tile = ngram_tile(n, match, width)
+
+    def sums(left: pa.Table, right: pa.Table, both: bool) -> tuple[np.ndarray, np.ndarray | None]:
+        times = [t.column("times").to_numpy().astype(float) for t in (left, right)]
+        sizes = [t.column("grams").to_numpy() for t in (left, right)]
+        sides = _entries(left, right)
+        grams = 1 + max((int(g.max(initial=-1)) for _, g, _ in sides), default=-1)
+        if match == "bag" and 0 < grams <= width and min(s.max() for s in sizes) < PACKED_GRAMS:
+            postings = [np.bincount(g, minlength=grams).astype(float) for _, g, _ in sides]
+            most = np.zeros((2, grams), dtype=np.int64)
+            for m, (_, g, counts) in zip(most, sides):
+                np.maximum.at(m, g, counts)
+            units = int(most.min(axis=0).sum())
+            if units <= 4 * width and float(postings[0] @ postings[1]) * POSTING_CELLS >= left.num_rows * right.num_rows * grams / 8:
+                of_left = _packed(*sides, *sizes, times[1])
+                return of_left, _packed(*sides[::-1], *sizes[::-1], times[0]) if both else None
+        of_left, of_right = np.zeros(left.num_rows), np.zeros(right.num_rows)
+        for i in range(0, left.num_rows, TILE):
+            for j in range(0, right.num_rows, TILE):
+                sim = tile(left.slice(i, TILE).combine_chunks(), right.slice(j, TILE).combine_chunks())
+                of_left[i : i + TILE] += sim @ times[1][j : j + TILE]
+                of_right[j : j + TILE] += times[0][i : i + TILE] @ sim
+        return of_left, of_right if both else None
+
+    return sums
+
+
+def _partial(sums: Callable[[pa.Table, pa.Table, bool], tuple[np.ndarray, np.ndarray | None]]) -> Callable[[pa.Table], pa.Table]:
     """Group function of one tile: similarities summed over the other block, per sequence."""
 
     def partial_sums(table: pa.Table) -> pa.Table:
@@ -224,27 +381,27 @@ def _partial(tile: Callable[[pa.Table, pa.Table], np.ndarray]) -> Callable[[pa.T
         left, right = (table.filter(pa.array(block == t)).combine_chunks() for t in (ti, tj))
         if not left.num_rows or not right.num_rows:
             return pa.table({"did": pa.array([], pa.int64()), "s": pa.array([], pa.float64())})
-        sim = tile(left, right)
-        times = [t.column("times").to_numpy().astype(float) for t in (left, right)]
         dids = [t.column("did").to_numpy() for t in (left, right)]
-        sums = sim @ times[1]
+        of_left, of_right = sums(left, right, ti != tj)
         if ti == tj:
-            return pa.table({"did": dids[0], "s": sums})
-        return pa.table({"did": np.concatenate(dids), "s": np.concatenate([sums, times[0] @ sim])})
+            return pa.table({"did": dids[0], "s": of_left})
+        return pa.table({"did": np.concatenate(dids), "s": np.concatenate([of_left, of_right])})
 
     return partial_sums
 
 
-def blocks_and_tiles(distinct: DataFrame, tokens: Column, blocks: int) -> tuple[DataFrame, DataFrame]:
+def blocks_and_tiles(distinct: DataFrame, tokens: Column, blocks: int, order: str = "did") -> tuple[DataFrame, DataFrame]:
     """``distinct`` with a block ``blk``, and the stored pairs ``(ti, tj)`` of blocks with a common token.
 
-    Rows are cut into ranges by their rarest token, so blocks share as few tokens as can be. A block meets itself.
+    Rows are cut into ranges by their rarest token, so blocks share as few tokens as can be, and below it by ``order``. A block
+    meets itself.
     """
     postings = materialize(distinct.select("did", F.explode(F.array_distinct(tokens)).alias("token")))
     counts = materialize(postings.groupBy("token").agg(F.count(F.lit(1)).alias("n")))
     # A frequent token has many postings; the skew join splits them.
     rarest = lookup(postings, counts, ["token"], "inner").groupBy("did").agg(F.min(F.struct("n", "token")).alias("r"))
-    ranged = rarest.repartitionByRange(blocks, "r.token", "did").select("did", F.spark_partition_id().alias("blk"))
+    rarest = rarest if order == "did" else rarest.join(distinct.select("did", order), "did")
+    ranged = rarest.repartitionByRange(blocks, "r.token", order, "did").select("did", F.spark_partition_id().alias("blk"))
     placed = materialize(ranged)
     held = postings.join(placed, "did").groupBy("token").agg(F.array_sort(F.collect_set("blk")).alias("blks"))
     held = materialize(held.select("blks").distinct())
@@ -255,19 +412,20 @@ def blocks_and_tiles(distinct: DataFrame, tokens: Column, blocks: int) -> tuple[
     return distinct.join(placed, "did"), materialize(tiles)
 
 
-def _similarity_sums(distinct: DataFrame, tile: Callable[[pa.Table, pa.Table], np.ndarray], block: int, tokens: Column) -> DataFrame:
+def _similarity_sums(distinct: DataFrame, sums: Callable, block: int, tokens: Column, order: str = "did") -> DataFrame:
     """``(did, s)``: similarity to all sequences, for a stored ``distinct (did, times, ...)``."""
-    d = distinct.count()
+    size = distinct.agg(F.count(F.lit(1)).alias("d"), F.coalesce(F.sum(F.size(tokens)), F.lit(0)).alias("tokens")).first()
+    d = size["d"]
     parallel = distinct.sparkSession.sparkContext.defaultParallelism
-    blocks = max(1, math.ceil(d / block), min(math.ceil(math.sqrt(8 * parallel)), d // 256))
-    rows, pairs = blocks_and_tiles(distinct, tokens, blocks)
+    blocks = max(1, math.ceil(d / block), math.ceil(size["tokens"] / BLOCK_TOKENS), min(math.ceil(math.sqrt(8 * parallel)), d // 256))
+    rows, pairs = blocks_and_tiles(distinct, tokens, blocks, order)
     tiles = pairs.count()
     ends = pairs.select("ti", "tj", F.explode(F.array_distinct(F.array("ti", "tj"))).alias("blk"))
     rows = rows.join(ends, "blk")
     partial = (
         rows.repartition(max(1, min(tiles, 4 * max(parallel, tiles // 64))), "ti", "tj")
         .groupBy("ti", "tj")
-        .applyInArrow(_partial(tile), "did long, s double")
+        .applyInArrow(_partial(sums), "did long, s double")
     )
     return partial.groupBy("did").agg(F.sum("s").alias("s"))
 
@@ -291,7 +449,7 @@ def lcs_scores(sequences: DataFrame, *, block: int = BLOCK) -> DataFrame:
     """
     arrays = materialize(as_arrays(sequences))
     distinct = _numbered(arrays.groupBy("states").agg(F.count(F.lit(1)).alias("times")))
-    sums = _similarity_sums(distinct, lcs_tile, block, F.col("states"))
+    sums = _similarity_sums(distinct, lcs_sums, block, F.col("states"), "states")
     score = _score(F.col("s"), F.col("times"), arrays.count())
     per_distinct = materialize(distinct.join(sums, "did").select("states", score.alias("score")))
     return lookup(arrays, per_distinct, ["states"], "inner").select("seq_id", "score")
@@ -349,7 +507,7 @@ def ngram_scores(
         raise ValueError(match)
     bags = materialize(gram_bags(sequences, n, **options))
     distinct = _numbered(bags.groupBy("bag", "grams").agg(F.count(F.lit(1)).alias("times")))
-    sums = _similarity_sums(distinct, ngram_tile(n, match), block, F.col("bag.gram"))
+    sums = _similarity_sums(distinct, ngram_sums(n, match), block, F.col("bag.gram"))
     per_bag = materialize(distinct.join(sums, "did").select("bag", "s"))
     same = ["f1", "f2", "grams"]
     equal = materialize(bags.groupBy(*same).agg(F.count(F.lit(1)).alias("equal")))

@@ -158,3 +158,42 @@ def test_tiles_against_brute_force(spark, kind):
         want = scores(seqs, lambda a, b: gram_sim(a, b, 3))
     got = as_dict(got)
     assert [got[str(i)] for i in range(len(seqs))] == pytest.approx(want)
+
+
+def test_lcs_sums_without_a_matrix(monkeypatch):
+    monkeypatch.setattr(sm, "lcs_matrix", None)  # No matrix of all pairs of a tile is made.
+    monkeypatch.setattr(sm, "PIECE", 7)
+    rng = random.Random(8)
+    for longest in (9, 30, 70):
+        seqs = [[rng.randrange(4) for _ in range(rng.randrange(1, longest))] for _ in range(40)] + [[7], [8, 9]]
+        parts = seqs[:23], seqs[23:]
+        times = [[rng.randrange(1, 4) for _ in p] for p in parts]
+        left, right = (pa.table({"states": pa.array(p, pa.list_(pa.int32())), "times": t}) for p, t in zip(parts, times))
+        sim = np.array([[lcs(a, b) / (len(a) * len(b)) ** 0.5 for b in parts[1]] for a in parts[0]])
+        of_left, of_right = sm.lcs_sums(left, right, True)
+        assert np.allclose(of_left, sim @ times[1]) and np.allclose(of_right, times[0] @ sim)
+        alone, none = sm.lcs_sums(right, right, False)
+        assert none is None and alone[-2:].tolist() == times[1][-2:]
+
+
+@pytest.mark.parametrize("longest", [9, 60])
+def test_packed_bags_are_summed_without_a_matrix(monkeypatch, longest):
+    monkeypatch.setattr(sm, "PIECE", 5)
+    monkeypatch.setattr(sm, "POSTING_CELLS", 10**9)
+    monkeypatch.setattr(sm, "ngram_tile", lambda *_: None)  # No matrix of all pairs of a tile is made.
+    rng = random.Random(longest)
+    seqs = [[rng.randrange(3) for _ in range(rng.randrange(1, longest))] for _ in range(70)] + [[8, 9]]
+    kind = pa.list_(pa.struct([("gram", pa.string()), ("c", pa.int64())]))
+    parts = seqs[:30], seqs[30:]
+    times = [[rng.choice([1, 1, 2, 1000]) for _ in p] for p in parts]
+
+    def block(part, times):
+        bags = [[{"gram": ",".join(map(str, g)), "c": c} for g, c in bag(s, 2).items()] for s in part]
+        return pa.table({"bag": pa.array(bags, kind), "grams": [len(s) + 1 for s in part], "times": times})
+
+    left, right = (block(*x) for x in zip(parts, times))
+    sim = np.array([[gram_sim(a, b, 2) for b in parts[1]] for a in parts[0]])
+    of_left, of_right = sm.ngram_sums(2, "bag")(left, right, True)
+    assert np.allclose(of_left, sim @ times[1]) and np.allclose(of_right, times[0] @ sim)
+    alone, none = sm.ngram_sums(2, "bag")(right, right, False)
+    assert none is None and alone[-1] == times[1][-1]
