@@ -21,8 +21,10 @@ from loglattice.operators import mixture as mx
 #: Rows the start of a fit is worked out on (twice that at most).
 SAMPLE = 2048
 SAMPLE_STEPS = 20
-#: Rows of a batch that are worked on at once.
-SLICE = 4096
+#: Rows of a batch that are worked on at once, more where models are small.
+SLICE = 1024
+#: Up to so many columns, products of any two are made once a row, for all clusters.
+FEW = 8
 
 
 @dataclass(frozen=True)
@@ -33,11 +35,27 @@ class Centres:
     def k(self) -> int:
         return len(self.points)
 
-    def squares(self, x: np.ndarray) -> np.ndarray:
-        return np.maximum((x * x).sum(axis=1)[:, None] - 2 * x @ self.points.T + (self.points**2).sum(axis=1), 0)
+    def nearest(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The nearest centre of each row, of equals the first, and its squared distance."""
+        if self.points.shape[1] == 1:
+            return self._nearest_on_a_line(x[:, 0])
+        squares = x @ self.points.T
+        squares *= -2
+        squares += np.einsum("ni,ni->n", x, x)[:, None]
+        squares += (self.points**2).sum(axis=1)
+        np.maximum(squares, 0, out=squares)
+        label = squares.argmin(axis=1)
+        return label, squares[np.arange(len(x)), label]
+
+    def _nearest_on_a_line(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The same for one column: the place among the middles between neighbouring centres."""
+        points, firsts = np.unique(self.points[:, 0], return_index=True)
+        place = np.searchsorted((points[1:] + points[:-1]) / 2, x)
+        place[np.isnan(x)] = 0
+        return firsts[place], (x - points[place]) ** 2
 
     def label(self, x: np.ndarray) -> np.ndarray:
-        return self.squares(x).argmin(axis=1)
+        return self.nearest(x)[0]
 
 
 Model = Centres | mx.Mixture
@@ -50,21 +68,49 @@ class Job:
     diagonal: bool = False
 
 
+def _pairs(x: np.ndarray) -> np.ndarray:
+    """Products of each two columns of few, for every row."""
+    first, second = np.triu_indices(x.shape[1])
+    along = np.ascontiguousarray(x.T)
+    return (along[first] * along[second]).T
+
+
+def _whole(upper: np.ndarray, d: int) -> np.ndarray:
+    """The matrices of sums over ``_pairs``, one after the other."""
+    first, second = np.triu_indices(d)
+    out = np.empty((len(upper), d, d))
+    out[:, first, second] = out[:, second, first] = upper
+    return out.ravel()
+
+
 def _products(r: np.ndarray, x: np.ndarray) -> np.ndarray:
+    if x.shape[1] <= FEW:
+        return _whole(r.T @ _pairs(x), x.shape[1])
     return np.concatenate([((r[:, [j]] * x).T @ x).ravel() for j in range(r.shape[1])])
 
 
+def _grouped(label: np.ndarray, x: np.ndarray, k: int) -> np.ndarray:
+    """Sums of the rows of each label."""
+    if x.shape[1] <= 2 * FEW:
+        return np.stack([np.bincount(label, column, minlength=k) for column in x.T], axis=1) if x.shape[1] else np.zeros((k, 0))
+    return np.eye(k)[label].T @ x
+
+
+def _normed(joint: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Log-likelihood of each row, and its responsibilities."""
+    top = joint.max(axis=1)
+    r = np.exp(joint - top[:, None])
+    total = r.sum(axis=1)
+    return top + np.log(total), r / total[:, None]
+
+
 def step_sums(job: Job, x: np.ndarray) -> np.ndarray:
     """The sums of one k-means or EM step: cost or likelihood, counts, sums, and for a mixture squares or products."""
     if isinstance(job.model, Centres):
-        squares = job.model.squares(x)
-        label = squares.argmin(axis=1)
-        r = np.eye(job.model.k)[label]
-        return np.concatenate([[squares.min(axis=1).sum()], r.sum(axis=0), (r.T @ x).ravel()])
-    joint = job.model.log_joint(x)
-    top = joint.max(axis=1)
-    norm = top + np.log(np.exp(joint - top[:, None]).sum(axis=1))
-    r = np.exp(joint - norm[:, None])
+        label, least = job.model.nearest(x)
+        k = job.model.k
+        return np.concatenate([[least.sum()], np.bincount(label, minlength=k), _grouped(label, x, k).ravel()])
+    norm, r = _normed(job.model.log_joint(x))
     second = (r.T @ (x * x)).ravel() if job.diagonal else _products(r, x)
     return np.concatenate([[norm.sum()], r.sum(axis=0), (r.T @ x).ravel(), second])
 
@@ -72,14 +118,16 @@ def step_sums(job: Job, x: np.ndarray) -> np.ndarray:
 def label_sums(job: Job, x: np.ndarray) -> np.ndarray:
     """Counts, sums and products per label, for the scatter."""
     label = job.model.label(x) if isinstance(job.model, Centres) else job.model.log_joint(x).argmax(axis=1)
-    r = np.eye(job.model.k)[label]
-    return np.concatenate([r.sum(axis=0), (r.T @ x).ravel(), _products(r, x)])
+    k, d = job.model.k, x.shape[1]
+    if d <= FEW:
+        second = _whole(_grouped(label, _pairs(x), k), d)
+    else:
+        second = np.concatenate([(own.T @ own).ravel() for own in (x[label == j] for j in range(k))])
+    return np.concatenate([np.bincount(label, minlength=k), _grouped(label, x, k).ravel(), second])
 
 
 def likelihood_sums(job: Job, x: np.ndarray) -> np.ndarray:
-    joint = job.model.log_joint(x)
-    top = joint.max(axis=1)
-    return np.array([(top + np.log(np.exp(joint - top[:, None]).sum(axis=1))).sum()])
+    return np.array([mx._log_sum(job.model.log_joint(x)).sum()])
 
 
 def next_model(job: Job, sums: np.ndarray, floor: float = mx.COVARIANCE_FLOOR) -> Model:
@@ -118,10 +166,11 @@ class Scans:
             held: list = [None] * len(jobs)
             for batch in batches:
                 every = mx.matrix(batch.column(0), d) - centre
-                for at in range(0, len(every), SLICE):
-                    x = every[at : at + SLICE]
-                    for i, job in enumerate(jobs):
-                        new = of(job, x[:, list(job.columns)])
+                for i, job in enumerate(jobs):
+                    own = every[:, list(job.columns)]
+                    rows = max(SLICE, mx.CELLS // max(1, job.model.k * own.shape[1]))
+                    for at in range(0, len(own), rows):
+                        new = of(job, own[at : at + rows])
                         held[i] = new if held[i] is None else held[i] + new
             for i, s in enumerate(held):
                 if s is not None:

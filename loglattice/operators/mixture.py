@@ -9,6 +9,7 @@ from __future__ import annotations
 import math
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -17,6 +18,8 @@ from pyspark.sql import functions as F
 
 # Fixed value: the amount added to covariance diagonals when a mixture is estimated.
 COVARIANCE_FLOOR = 1e-6
+# Numbers worked on at once.
+CELLS = 1 << 15
 
 
 @dataclass(frozen=True)
@@ -33,17 +36,31 @@ class Mixture:
     def d(self) -> int:
         return self.means.shape[1]
 
+    @cached_property
+    def _whitening(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """A point amid the means; inverse roots of the covariances, and the means from there by them; constants."""
+        amid = self.means.mean(axis=0)
+        roots = np.linalg.cholesky(self.covs)
+        inverse = np.linalg.inv(roots)
+        with np.errstate(divide="ignore"):
+            constant = np.log(self.weights) - np.log(np.diagonal(roots, axis1=1, axis2=2)).sum(axis=1) - 0.5 * self.d * math.log(2 * math.pi)
+        return amid, inverse, np.einsum("kij,kj->ki", inverse, self.means - amid), constant
+
     def log_joint(self, x: np.ndarray) -> np.ndarray:
         """log(weight * density) of every row and component."""
-        out = np.empty((len(x), self.k))
-        with np.errstate(divide="ignore"):
-            log_weights = np.log(self.weights)
-        for j in range(self.k):
-            root = np.linalg.cholesky(self.covs[j])
-            z = np.linalg.solve(root, (x - self.means[j]).T)
-            log_det = 2 * np.log(np.diagonal(root)).sum()
-            out[:, j] = log_weights[j] - 0.5 * ((z * z).sum(axis=0) + log_det + self.d * math.log(2 * math.pi))
-        return out
+        amid, inverse, shift, constant = self._whitening
+        # Rows of ``x`` lie along the last axis, several components form one product.
+        out, along = np.empty((self.k, len(x))), np.ascontiguousarray((x - amid).T)
+        at_once = max(1, CELLS // max(1, self.d * len(x)))
+        for j in range(0, self.k, at_once):
+            some = slice(j, j + at_once)
+            z = inverse[some].reshape(-1, self.d) @ along
+            z -= shift[some].reshape(-1, 1)
+            z *= z
+            z.reshape(-1, self.d, len(x)).sum(axis=1, out=out[some])
+        out *= -0.5
+        out += constant[:, None]
+        return out.T
 
     def parameters(self, diagonal: bool = False) -> int:
         """Number of free parameters."""

@@ -112,3 +112,37 @@ def test_cross_projection_over_all_coordinates(spark, embedded):
     at = got["component"], got["i"], got["j"]
     assert np.allclose(got["weight"], w[at[0]], atol=1e-5) and np.allclose(got["mean"], m[at[0], at[1]], atol=1e-5)
     assert np.allclose(got["covariance"], c[at] + 1e-6 * (got["i"] == got["j"]), atol=1e-5)
+
+
+@pytest.mark.parametrize("d", [1, 3, 12])
+def test_sums_against_plain_ones(d):
+    """Also far from the origin, for centres that coincide, and without work in proportion to clusters on a line."""
+    random = np.random.default_rng(d)
+    x = random.normal(size=(300, d)) + 1e6
+    points = x[[5, 9, 9, 30]]
+    far = ((x[:, None, :] - points) ** 2).sum(axis=2)
+    near = batched.Centres(points - 1e6)
+    label, least = near.nearest(x - 1e6)
+    assert 2 not in label and np.allclose(least, far.min(axis=1)) and np.allclose(far[np.arange(300), label], least)
+    counts, sums, products = np.split(batched.label_sums(batched.Job(tuple(range(d)), near), x - 1e6), [4, 4 + 4 * d])
+    r, y = np.eye(4)[label], x - 1e6
+    assert np.allclose(counts, r.sum(axis=0)) and np.allclose(sums, (r.T @ y).ravel())
+    assert np.allclose(products, np.einsum("nk,ni,nj->kij", r, y, y).ravel())
+    roots = random.normal(size=(3, d, d))
+    mixture = mx.Mixture(np.array([0.2, 0.5, 0.3]), x[:3], roots @ roots.transpose(0, 2, 1) + np.eye(d))
+    joint = mixture.log_joint(x)
+    for j in range(3):
+        off = x - mixture.means[j]
+        form = np.einsum("ni,ij,nj->n", off, np.linalg.inv(mixture.covs[j]), off)
+        assert np.allclose(joint[:, j], np.log(mixture.weights[j]) - 0.5 * (form + np.linalg.slogdet(mixture.covs[j])[1] + d * np.log(2 * np.pi)))
+    if d == 1:
+        many = batched.Centres(np.linspace(-3, 3, 4000)[:, None])
+        assert np.abs(many.points[many.label(y), 0] - y[:, 0].clip(-3, 3)).max() < 0.001
+
+
+def test_roots_are_worked_out_once(monkeypatch):
+    mixture, calls, root = mx.Mixture(np.ones(2) / 2, np.zeros((2, 3)), np.stack([np.eye(3)] * 2)), [], np.linalg.cholesky
+    monkeypatch.setattr(np.linalg, "cholesky", lambda c: calls.append(1) or root(c))
+    for _ in range(5):
+        mixture.log_joint(np.ones((4, 3)))
+    assert len(calls) == 1
