@@ -7,8 +7,9 @@ remains is a question between bounding boxes: a pair of boxes lies within eps as
 lies apart as a whole, or is split into smaller boxes and asked again. The point-by-point
 test is used only where its measured work is small.
 
-Boxes of more than ``BOX_COLUMNS`` columns say little, so wide tables go another way: ``space_join`` cuts them
-along all columns, directions of large variance and the norm, and compares points in the leaves.
+Columns of two values more than eps apart, which any two neighbours share, become one column of their code: numbers with many
+0/1 columns are few columns too. Boxes of more than ``BOX_COLUMNS`` columns say little, so wide tables go another way:
+``space_join`` cuts them along all columns, directions of large variance and the norm, and compares points in the leaves.
 """
 
 from __future__ import annotations
@@ -22,7 +23,7 @@ from pyspark.sql import functions as F
 
 from loglattice.operators import ordered as o
 from loglattice.operators.lookup import lookup
-from loglattice.operators.space_join import LEAF_ROWS, SpaceJoin
+from loglattice.operators.space_join import LEAF_ROWS, SpaceJoin, equi_columns
 from loglattice.session import materialize
 
 NOISE = -1
@@ -30,6 +31,8 @@ NOISE = -1
 DIRECT_PAIRS = 20_000_000
 # Up to so many columns a grid over the widest ones proposes the pairs of boxes.
 BOX_COLUMNS = 3
+# Up to so many two-valued columns make one code, whose multiples of eps are exact enough as floating-point numbers.
+CODE_COLUMNS = 40
 
 
 class _Space:
@@ -42,6 +45,11 @@ class _Space:
         )
         points = materialize(grouped.withColumn("pid", F.monotonically_increasing_id()))
         self.d = points.select(F.max(F.size("x")).alias("d")).first()["d"] or 0
+        # ``given`` keeps the columns of the caller; the column of codes needs no neighbouring cells.
+        self.given, self.code = points, None
+        if self.d > BOX_COLUMNS:
+            points, self.d, self.code = _fewer_columns(points, self.d, eps)
+        self.reduced = points is not self.given
         # The smallest halving of eps whose cell diagonal is strictly below eps.
         self.base = next(h for h in itertools.count(1) if 2**h > math.sqrt(self.d))
         self.eps = eps
@@ -103,7 +111,7 @@ class _Space:
         here = self.coarse("a")
         around = [
             F.array(*[c + F.lit(k) for c, k in zip(here, shift)])
-            for shift in itertools.product((-1, 0, 1), repeat=len(self.grid))
+            for shift in itertools.product(*[(0,) if j == self.code else (-1, 0, 1) for j in self.grid])
         ]
         a = a.withColumn("grid", F.explode(F.array(*around)))
         b = materialize(b.withColumn("grid", F.array(*self.coarse("b"))))
@@ -111,6 +119,24 @@ class _Space:
         return pairs.where(self.gap2() <= self.eps2)
 
 
+def _fewer_columns(points: DataFrame, d: int, eps: float) -> tuple[DataFrame, int, int | None]:
+    """The points in at most ``BOX_COLUMNS`` columns with the same neighbours within eps, how many, and which is the code; or as they are.
+
+    Columns of one value tell nothing apart; those of two values more than eps apart become one column, their code times twice
+    eps. A point with a value that is no finite number has no neighbours and is left out.
+    """
+    x = F.col("x")
+    finite = points.where(F.forall("x", lambda v: F.coalesce(F.abs(v) < float("inf"), F.lit(False))) & (F.size("x") == d))
+    same, two = equi_columns(finite, d, eps)
+    rest = [j for j in range(d) if j not in two and j not in same]
+    if len(rest) + bool(two) > BOX_COLUMNS or len(two) > CODE_COLUMNS:
+        return points, d, None
+    code = sum((F.when(x[j] > low, 1 << i).otherwise(0).cast("long") for i, (j, low) in enumerate(two.items())), F.lit(0).cast("long"))
+    columns = [x[j] for j in rest] + ([code * F.lit(2 * eps)] if two else [])
+    fewer = materialize(finite.withColumn("x", F.array(*(columns or [F.lit(0.0)]))))
+    return fewer, max(1, len(columns)), len(rest) if two else None
+
+
 def _side(boxes: DataFrame, name: str) -> DataFrame:
     return boxes.select(*[F.col(c).alias(f"{name}_{c}") for c in boxes.columns])
 
@@ -191,7 +217,7 @@ def neighbour_counts(
         counts = SpaceJoin(space.points.select("pid", "w", "x"), space.d, eps, leaf_rows=leaf_rows).counts()
     else:
         counts = _counts(space, space.points, None)
-    per_point = materialize(space.points.join(counts, "pid").select(F.col("x").alias(features), "near"))
+    per_point = materialize(space.given.join(counts, "pid").select(F.col("x").alias(features), "near"))
     return lookup(rows.select(row_id, features), per_point, [features], "inner").select(row_id, "near")
 
 
@@ -239,7 +265,9 @@ def dbscan(
     """
     space = _Space(rows, row_id, features, eps, direct_pairs)
     per_point = _wide_labels(space, min_points, leaf_rows) if space.d > BOX_COLUMNS else _box_labels(space, min_points)
-    per_point = materialize(per_point.withColumnRenamed("x", features))
+    if space.reduced:
+        per_point = lookup(space.given.select("pid", "x"), materialize(per_point.select("pid", "label")), ["pid"], "inner")
+    per_point = materialize(per_point.select(F.col("x").alias(features), "label"))
     out = lookup(rows.select(row_id, features), per_point, [features])
     return out.select(row_id, F.coalesce("label", F.lit(NOISE)).alias("label"))
 
@@ -266,7 +294,7 @@ def _wide_labels(space: _Space, min_points: int, leaf_rows: int) -> DataFrame:
 
 
 def _box_labels(space: _Space, min_points: int) -> DataFrame:
-    """``(x, label)`` of the points in a cluster, by boxes."""
+    """``(pid, x, label)`` of the points in a cluster, by boxes."""
     sizes = space.points.groupBy("cell").agg(F.sum("w").alias("n"))
     dense = materialize(sizes.where(F.col("n") >= min_points).select("cell"))
     sparse = materialize(lookup(space.points, dense, ["cell"], "left_anti"))
@@ -303,4 +331,4 @@ def _box_labels(space: _Space, min_points: int) -> DataFrame:
 
     border = _resolve(space, near_core, core, ["label"], adjacent, lambda df, _: df)
     border = border.groupBy("pid").agg(F.min("label").alias("label"))
-    return core.select("x", "label").unionByName(loose.join(border, "pid").select("x", "label"))
+    return core.select("pid", "x", "label").unionByName(loose.join(border, "pid").select("pid", "x", "label"))

@@ -61,15 +61,16 @@ def _features(points: DataFrame, d: int) -> Features:
     return Features(x.mean(axis=0), vectors[:, ::-1][:, :DIRECTIONS])
 
 
-def _equi_columns(points: DataFrame, d: int, eps: float) -> dict[int, float]:
-    """Columns of two values more than eps apart, and their smaller value."""
+def equi_columns(points: DataFrame, d: int, eps: float) -> tuple[set[int], dict[int, float]]:
+    """Columns of one value; columns of two values more than eps apart, and their smaller value."""
     x = F.col("x")
     ends = points.agg(*[f(x[j]).alias(f"{n}{j}") for j in range(d) for n, f in (("lo", F.min), ("hi", F.max))]).first()
     wide = [j for j in range(d) if ends[f"lo{j}"] is not None and ends[f"hi{j}"] - ends[f"lo{j}"] > eps]
+    same = {j for j in range(d) if ends[f"lo{j}"] is not None and ends[f"hi{j}"] == ends[f"lo{j}"]}
     if not wide:
-        return {}
+        return same, {}
     inside = points.agg(*[F.count_if((x[j] > ends[f"lo{j}"]) & (x[j] < ends[f"hi{j}"])).alias(f"c{j}") for j in wide]).first()
-    return {j: ends[f"lo{j}"] for j in wide if inside[f"c{j}"] == 0}
+    return same, {j: ends[f"lo{j}"] for j in wide if inside[f"c{j}"] == 0}
 
 
 def cuts(values: np.ndarray, own: np.ndarray, border: float, leaf_rows: float) -> tuple[list[tuple[int, float, int, int]], int]:
@@ -136,7 +137,7 @@ class SpaceJoin:
         self.features = _features(points, d)
         scale = float(np.abs(self.features.centre).max(initial=0)) + eps
         self.border = eps * (1 + 1e-9) + 1e-12 * scale
-        equi = _equi_columns(points, d, eps)
+        equi = equi_columns(points, d, eps)[1]
         key = F.xxhash64(F.array(*[F.col("x")[j] > lo for j, lo in equi.items()])) if equi else F.lit(0).cast("long")
         start = points.select(
             key.alias("leaf"), F.lit(False).alias("settled"), F.lit(0).alias("blk"), F.lit(0.0).alias("f"), F.lit(True).alias("own"), "pid", F.col("w").cast("long").alias("w"), "x"
