@@ -43,14 +43,21 @@ def kmeans_sweep(
     df: DataFrame, ks: Iterable[int] = DEFAULT_K, *, features: str = "features", seed: int = 0,
     max_iter: int = 100, tol: float = 1e-4, threads: int = 4,
 ) -> dict[int, KMeansModel]:
-    """One k-means model per k."""
-    data = df.select(features).persist()
+    """One k-means model per k.
+
+    The table given to a fit is not itself cached: Spark then keeps the vectors and their norms as objects, where a
+    cached table would be decoded again in every iteration. Several fits share one cached input below that.
+    """
+    ks, data = list(ks), df.select(features)
+    if len(ks) > 1:
+        data = data.persist()
     try:
         return _sweep(
-            lambda k: KMeans(k=k, seed=seed, featuresCol=features, maxIter=max_iter, tol=tol).fit(data), ks, threads
+            lambda k: KMeans(k=k, seed=seed, featuresCol=features, maxIter=max_iter, tol=tol).fit(data.select(features, F.lit(k).alias("k"))), ks, threads
         )
     finally:
-        data.unpersist()
+        if len(ks) > 1:
+            data.unpersist()
 
 
 def gmm_sweep(
