@@ -2,7 +2,8 @@
 
 A job is a subset of the columns and a model of it. One pass over the rows adds up the sufficient statistics of all jobs that
 still move (counts, sums, products, likelihoods), task by task in Arrow batches; only those sums reach the
-driver, which takes the next step of each job. Jobs start from a fit to a bounded sample, so few passes are left.
+driver, which takes the next step of each job. Jobs start from a fit to a bounded sample, then to growing shares of a large
+table, so few passes over all rows are left; those go on until nothing moves, wherever the start was.
 """
 
 from __future__ import annotations
@@ -21,6 +22,10 @@ from loglattice.operators import mixture as mx
 #: Rows the start of a fit is worked out on (twice that at most).
 SAMPLE = 2048
 SAMPLE_STEPS = 20
+#: The first share of a large table has at least so many rows, each next one is GROWTH times as large; coarser than SHARE_TOL they need not settle.
+SHARE_ROWS = 1 << 16
+GROWTH = 8
+SHARE_TOL = 1e-4
 #: Rows of a batch that are worked on at once, more where models are small.
 SLICE = 1024
 #: Up to so many columns, products of any two are made once a row, for all clusters.
@@ -68,6 +73,21 @@ class Job:
     diagonal: bool = False
 
 
+@dataclass(frozen=True)
+class Series(Job):
+    """Several mixtures of the same columns: ``model`` has all their components, ``member`` says which are whose."""
+
+    member: np.ndarray | None = None  # (components, mixtures)
+
+
+def series(columns: Sequence[int], mixtures: Sequence[mx.Mixture]) -> Series:
+    every, parts = mx.shared_components(mixtures)
+    member = np.zeros((every.k, len(mixtures)))
+    for m, own in enumerate(parts):
+        member[own, m] = 1
+    return Series(tuple(columns), every, member=member)
+
+
 def _pairs(x: np.ndarray) -> np.ndarray:
     """Products of each two columns of few, for every row."""
     first, second = np.triu_indices(x.shape[1])
@@ -126,8 +146,18 @@ def label_sums(job: Job, x: np.ndarray) -> np.ndarray:
     return np.concatenate([np.bincount(label, minlength=k), _grouped(label, x, k).ravel(), second])
 
 
-def likelihood_sums(job: Job, x: np.ndarray) -> np.ndarray:
-    return np.array([mx._log_sum(job.model.log_joint(x)).sum()])
+def series_likelihoods(job: Series, x: np.ndarray) -> np.ndarray:
+    """The log-likelihood of each mixture of a series; every component is evaluated once a row."""
+    joint = job.model.log_joint(x)
+    top = joint.max(axis=1)
+    whole = np.exp(joint - top[:, None]) @ job.member
+    with np.errstate(divide="ignore"):
+        out = np.log(whole) + top[:, None]
+    # Far below the likeliest component of all mixtures there are no digits left: those are added up around their own.
+    lost = whole < 1e-280
+    for m in np.flatnonzero(lost.any(axis=0)):
+        out[lost[:, m], m] = mx._log_sum(joint[lost[:, m]][:, job.member[:, m] > 0])
+    return out.sum(axis=0)
 
 
 def next_model(job: Job, sums: np.ndarray, floor: float = mx.COVARIANCE_FLOOR) -> Model:
@@ -158,8 +188,8 @@ class Scans:
         part = self.df if self.rows <= SAMPLE else self.df.where(F.pmod(F.xxhash64("x", F.lit(1)), F.lit(self.rows)) < SAMPLE)
         self.sample = np.array([r["x"] for r in part.limit(2 * SAMPLE).collect()], float).reshape(-1, d) - self.centre
 
-    def sums(self, jobs: Sequence[Job], of=step_sums) -> list[np.ndarray]:
-        """``of`` of every job, added up over all rows in one pass."""
+    def sums(self, jobs: Sequence[Job], of=step_sums, *, share: int = 1) -> list[np.ndarray]:
+        """``of`` of every job, added up in one pass over all rows, or over one in ``share`` by their hash."""
         d, centre, jobs = self.d, self.centre, list(jobs)
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -176,7 +206,8 @@ class Scans:
                 if s is not None:
                     yield pa.RecordBatch.from_pydict({"job": np.full(len(s), i, np.int32), "i": np.arange(len(s), dtype=np.int32), "s": s})
 
-        found = self.df.mapInArrow(run, "job int, i int, s double").groupBy("job", "i").agg(F.sum("s").alias("s"))
+        rows = self.df if share == 1 else self.df.where(F.pmod(F.xxhash64("x", F.lit(2)), F.lit(share)) == 0)
+        found = rows.mapInArrow(run, "job int, i int, s double").groupBy("job", "i").agg(F.sum("s").alias("s"))
         out: dict[int, dict[int, float]] = {}
         for r in found.collect():
             out.setdefault(r["job"], {})[r["i"]] = r["s"]
@@ -186,15 +217,25 @@ class Scans:
     def fit(self, jobs: Sequence[Job], *, max_iter: int = 100, tol: float = 1e-3) -> list[Job]:
         """Steps of all jobs until each moves no more: the likelihood or cost of a row changes by less than ``tol`` (of itself for a cost)."""
         jobs = [self._settled_on_sample(j) for j in jobs]
+        share = 1
+        while self.rows >= share * GROWTH * SHARE_ROWS:
+            share *= GROWTH
+        while share > 1:
+            jobs = self._moved(jobs, max_iter, max(tol, SHARE_TOL), share)
+            share //= GROWTH
+        return self._moved(jobs, max_iter, tol)
+
+    def _moved(self, jobs: list[Job], max_iter: int, tol: float, share: int = 1) -> list[Job]:
+        jobs = list(jobs)
         last = [math.inf] * len(jobs)
         moving = list(range(len(jobs)))
         for _ in range(max_iter):
             if not moving or not self.rows:
                 break
-            sums = self.sums([jobs[i] for i in moving])
+            sums = self.sums([jobs[i] for i in moving], share=share)
             still = []
             for i, s in zip(moving, sums, strict=True):
-                now = s[0] / self.rows
+                now = s[0] / (self.rows if share == 1 else max(s[1 : 1 + jobs[i].model.k].sum(), 1))
                 scale = max(abs(now), 1e-12) if isinstance(jobs[i].model, Centres) else 1.0
                 done = abs(now - last[i]) < tol * scale
                 last[i] = now

@@ -83,12 +83,8 @@ def matrix(column: pa.Array, d: int) -> np.ndarray:
     return column.flatten().to_numpy(zero_copy_only=False).reshape(-1, d).astype(float)
 
 
-def log_likelihoods(df: DataFrame, mixtures: Sequence[Mixture], features: str = "x") -> list[float]:
-    """Total log-likelihood of the rows under each mixture, all in one pass.
-
-    A component that several mixtures share with the same weight (as those of ``merge_series`` do) is evaluated
-    once per row.
-    """
+def shared_components(mixtures: Sequence[Mixture]) -> tuple[Mixture, list[list[int]]]:
+    """The components of all mixtures, those shared with the same weight (as in a ``merge_series``) once, and the places of each mixture's."""
     known: dict[tuple, int] = {}
     single: list[Mixture] = []
     parts: list[list[int]] = []
@@ -99,7 +95,12 @@ def log_likelihoods(df: DataFrame, mixtures: Sequence[Mixture], features: str =
                 known[key] = len(single)
                 single.append(Mixture(m.weights[[j]], m.means[[j]], m.covs[[j]]))
         parts.append([known[key] for key in keys])
-    every = Mixture(*(np.concatenate([getattr(s, f) for s in single]) for f in ("weights", "means", "covs")))
+    return Mixture(*(np.concatenate([getattr(s, f) for s in single]) for f in ("weights", "means", "covs"))), parts
+
+
+def log_likelihoods(df: DataFrame, mixtures: Sequence[Mixture], features: str = "x") -> list[float]:
+    """Total log-likelihood of the rows under each mixture, all in one pass; a shared component is evaluated once per row."""
+    every, parts = shared_components(mixtures)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums = np.zeros(len(mixtures))

@@ -159,14 +159,13 @@ def em_clusterings(scans: batched.Scans, names: Sequence[str], subsets: Sequence
     """
     places = [[list(names).index(c) for c in subset] for subset in subsets]
     fits = batched.gmm_fits(scans, [(p, max_clusters(scans.rows)) for p in places], diagonal=False, seed=seed)
-    series = [[batched.Job(f.columns, m) for m in mx.merge_series(f.model)] for f in fits]
-    flat = [j for jobs in series for j in jobs]
-    totals = iter(scans.sums(flat, batched.likelihood_sums))
+    series = [mx.merge_series(f.model) for f in fits]
+    totals = scans.sums([batched.series(f.columns, ms) for f, ms in zip(fits, series)], batched.series_likelihoods)
     chosen = []
-    for jobs in series:
-        scores = [mx.criterion(float(next(totals)[0]), j.model, scans.rows) for j in jobs]
-        best = max(range(len(jobs)), key=lambda i: (scores[i], i))
-        chosen.append((jobs[best], scores[best]))
+    for f, ms, total in zip(fits, series, totals):
+        scores = [mx.criterion(float(t), m, scans.rows) for t, m in zip(total, ms)]
+        best = max(range(len(ms)), key=lambda i: (scores[i], i))
+        chosen.append((batched.Job(f.columns, ms[best]), scores[best]))
     if criterion == "SS":
         chosen = list(zip([j for j, _ in chosen], _scatters(scans, [j for j, _ in chosen])))
     return [Clustering(tuple(s), j.model.k, score, scans.moved_back(j)) for s, (j, score) in zip(subsets, chosen)]
