@@ -123,17 +123,19 @@ def _fewer_columns(points: DataFrame, d: int, eps: float) -> tuple[DataFrame, in
     """The points in at most ``BOX_COLUMNS`` columns with the same neighbours within eps, how many, and which is the code; or as they are.
 
     Columns of one value tell nothing apart; those of two values more than eps apart become one column, their code times twice
-    eps. A point with a value that is no finite number has no neighbours and is left out.
+    eps. A table with a value that is no finite number stays as it is.
     """
     x = F.col("x")
-    finite = points.where(F.forall("x", lambda v: F.coalesce(F.abs(v) < float("inf"), F.lit(False))) & (F.size("x") == d))
-    same, two = equi_columns(finite, d, eps)
+    finite = F.forall("x", lambda v: F.coalesce(F.abs(v) < float("inf"), F.lit(False))) & (F.size("x") == d)
+    if not points.where(~F.coalesce(finite, F.lit(False))).isEmpty():
+        return points, d, None
+    same, two = equi_columns(points, d, eps)
     rest = [j for j in range(d) if j not in two and j not in same]
     if len(rest) + bool(two) > BOX_COLUMNS or len(two) > CODE_COLUMNS:
         return points, d, None
     code = sum((F.when(x[j] > low, 1 << i).otherwise(0).cast("long") for i, (j, low) in enumerate(two.items())), F.lit(0).cast("long"))
     columns = [x[j] for j in rest] + ([code * F.lit(2 * eps)] if two else [])
-    fewer = materialize(finite.withColumn("x", F.array(*(columns or [F.lit(0.0)]))))
+    fewer = materialize(points.withColumn("x", F.array(*(columns or [F.lit(0.0)]))))
     return fewer, max(1, len(columns)), len(rest) if two else None
 
 
