@@ -67,3 +67,15 @@ def test_allow_list_is_narrow(spark):
     docs = spark.createDataFrame(list(enumerate(secret + plain)), "doc_id long, text string")
     got = [x["n_entropy"] for x in secret_scan.secret_scan(docs).orderBy("doc_id").collect()]
     assert got == [1, 1, 0, 0, 0, 0]
+
+
+def test_texts_meet_their_labels_in_fewer_bytes_than_ids_of_words(spark):
+    """Pipeline, quality: compressed texts are shuffled, not 64 bits for each word."""
+    from loglattice.llm import quality
+
+    words = [f"w{i * 7919 % 4000}" for i in range(4000)]
+    rows = [(1, "en", " ".join(words)), (2, "de", ""), (3, None, "ä \u2028 ö")]
+    found = quality.encoded(spark.createDataFrame(rows, "doc_id long, lang string, text string"))
+    assert sum(len(v) for r in found.collect() for v in r if isinstance(v, bytearray | bytes)) < 4 * len(words)
+    block = quality.blocked(found.selectExpr("*", "0 AS part"), 3).collect()
+    assert sorted((d, n) for b in block for d, n in zip(b["doc_ids"], b["lengths"])) == [(1, 4000), (2, 0), (3, 2)]
