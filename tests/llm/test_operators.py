@@ -1,6 +1,7 @@
 """Each operator against a plain version, and on awkward tables."""
 
 import hashlib
+import os
 import random
 import zlib
 from collections import Counter
@@ -12,7 +13,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from loglattice.llm import (
-    byte_bpe, components, exact_dedup, fingerprint, language_id, near_dedup, packing, pair_tiles, pii, quality, secret_scan, token_files, wavelet,
+    byte_bpe, common, components, exact_dedup, fingerprint, language_id, near_dedup, packing, pair_tiles, pii, quality, secret_scan, token_files, wavelet,
 )
 from loglattice.llm.common import new_folder
 from loglattice.llm.word_tokens import WordEncoder
@@ -476,6 +477,34 @@ def test_packed_keys_come_back():
     assert len(quality.unpack_keys(quality.pack_keys(keys[:0]))) == 0 and list(quality.by_shard(keys[:0], 5)) == []
 
 
+def test_packed_values_come_back():
+    values = np.array([0, 0.5, 0, 0.25, 0.5, 1, 0], np.float32)
+    for blank in (0, 1):
+        assert (quality.unpack_values(quality.pack_values(values, blank), blank) == values).all()
+        assert len(quality.unpack_values(quality.pack_values(values[:0], blank), blank)) == 0
+
+
+def test_tables_of_quality_stay_small(spark, monkeypatch):
+    r = random.Random(5)
+    word = lambda: "".join(r.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(7))
+    words = [word() for _ in range(4000)]
+    texts = [" ".join(words[int(r.expovariate(1 / 500)) % 4000] if r.random() < 0.8 else word() for _ in range(300)) for _ in range(200)]
+    docs = spark.createDataFrame([(i, t, "en", "s", 0) for i, t in enumerate(texts)], COLUMNS)
+    labels = spark.createDataFrame([(i, 1, 0) for i in range(0, 200, 2)], "doc_id long, quality int, toxic int")
+    sizes = Counter()
+
+    def stored(df, name):
+        table = common.store(df, name)
+        folder = common._FOLDERS[-1].removeprefix("file:")
+        sizes[name] += sum(os.path.getsize(f"{folder}/{f}") for f in os.listdir(folder) if f.endswith(".parquet"))
+        return table
+
+    monkeypatch.setattr(quality, "store", stored)
+    assert quality.classify(docs, labels).count() == 200
+    text = sum(map(len, texts))
+    assert sizes["classes"] < 0.4 * text and sizes["trigrams"] < 0.6 * text and sum(sizes.values()) < 4 * text, (text, sizes)
+
+
 def test_noise_goes_and_trusted_text_stays(spark):
     good = [(i, vocabulary_text(i, 120), ["en", None][i % 2], "s", 0) for i in range(300)]
     bad = [(1000 + i, " ".join(f"@@{i}{j}##" for j in range(150)), "en", "s", 0) for i in range(20)] + [(2000, "w1 " * 0 + "##", "en", "s", 0)]
