@@ -4,7 +4,7 @@ Equal sequences (for n-grams: equal bags of grams) are collapsed first, with the
 multiplicity. What shares nothing has similarity 0, so an inverted index decides what meets: each distinct one
 has a set of tokens (states, or grams); ordered by their rarest token they are cut into blocks of bounded size, postings
 name the blocks of each token, and only pairs of blocks with a common token become tiles. In a tile, bags are
-compared along the postings of the grams they share or several in one number, sequences by one dynamic programme per prefix. Only one partial sum per
+compared along the postings of the grams they share or several in one number, sequences 64 at once by one dynamic programme per prefix. Only one partial sum per
 sequence leaves a tile: no pair of sequences becomes a row, and no task holds more than two blocks.
 """
 
@@ -26,9 +26,15 @@ from loglattice.operators.thresholds import flag
 from loglattice.session import materialize
 
 BLOCK = 16384
-# Rows of either side that are compared at once: sequences, and bags.
+# The same for LCS: a sequence is copied once per block, so blocks are large.
+LCS_BLOCK = 1 << 17
+# Nodes or rows that are compared at once: sequences, and bags.
 PIECE = 512
 TILE = 2048
+# Words of 64 sequences that are compared at once with one node, at most, and bytes of their masks and of the bits of nodes.
+WORDS = 128
+MASK_BYTES = 1 << 25
+PLANE_BYTES = 1 << 21
 # Bags below this size are compared several at a time in one number.
 PACKED_GRAMS = 256
 # States, or distinct grams, of a block.
@@ -66,64 +72,137 @@ class Ragged:
         return out
 
 
-def lcs_counts(a: Ragged, b: Ragged, groups: Sequence[np.ndarray]) -> Iterator[tuple[slice, int, np.ndarray, np.ndarray, np.ndarray]]:
-    """LCS lengths of all pairs, by the bit-parallel recurrence, a piece of the matrix at a time.
+class LaneSums:
+    """Sums of bit planes lane by lane, weighted by whole numbers: planes of equal value are added up as bits, three to two."""
+
+    def __init__(self, most: int = 1024) -> None:
+        self.held: list[list[np.ndarray]] = []
+        self.most = most
+
+    def add(self, planes: np.ndarray, weights: np.ndarray) -> None:
+        for k in range(int(weights.max(initial=0)).bit_length()):
+            here = (weights >> k) & 1 == 1
+            self._put(planes if here.all() else planes[here], k)
+
+    def _put(self, planes: np.ndarray, k: int) -> None:
+        while len(self.held) <= k:
+            self.held.append([])
+        self.held[k].append(planes)
+        if sum(map(len, self.held[k])) >= self.most:
+            self._fold(k)
+
+    def _fold(self, k: int) -> None:
+        planes = np.concatenate(self.held[k])
+        while len(planes) > 2:
+            third = len(planes) // 3
+            x, y, z = planes[:third], planes[third : 2 * third], planes[2 * third : 3 * third]
+            one = x ^ y
+            carry = x & y
+            carry |= one & z
+            one ^= z
+            self._put(carry, k + 1)
+            planes = np.concatenate([one, planes[3 * third :]])
+        self.held[k] = [planes]
+
+    def total(self, lanes: int) -> np.ndarray:
+        out = np.zeros(lanes)
+        k = 0
+        while k < len(self.held):
+            if self.held[k]:
+                self._fold(k)
+                for plane in self.held[k][0]:
+                    out += np.ldexp(np.unpackbits(plane.view(np.uint8), bitorder="little")[:lanes].astype(float), k)
+            k += 1
+        return out
+
 
-    Bit i of ``v`` for a pair is 0 once the prefix of ``a`` up to i has gained a match; each
-    state of ``b`` updates ``v`` with one addition, on the narrowest words that hold a sequence of ``a``; 64-bit words chain
-    through the carry. States that only one side has match nothing and are left out. Sequences of ``b`` that follow each other
-    in order form a prefix trie: ``v`` is worked out once for each of its nodes. A piece is a range of ``a``, the number of a
-    group of ``b``, some rows of it, the trie node of each, and the lengths of nodes by rows of ``a``.
+def lcs_gains(
+    a: Ragged, b: Ragged, groups: Sequence[np.ndarray]
+) -> Iterator[tuple[slice, int, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """LCS lengths of all pairs as bits: which states of a sequence of ``b`` lengthen its LCS with which sequences of ``a``.
+
+    Sequences of ``a`` are lanes, 64 in a word. A cell of the dynamic programme has one bit of difference to the cell on its left
+    and one to the cell above, so a state of ``b`` is four operations on bits per position of ``a``. Sequences of ``b`` in order
+    form a prefix trie, whose nodes are worked out once. States that only one side has match nothing and are left out. A
+    piece is a range of ``a``, the number of a group of ``b``, its rows in order, for some nodes of one depth the range of these
+    rows below each, and a plane of bits per node; the LCS length is the number of bits along the path.
     """
     states = np.intersect1d(a.flat, b.flat)
     a, b = a.only(states), b.only(states)
-    pa_, pb = (Ragged(np.searchsorted(states, x.flat), x.offsets) for x in (a, b))
-    longest = int(a.lengths.max(initial=1))
-    words = max(1, -(-longest // 64))
-    kind = np.uint16 if longest <= 16 else np.uint32 if longest <= 32 else np.uint64
-    steps = pb.padded(len(states))
+    coded_a, coded_b = (Ragged(np.searchsorted(states, x.flat), x.offsets) for x in (a, b))
+    longest = int(a.lengths.max(initial=0))
+    steps = coded_b.padded(len(states))
     tries = []
     for g, group in enumerate(groups):
-        order = group[np.lexsort(steps[group].T[::-1])] if steps.shape[1] else group
-        for start in range(0, len(order), PIECE):
-            rows = order[start : start + PIECE]
-            held = steps[rows][:, : int(b.lengths[rows].max(initial=0))]
-            nodes, firsts, parents = trie(held)
-            tries.append((g, rows, nodes, [(parent, held[first, p]) for p, (first, parent) in enumerate(zip(firsts, parents))]))
-    for low in range(0, len(a.lengths), PIECE):
-        near = slice(low, min(low + PIECE, len(a.lengths)))
-        one = pa_.take(np.arange(near.start, near.stop))
-        row = np.repeat(np.arange(len(one.lengths)), one.lengths)
-        at = np.arange(len(one.flat)) - one.offsets[:-1][row]
-        # mask[w, s, i]: the positions of state s in sequence i; the last state is padding.
-        mask = np.zeros((words, len(states) + 1, len(one.lengths)), dtype=kind)
-        np.bitwise_or.at(mask, (at // 64, one.flat, row), np.left_shift(np.uint64(1), (at % 64).astype(np.uint64)).astype(kind))
-        for g, rows, nodes, levels in tries:
-            v = np.full((words, 1, mask.shape[2]), np.iinfo(kind).max, dtype=kind)
-            for parent, state in levels:
-                v = v[:, parent]
-                carry = None
-                for w in range(words):
-                    x = v[w] & mask[w][state]
-                    total = v[w] + x
-                    if words > 1:
-                        over = total < x
-                        if carry is not None:
-                            total = total + carry
-                            over |= total < carry
-                        carry = over.astype(kind)
-                    v[w] = total | (v[w] - x)
-            counts = np.bitwise_count(~v)
-            # Without levels (no common state) all rows are the one node of the start.
-            nodes = nodes if levels else np.zeros(len(rows), dtype=np.int64)
-            yield near, g, rows, nodes, counts[0] if words == 1 else counts.sum(axis=0, dtype=np.int64)
+        held = steps[group][:, : int(b.lengths[group].max(initial=0))]
+        order = np.lexsort(held.T[::-1]) if held.shape[1] else np.arange(len(held))
+        _, firsts, parents = trie(held[order])
+        ends = [np.append(first[1:], len(order)) for first in firsts]
+        tries.append((g, group[order], firsts, ends, parents, [held[order[first], p] for p, first in enumerate(firsts)]))
+    wide = max(1, min(WORDS, MASK_BYTES // (8 * max(1, longest) * (len(states) + 1))))
+    for low in range(0, len(a.lengths), 64 * wide):
+        near = slice(low, min(low + 64 * wide, len(a.lengths)))
+        one = coded_a.take(np.arange(near.start, near.stop))
+        lane = np.repeat(np.arange(len(one.lengths)), one.lengths)
+        at = np.arange(len(one.flat)) - one.offsets[:-1][lane]
+        # mask[i, s]: the lanes with state s at position i; the last state is padding.
+        mask = np.zeros((longest, len(states) + 1, -(-len(one.lengths) // 64)), dtype=np.uint64)
+        np.bitwise_or.at(mask, (at, one.flat, lane // 64), np.left_shift(np.uint64(1), (lane % 64).astype(np.uint64)))
+        for g, rows, firsts, ends, parents, letters in tries:
+            for p, nodes, planes in _walk(mask, parents, letters):
+                yield near, g, rows, firsts[p][nodes], ends[p][nodes], planes
+
+
+def _walk(mask: np.ndarray, parents: list[np.ndarray], letters: list[np.ndarray]) -> Iterator[tuple[int, slice, np.ndarray]]:
+    """Depth, range of nodes and their planes; at most ``PIECE`` nodes or ``PLANE_BYTES`` at once, parents before children."""
+    longest, _, words = mask.shape
+    most = max(1, min(PIECE, PLANE_BYTES // (8 * max(1, longest) * words)))
+    # Nodes low to high of the depth above p, and their difference to the left at each position.
+    todo = [(0, 0, 1, np.zeros((longest, 1, words), dtype=np.uint64))]
+    while todo:
+        p, low, high, left = todo.pop()
+        while p < len(parents):
+            start, stop = np.searchsorted(parents[p], [low, high])
+            if stop - start > most and high - low > 1:
+                cuts = [low]
+                while cuts[-1] < high:
+                    after = np.searchsorted(parents[p], cuts[-1]) + max(1, most // 2)
+                    cuts.append(max(cuts[-1] + 1, int(parents[p][after])) if after < stop else high)
+                todo += [(p, x, y, left[:, x - low : y - low]) for x, y in reversed(list(zip(cuts[:-1], cuts[1:])))]
+                break
+            above, letter = parents[p][start:stop] - low, letters[p][start:stop]
+            # No difference to the row above, one bit per lane: at first all ones.
+            same = np.full((stop - start, words), np.iinfo(np.uint64).max)
+            met, either = np.empty_like(same), np.empty_like(same)
+            deepest = p + 1 == len(parents)
+            lefts = np.empty((1 if deepest else longest, stop - start, words), dtype=np.uint64)
+            for i in range(longest):
+                here = lefts[0 if deepest else i]
+                left[i].take(above, axis=0, out=here, mode="clip")
+                mask[i].take(letter, axis=0, out=met, mode="clip")
+                if deepest:
+                    # met ? here : here | same
+                    np.bitwise_and(same, np.invert(met, out=met), out=same)
+                    np.bitwise_or(same, here, out=same)
+                else:
+                    np.bitwise_xor(here, same, out=either)
+                    np.bitwise_or(here, met, out=here)
+                    np.bitwise_and(here, same, out=here)
+                    np.bitwise_xor(here, either, out=same)
+            yield p, slice(start, stop), np.invert(same, out=same)
+            p, low, high, left = p + 1, int(start), int(stop), lefts
 
 
 def lcs_matrix(a: Ragged, b: Ragged) -> np.ndarray:
     """LCS lengths of all pairs."""
+    steps = np.zeros((len(b.lengths) + 1, len(a.lengths)), dtype=np.int64)
+    rows = np.arange(len(b.lengths))
+    for near, _, rows, starts, ends, planes in lcs_gains(a, b, [rows]):
+        bits = np.unpackbits(planes.view(np.uint8), axis=1, bitorder="little")[:, : near.stop - near.start].astype(np.int64)
+        steps[starts, near] += bits
+        steps[ends, near] -= bits
     out = np.zeros((len(a.lengths), len(b.lengths)), dtype=np.int64)
-    for near, _, rows, nodes, counts in lcs_counts(a, b, [np.arange(len(b.lengths))]):
-        out[near, rows] = counts[nodes].T
+    out[:, rows] = np.cumsum(steps, axis=0)[:-1].T
     return out
 
 
@@ -157,31 +236,64 @@ def _by_length(lengths: np.ndarray) -> tuple[np.ndarray, list[np.ndarray]]:
     return found, np.split(order, firsts[1:]) if len(order) else []
 
 
+def _lane_groups(lengths: np.ndarray, times: np.ndarray) -> list[tuple[int, int, np.ndarray, np.ndarray]]:
+    """Lanes by length and by bit of their times: (length, bit, words, mask)."""
+    out = []
+    for length in np.unique(lengths):
+        own = np.where(lengths == length, times, 0)
+        for k in range(int(own.max()).bit_length()):
+            bits = np.packbits((own >> k) & 1 == 1, bitorder="little")
+            words = np.pad(bits, (0, -len(bits) % 8)).view(np.uint64)
+            at = np.flatnonzero(words)
+            if len(at):
+                out.append((int(length), k, at, words[at]))
+    return out
+
+
 def lcs_sums(left: pa.Table, right: pa.Table, both: bool) -> tuple[np.ndarray, np.ndarray | None]:
     """Similarities LCS / sqrt(length * length) summed over the other block, for ``left`` and, with ``both``, for ``right``.
 
     LCS lengths are added up per length of the other sequence, as whole numbers, and only those sums are divided.
     """
     a, b = (_ragged(t.column("states").chunk(0)) for t in (left, right))
-    times_a, times_b = (t.column("times").to_numpy().astype(float) for t in (left, right))
-    lengths_a, groups_a = _by_length(a.lengths)
+    times_a, times_b = (t.column("times").to_numpy().astype(np.int64) for t in (left, right))
     lengths_b, groups_b = _by_length(b.lengths)
-    # Rows of ``a`` in order of their length, so that a length is a range of them.
-    order = np.concatenate([*groups_a, np.zeros(0, dtype=np.int64)])
-    ends = np.cumsum([0, *map(len, groups_a)])
+    # Lanes in order of their length and times, so that few words have several of them.
+    order = np.lexsort((times_a, a.lengths))
     a, times_a = a.take(order), times_a[order]
-    of_a, of_b = np.zeros((len(lengths_b), len(order))), np.zeros((len(lengths_a), len(times_b)))
-    for near, g, rows, nodes, counts in lcs_counts(a, b, groups_b):
-        counts = counts.astype(float)
-        of_a[g, near] += np.bincount(nodes, times_b[rows], minlength=len(counts)) @ counts
+    lengths_a = np.unique(a.lengths)
+    of_a = np.zeros((len(lengths_b), len(order)))
+    # Differences from row to row, in the order of the group of each length of ``b``.
+    steps_b = [np.zeros((len(lengths_a), len(group) + 1), dtype=np.int64) for group in groups_b] if both else []
+    orders_b = list(groups_b)
+    seen, lanes, sums = None, [], LaneSums()
+    for near, g, rows, starts, ends, planes in lcs_gains(a, b, groups_b):
+        if seen != (near, g):
+            if seen is not None:
+                of_a[seen[1], seen[0]] = sums.total(seen[0].stop - seen[0].start)
+            if both and (seen is None or seen[0] != near):
+                lanes = _lane_groups(a.lengths[near], times_a[near])
+            seen, sums = (near, g), LaneSums()
+            upto = np.concatenate([[0], np.cumsum(times_b[rows])])
+            orders_b[g] = rows
+        sums.add(planes, upto[ends] - upto[starts])
         if both:
-            for h in range(len(lengths_a)):
-                lo, hi = max(ends[h], near.start), min(ends[h + 1], near.stop)
-                if lo < hi:
-                    of_b[h, rows] += (counts[:, lo - near.start : hi - near.start] @ times_a[lo:hi])[nodes]
-    sums = np.zeros(len(order))
-    sums[order] = (of_a / np.sqrt(lengths_b[:, None].astype(float) * a.lengths[None, :])).sum(axis=0)
-    return sums, (of_b / np.sqrt(lengths_a[:, None].astype(float) * b.lengths[None, :])).sum(axis=0) if both else None
+            for length, k, words, mask in lanes:
+                here = planes if len(words) == planes.shape[1] else planes[:, words]
+                found = np.bitwise_count(here & mask).sum(axis=1, dtype=np.int64) << k
+                h = np.searchsorted(lengths_a, length)
+                steps_b[g][h, starts] += found
+                steps_b[g][h, ends] -= found
+    if seen is not None:
+        of_a[seen[1], seen[0]] = sums.total(seen[0].stop - seen[0].start)
+    sums_a = np.zeros(len(order))
+    sums_a[order] = (of_a / np.sqrt(lengths_b[:, None].astype(float) * a.lengths[None, :])).sum(axis=0)
+    if not both:
+        return sums_a, None
+    sums_b = np.zeros(len(times_b))
+    for length, rows, steps in zip(lengths_b, orders_b, steps_b):
+        sums_b[rows] = (np.cumsum(steps, axis=1)[:, :-1] / np.sqrt(lengths_a[:, None].astype(float) * length)).sum(axis=0)
+    return sums_a, sums_b
 
 
 def _entries(left: pa.Table, right: pa.Table) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
@@ -441,7 +553,7 @@ def _numbered(groups: DataFrame) -> DataFrame:
     return materialize(groups.withColumn("did", F.monotonically_increasing_id()))
 
 
-def lcs_scores(sequences: DataFrame, *, block: int = BLOCK) -> DataFrame:
+def lcs_scores(sequences: DataFrame, *, block: int = LCS_BLOCK) -> DataFrame:
     """``(seq_id, score)``: one over the mean LCS similarity to the other sequences.
 
     A sequence that shares no state with any other scores ``DISSIMILAR``; a single sequence
