@@ -5,7 +5,8 @@ multiplicity. What shares nothing has similarity 0, so an inverted index decides
 has a set of tokens (states, or grams); ordered by their rarest token they are cut into blocks of bounded size, postings
 name the blocks of each token, and only pairs of blocks with a common token become tiles. In a tile, bags are
 compared along the postings of the grams they share or several in one number, sequences 64 at once by one dynamic programme per prefix. Only one partial sum per
-sequence leaves a tile: no pair of sequences becomes a row, and no task holds more than two blocks.
+sequence leaves a tile: no pair of sequences becomes a row, and no task holds more than two blocks. Many small bags
+are not compared at all (see ``shared_grams``).
 """
 
 from __future__ import annotations
@@ -20,6 +21,7 @@ from pyspark.sql import functions as F
 
 from loglattice.functions.similarity import ngrams
 from loglattice.operators import ordered as o
+from loglattice.operators.detectors.shared_grams import shared_sums
 from loglattice.operators.lookup import lookup
 from loglattice.operators.sequences import as_arrays
 from loglattice.operators.thresholds import flag
@@ -43,6 +45,8 @@ BLOCK_TOKENS = 1 << 22
 HEAVY_BLOCKS = 64
 # Shared postings cost about as much as so many cells of a dense product.
 POSTING_CELLS = 24
+# A set of grams of a bag costs about as much as so many pairs of bags.
+SET_PAIRS = 6
 # Fixed value: the score of a sequence that resembles no other.
 DISSIMILAR = 100000.0
 
@@ -607,6 +611,14 @@ def gram_bags(
     )
 
 
+def _bag_sums(distinct: DataFrame, n: int, match: str, block: int) -> DataFrame:
+    """``(did, s)``: similarity to all bags, by the cheaper of two ways: all pairs, or all sets of a bag's grams."""
+    size = distinct.agg(F.count(F.lit(1)).alias("d"), F.sum(F.pow(F.lit(2.0), F.col("grams"))).alias("sets")).first()
+    if match == "bag" and size["d"] and size["sets"] * SET_PAIRS < size["d"] ** 2 / 2:
+        return shared_sums(distinct)
+    return _similarity_sums(distinct, ngram_sums(n, match), block, F.col("bag.gram"))
+
+
 def ngram_scores(
     sequences: DataFrame, n: int = 2, *, match: str = "bag", block: int = BLOCK, **options
 ) -> DataFrame:
@@ -619,7 +631,7 @@ def ngram_scores(
         raise ValueError(match)
     bags = materialize(gram_bags(sequences, n, **options))
     distinct = _numbered(bags.groupBy("bag", "grams").agg(F.count(F.lit(1)).alias("times")))
-    sums = _similarity_sums(distinct, ngram_sums(n, match), block, F.col("bag.gram"))
+    sums = _bag_sums(distinct, n, match, block)
     per_bag = materialize(distinct.join(sums, "did").select("bag", "s"))
     same = ["f1", "f2", "grams"]
     equal = materialize(bags.groupBy(*same).agg(F.count(F.lit(1)).alias("equal")))
