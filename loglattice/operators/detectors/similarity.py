@@ -539,7 +539,8 @@ def _similarity_sums(distinct: DataFrame, sums: Callable, block: int, tokens: Co
     ends = pairs.select("ti", "tj", F.explode(F.array_distinct(F.array("ti", "tj"))).alias("blk"))
     rows = rows.join(ends, "blk")
     partial = (
-        rows.repartition(max(1, min(tiles, 4 * max(parallel, tiles // 64))), "ti", "tj")
+        # Several tiles meet in a partition by chance; in many partitions few do, and no core waits long for the last one.
+        rows.repartition(max(1, min(2 * tiles, 4 * max(4 * parallel, tiles // 64))), "ti", "tj")
         .groupBy("ti", "tj")
         .applyInArrow(_partial(sums), "did long, s double")
     )
