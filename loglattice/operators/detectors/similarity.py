@@ -33,10 +33,13 @@ LCS_BLOCK = 1 << 17
 # Nodes or rows that are compared at once: sequences, and bags.
 PIECE = 512
 TILE = 2048
-# Words of 64 sequences that are compared at once with one node, at most, and bytes of their masks and of the bits of nodes.
+# Words of 64 sequences that are compared at once with one node, at most, and bytes of their masks. Bits of nodes: bytes that
+# caches hold, bytes of one position that are worth a call, and bytes at most.
 WORDS = 128
 MASK_BYTES = 1 << 25
 PLANE_BYTES = 1 << 21
+POSITION_BYTES = 1 << 17
+HELD_BYTES = 1 << 26
 # Bags below this size are compared several at a time in one number.
 PACKED_GRAMS = 256
 # States, or distinct grams, of a block.
@@ -120,53 +123,58 @@ class LaneSums:
         return out
 
 
-def lcs_gains(
-    a: Ragged, b: Ragged, groups: Sequence[np.ndarray]
-) -> Iterator[tuple[slice, int, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+def lcs_gains(a: Ragged, b: Ragged) -> Iterator[tuple[slice, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
     """LCS lengths of all pairs as bits: which states of a sequence of ``b`` lengthen its LCS with which sequences of ``a``.
 
     Sequences of ``a`` are lanes, 64 in a word. A cell of the dynamic programme has one bit of difference to the cell on its left
     and one to the cell above, so a state of ``b`` is four operations on bits per position of ``a``. Sequences of ``b`` in order
     form a prefix trie, whose nodes are worked out once. States that only one side has match nothing and are left out. A
-    piece is a range of ``a``, the number of a group of ``b``, its rows in order, for some nodes of one depth the range of these
-    rows below each, and a plane of bits per node; the LCS length is the number of bits along the path.
+    piece is a range of ``a``, the rows of ``b`` in order, for some nodes of one depth the range of these rows below each, and a
+    plane of bits per node; the LCS length is the number of bits along the path.
     """
     states = np.intersect1d(a.flat, b.flat)
     a, b = a.only(states), b.only(states)
     coded_a, coded_b = (Ragged(np.searchsorted(states, x.flat), x.offsets) for x in (a, b))
     longest = int(a.lengths.max(initial=0))
     steps = coded_b.padded(len(states))
-    tries = []
-    for g, group in enumerate(groups):
-        held = steps[group][:, : int(b.lengths[group].max(initial=0))]
-        order = np.lexsort(held.T[::-1]) if held.shape[1] else np.arange(len(held))
-        _, firsts, parents = trie(held[order])
-        ends = [np.append(first[1:], len(order)) for first in firsts]
-        tries.append((g, group[order], firsts, ends, parents, [held[order[first], p] for p, first in enumerate(firsts)]))
-    wide = max(1, min(WORDS, MASK_BYTES // (8 * max(1, longest) * (len(states) + 1))))
+    rows = np.lexsort(steps.T[::-1]) if steps.shape[1] else np.arange(len(steps))
+    steps = steps[rows]
+    _, firsts, parents = trie(steps)
+    ends, letters, before = [], [], np.zeros(1, dtype=np.int64)
+    for p, first in enumerate(firsts):
+        # Sequences that have ended have no nodes.
+        letter = steps[first, p]
+        going = letter < len(states)
+        ends.append(np.append(first[1:], len(rows))[going])
+        firsts[p], parents[p] = first[going], before[parents[p][going]]
+        letters.append(letter[going])
+        before = np.cumsum(going) - 1
+    wide = max(1, min(WORDS, MASK_BYTES // (8 * max(1, longest) * max(1, len(states)))))
     for low in range(0, len(a.lengths), 64 * wide):
         near = slice(low, min(low + 64 * wide, len(a.lengths)))
         one = coded_a.take(np.arange(near.start, near.stop))
         lane = np.repeat(np.arange(len(one.lengths)), one.lengths)
         at = np.arange(len(one.flat)) - one.offsets[:-1][lane]
-        # mask[i, s]: the lanes with state s at position i; the last state is padding.
-        mask = np.zeros((longest, len(states) + 1, -(-len(one.lengths) // 64)), dtype=np.uint64)
+        # mask[i, s]: the lanes with state s at position i.
+        mask = np.zeros((longest, len(states), -(-len(one.lengths) // 64)), dtype=np.uint64)
         np.bitwise_or.at(mask, (at, one.flat, lane // 64), np.left_shift(np.uint64(1), (lane % 64).astype(np.uint64)))
-        for g, rows, firsts, ends, parents, letters in tries:
-            for p, nodes, planes in _walk(mask, parents, letters):
-                yield near, g, rows, firsts[p][nodes], ends[p][nodes], planes
+        for p, nodes, planes in _walk(mask, parents, letters):
+            yield near, rows, firsts[p][nodes], ends[p][nodes], planes
 
 
 def _walk(mask: np.ndarray, parents: list[np.ndarray], letters: list[np.ndarray]) -> Iterator[tuple[int, slice, np.ndarray]]:
-    """Depth, range of nodes and their planes; at most ``PIECE`` nodes or ``PLANE_BYTES`` at once, parents before children."""
+    """Depth, range of nodes and their planes; at most ``PIECE`` nodes at once, parents before children."""
     longest, _, words = mask.shape
-    most = max(1, min(PIECE, PLANE_BYTES // (8 * max(1, longest) * words)))
+    held = max(PLANE_BYTES, min(POSITION_BYTES * longest, HELD_BYTES))
+    most = max(1, min(PIECE, held // (8 * max(1, longest) * words)))
     # Nodes low to high of the depth above p, and their difference to the left at each position.
     todo = [(0, 0, 1, np.zeros((longest, 1, words), dtype=np.uint64))]
     while todo:
         p, low, high, left = todo.pop()
         while p < len(parents):
             start, stop = np.searchsorted(parents[p], [low, high])
+            if start == stop:
+                break
             if stop - start > most and high - low > 1:
                 cuts = [low]
                 while cuts[-1] < high:
@@ -201,7 +209,7 @@ def lcs_matrix(a: Ragged, b: Ragged) -> np.ndarray:
     """LCS lengths of all pairs."""
     steps = np.zeros((len(b.lengths) + 1, len(a.lengths)), dtype=np.int64)
     rows = np.arange(len(b.lengths))
-    for near, _, rows, starts, ends, planes in lcs_gains(a, b, [rows]):
+    for near, rows, starts, ends, planes in lcs_gains(a, b):
         bits = np.unpackbits(planes.view(np.uint8), axis=1, bitorder="little")[:, : near.stop - near.start].astype(np.int64)
         steps[starts, near] += bits
         steps[ends, near] -= bits
@@ -233,13 +241,6 @@ def _ragged(states: pa.ListArray) -> Ragged:
     return Ragged(flat, offsets - offsets[0])
 
 
-def _by_length(lengths: np.ndarray) -> tuple[np.ndarray, list[np.ndarray]]:
-    """The distinct lengths and the rows of each."""
-    order = np.argsort(lengths, kind="stable")
-    found, firsts = np.unique(lengths[order], return_index=True)
-    return found, np.split(order, firsts[1:]) if len(order) else []
-
-
 def _lane_groups(lengths: np.ndarray, times: np.ndarray) -> list[tuple[int, int, np.ndarray, np.ndarray]]:
     """Lanes by length and by bit of their times: (length, bit, words, mask)."""
     out = []
@@ -261,42 +262,51 @@ def lcs_sums(left: pa.Table, right: pa.Table, both: bool) -> tuple[np.ndarray, n
     """
     a, b = (_ragged(t.column("states").chunk(0)) for t in (left, right))
     times_a, times_b = (t.column("times").to_numpy().astype(np.int64) for t in (left, right))
-    lengths_b, groups_b = _by_length(b.lengths)
     # Lanes in order of their length and times, so that few words have several of them.
     order = np.lexsort((times_a, a.lengths))
     a, times_a = a.take(order), times_a[order]
     lengths_a = np.unique(a.lengths)
+    lengths_b, kind_b = np.unique(b.lengths, return_inverse=True)
     of_a = np.zeros((len(lengths_b), len(order)))
-    # Differences from row to row, in the order of the group of each length of ``b``.
-    steps_b = [np.zeros((len(lengths_a), len(group) + 1), dtype=np.int64) for group in groups_b] if both else []
-    orders_b = list(groups_b)
-    seen, lanes, sums = None, [], LaneSums()
-    for near, g, rows, starts, ends, planes in lcs_gains(a, b, groups_b):
-        if seen != (near, g):
-            if seen is not None:
-                of_a[seen[1], seen[0]] = sums.total(seen[0].stop - seen[0].start)
-            if both and (seen is None or seen[0] != near):
-                lanes = _lane_groups(a.lengths[near], times_a[near])
-            seen, sums = (near, g), LaneSums()
-            upto = np.concatenate([[0], np.cumsum(times_b[rows])])
-            orders_b[g] = rows
-        sums.add(planes, upto[ends] - upto[starts])
-        if both:
-            for length, k, words, mask in lanes:
-                here = planes if len(words) == planes.shape[1] else planes[:, words]
-                found = np.bitwise_count(here & mask).sum(axis=1, dtype=np.int64) << k
-                h = np.searchsorted(lengths_a, length)
-                steps_b[g][h, starts] += found
-                steps_b[g][h, ends] -= found
-    if seen is not None:
-        of_a[seen[1], seen[0]] = sums.total(seen[0].stop - seen[0].start)
+    # Differences from row to row of ``b``, in the order of the trie.
+    steps_b = np.zeros((len(lengths_a), len(times_b) + 1), dtype=np.int64)
+    rows, seen, lanes, sums = np.arange(len(times_b)), None, [], {}
+    upto: np.ndarray | None = None
+
+    def finish() -> None:
+        for g, found in sums.items():
+            of_a[g, seen] = found.total(seen.stop - seen.start)
+
+    for near, rows, starts, ends, planes in lcs_gains(a, b):
+        if upto is None:
+            # upto[g, i]: the times of rows of length g before i.
+            kinds = kind_b[rows]
+            upto = np.zeros((len(lengths_b), len(rows) + 1), dtype=np.int64)
+            upto[kinds, np.arange(1, len(rows) + 1)] = times_b[rows]
+            np.cumsum(upto, axis=1, out=upto)
+        if seen != near:
+            finish()
+            seen, sums = near, {}
+            lanes = _lane_groups(a.lengths[near], times_a[near]) if both else []
+        below = upto[:, ends[-1]] - upto[:, starts[0]]
+        for g in np.flatnonzero(below):
+            times = upto[g, ends] - upto[g, starts]
+            here = times > 0
+            sums.setdefault(g, LaneSums()).add(*((planes, times) if here.all() else (planes[here], times[here])))
+        for length, k, words, mask in lanes:
+            own = planes if len(words) == planes.shape[1] else planes[:, words]
+            found = np.bitwise_count(own & mask).sum(axis=1, dtype=np.int64) << k
+            h = np.searchsorted(lengths_a, length)
+            steps_b[h, starts] += found
+            steps_b[h, ends] -= found
+    finish()
     sums_a = np.zeros(len(order))
     sums_a[order] = (of_a / np.sqrt(lengths_b[:, None].astype(float) * a.lengths[None, :])).sum(axis=0)
     if not both:
         return sums_a, None
+    lcs_b = np.cumsum(steps_b, axis=1)[:, :-1]
     sums_b = np.zeros(len(times_b))
-    for length, rows, steps in zip(lengths_b, orders_b, steps_b):
-        sums_b[rows] = (np.cumsum(steps, axis=1)[:, :-1] / np.sqrt(lengths_a[:, None].astype(float) * length)).sum(axis=0)
+    sums_b[rows] = (lcs_b / np.sqrt(lengths_a[:, None].astype(float) * b.lengths[rows][None, :])).sum(axis=0)
     return sums_a, sums_b
 
 

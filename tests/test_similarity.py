@@ -188,10 +188,10 @@ def test_lcs_takes_a_bit_per_pair_and_prefix(monkeypatch, piece, words):
     a = [[rng.randrange(5) for _ in range(rng.randrange(1, 11))] for _ in range(150)]
     b = [s[:6] + [rng.randrange(6) for _ in range(4)] for s in ([rng.randrange(3) for _ in range(6)] for _ in range(50))]
     prefixes = len({tuple(s[:k]) for s in b for k in range(1, 11)})
-    pieces = list(sm.lcs_gains(ragged(a), ragged(b), [np.arange(50)]))
+    pieces = list(sm.lcs_gains(ragged(a), ragged(b)))
     assert sum(planes.nbytes for *_, planes in pieces) <= prefixes * 8 * 3
     got = np.zeros((150, 51), dtype=int)
-    for near, _, rows, starts, ends, planes in pieces:
+    for near, rows, starts, ends, planes in pieces:
         bits = np.unpackbits(planes.view(np.uint8), axis=1, bitorder="little")[:, : near.stop - near.start]
         for plane, start, end in zip(bits, starts, ends):
             for r in rows[start:end]:
